@@ -32,8 +32,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fieldloom.llm import text as T
 
 #: Suffixes that a task sorts at once, and those that a group holds on average at most.
-RUN = 4_000_000
-GROUP = 1_500_000
+RUN = 1_200_000
+GROUP = 1_000_000
 #: Bytes of text in a group of documents when results meet their texts.
 BLOCK_BYTES = 6 << 20
 _NONE = np.int64(-(1 << 63))
