@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fieldloom.llm.simhash_gph import near_duplicates
 from fieldloom.llm.substring_dedup import remove_repeated_passages
 
 
@@ -17,8 +18,12 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_passages(_table(spark, sf_dir, "documents"), width=20, with_text=False)
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), size=3, radius=2).drop("fp")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup,)}
+    return {f.__name__: f for f in (op2_substring_dedup, op8_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
