@@ -6,8 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fieldloom.llm.packing import pack_documents
 from fieldloom.llm.simhash_gph import near_duplicates
 from fieldloom.llm.substring_dedup import remove_repeated_passages
+from fieldloom.llm.token_counts import count_tokens
+from fieldloom.llm.token_store import read_store, shared_folder, write_store
+
+
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,12 +27,26 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_passages(_table(spark, sf_dir, "documents"), width=20, with_text=False)
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), limit=2048)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), size=3, radius=2).drop("fp")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=1)
+
+
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "token-store")
+    write_store(_table(spark, sf_dir, "documents"), path, _vocabulary("byte_bpe_50k.json"), end_id=2)
+    return read_store(spark, path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op8_simhash)}
+    return {f.__name__: f for f in (op2_substring_dedup, op7_token_counts, op8_simhash, op9_packing, op10_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:
