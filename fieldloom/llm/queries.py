@@ -11,6 +11,7 @@ from fieldloom.llm.simhash_gph import near_duplicates
 from fieldloom.llm.substring_dedup import remove_repeated_passages
 from fieldloom.llm.token_counts import count_tokens
 from fieldloom.llm.token_store import read_store, shared_folder, write_store
+from fieldloom.llm.toxicity_ftrl import score_toxicity, train
 
 
 def _vocabulary(name: str) -> str:
@@ -27,6 +28,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_passages(_table(spark, sf_dir, "documents"), width=20, with_text=False)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return score_toxicity(docs, train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), limit=2048)
 
@@ -46,7 +52,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op7_token_counts, op8_simhash, op9_packing, op10_token_store)}
+    return {f.__name__: f for f in (op2_substring_dedup, op5_toxicity, op7_token_counts, op8_simhash, op9_packing, op10_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:
