@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fieldloom.llm import quality_forest, toxicity_ftrl
 from fieldloom.llm.packing import pack_documents
 from fieldloom.llm.simhash_gph import near_duplicates
 from fieldloom.llm.substring_dedup import remove_repeated_passages
 from fieldloom.llm.token_counts import count_tokens
 from fieldloom.llm.token_store import read_store, shared_folder, write_store
-from fieldloom.llm.toxicity_ftrl import score_toxicity, train
 
 
 def _vocabulary(name: str) -> str:
@@ -28,9 +28,15 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_passages(_table(spark, sf_dir, "documents"), width=20, with_text=False)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    forest = quality_forest.train(docs, _table(spark, sf_dir, "labels"))
+    return quality_forest.judge(docs, forest).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return score_toxicity(docs, train(docs, _table(spark, sf_dir, "labels")))
+    return toxicity_ftrl.score_toxicity(docs, toxicity_ftrl.train(docs, _table(spark, sf_dir, "labels")))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +58,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op5_toxicity, op7_token_counts, op8_simhash, op9_packing, op10_token_store)}
+    return {f.__name__: f for f in (op2_substring_dedup, op3_quality, op5_toxicity, op7_token_counts, op8_simhash, op9_packing, op10_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:
