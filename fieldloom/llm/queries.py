@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldloom.llm import quality_forest, toxicity_ftrl
+from fieldloom.llm.decontaminate import contamination
 from fieldloom.llm.packing import pack_documents
 from fieldloom.llm.simhash_gph import near_duplicates
 from fieldloom.llm.substring_dedup import remove_repeated_passages
@@ -39,6 +40,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_ftrl.score_toxicity(docs, toxicity_ftrl.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), limit=2048)
 
@@ -58,7 +63,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_quality, op5_toxicity, op7_token_counts, op8_simhash, op9_packing, op10_token_store)}
+    return {f.__name__: f for f in (op2_substring_dedup, op3_quality, op5_toxicity, op6_decontamination, op7_token_counts, op8_simhash, op9_packing, op10_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:
