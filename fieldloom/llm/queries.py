@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import quality_forest, toxicity_ftrl
+from fieldloom.llm import pii_crf, quality_forest, toxicity_ftrl
 from fieldloom.llm.decontaminate import contamination
 from fieldloom.llm.packing import pack_documents
 from fieldloom.llm.simhash_gph import near_duplicates
@@ -35,6 +35,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_forest.judge(docs, forest).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return pii_crf.find_personal_data(docs, pii_crf.train(docs))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity_ftrl.score_toxicity(docs, toxicity_ftrl.train(docs, _table(spark, sf_dir, "labels")))
@@ -63,7 +68,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_quality, op5_toxicity, op6_decontamination, op7_token_counts, op8_simhash, op9_packing, op10_token_store)}
+    return {f.__name__: f for f in (op2_substring_dedup, op3_quality, op4_personal_data, op5_toxicity, op6_decontamination, op7_token_counts, op8_simhash, op9_packing, op10_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:
