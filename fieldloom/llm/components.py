@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def smallest_reachable(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, label): the smallest label of a node's component, for the nodes that have an edge (a, b).
+    """(node, label, root): the smallest label, and the node that has it, of a node's component, for the nodes that have an edge (a, b).
 
     Each node points to the node with the smallest label it knows of; every round it takes the smallest pointer among
     its neighbours and then the pointer of that node, so a chain of length n takes about log n rounds. Null labels
@@ -26,4 +26,4 @@ def smallest_reachable(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         moved = new.where("best <> was").limit(1).count()
         best = new.select("node", "best")
         if not moved:
-            return best.select("node", F.col("best.label").alias("label"))
+            return best.select("node", F.col("best.label").alias("label"), F.col("best.at").alias("root"))

@@ -121,11 +121,9 @@ def _report(n: int, found: Iterator[tuple[int, int, float]], ids: np.ndarray, co
 def contamination(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, max_coverage, n_items, item_ids, contaminated) of every text; item_ids are those at or over `coverage`."""
     docs = T.narrow(docs, (id_col, "doc_id", "bigint"), (text_col, "text", "string")).withColumn("text", F.lower("text"))
-    bench = T.narrow(benchmark, (item_col, "item_id", "bigint"), (item_text_col, "text", "string")).withColumn("text", F.lower("text")).where("text is not null and item_id is not null")
-    if (bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > SHARED_BYTES:
-        return _by_join(docs, bench, least, coverage)
-    rows = sorted((r.item_id, r.text) for r in bench.collect())
-    shared = docs.sparkSession.sparkContext.broadcast(items_of([r[0] for r in rows], T.as_strings(pa.array([r[1] for r in rows], pa.string())), least))
+    bench, shared = _shared_items(benchmark, least, item_col, item_text_col)
+    if shared is None:
+        return _by_join(docs, bench, least, coverage).drop("row")
 
     def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
@@ -138,6 +136,39 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverag
     return docs.mapInArrow(mapper, _SCHEMA)
 
 
+def _shared_items(benchmark: DataFrame, least: int, item_col: str, text_col: str):
+    """Items with a text, in lower case, and a broadcast of them unless they are too large."""
+    bench = T.narrow(benchmark, (item_col, "item_id", "bigint"), (text_col, "text", "string")).withColumn("text", F.lower("text")).where("text is not null and item_id is not null")
+    if (bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > SHARED_BYTES:
+        return bench, None
+    rows = sorted((r.item_id, r.text) for r in bench.collect())
+    return bench, benchmark.sparkSession.sparkContext.broadcast(items_of([r[0] for r in rows], T.as_strings(pa.array([r[1] for r in rows], pa.string())), least))
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: float = 0.5, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows, all columns, that no item contaminates."""
+    bench, shared = _shared_items(benchmark, least, item_col, item_text_col)
+    lower = docs.withColumn("_lower", F.lower(F.col(f"`{text_col}`").cast("string")))
+    if shared is None:
+        keyed = lower.withColumn("_row", F.xxhash64(F.lit(None).cast("bigint"), F.col("_lower")))
+        found = _by_join(lower.select(F.lit(None).cast("bigint").alias("doc_id"), F.col("_lower").alias("text")).distinct(), bench, least, coverage)
+        return keyed.join(found.where("contaminated").select(F.col("row").alias("_row")), "_row", "left_anti").select(*docs.columns)
+
+    def keeps():
+        items = shared.value
+        seen = items.filter()
+
+        def passes(texts: pa.Array) -> np.ndarray:
+            clean = np.ones(len(texts), bool)
+            for doc, _, share in coverages(texts, items, seen, least):
+                clean[doc] &= share < coverage
+            return clean
+
+        return passes
+
+    return T.rows_kept(lower, "_lower", keeps).select(*docs.columns)
+
+
 def _rows(ids: pa.Array, got: list[tuple[float, list[int]]]) -> pa.RecordBatch:
     hits = [x for _, x in got]
     columns = [ids, pa.array([c for c, _ in got], pa.float64()), pa.array(list(map(len, hits)), pa.int32()), pa.array(hits, pa.list_(pa.int64())), pa.array([bool(x) for x in hits], pa.bool_())]
@@ -176,4 +207,4 @@ def _by_join(docs: DataFrame, bench: DataFrame, least: int, coverage: float) ->
     shares = texts.select("row", "text", "item_id", "item_text").mapInArrow(mapper, "row long, item_id long, share double")
     best = shares.groupBy("row").agg(F.max("share").alias("share"), F.array_sort(F.collect_set(F.when(F.col("share") >= coverage, F.col("item_id")))).alias("hits"))
     hits = F.coalesce("hits", F.array().cast("array<long>"))
-    return key.join(best, "row", "left").select("doc_id", F.coalesce("share", F.lit(0.0)).alias("max_coverage"), F.size(hits).alias("n_items"), hits.alias("item_ids"), (F.size(hits) > 0).alias("contaminated"))
+    return key.join(best, "row", "left").select("row", "doc_id", F.coalesce("share", F.lit(0.0)).alias("max_coverage"), F.size(hits).alias("n_items"), hits.alias("item_ids"), (F.size(hits) > 0).alias("contaminated"))

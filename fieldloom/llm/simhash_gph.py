@@ -58,15 +58,15 @@ def _fingerprints(texts: pa.Array, size: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): a bit is set if it is set in over half the XXH64 values of the text's word shingles."""
+    """(doc_id, row_key, fp): a bit is set if it is set in over half the XXH64 values of the text's word shingles."""
 
     def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = _fingerprints(T.as_strings(b.column(1)), size)
-            yield pa.record_batch([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            fp = _fingerprints(T.as_strings(b.column(2)), size)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(fp.view(np.int64))], names=["doc_id", "row_key", "fp"])
 
     docs = T.narrow(docs, (id_col, "doc_id", "bigint"), (text_col, "text", "string"))
-    return docs.mapInArrow(mapper, "doc_id long, fp long")
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInArrow(mapper, "doc_id long, row_key long, fp long")
 
 
 def bit_groups(fps: np.ndarray, m: int) -> list[int]:
@@ -158,7 +158,8 @@ def links(nodes: DataFrame, groups: list[tuple[int, int]], radius: int) -> DataF
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id, fp): 16 hex digits, and the smallest id reachable over links."""
+    """(doc_id, fingerprint, component_id, row_key, fp, root): 16 hex digits, and the smallest id reachable over links.
+    `root` names the component even where all its ids are null; `row_key` is the hash of a row's id and text."""
     if radius != 2:
         raise ValueError("large buckets are linked for a radius of 2")
     made = fingerprints(docs, size, id_col, text_col).checkpoint()
@@ -166,10 +167,20 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, id_col: str
     n = nodes.count()
     sample = nodes.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("fp").collect()
     fps = np.array([r.fp for r in sample], np.int64).view(np.uint64)
-    labels = nodes.select("fp", "rep")
+    labels = nodes.select("fp", "rep", F.col("fp").alias("root"))
     if n > 1:
         edges = links(nodes, plan(fps, n, radius), radius).checkpoint()
         comp = smallest_reachable(edges, nodes.select(F.col("fp").alias("node"), F.col("rep").alias("label")))
-        labels = nodes.join(comp, nodes.fp == comp.node, "left").select("fp", F.coalesce("label", "rep").alias("rep")).checkpoint()
+        labels = nodes.join(comp, nodes.fp == comp.node, "left").select("fp", F.when(F.col("node").isNull(), F.col("rep")).otherwise(F.col("label")).alias("rep"), F.coalesce("root", "fp").alias("root")).checkpoint()
     out = made.join(labels, "fp")
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("rep").alias("component_id"), "fp")
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("rep").alias("component_id"), "row_key", "fp", "root")
+
+
+def one_of_each(docs: DataFrame, size: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, without near-duplicates of a kept row: of each component the row with the smallest
+    id stays (rows without an id only where none has one; of rows that share the id, the one with the smallest hash)."""
+    groups = near_duplicates(docs, size, radius, id_col, text_col)
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("best"))
+    kept = first.select(F.col("best.row_key").alias("_row_key")).checkpoint()
+    own = docs.withColumn("_row_key", F.xxhash64(F.col(f"`{id_col}`").cast("bigint"), F.col(f"`{text_col}`").cast("string")))
+    return own.join(kept, "_row_key", "left_semi").dropDuplicates(["_row_key"]).drop("_row_key")

@@ -153,3 +153,16 @@ def crc_of(doc_id: Column) -> Column:
 def narrow(docs: DataFrame, *columns: tuple[str, str, str]) -> DataFrame:
     """Only the named columns, as (input, output, type); other columns cannot clash with results."""
     return docs.select(*[F.col(f"`{a}`").cast(kind).alias(b) for a, b, kind in columns])
+
+
+def rows_kept(docs: DataFrame, text_col: str, keeps) -> DataFrame:
+    """The rows, all columns, whose text passes; `keeps` makes, in a task, a function of texts that gives booleans."""
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+    def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = keeps()
+        for b in batches:
+            yield pa.record_batch([b.column(0).filter(pa.array(passes(as_strings(b.column(1)))))], names=["row"])
+
+    made = own.mapInArrow(mapper, own.select("row").schema)
+    return made.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

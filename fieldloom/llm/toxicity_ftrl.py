@@ -133,3 +133,9 @@ def score_toxicity(docs: DataFrame, model: Weights, id_col: str = "doc_id", text
 
     docs = T.narrow(docs, (id_col, "doc_id", "bigint"), (text_col, "text", "string"))
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(mapper, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def without_toxic(docs: DataFrame, model: Weights, text_col: str = "text") -> DataFrame:
+    """The rows, all columns, whose score is below one half."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return T.rows_kept(docs, text_col, lambda: lambda texts: score(texts, shared.value) < 0.5)
