@@ -14,10 +14,60 @@ import pyarrow as pa
 
 from fieldloom.llm import text as T
 
-#: Chunks that a worker remembers; beyond that it starts anew.
-KNOWN = 150_000
 #: Bytes of text handled at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+
+
+class Known:
+    """Chunks that a worker remembers, by fingerprint, length, first and last byte; numbered in the order they came."""
+
+    def __init__(self, bits: int = 21):
+        self.bits, self.most = bits, (1 << bits) * 6 // 10
+        self.clear()
+
+    def clear(self) -> None:
+        self.n = 0
+        self.keys = np.zeros(1 << self.bits, np.uint64)
+        self.marks = np.zeros(1 << self.bits, np.uint32)
+        self.number = np.full(1 << self.bits, -1, np.int32)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, key: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        """The number of each chunk, or -1."""
+        slot, out, left = self._slot(key), np.full(len(key), -1, np.int32), np.arange(len(key))
+        while len(left):
+            at = slot[left]
+            number = self.number[at]
+            hit = (self.keys[at] == key[left]) & (self.marks[at] == mark[left])
+            out[left[hit]] = number[hit]
+            left = left[~hit & (number >= 0)]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, key: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        """Numbers of new, distinct chunks."""
+        new = np.arange(self.n, self.n + len(key), dtype=np.int32)
+        slot, left = self._slot(key), np.arange(len(key))
+        while len(left):
+            at = slot[left]
+            _, one = np.unique(at, return_index=True)
+            put = one[self.number[at[one]] < 0]
+            i = left[put]
+            self.keys[slot[i]], self.marks[slot[i]], self.number[slot[i]] = key[i], mark[i], new[i]
+            left = np.delete(left, put)
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+        self.n += len(key)
+        return new
+
+
+def prints(chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprint and mark of each chunk."""
+    data, off = T.raw(chunks)
+    start, end = off[:-1], off[1:]
+    mark = (end - start).astype(np.uint32) << np.uint32(16) ^ data[start].astype(np.uint32) << np.uint32(8) ^ data[end - 1]
+    return T.spans(data, start, end), mark
 
 
 def white_chunks(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -62,56 +112,52 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.chunks = white_chunks if '"end_of_word_suffix":"</w>"' in self.library.to_str() else space_chunks
+        self.known = Known()
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.off = np.zeros(KNOWN + 1, np.int64)
+        self.known.clear()
+        self.off = np.zeros(self.known.most + 1, np.int64)
         self.flat = np.zeros(1 << 16, np.uint32)
-        self.used = 0
 
-    def _lookup(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Offset and length of each chunk's ids in an array of ids."""
-        if len(self.known) + len(distinct) > KNOWN:
-            self._clear()
-        get = self.known.get
-        found = np.fromiter((get(c, -1) for c in distinct), np.int64, len(distinct))
-        new = np.flatnonzero(found < 0)
-        ids = [e.ids for e in self.library.encode_batch([distinct[i] for i in new], add_special_tokens=False)] if len(new) else []
+    def _ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct chunks one after the other, and how many each has."""
+        ids = [e.ids for e in self.library.encode_batch(chunks.to_pylist(), add_special_tokens=False)]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(lengths.sum())
-        fresh = np.fromiter((x for y in ids for x in y), np.uint32, total)
-        if len(self.known) + len(new) > KNOWN or total > 1 << 22:  # more than a worker remembers: for this batch only
-            flat = np.concatenate([self.flat[: self.used], fresh])
-            ends = self.used + np.append(0, np.cumsum(lengths))
-            start, size = np.empty(len(distinct), np.int64), np.empty(len(distinct), np.int64)
-            old = found >= 0
-            start[old], size[old] = self.off[found[old]], self.off[found[old] + 1] - self.off[found[old]]
-            start[new], size[new] = ends[:-1], lengths
-            return flat, start, size
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + total] = fresh
-        at = len(self.known)
-        self.off[at + 1 : at + 1 + len(new)] = self.used + np.cumsum(lengths)
-        self.known.update(zip((distinct[i] for i in new), range(at, at + len(new)), strict=True))
-        found[new] = np.arange(at, at + len(new))
-        self.used += total
-        return self.flat, self.off[found], self.off[found + 1] - self.off[found]
+        return np.fromiter((x for y in ids for x in y), np.uint32, int(lengths.sum())), lengths
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each text has."""
         chunks, counts = self.chunks(texts)
         if not len(chunks):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        d = chunks.dictionary_encode()
-        which = d.indices.to_numpy(zero_copy_only=False)
-        flat, start, size = self._lookup(d.dictionary.to_pylist())
-        n = size[which]
-        ends = np.cumsum(n)
-        ids = flat[np.arange(ends[-1]) + np.repeat(start[which] - (ends - n), n)]
-        ends = np.append(0, ends)
-        upto = ends[np.append(0, np.cumsum(counts))]
+        key, mark = prints(chunks)
+        which = self.known.find(key, mark)
+        new = np.flatnonzero(which < 0)
+        _, one = np.unique(key[new] ^ T.mixed(mark[new].astype(np.uint64)), return_index=True)
+        if self.known.n + len(one) > self.known.most:  # more than a worker remembers: start anew
+            self._clear()
+            which[:] = -1
+            new = np.arange(len(key))
+            _, one = np.unique(key ^ T.mixed(mark.astype(np.uint64)), return_index=True)
+        if len(new) and len(one) > self.known.most:
+            flat, size = self._ids(chunks)
+            start = np.cumsum(size) - size
+        else:
+            if len(new):
+                first = new[one]
+                fresh, lengths = self._ids(chunks.take(pa.array(first)))
+                used = int(self.off[self.known.n])
+                while used + len(fresh) > len(self.flat):
+                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+                self.flat[used : used + len(fresh)] = fresh
+                self.off[self.known.n + 1 : self.known.n + 1 + len(one)] = used + np.cumsum(lengths)
+                self.known.add(key[first], mark[first])
+                which[new] = self.known.find(key[new], mark[new])
+            flat, start, size = self.flat, self.off[which], self.off[which + 1] - self.off[which]
+        ends = np.cumsum(size)
+        ids = flat[np.arange(ends[-1]) + np.repeat(start - (ends - size), size)]
+        upto = np.append(0, ends)[np.append(0, np.cumsum(counts))]
         return ids, np.diff(upto)
 
 

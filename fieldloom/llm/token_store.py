@@ -28,7 +28,7 @@ from fieldloom.llm.token_ids import SLICE_BYTES, encoder
 
 #: Text of a range of ids that one task writes, ids of a shard, and keys of an index bucket.
 RANGE_BYTES = 16 << 20
-SHARD_IDS = 2 << 20
+SHARD_IDS = 1 << 20
 BUCKET_KEYS = 4096
 
 _PAYLOAD = "part int, shard int, start_in_part long, width int, n_docs int, n_ids long, doc_ids binary, null_ids int, ends binary, payload binary"
