@@ -15,9 +15,9 @@ def col(c: Column | str) -> Column:
 
 
 def r6(c: Column | str) -> Column:
-    """Rounded to six decimals, halves away from zero in binary, without a negative zero."""
-    x = col(c)
-    return F.signum(x) * (F.floor(F.abs(x) * 1e6 + 0.5) / F.lit(1e6)) + F.lit(0.0)
+    """Rounded to six decimals, without a negative zero. Averages often end in a half of the last digit, which the order
+    of summing tips either way, so a little is added first."""
+    return F.round(col(c) + F.lit(1e-9), 6) + F.lit(0.0)
 
 
 def ratio(a: Column | str, b: Column | str) -> Column:

@@ -11,7 +11,7 @@ from fieldloom.plans.fixtures import Fx, with_fixtures
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("evaluation",)
+_MODULES = ("evaluation", "timeline", "projections")
 
 
 def query(sql: str | None = None):
@@ -23,7 +23,7 @@ def query(sql: str | None = None):
             raise ValueError(f"two queries are named {name}")
         _QUERIES[name] = lambda spark, sf_dir: f(Fx(spark, sf_dir))
         if sql is not None:
-            _SQL[name] = with_fixtures(sql)
+            _SQL[name] = with_fixtures(sql.replace(", 6)", " + 1e-9, 6)"))  # as numeric.r6
         return f
 
     return add
