@@ -82,7 +82,7 @@ def merge_variables(fx: Fx) -> DataFrame:
     return W.merge_on(per("event_type = 'click'", "clicks"), per("event_type = 'error' and user_id < 9", "errors"), ["date"])
 
 
-WW = "WITH d AS (SELECT *, CAST(floor(day / 5.0) AS BIGINT) AS k FROM fx_daily), p AS (SELECT field, k, count(*) AS n_days, CASE WHEN count(*) = 5 THEN avg(temp_mean) END AS temp_mean_mean, CASE WHEN count(*) = 5 THEN coalesce(sum(prec), 0) END AS prec_sum, CASE WHEN count(*) = 5 THEN arg_max(temp_max, day) END AS temp_max_last FROM d GROUP BY field, k), g AS (SELECT field, CAST(k AS BIGINT) AS k FROM (SELECT DISTINCT field FROM fx_daily), (SELECT unnest(range(0, 6)) AS k))"
+WW = "WITH d AS (SELECT *, CAST(floor(day / 5.0) AS BIGINT) AS k FROM fx_daily), p AS (SELECT field, k, count(*) AS n_days, CASE WHEN count(*) = 5 THEN avg(temp_mean) END AS temp_mean_mean, CASE WHEN count(*) = 5 THEN coalesce(sum(prec), 0) END AS prec_sum, CASE WHEN count(*) = 5 THEN arg_max(temp_max, day) END AS temp_max_last FROM d GROUP BY field, k), g AS (SELECT field, CAST(k AS BIGINT) AS k FROM (SELECT DISTINCT field FROM fx_daily), (SELECT unnest(range(0, 5 + 1)) AS k))"
 
 
 @query(WW + " SELECT g.field, g.k, coalesce(n_days, 0) AS n_days, round(temp_mean_mean, 6) AS temp_mean_mean, round(prec_sum, 6) AS prec_sum, round(temp_max_last, 6) AS temp_max_last FROM g LEFT JOIN p ON g.field = p.field AND g.k = p.k")
