@@ -44,7 +44,7 @@ ADAPTERS: dict[str, str | tuple[str, str]] = {
     "fx_codes": "SELECT code, label FROM (SELECT 'A' AS code, 'accepted' AS label UNION ALL SELECT 'N' AS code, 'none' AS label)",
     "fx_docs": """SELECT d.doc_id, d.source, d.lang, d.n_chars, CAST(l.quality AS BIGINT) AS quality FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id""",
     "fx_footprint": """SELECT o_custkey AS field, CAST(o_custkey % 40 AS BIGINT) AS x, CAST(o_orderkey % 40 AS BIGINT) AS y FROM {orders} GROUP BY o_custkey, o_orderkey % 40""",
-    "fx_outline": """SELECT c_custkey AS farm, CAST((c_custkey * 7919) % 2000000 AS DOUBLE) AS x, CAST((c_custkey * 104729) % 2000000 AS DOUBLE) AS y FROM {customer}""",
+    "fx_outline": """SELECT c_custkey AS farm, CAST((c_custkey * 7919) % 300000 AS DOUBLE) AS x, CAST((c_custkey * 104729) % 300000 AS DOUBLE) AS y FROM {customer}""",
 }
 
 
@@ -93,6 +93,7 @@ def with_fixtures(sql: str) -> str:
         return sql
     parts = [f"{n} AS ({re.sub(r'[{}]', '', _text(n, False))})" for n in need]
     sql = sql.strip()
+    again = "RECURSIVE " if "label FROM w JOIN" in sql else ""
     if sql[:5].upper() == "WITH ":
-        return "WITH " + ", ".join(parts) + ", " + sql[5:]
+        return f"WITH {again}" + ", ".join(parts) + ", " + sql[5:]
     return "WITH " + ", ".join(parts) + " " + sql

@@ -53,7 +53,7 @@ def augment_day_jitter(fx: Fx) -> DataFrame:
 
 CROP = f"""o AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY prow, pcol) - 1 AS i, count(*) OVER (PARTITION BY field) AS cnt FROM fx_pixels), pk AS (SELECT field, draw, CAST(floor({UNIT.format(keys=chr(39) + '5' + chr(39) + ', field, CAST(draw AS STRING)')} * cnt) AS BIGINT) AS i, CAST(floor({UNIT.format(keys=chr(39) + '6' + chr(39) + ', field, CAST(draw AS STRING)')} * 8) AS BIGINT) AS t FROM (SELECT DISTINCT field, cnt FROM o), (SELECT unnest(range(0, 2)) AS draw)),
     x AS (SELECT p.field, draw, t, p.prow - o.prow AS r, p.pcol - o.pcol AS c FROM pk JOIN o ON pk.field = o.field AND pk.i = o.i JOIN fx_pixels p ON p.field = pk.field WHERE abs(p.prow - o.prow) <= 2 AND abs(p.pcol - o.pcol) <= 2),
-    y AS (SELECT field, draw, CASE WHEN t IN (0, 4) THEN r WHEN t IN (1, 5) THEN c WHEN t IN (2, 6) THEN -r ELSE -c END AS r, CASE t WHEN 0 THEN c WHEN 1 THEN -r WHEN 2 THEN -c WHEN 3 THEN r WHEN 4 THEN -c WHEN 5 THEN r WHEN 6 THEN c ELSE -r END AS c FROM x)"""
+    y AS (SELECT field, draw, CASE WHEN t IN (0, 4) THEN r WHEN t IN (1, 5) THEN c WHEN t IN (6, 2) THEN -r ELSE -c END AS r, CASE t WHEN 0 THEN c WHEN 1 THEN -r WHEN 2 THEN -c WHEN 3 THEN r WHEN 4 THEN -c WHEN 5 THEN r WHEN 6 THEN c ELSE -r END AS c FROM x)"""
 
 
 @query(f"WITH {CROP} SELECT field, CAST(draw AS INTEGER) AS draw, count(*) AS n, CAST(sum(r * 7 + c) AS BIGINT) AS mark FROM y GROUP BY field, draw")
