@@ -1 +1 @@
-
+"""Reading and writing of observation tables."""
