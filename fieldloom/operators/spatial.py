@@ -11,6 +11,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from fieldloom.session import checkpoint_dir
+
 
 def local_image(pixels: DataFrame, field: str) -> DataFrame:
     """Adds positions inside the field's bounding box and its height and width."""
@@ -193,6 +195,7 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     Every round a node takes the smallest label around it, then its label's label; rounds end when nothing changes, and
     each is checkpointed in the shared folder.
     """
+    checkpoint_dir(edges.sparkSession)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     label = both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")).checkpoint()
     while True:

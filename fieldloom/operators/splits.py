@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from fieldloom.functions.numeric import hash_unit, ratio
 from fieldloom.operators.metrics import scores
+from fieldloom.session import checkpoint_dir
 
 
 def standardised(fields: DataFrame, value: str, group: list[str]) -> DataFrame:
@@ -98,6 +99,7 @@ def assignments(regions: DataFrame, region: str, size: str, trials: int, share:
 
 def leave_regions_out(fields: DataFrame, region: str, crop: str, mix: list[str], trials: int, seed: int = 42) -> DataFrame:
     """Score of each random assignment of regions (test and val together)."""
+    checkpoint_dir(fields.sparkSession)
     z = standardised(fields, "yield_mean", [crop])
     roles = assignments(fields.groupBy(region).agg(F.count("*").alias("n")), region, "n", trials, seed=seed).checkpoint()
     held = roles.where("role > 0").join(fields.select("field", region), region).select("field", F.concat_ws("/", "trial", "role").alias("candidate"))

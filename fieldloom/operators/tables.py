@@ -6,12 +6,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from fieldloom.session import checkpoint_dir
+
 
 def integer_codes(df: DataFrame, key: str, code: str = "code") -> DataFrame:
     """(key, code): consecutive numbers of the distinct keys in key order.
 
     Distinct keys are ranged into partitions; each numbers its own and adds how many lie before, so no task sees all.
     """
+    checkpoint_dir(df.sparkSession)
     keys = df.select(key).where(F.col(key).isNotNull()).distinct().repartitionByRange(key).sortWithinPartitions(key)
     keys = keys.withColumn("_p", F.spark_partition_id()).checkpoint()
     sizes = keys.groupBy("_p").agg(F.count("*").alias("_n"))
