@@ -31,7 +31,7 @@ from fieldloom.llm import text as T
 
 #: The most pages that weights are fitted on, and how many layouts each of them is set into.
 TRAIN_PAGES = 150
-LAYOUTS = 4
+LAYOUTS = 5
 _BITS = 14
 _MASK = (1 << _BITS) - 1
 #: Deeper nesting is cut: the features look at the nearest ancestors and the set of all.
@@ -192,7 +192,7 @@ class Chain:
     first: np.ndarray
 
 
-def fit(pages: list[list[Block]], rounds: int = 100, rate: float = 0.3, l2: float = 2e-4) -> Chain:
+def fit(pages: list[list[Block]], rounds: int = 150, rate: float = 0.4, l2: float = 1e-5) -> Chain:
     """Conditional likelihood by AdaGrad; forward and backward sums of all pages at once, a step of the chain at a time."""
     pages = [p for p in pages if p]
     model = Chain(np.zeros(1 << _BITS), np.zeros((2, 2)), np.zeros(2))
@@ -319,7 +319,8 @@ def _layout(rng: np.random.Generator, paragraphs: list[str], pool: list[str]) ->
             run = []
     rest = "".join(run)
     main = "".join(parts) + rest.replace("<p>", "<p data-gold>").replace("<h1>", "<h1 data-gold>").replace("<h2>", "<h2 data-gold>").replace("<li>", "<li data-gold>").replace("<div>", "<div data-gold>")
-    talk = _inside(pick(_TALK), f"<h3>{esc(words(1, 3))}</h3>" + "".join(f'<{t} class="comment"><p>{esc(pick(pool)[: int(rng.integers(20, 300))])}</p></{t}>' for t in [pick(["div", "li"])] * int(rng.integers(1, 6)))) if rng.random() < 0.5 else ""
+    said = pick(['<div class="comment"><p>', '<li class="comment"><p>', "<p>", '<p class="comment-text">', "<div>", "<li>"])
+    talk = _inside(pick(_TALK), (f"<h3>{esc(words(1, 3))}</h3>" if rng.random() < 0.5 else "") + "".join(_inside(said, esc(pick(pool)[: int(rng.integers(20, 300))])) for _ in range(int(rng.integers(1, 6))))) if rng.random() < 0.6 else ""
     form = f'<form class="search" action="/s"><p>{esc(words(1, 6))}</p><input type="text"></form>' if rng.random() < 0.4 else ""
     inner_talk = talk if rng.random() < 0.4 else ""
     content = _inside(opening, main + inner_talk)

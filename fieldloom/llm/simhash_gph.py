@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from fieldloom.llm import text as T
 from fieldloom.llm.components import smallest_reachable
 from fieldloom.llm.xxh64 import xxh64
+from fieldloom.session import checkpoint_dir
 
 #: Fingerprints of a bucket that are compared pair by pair.
 BUCKET = 32
@@ -162,6 +163,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, id_col: str
     `root` names the component even where all its ids are null; `row_key` is the hash of a row's id and text."""
     if radius != 2:
         raise ValueError("large buckets are linked for a radius of 2")
+    checkpoint_dir(docs.sparkSession)
     made = fingerprints(docs, size, id_col, text_col).checkpoint()
     nodes = made.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).checkpoint()
     n = nodes.count()

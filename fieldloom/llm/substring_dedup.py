@@ -87,15 +87,16 @@ def suffix_groups(width: int, bits: int, blocks: int):
 
     def run(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         path, doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
+        if not len(path):
+            return
         order, _, later = _earliest(path, doc, at)
         known = order[later]
         sent = order[~later]
         path, d, a = path[sent], doc[sent], at[sent]
-        if len(path):  # of equal rows, one
-            once = np.append(True, path[1:] != path[:-1])
-            path, d, a = path[once], d[once], a[once]
+        once = np.append(True, path[1:] != path[:-1])  # of equal rows, one
+        path, d, a = path[once], d[once], a[once]
         group = (path >> np.uint64(64 - bits)).astype(np.int64)
-        cut = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, int)
+        cut = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
         rows = [(int(group[i]), 0, _packed(path[i:j], d[i:j], a[i:j])) for i, j in zip(cut, np.append(cut[1:], len(group)), strict=True)]
         rows += [(b, 1, x) for b, x in by_block(doc[known], at[known], blocks)]
         for i in range(0, len(rows), 500):

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from fieldloom.llm import text as T
 from fieldloom.llm.token_ids import SLICE_BYTES, encoder
+from fieldloom.session import checkpoint_dir
 
 #: Text of a range of ids that one task writes, ids of a shard, and keys of an index bucket.
 RANGE_BYTES = 16 << 20
@@ -36,10 +37,7 @@ _PAYLOAD = "part int, shard int, start_in_part long, width int, n_docs int, n_id
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder in the place that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        raise ValueError("set spark.checkpoint.dir, or give a path")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _shards(vocabulary: str, end_id: int):
