@@ -24,6 +24,13 @@ def ratio(a: Column | str, b: Column | str) -> Column:
     return F.try_divide(col(a).cast("double"), col(b).cast("double"))
 
 
+def clamp(x: Column, lo: float | None = None, hi: float | None = None) -> Column:
+    """x held in [lo, hi]; NULL stays NULL (greatest and least alone would skip it)."""
+    out = x if lo is None else F.greatest(F.lit(float(lo)), x)
+    out = out if hi is None else F.least(F.lit(float(hi)), out)
+    return F.when(x.isNotNull(), out)
+
+
 def corr(x: Column | str, y: Column | str, floor: float = 1e-12) -> Column:
     """Pearson correlation as an aggregate; NULL where a side is constant (up to `floor` of deviation)."""
     x, y = col(x), col(y)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fieldloom.functions.numeric import col, ratio
+from fieldloom.functions.numeric import clamp, col, ratio
 
 
 def decode(df: DataFrame, codes: DataFrame, code: str, label: str, out: str) -> DataFrame:
@@ -27,13 +28,13 @@ def reflectance(dn: Column | str, missing: int = 65535, scale: float = 10000.0)
 
 def saturate(dn: Column | str, top: int = 65534) -> Column:
     """Digital numbers that would collide with the missing mark are held just below it."""
-    return F.least(col(dn), F.lit(top))
+    return F.when(col(dn).isNotNull(), F.least(col(dn), F.lit(top)))
 
 
 def normalized_difference(a: Column | str, b: Column | str) -> Column:
     """(a - b) / (a + b) in [-1, 1]; NULL if the sum is zero."""
     a, b = col(a), col(b)
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio(a - b, a + b)))
+    return clamp(ratio(a - b, a + b), -1, 1)
 
 
 def observed(band: Column | str) -> Column:
@@ -44,8 +45,8 @@ def cos_sun_zenith(lat: Column | str, doy: Column | str, hour: float = 10.5) ->
     """Cosine of the sun's zenith angle at a solar hour, not below zero."""
     lat = F.radians(col(lat))
     decl = F.radians(F.lit(-23.44) * F.cos(F.radians(F.lit(360.0 / 365.0) * (col(doy) + 10))))
-    angle = F.lit(__import__("math").radians(15.0 * (hour - 12.0)))
-    return F.greatest(F.lit(0.0), F.sin(lat) * F.sin(decl) + F.cos(lat) * F.cos(decl) * F.cos(angle))
+    angle = F.lit(math.radians(15.0 * (hour - 12.0)))
+    return clamp(F.sin(lat) * F.sin(decl) + F.cos(lat) * F.cos(decl) * F.cos(angle), 0)
 
 
 def leaf_area(inputs: list[Column], low: list[float], high: list[float], hidden: list[list[float]], bias: list[float], out: list[float], out_bias: float, top: float) -> Column:
@@ -53,7 +54,7 @@ def leaf_area(inputs: list[Column], low: list[float], high: list[float], hidden:
     x = [2 * (c - lo) / (hi - lo) - 1 for c, lo, hi in zip(inputs, low, high, strict=True)]
     h = [F.tanh(sum((F.lit(w) * c for w, c in zip(row, x, strict=True)), F.lit(b))) for row, b in zip(hidden, bias, strict=True)]
     y = sum((F.lit(w) * c for w, c in zip(out, h, strict=True)), F.lit(out_bias))
-    return F.greatest(F.lit(0.0), F.least(F.lit(top), (y + 1) / 2 * top))
+    return clamp((y + 1) / 2 * top, 0, top)
 
 
 def celsius(kelvin: Column | str) -> Column:
@@ -74,9 +75,9 @@ def vapour_pressure(t: Column | str) -> Column:
     return F.lit(0.6108) * F.exp(F.lit(17.27) * t / (t + 237.3))
 
 
-def vapour_deficit(t: Column | str, dew: Column | str, clamp: bool) -> Column:
+def vapour_deficit(t: Column | str, dew: Column | str, at_least_zero: bool) -> Column:
     vpd = vapour_pressure(t) - vapour_pressure(dew)
-    return F.greatest(F.lit(0.0), vpd) if clamp else vpd
+    return clamp(vpd, 0) if at_least_zero else vpd
 
 
 def growing_degrees(mean: Column | str, crop: Column | str, base: dict[str, float]) -> Column:
@@ -84,7 +85,7 @@ def growing_degrees(mean: Column | str, crop: Column | str, base: dict[str, floa
     b = F.lit(0.0)
     for name, value in base.items():
         b = F.when(col(crop) == name, F.lit(value)).otherwise(b)
-    return F.greatest(F.lit(0.0), col(mean) - b)
+    return clamp(col(mean) - b, 0)
 
 
 def frost(low: Column | str) -> Column:
@@ -205,7 +206,8 @@ def name_group(name: Column | str, rules: dict[str, str]) -> Column:
 def season_overlap(start: Column | str, width: int, sow: Column | str, harvest: Column | str) -> Column:
     """Share of a window's days inside [sow, harvest]."""
     lo, hi = col(start), col(start) + (width - 1)
-    return F.greatest(F.lit(0), F.least(hi, col(harvest)) - F.greatest(lo, col(sow)) + 1) / F.lit(float(width))
+    days = F.greatest(F.lit(0), F.least(hi, col(harvest)) - F.greatest(lo, col(sow)) + 1)
+    return F.when(lo.isNotNull() & col(sow).isNotNull() & col(harvest).isNotNull(), days / F.lit(float(width)))
 
 
 def in_season(start: Column | str, end: Column | str, sow: Column | str, harvest: Column | str, grid: tuple[int, int]) -> Column:

@@ -26,7 +26,7 @@ def unknown_codes(fx: Fx) -> DataFrame:
 DN = "CAST(CASE WHEN l_partkey % 11 = 0 THEN 65535 ELSE l_partkey * 7 % 9000 END AS BIGINT)"
 
 
-@query(f"WITH d AS (SELECT l_orderkey % 50 AS g, CASE WHEN {DN} <> 65535 THEN {DN} / 10000.0 END AS a, CASE WHEN l_suppkey % 9 = 0 THEN 0.0 ELSE l_suppkey * 31 % 5000 / 10000.0 END AS b FROM lineitem) SELECT g, count(*) AS n, count(a) AS observed, round(avg(a), 6) AS refl, round(avg(greatest(-1.0, least(1.0, (a - b) / nullif(a + b, 0)))), 6) AS nd FROM d GROUP BY g")
+@query(f"WITH d AS (SELECT l_orderkey % 50 AS g, CASE WHEN {DN} <> 65535 THEN {DN} / 10000.0 END AS a, CASE WHEN l_suppkey % 9 = 0 THEN 0.0 ELSE l_suppkey * 31 % 5000 / 10000.0 END AS b FROM lineitem) SELECT g, count(*) AS n, count(a) AS observed, round(avg(a), 6) AS refl, round(avg(CASE WHEN a + b <> 0 THEN greatest(-1.0, least(1.0, (a - b) / (a + b))) END), 6) AS nd FROM d GROUP BY g")
 def spectral_indices(fx: Fx) -> DataFrame:
     dn = F.when(F.col("l_partkey") % 11 == 0, 65535).otherwise(P.saturate(F.col("l_partkey") * 7 % 9000))
     d = fx.lineitem.select((F.col("l_orderkey") % 50).alias("g"), P.reflectance(dn).alias("a"), F.when(F.col("l_suppkey") % 9 == 0, 0.0).otherwise(F.col("l_suppkey") * 31 % 5000 / 10000.0).alias("b"))
