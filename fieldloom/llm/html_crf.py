@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 from fieldloom.llm import text as T
 
 #: The most pages that weights are fitted on, and how many layouts each of them is set into.
-TRAIN_PAGES = 150
+TRAIN_PAGES = 100
 LAYOUTS = 5
 _BITS = 14
 _MASK = (1 << _BITS) - 1
@@ -192,7 +192,7 @@ class Chain:
     first: np.ndarray
 
 
-def fit(pages: list[list[Block]], rounds: int = 150, rate: float = 0.4, l2: float = 1e-5) -> Chain:
+def fit(pages: list[list[Block]], rounds: int = 100, rate: float = 0.5, l2: float = 1e-5) -> Chain:
     """Conditional likelihood by AdaGrad; forward and backward sums of all pages at once, a step of the chain at a time."""
     pages = [p for p in pages if p]
     model = Chain(np.zeros(1 << _BITS), np.zeros((2, 2)), np.zeros(2))

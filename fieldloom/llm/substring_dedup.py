@@ -177,7 +177,7 @@ def keep_words(width: int, with_text: bool):
         order = np.argsort(doc, kind="stable")
         doc, at = doc[order], at[order]
         texts, ids = T.as_strings(docs.column("text")), _ids(docs.column("doc_id").combine_chunks())
-        n_words, n_removed, sha, kept = [], [], [], []
+        n_words, n_removed, sha, kept, spans = [], [], [], [], []
         for i, j in T.slices(texts):
             w = T.words(texts.slice(i, j - i))
             marks = np.zeros(len(w.start) + 1, np.int32)
@@ -194,6 +194,8 @@ def keep_words(width: int, with_text: bool):
                 a, b = int(w.first[k]), int(w.first[k + 1])
                 n_words.append(b - a)
                 n_removed.append(int(lost[b] - lost[a]))
+                edge = np.diff(np.concatenate([[0], gone[a:b].view(np.int8), [0]])) if n_removed[-1] else np.zeros(1, np.int8)
+                spans.append([{"start": int(s), "end": int(e)} for s, e in zip(np.flatnonzero(edge > 0), np.flatnonzero(edge < 0), strict=True)] if with_text else None)
                 if b == a:
                     kept.append(b"")
                 elif not n_removed[-1]:
@@ -206,14 +208,15 @@ def keep_words(width: int, with_text: bool):
                     kept.append(b" ".join(w.buf[w.start[stay[x]] : w.end[stay[y]]].tobytes() for x, y in zip(runs, last, strict=True)))
                 sha.append(hashlib.sha256(kept[-1]).hexdigest())
                 kept[-1] = kept[-1] if with_text else None
-        return pa.table({"doc_id": docs.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(sha, pa.string()), "kept_text": pa.array(kept, pa.binary()).cast(pa.string())})
+        return pa.table({"doc_id": docs.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(sha, pa.string()), "kept_text": pa.array(kept, pa.binary()).cast(pa.string()), "removed": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))})
 
     return cut
 
 
 def remove_repeated_passages(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256[, kept_text]): each text without the words of `width`-word windows
-    that start earlier in the corpus (smaller id, or the same text further left)."""
+    """(doc_id, n_words, n_removed, kept_sha256[, kept_text, removed]): each text without the words of `width`-word
+    windows that start earlier in the corpus (smaller id, or the same text further left); `removed` has the maximal
+    runs of removed words as [start, end) in words."""
     docs = T.narrow(docs, (id_col, "doc_id", "bigint"), (text_col, "text", "string"))
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -222,5 +225,5 @@ def remove_repeated_passages(docs: DataFrame, width: int = 20, id_col: str = "do
     known = found.groupBy("kind", "grp").applyInArrow(repeats(blocks), "grp long, payload binary")
     placed = docs.withColumn("grp", _block_column(blocks))
     cut = placed.groupBy("grp").cogroup(known.groupBy("grp"))
-    out = cut.applyInArrow(keep_words(width, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    return out if with_text else out.drop("kept_text")
+    out = cut.applyInArrow(keep_words(width, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, removed array<struct<start: long, end: long>>")
+    return out if with_text else out.drop("kept_text", "removed")

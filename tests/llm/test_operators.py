@@ -116,7 +116,8 @@ def _removed(rows, width=20):
             if seen[tuple(w[s : s + width])] < (doc, s):
                 gone[s : s + width] = [True] * width
         kept = " ".join(x for x, g in zip(w, gone) if not g)
-        out.append((doc, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest(), kept))
+        runs = [(k, next((j for j in range(k, len(w)) if not gone[j]), len(w))) for k in range(len(w)) if gone[k] and not (k and gone[k - 1])]
+        out.append((doc, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest(), kept, runs))
     return sorted(out)
 
 
@@ -124,7 +125,7 @@ def test_repeats_against_brute_force(spark, sf, monkeypatch):
     monkeypatch.setattr(substring_dedup, "RUN", 5000)
     docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(5)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    got = sorted(tuple(r) for r in substring_dedup.remove_repeated_passages(docs).collect())
+    got = sorted((*tuple(r)[:5], [tuple(x) for x in r.removed]) for r in substring_dedup.remove_repeated_passages(docs).collect())
     assert got == _removed(rows)
 
 
@@ -132,7 +133,7 @@ def test_repeats_against_brute_force(spark, sf, monkeypatch):
 @given(st.lists(st.text(alphabet="ab ", max_size=60), min_size=1, max_size=6))
 def test_repeats_of_few_words(spark, texts):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = sorted(tuple(r) for r in substring_dedup.remove_repeated_passages(docs, width=3).collect())
+    got = sorted((*tuple(r)[:5], [tuple(x) for x in r.removed]) for r in substring_dedup.remove_repeated_passages(docs, width=3).collect())
     assert got == _removed(list(enumerate(texts)), 3)
 
 
