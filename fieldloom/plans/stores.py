@@ -36,7 +36,7 @@ def field_index(fx: Fx) -> DataFrame:
     return S.field_index(fx.pixels.withColumn("pixel", F.col("prow") * 10 + F.col("pcol")), "field", "pixel")
 
 
-@query("SELECT country, count(*) AS n, min(mark) AS mark FROM (SELECT country, 'old' AS mark FROM fx_fields WHERE country NOT IN ('ASIA', 'EUROPE') UNION ALL SELECT country, 'new' FROM fx_fields WHERE country IN ('ASIA', 'EUROPE') AND farm % 2 = 0) GROUP BY country")
+@query("SELECT country, count(*) AS n, min(mark) AS mark FROM (SELECT country, 'old' AS mark FROM fx_fields WHERE country NOT IN (SELECT country FROM fx_fields WHERE country IN ('ASIA', 'EUROPE') AND farm % 2 = 0) UNION ALL SELECT country, 'new' FROM fx_fields WHERE country IN ('ASIA', 'EUROPE') AND farm % 2 = 0) GROUP BY country")
 def partial_rebuild(fx: Fx) -> DataFrame:
     f = fx.fields.select("country", "farm", F.lit("old").alias("mark"))
     new = f.where("country in ('ASIA', 'EUROPE') and farm % 2 = 0").withColumn("mark", F.lit("new"))
