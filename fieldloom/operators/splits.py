@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from fieldloom.functions.numeric import hash_unit, ratio
 from fieldloom.operators.metrics import scores
+from fieldloom.operators.tables import numbered
 from fieldloom.session import checkpoint_dir
 
 
@@ -37,8 +38,7 @@ def split_scores(candidates: DataFrame, all_fields: DataFrame, mixes: list[list[
         tv = both.groupBy("candidate").agg((F.sum(F.abs(F.coalesce("_c", F.lit(0)) / F.col("k") - F.col("_q"))) / 2).alias(f"tv{i}"))
         out = out.join(tv, "candidate").withColumn("score", F.col("score") + F.col(f"tv{i}")).drop(f"tv{i}")
     # At a set's own rows and just before them the distance is largest: only these need to be looked at.
-    order = Window.orderBy("z", "field")
-    ranked = all_fields.select("field", F.row_number().over(order).alias("rn"))
+    ranked = numbered(all_fields.select("z", "field"), ["z", "field"], "_at").select("field", (F.col("_at") + 1).alias("rn"))
     own = candidates.join(ranked, "field").join(size, "candidate")
     c = F.row_number().over(Window.partitionBy("candidate").orderBy("rn"))
     own = own.withColumn("c", c)

@@ -9,18 +9,22 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from fieldloom.session import checkpoint_dir
 
 
-def integer_codes(df: DataFrame, key: str, code: str = "code") -> DataFrame:
-    """(key, code): consecutive numbers of the distinct keys in key order.
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds consecutive numbers from 0 by a full order of the rows.
 
-    Distinct keys are ranged into partitions; each numbers its own and adds how many lie before, so no task sees all.
+    Rows are ranged into partitions; each numbers its own and adds how many lie before, so no task sees all rows.
     """
     checkpoint_dir(df.sparkSession)
-    keys = df.select(key).where(F.col(key).isNotNull()).distinct().repartitionByRange(key).sortWithinPartitions(key)
-    keys = keys.withColumn("_p", F.spark_partition_id()).checkpoint()
-    sizes = keys.groupBy("_p").agg(F.count("*").alias("_n"))
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).checkpoint()
+    sizes = parts.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_b"))
-    w = Window.partitionBy("_p").orderBy(key)
-    return keys.withColumn("_r", F.row_number().over(w)).join(F.broadcast(before), "_p").select(key, (F.col("_b") + F.col("_r") - 1).alias(code))
+    own = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return parts.withColumn("_r", own).join(F.broadcast(before), "_p").withColumn(name, F.col("_b") + F.col("_r") - 1).drop("_p", "_r", "_b")
+
+
+def integer_codes(df: DataFrame, key: str, code: str = "code") -> DataFrame:
+    """(key, code): consecutive numbers of the distinct keys in key order."""
+    return numbered(df.select(key).where(F.col(key).isNotNull()).distinct(), [key], code)
 
 
 def replaced(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
