@@ -1 +1 @@
-
+"""Batch operators that also hold for a stream of readings."""
