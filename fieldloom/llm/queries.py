@@ -82,5 +82,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_html_text, op2_substring_dedup, op3_quality, op4_personal_data, op5_toxicity, op6_decontamination, op7_token_counts, op8_simhash, op9_packing, op10_token_store)} | {"pipeline": pipeline}
 
 
+#: Words, windows by their text, all but the first of equal windows, the words they cover, and what is left.
+_OP2 = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, i, array_to_string(ws[i : i + 19], ' ') AS key FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20)),
+f AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY key ORDER BY doc_id, i) AS r FROM s) WHERE r > 1),
+c AS (SELECT DISTINCT doc_id, i + k AS j FROM (SELECT doc_id, i, unnest(range(0, 20)) AS k FROM f)),
+u AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM w),
+kept AS (SELECT u.doc_id, count(c.j) AS n_removed, string_agg(CASE WHEN c.j IS NULL THEN word END, ' ' ORDER BY u.j) AS rest FROM u LEFT JOIN c ON u.doc_id = c.doc_id AND u.j = c.j GROUP BY u.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256 FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_substring_dedup": _OP2}
