@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from fieldloom.llm import text as T
@@ -49,7 +50,7 @@ class Items:
 
 
 def items_of(ids: list[int], texts: pa.Array, least: int) -> Items:
-    w = T.words(texts, T.PLAIN)
+    w = T.words(pc.utf8_lower(texts), T.PLAIN)
     at, prints = T.windows(w, least)
     doc = w.doc()[at]
     order = np.argsort(prints, kind="stable")
@@ -88,7 +89,7 @@ def tile(here: np.ndarray, there: np.ndarray, least: int) -> list[tuple[int, int
 def coverages(texts: pa.Array, items: Items, seen: np.ndarray, least: int) -> Iterator[tuple[int, int, float]]:
     """(text, item, share of the item's tokens under tiles) for all pairs that share a seed."""
     for i, j in T.slices(texts):
-        w = T.words(texts.slice(i, j - i), T.PLAIN)
+        w = T.words(pc.utf8_lower(texts.slice(i, j - i)), T.PLAIN)
         at, prints = T.windows(w, least)
         maybe = np.flatnonzero(seen[(prints >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
         lo, hi = np.searchsorted(items.print_, prints[maybe]), np.searchsorted(items.print_, prints[maybe], "right")
@@ -120,7 +121,7 @@ def _report(n: int, found: Iterator[tuple[int, int, float]], ids: np.ndarray, co
 
 def contamination(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, max_coverage, n_items, item_ids, contaminated) of every text; item_ids are those at or over `coverage`."""
-    docs = T.narrow(docs, (id_col, "doc_id", "bigint"), (text_col, "text", "string")).withColumn("text", F.lower("text"))
+    docs = T.narrow(docs, (id_col, "doc_id", "bigint"), (text_col, "text", "string"))
     bench, shared = _shared_items(benchmark, least, item_col, item_text_col)
     if shared is None:
         return _by_join(docs, bench, least, coverage).drop("row")
@@ -137,8 +138,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverag
 
 
 def _shared_items(benchmark: DataFrame, least: int, item_col: str, text_col: str):
-    """Items with a text, in lower case, and a broadcast of them unless they are too large."""
-    bench = T.narrow(benchmark, (item_col, "item_id", "bigint"), (text_col, "text", "string")).withColumn("text", F.lower("text")).where("text is not null and item_id is not null")
+    """Items with a text, and a broadcast of them unless they are too large."""
+    bench = T.narrow(benchmark, (item_col, "item_id", "bigint"), (text_col, "text", "string")).where("text is not null and item_id is not null")
     if (bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > SHARED_BYTES:
         return bench, None
     rows = sorted((r.item_id, r.text) for r in bench.collect())
@@ -148,10 +149,10 @@ def _shared_items(benchmark: DataFrame, least: int, item_col: str, text_col: str
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: float = 0.5, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows, all columns, that no item contaminates."""
     bench, shared = _shared_items(benchmark, least, item_col, item_text_col)
-    lower = docs.withColumn("_lower", F.lower(F.col(f"`{text_col}`").cast("string")))
     if shared is None:
-        keyed = lower.withColumn("_row", F.xxhash64(F.lit(None).cast("bigint"), F.col("_lower")))
-        found = _by_join(lower.select(F.lit(None).cast("bigint").alias("doc_id"), F.col("_lower").alias("text")).distinct(), bench, least, coverage)
+        text = F.col(f"`{text_col}`").cast("string")
+        keyed = docs.withColumn("_row", F.xxhash64(F.lit(None).cast("bigint"), text))
+        found = _by_join(docs.select(F.lit(None).cast("bigint").alias("doc_id"), text.alias("text")).distinct(), bench, least, coverage)
         return keyed.join(found.where("contaminated").select(F.col("row").alias("_row")), "_row", "left_anti").select(*docs.columns)
 
     def keeps():
@@ -166,7 +167,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 5,
 
         return passes
 
-    return T.rows_kept(lower, "_lower", keeps).select(*docs.columns)
+    return T.rows_kept(docs, text_col, keeps)
 
 
 def _rows(ids: pa.Array, got: list[tuple[float, list[int]]]) -> pa.RecordBatch:
@@ -180,7 +181,7 @@ def _seeds(least: int):
         for b in batches:
             texts = T.as_strings(b.column(1))
             for i, j in T.slices(texts):
-                w = T.words(texts.slice(i, j - i), T.PLAIN)
+                w = T.words(pc.utf8_lower(texts.slice(i, j - i)), T.PLAIN)
                 at, prints = T.windows(w, least)
                 pair = np.unique(np.stack([w.doc()[at].astype(np.uint64), prints], axis=1), axis=0) if len(at) else np.zeros((0, 2), np.uint64)
                 yield pa.record_batch([b.column(0).slice(i, j - i).take(pa.array(pair[:, 0].astype(np.int64))), pa.array(pair[:, 1].view(np.int64))], names=["id", "seed"])

@@ -156,13 +156,20 @@ def narrow(docs: DataFrame, *columns: tuple[str, str, str]) -> DataFrame:
 
 
 def rows_kept(docs: DataFrame, text_col: str, keeps) -> DataFrame:
-    """The rows, all columns, whose text passes; `keeps` makes, in a task, a function of texts that gives booleans."""
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    """The rows, all columns, whose text passes; `keeps` makes, in a task, a function of texts that gives booleans.
+
+    A row goes to the task once, as a struct that holds its text too.
+    """
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    at = docs.columns.index(text_col)
 
     def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passes = keeps()
         for b in batches:
-            yield pa.record_batch([b.column(0).filter(pa.array(passes(as_strings(b.column(1)))))], names=["row"])
+            rows = b.column(0)
+            for i in range(0, len(rows), 2000):
+                part = rows.slice(i, 2000)
+                yield pa.record_batch([part.filter(pa.array(passes(as_strings(part.field(at)))))], names=["row"])
 
-    made = own.mapInArrow(mapper, own.select("row").schema)
+    made = own.mapInArrow(mapper, own.schema)
     return made.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
