@@ -147,7 +147,7 @@ def links(nodes: DataFrame, groups: list[tuple[int, int]], radius: int) -> DataF
     probe = probe.select("a", "part", F.col("own_key").bitwiseXOR(F.col("flip")).alias("key"))
     within = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
     kept = own.join(small.select("part", "key"), ["part", "key"]).select("part", "key", F.col("fp").alias("b"))
-    pairs = probe.join(kept, ["part", "key"]).where((F.col("a") < F.col("b")) & within | (F.col("a") > F.col("b")) & within)
+    pairs = probe.join(kept, ["part", "key"]).where((F.col("a") != F.col("b")) & within)
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     # Members of large buckets, and whatever probes them.
     near = probe.join(large.select("part", "key"), ["part", "key"]).select(F.col("a").alias("fp")).distinct()

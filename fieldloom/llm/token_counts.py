@@ -46,10 +46,10 @@ class RankMerger:
         self.size = max(vocab.values()) + 1
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
         key = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], np.int64)
-        made = np.array([vocab[a + (b)] for a, b in pairs], np.int64)
+        made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         #: With one merge for each symbol, no merge can make a pair of a lower rank than its own.
         self.all_at_once = len(set(made.tolist())) == len(made)
-        rank = np.full(len(key), 0, np.int64) + np.arange(len(key))
+        rank = np.arange(len(key))
         bits = 19
         self.mask = np.int64((1 << bits) - 1)
         self.keys = np.full(1 << bits, -1, np.int64)
@@ -130,8 +130,7 @@ class RankMerger:
                 rank[x] = np.where((x + 1 < len(sym)) & (owner[nxt] == owner[x]), self.rank(sym[x], sym[nxt]), _NEVER)
         who, ids = (np.concatenate(x) for x in zip(*done, strict=True))
         order = np.argsort(who, kind="stable")
-        np.add.at(count, who, 1) if len(who) < 1000 else count.__iadd__(np.bincount(who, minlength=len(count)))
-        return ids[order], count
+        return ids[order], count + np.bincount(who, minlength=len(count))
 
 
 class Counter:
