@@ -30,7 +30,9 @@ from fieldloom.llm import text as T
 KINDS = ("email", "ip", "card", "phone")
 #: The most texts that weights are fitted on: the bound on what the driver holds (whole texts are not kept).
 TRAIN_TEXTS = 1500
-ROUNDS = 8
+#: The most rounds of messages, for texts whose messages do not settle; and the move of a message that counts as settled.
+ROUNDS = 200
+SETTLED = 1e-7
 #: Belief that an added span needs.
 SURE = 0.9
 _BITS = 15
@@ -135,12 +137,13 @@ class Graph:
             self.start.append(spans[k][0] + lead)
             self.end.append(spans[k][0] + lead + len(core))
             self.features.append(_features(words, k))
-            if last == k - 1:
+            chained = last == k - 1
+            if chained:
                 self.chain.append((at - 1, at))
             last = k
             digits = re.sub(r"[^0-9]", "", core)
             for key in {core.lower(), digits[-7:] if len(digits) >= 7 else core.lower()}:
-                if key in seen and (seen[key], at) != (at - 1, at):
+                if key in seen and not (chained and seen[key] == at - 1):
                     self.skip.append((seen[key], at))
                 seen[key] = at
 
@@ -199,7 +202,7 @@ def fit(graph: Graph, label: np.ndarray, rounds: int = 150, rate: float = 0.5, l
 
 
 def beliefs(graph: Graph, model: Field, rounds: int = ROUNDS) -> np.ndarray:
-    """Marginals of all tokens by loopy belief propagation, messages of all edges at once."""
+    """Marginals of all tokens by loopy belief propagation, messages of all edges at once until those of a text settle."""
     n = len(graph.text)
     own = model.node[np.array(graph.features, np.int64).reshape(n, -1)].sum(axis=1)
     chain = np.array(graph.chain, np.int64).reshape(-1, 2)
@@ -217,13 +220,21 @@ def beliefs(graph: Graph, model: Field, rounds: int = ROUNDS) -> np.ndarray:
             total[:, x] += np.bincount(dst, message[:, x], n)
         return total
 
-    for _ in range(rounds if len(src) else 0):
-        sent = gathered()[src] - message[back]
-        new = sent[:, :, None] + weight
+    text = np.array(graph.text, np.int64)[dst]
+    live = np.arange(len(src))
+    for _ in range(rounds):
+        if not len(live):
+            break
+        sent = gathered()[src[live]] - message[back[live]]
+        new = sent[:, :, None] + weight[live]
         top = new.max(axis=1)
         new = top + np.log(np.exp(new - top[:, None, :]).sum(axis=1))
         new -= new.max(axis=1, keepdims=True)
-        message = 0.5 * message + 0.5 * new
+        new = 0.5 * message[live] + 0.5 * new
+        moves = np.zeros(int(text.max()) + 1, bool)
+        moves[text[live[np.abs(new - message[live]).max(axis=1) > SETTLED]]] = True
+        message[live] = new
+        live = live[moves[text[live]]]
     total = gathered()
     p = np.exp(total - total.max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True)

@@ -225,6 +225,24 @@ def test_personal_data(spark, odd):
     assert _texts(pii_crf.redact(odd.select("doc_id", "text"), model)) == _texts(odd)
 
 
+def test_distant_repeats_are_linked():
+    g = pii_crf.Graph()
+    g.add(0, "call 5551234567 or later and once more 5551234567 then 5551234567 5551234567")
+    assert g.chain == [(2, 3)] and set(g.skip) == {(0, 1), (1, 2)}
+
+
+def test_messages_settle():
+    n, L = 40, pii_crf._L
+    g = pii_crf.Graph(text=[0] * n + [3] * 2, start=[0] * (n + 2), end=[1] * (n + 2), features=[[0]] + [[1]] * (n + 1), chain=[(k, k + 1) for k in range(n - 1)] + [(n, n + 1)])
+    node = np.zeros((1 << pii_crf._BITS, L))
+    node[0, 2] = 9
+    model = pii_crf.Field(node, 5 * np.eye(L), np.zeros((L, L)))
+    got = pii_crf.beliefs(g, model)
+    step = np.exp(5 * np.eye(L))
+    want = np.exp(node[0]) @ np.linalg.matrix_power(step / step.sum(axis=1), n - 1)
+    assert np.allclose(got[n - 1], want / want.sum(), atol=1e-4) and np.allclose(got[n:], 1 / L)
+
+
 def test_belief_propagation_is_exact_on_trees():
     rng = np.random.default_rng(1)
     g = pii_crf.Graph(text=[0] * 4, start=[0] * 4, end=[1] * 4, features=[[0], [1], [2], [3]], chain=[(0, 1), (1, 2)], skip=[(1, 3)])
