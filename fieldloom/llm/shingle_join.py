@@ -1,0 +1,213 @@
+"""Near-duplicates by exact similarity: all pairs of texts whose sets of word shingles have a Jaccard of `share` or more.
+
+Candidates come from prefix filtering. In one order of all shingles, two sets of n and m shingles that are similar
+enough share one of the first n - ceil(share n) + 1 and m - ceil(share m) + 1, so texts meet by the shingles of their
+prefixes and no pair is missed. The order has shingles that are frequent in a bounded sample last; it only decides how
+many candidates there are. Pairs that meet are dropped if their sizes differ too much or if their sketches (512 bits,
+each the parity of the shingles that fall on it) differ in more bits than the sets may differ in shingles: both are
+bounds, so again no pair is missed. What is left is verified on the texts' sets. Shingles are 64-bit fingerprints.
+
+Texts with the same set are one node, so copies make no pairs. Texts that meet by one shingle are dealt to cells of
+pairs of blocks, so no task holds all of them; comparisons inside one such group grow with the square of its texts,
+rows with this by `CELL`.
+
+Results for odd input: a text of fewer words than a shingle has is one shingle; null texts and texts without words are
+copies of each other; rows repeated with one id are nodes like others; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
+
+from fieldloom.llm import text as T
+from fieldloom.llm.components import smallest_reachable
+from fieldloom.session import checkpoint_dir
+
+#: Texts that frequent shingles are found from, the times that one is in them, and the most of them.
+SAMPLE, OFTEN, COMMON = 10_000, 3, 50_000
+#: Keys that are broadcast.
+SMALL_ROWS = 300_000
+#: Texts of a block, and pairs that are compared at once.
+CELL, AT_ONCE = 128, 400_000
+_BITS = 512
+
+
+def shingle_sets(texts: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(i, j, shingles, text): the distinct shingles of texts i to j, in order of text and shingle."""
+    for i, j in T.slices(texts):
+        w = T.words(texts.slice(i, j - i), T.LOWER)
+        first, n = w.first, w.counts
+        shingles = np.where(n >= size, n - size + 1, (n > 0).astype(np.int64))
+        opens = np.append(0, np.cumsum(shingles))
+        doc = np.repeat(np.arange(len(n)), shingles)
+        at = first[doc] + np.arange(opens[-1]) - opens[doc]
+        prints = T.spans(w.buf, w.start[at], w.end[np.minimum(at + size, first[doc + 1]) - 1]) if len(at) else np.zeros(0, np.uint64)
+        order = np.lexsort((prints, doc))
+        prints, doc = prints[order], doc[order]
+        new = np.ones(len(prints), bool)
+        new[1:] = (prints[1:] != prints[:-1]) | (doc[1:] != doc[:-1])
+        yield i, j, prints[new], doc[new]
+
+
+def _set_ids(prints: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """64-bit names of the sets, whatever the order of their shingles."""
+    sums = np.append(np.uint64(0), np.cumsum(T.mixed(prints ^ np.uint64(0x9E3779B97F4A7C15)), dtype=np.uint64))
+    ends = np.cumsum(n)
+    return T.mixed(sums[ends] - sums[ends - n] + n.astype(np.uint64)).view(np.int64)
+
+
+def least_shared(n: np.ndarray, share: float) -> np.ndarray:
+    """The fewest shingles that a set of n has in common with one that is similar enough."""
+    return np.ceil(share * n - 1e-9).astype(np.int64)
+
+
+def _lists(values: np.ndarray, n: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(values.view(np.int64)))
+
+
+def _described(docs: DataFrame, size: int, share: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(doc_id, row_key, node, n, sketch, prefix) of rows (doc_id, row_key, text)."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
+
+    def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, times = shared.value
+        for b in batches:
+            for i, j, prints, doc in shingle_sets(T.as_strings(b.column(2)), size):
+                n = np.bincount(doc, minlength=j - i)
+                bit = (prints >> np.uint64(7)) % np.uint64(_BITS)
+                odd = np.bincount(doc * _BITS + bit.astype(np.int64), minlength=(j - i) * _BITS) & 1
+                sketch = np.packbits(odd.astype(np.uint8).reshape(j - i, _BITS), axis=1)
+                rank = np.zeros(len(prints), np.int64)
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, prints), len(keys) - 1)
+                    rank = np.where(keys[at] == prints, times[at], 0)
+                order = np.lexsort((prints, rank, doc))
+                ranked = prints[order]
+                take = np.where(n > 0, n - least_shared(n, share) + 1, 0)
+                first = np.cumsum(n) - n
+                prefix = ranked[np.arange(len(ranked)) - first[doc] < take[doc]]
+                yield pa.record_batch([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(_set_ids(prints, n)), pa.array(n, pa.int64()), pa.array([x.tobytes() for x in sketch], pa.binary()), _lists(prefix, take)], names=["doc_id", "row_key", "node", "n", "sketch", "prefix"])
+
+    return docs.mapInArrow(mapper, "doc_id long, row_key long, node long, n long, sketch binary, prefix array<long>")
+
+
+def _keys(docs: DataFrame, size: int) -> DataFrame:
+    """(key) of all shingles of rows (doc_id, row_key, text)."""
+
+    def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, prints, _ in shingle_sets(T.as_strings(b.column(2)), size):
+                yield pa.record_batch([pa.array(prints.view(np.int64))], names=["key"])
+
+    return docs.mapInArrow(mapper, "key long")
+
+
+def frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are frequent in a sample of rows (doc_id, row_key, text), and in how many of its texts they are."""
+    some = docs.where(F.pmod("row_key", F.lit(max(1, docs.count() // SAMPLE))) == 0)
+    seen = _keys(some, size).groupBy("key").count().where(F.col("count") >= OFTEN)
+    rows = seen.orderBy(F.desc("count"), "key").limit(COMMON).collect()
+    keys, times = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
+    order = np.argsort(keys)
+    return keys[order], times[order]
+
+
+def _compared(share: float):
+    """Arrow mapper: (a, b) that may be similar enough, of cells (across, members)."""
+
+    def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            across, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            n_of = lists.value_lengths().to_numpy()
+            pairs = np.cumsum(n_of.astype(np.int64) * (n_of - 1) // 2)
+            i = 0
+            while i < len(n_of):
+                j = max(i + 1, int(np.searchsorted(pairs, (pairs[i - 1] if i else 0) + AT_ONCE, "right")))
+                m = n_of[i:j].astype(np.int64)
+                flat = lists.slice(i, j - i).flatten()
+                node, n, block = (flat.field(k).to_numpy() for k in (0, 1, 2))
+                sketch = np.frombuffer(b"".join(flat.field(3).to_pylist()), np.uint64).reshape(len(node), -1)
+                ahead = np.repeat(np.cumsum(m), m) - np.arange(len(node)) - 1  # members after each one in its cell
+                a = np.repeat(np.arange(len(node)), ahead)
+                b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(ahead) - ahead, ahead)
+                fits = (block[a] != block[b]) | ~np.repeat(across[i:j], m)[a]
+                fits &= np.minimum(n[a], n[b]) >= share * np.maximum(n[a], n[b]) - 1e-9
+                a, b = a[fits], b[fits]
+                apart = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64)
+                near = (apart <= (1 - share) / (1 + share) * (n[a] + n[b]) + 1e-9) & (node[a] != node[b])
+                x, y = node[a[near]], node[b[near]]
+                yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+                i = j
+
+    return mapper
+
+
+def candidates(nodes: DataFrame, share: float) -> DataFrame:
+    """(a, b) of nodes that share a shingle of their prefixes and may be similar enough."""
+    met = nodes.select("node", F.explode("prefix").alias("key"))
+    met = met.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1")
+    held = met.withColumn("blocks", F.ceil(F.col("m") / CELL)).join(nodes.select("node", "n", "sketch"), "node")
+    own = held.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    cells = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    cells = cells.groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(F.struct("node", "n", "block", "sketch")).alias("members"))
+    return cells.where(F.size("members") > 1).select((F.col("i") != F.col("j")).alias("across"), "members").mapInArrow(_compared(share), "a long, b long").distinct()
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, size: int, share: float) -> DataFrame:
+    """The pairs (a, b) whose texts (node, text) are similar enough; texts shuffle as less than their sets."""
+
+    def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                x, y = (_each_set(T.as_strings(part.column(c)), size) for c in (2, 3))
+                both = np.array([len(np.intersect1d(u, v, assume_unique=True)) for u, v in zip(x, y, strict=True)])
+                all_ = np.array([len(u) + len(v) for u, v in zip(x, y, strict=True)]) - both
+                yield part.select([0, 1]).filter(pa.array(both >= share * all_ - 1e-9))
+
+    own = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
+    other = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
+    return pairs.join(own, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(mapper, "a long, b long")
+
+
+def _each_set(texts: pa.Array, size: int) -> list[np.ndarray]:
+    out = []
+    for i, j, prints, doc in shingle_sets(texts, size):
+        out += np.split(prints, np.cumsum(np.bincount(doc, minlength=j - i))[:-1])
+    return out
+
+
+def _small(keys: DataFrame) -> DataFrame:
+    """Broadcast if a count finds few rows."""
+    return F.broadcast(keys) if keys.count() <= SMALL_ROWS else keys
+
+
+def one_of_similar(docs: DataFrame, size: int = 5, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, one of each group that similar pairs connect: the row with the smallest id stays
+    (rows without an id only where none has one; of rows that share the id, the one with the smallest hash)."""
+    if not 0 < share <= 1:
+        raise ValueError("share is above 0 and at most 1")
+    checkpoint_dir(docs.sparkSession)
+    key = F.xxhash64(F.col(f"`{id_col}`").cast("bigint"), F.col(f"`{text_col}`").cast("string"))
+    texts = T.narrow(docs, (id_col, "doc_id", "bigint"), (text_col, "text", "string")).select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")
+    made = _described(texts, size, share, frequent(texts, size))
+    nodes = made.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "n", "sketch", "prefix")).alias("best"))
+    nodes = nodes.select("node", F.struct("best.none", "best.doc_id", "best.row_key").alias("best"), "best.n", "best.sketch", "best.prefix").checkpoint()
+    pairs = candidates(nodes, share).checkpoint()
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = nodes.join(asked, "node", "left_semi").select("node", F.col("best.row_key").alias("row_key"))
+    read = texts.join(_small(wanted.checkpoint()), "row_key").select("node", "text").dropDuplicates(["node"]).checkpoint()
+    edges = similar_pairs(pairs, read, size, share).checkpoint()
+    comp = smallest_reachable(edges, nodes.select("node", F.col("best.doc_id").alias("label"))).select("node", "root")
+    first = nodes.select("node", "best").join(comp, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
+    # Only rows that share id and text are dealt by key to keep one of them; all others stay where they are.
+    times = texts.groupBy("row_key").agg(F.count("*").alias("times")).where("times > 1")
+    kept = first.select(F.col("best.row_key").alias("_row_key")).join(times.withColumnRenamed("row_key", "_row_key"), "_row_key", "left").checkpoint()
+    own = docs.withColumn("_row_key", key)
+    once = own.join(_small(kept.where("times is null")), "_row_key", "left_semi")
+    repeated = own.join(_small(kept.where("times is not null")), "_row_key", "left_semi").dropDuplicates(["_row_key"])
+    return once.unionByName(repeated).drop("_row_key")

@@ -13,7 +13,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fieldloom.llm import decontaminate, html_crf, packing, pii_crf, quality_forest, simhash_gph, substring_dedup, text as T, token_counts, token_ids, token_store, toxicity_ftrl
+from fieldloom.llm import decontaminate, html_crf, packing, pii_crf, quality_forest, shingle_join, simhash_gph, substring_dedup, text as T, token_counts, token_ids, token_store, toxicity_ftrl
 from fieldloom.llm.xxh64 import xxh64
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -495,6 +495,42 @@ def test_thresholds_cover_the_radius():
         assert sum(t) == 2 - m + 1
 
 
+def _kept_by_brute_force(rows):
+    sets = []
+    for _, t in rows:
+        w = [x.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for x in WORD.findall(t or "")]
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    best = {}
+    for g, (k, _) in zip(group, rows, strict=True):
+        best[g] = min(best.get(g, (True, 0)), (k is None, k or 0))
+    return sorted(best.values())
+
+
+@pytest.mark.parametrize("cell", [128, 3])
+def test_stage_keeps_one_of_similar_texts(spark, sf, odd, monkeypatch, cell):
+    monkeypatch.setattr(shingle_join, "CELL", cell)
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in rng.integers(0, 500, 90)]
+    rows = []
+    for k in range(80):  # one to twelve words changed: on either side of 0.8, and in chains
+        w = base[:] if k % 2 else [f"v{k // 6}x{x}" for x in range(70)]
+        for x in rng.integers(0, len(w), 1 + k % 12):
+            w[x] = f"new{rng.integers(0, 3)}"
+        rows.append((1000 + k, " ".join(w)))
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    df = made.unionByName(odd.select("doc_id", "text")).unionByName(spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id") + 10_000, "text").toDF("doc_id", "text").limit(300)).cache()
+    every = [(r.doc_id, r.text) for r in df.collect()]
+    got = corpus_pipeline.near_dedup(spark, df.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).alias("n_chars")), sf)
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got.collect()) == _kept_by_brute_force(every)
+    assert shingle_join.one_of_similar(_empty(odd)).count() == 0
+
+
 def test_one_of_each(spark, odd):
     kept = simhash_gph.one_of_each(odd)
     assert sorted(kept.columns) == sorted(odd.columns)
