@@ -12,7 +12,7 @@ from fieldloom.llm.packing import pack_documents
 from fieldloom.llm.simhash_gph import near_duplicates
 from fieldloom.llm.substring_dedup import remove_repeated_passages
 from fieldloom.llm.token_counts import count_tokens
-from fieldloom.llm.token_store import read_store, shared_folder, write_store
+from fieldloom.llm.token_store import documents_of, read_store, shared_folder, write_store
 
 
 def _vocabulary(name: str) -> str:
@@ -68,8 +68,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "token-store")
-    write_store(_table(spark, sf_dir, "documents"), path, _vocabulary("byte_bpe_50k.json"), end_id=2)
-    return read_store(spark, path)
+    docs = _table(spark, sf_dir, "documents")
+    write_store(docs, path, _vocabulary("byte_bpe_50k.json"), end_id=2)
+    # Every key through the index; documents without one can only be read from their shards.
+    return documents_of(docs, path).unionByName(read_store(spark, path, nulls_only=True))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Vectorised text helpers that run inside Arrow tasks.
 
-A batch of texts is cut into slices of a few MB, each slice is turned into one byte buffer with single spaces
-between words, and word and window fingerprints come from prefix sums of a polynomial hash over that buffer, so
-no Python loop runs over words.
+A batch of texts is cut into slices of a few MB and each slice is turned into one byte buffer with single spaces
+between words, so no Python loop runs over words. Words have exact numbers (`numbers`: their place in the slice's
+dictionary) and 64-bit fingerprints: XXH64 of a word, and for a window a tree of mixing steps over its words' values
+that is no polynomial, so texts of a regular structure do not collide. Where a fingerprint decides a result, the
+operators compare the words themselves.
 """
 
 from __future__ import annotations
@@ -14,15 +16,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from fieldloom.llm.xxh64 import xxh64
+
 #: Bytes of text handled at once. A longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-#: An odd multiplier and its inverse modulo 2^64.
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTES = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=np.uint64)
+
+_ALL = (1 << 64) - 1
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -104,19 +106,6 @@ def words(texts: pa.Array, table: np.ndarray | None = None) -> Words:
     return Words(buf, place[start] - 1, np.where(end > 0, place[np.maximum(end - 1, 0)], 0), counts)
 
 
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        most = max(n, SLICE_BYTES + (1 << 16))
-        for k, base in enumerate((_BASE, _INVERSE)):
-            x = np.full(most, base, np.uint64)
-            x[0] = 1
-            _powers[k] = np.cumprod(x, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spreads fingerprints over all 64 bits."""
     x = x ^ (x >> np.uint64(31))
@@ -127,22 +116,87 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def joined(a: np.ndarray, b: np.ndarray, salt: int = 0) -> np.ndarray:
+    """The fingerprint of two parts in this order."""
+    return mixed(mixed(a + np.uint64((2 * salt + 1) * 0x9E3779B97F4A7C15 & _ALL)) + b)
+
+
 def spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit fingerprints of buf[start:end]; equal bytes give equal ones in any slice."""
-    up, down = _grown(len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTES[buf] * up[: len(buf)], out=sums[1:])
-    return mixed((sums[end] - sums[start]) * down[start])
+    return xxh64(buf, start, end)
 
 
-def windows(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the words that open a window of k words inside one text, and the windows' fingerprints."""
+def prints(w: Words) -> np.ndarray:
+    """The fingerprint of each word."""
+    return spans(w.buf, w.start, w.end)
+
+
+def runs(values: np.ndarray, depths: tuple[int, ...]) -> dict[int, np.ndarray]:
+    """For each depth the fingerprints of so many consecutive values, from each place that has them to its right.
+
+    Depths double: 2 from two of 1, 4 from two of 2; any other is its largest power of two followed by the rest.
+    """
+    made: dict[int, np.ndarray] = {1: values}
+
+    def of(k: int) -> np.ndarray:
+        if k not in made:
+            half = 1 << (k.bit_length() - 1)
+            half = half // 2 if half == k else half
+            a, b = of(half), of(k - half)
+            n = max(0, len(values) - k + 1)
+            made[k] = joined(a[:n], b[half : half + n], k)
+        return made[k]
+
+    return {d: of(d) for d in depths}
+
+
+def places(w: Words, k: int) -> np.ndarray:
+    """Indices of the words that open a window of k words inside one text."""
     n = len(w.start)
     if n < k:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64)
     left = np.repeat(w.first[1:], w.counts) - np.arange(n)  # words from here to the end of the text
-    at = np.flatnonzero(left >= k)
-    return at, spans(w.buf, w.start[at], w.end[at + k - 1])
+    return np.flatnonzero(left >= k)
+
+
+def windows(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the words that open a window of k words inside one text, and the windows' fingerprints."""
+    at = places(w, k)
+    return at, runs(prints(w), (k,))[k][at] if len(at) else np.zeros(0, np.uint64)
+
+
+def as_array(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """buf[start:end] as binary values."""
+    size = end - start
+    off = np.append(0, np.cumsum(size)).astype(np.int64)
+    data = buf[np.arange(off[-1]) + np.repeat(start - off[:-1], size)]
+    return pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def numbers(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The number of each value among the distinct ones, and these."""
+    d = values.dictionary_encode()
+    return d.indices.to_numpy(zero_copy_only=False).astype(np.int64), d.dictionary
+
+
+def word_numbers(w: Words) -> tuple[np.ndarray, pa.Array]:
+    """The number of each word among the slice's distinct words, and these."""
+    data = w.buf[w.buf != 0x20]
+    off = np.append(0, np.cumsum(w.end - w.start)).astype(np.int64)
+    return numbers(pa.Array.from_buffers(pa.large_binary(), len(w.start), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(data))]))
+
+
+def sampled(rows: DataFrame, key: str, n: int, among: int = 4) -> DataFrame:
+    """At most n of the rows with different `key` (a column of hashes), those with the smallest ones.
+
+    Rows are counted first, so that a filter on the key leaves about `among` times n of them in all tasks together,
+    whatever the table's size; then only keys are sorted, and rows of the chosen keys are read once more.
+    """
+    total = rows.count()
+    share = 2.0 ** 64 * min(1.0, among * n / max(1, total)) - 2.0 ** 63
+    some = rows if share >= 2.0 ** 63 else rows.where(F.col(key) < F.lit(int(share)))
+    last = [r[0] for r in some.select(key).distinct().orderBy(key).limit(n).collect()][-1:]
+    return some.where(F.col(key) <= F.lit(last[0] if last else 0)).dropDuplicates([key])
 
 
 def crc_of(doc_id: Column) -> Column:

@@ -1,12 +1,13 @@
 """Token ids of whole texts by the tokenizers library, each distinct chunk of a batch encoded once.
 
 A text is cut into chunks at places where the vocabulary's pre-tokenizer always starts a new piece, whatever stands
-around them, so the ids of a text are those of its chunks in order. Chunks of a batch are made distinct in Arrow, only
-new ones go through the library, and ids are gathered back with numpy.
+around them, so the ids of a text are those of its chunks in order. Chunks of a batch are made distinct by their bytes
+in Arrow, only new ones go through the library, and ids are gathered back with numpy.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 
 import numpy as np
@@ -16,10 +17,12 @@ from fieldloom.llm import text as T
 
 #: Bytes of text handled at once.
 SLICE_BYTES = 2 << 20
+#: Chunks that go through the library at once.
+AT_ONCE = 20_000
 
 
 class Known:
-    """Chunks that a worker remembers, by fingerprint, length, first and last byte; numbered in the order they came."""
+    """Chunks that a worker remembers, found by fingerprint and confirmed by their bytes; numbered in the order they came."""
 
     def __init__(self, bits: int = 21):
         self.bits, self.most = bits, (1 << bits) * 6 // 10
@@ -28,48 +31,58 @@ class Known:
     def clear(self) -> None:
         self.n = 0
         self.keys = np.zeros(1 << self.bits, np.uint64)
-        self.marks = np.zeros(1 << self.bits, np.uint32)
         self.number = np.full(1 << self.bits, -1, np.int32)
+        self.off = np.zeros(self.most + 1, np.int64)
+        self.data = np.zeros(1 << 16, np.uint8)
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return (key >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def find(self, key: np.ndarray, mark: np.ndarray) -> np.ndarray:
-        """The number of each chunk, or -1."""
+    def find(self, key: np.ndarray, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """The number of each chunk, or -1; chunk k is data[off[k]:off[k + 1]]."""
         slot, out, left = self._slot(key), np.full(len(key), -1, np.int32), np.arange(len(key))
         while len(left):
             at = slot[left]
             number = self.number[at]
-            hit = (self.keys[at] == key[left]) & (self.marks[at] == mark[left])
+            hit = (self.keys[at] == key[left]) & (number >= 0)
             out[left[hit]] = number[hit]
             left = left[~hit & (number >= 0)]
             slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
-        return out
-
-    def add(self, key: np.ndarray, mark: np.ndarray) -> np.ndarray:
-        """Numbers of new, distinct chunks."""
+        got = np.flatnonzero(out >= 0)
+        number = out[got]
+        size = off[got + 1] - off[got]
+        same = self.off[number + 1] - self.off[number] == size
+        got, number, size = got[same], number[same], size[same]
+        ends = np.cumsum(size)
+        step = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size)
+        wrong = self.data[np.repeat(self.off[number], size) + step] != data[np.repeat(off[got], size) + step]
+        seen = np.append(0, np.cumsum(wrong))
+        fine = got[seen[ends] == seen[ends - size]]
+        sure = np.full(len(key), -1, np.int32)
+        sure[fine] = out[fine]
+        return sure
+
+    def add(self, key: np.ndarray, data: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Numbers of new, distinct chunks, whose bytes are `data` one after the other."""
         new = np.arange(self.n, self.n + len(key), dtype=np.int32)
+        used = int(self.off[self.n])
+        while used + len(data) > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros_like(self.data)])
+        self.data[used : used + len(data)] = data
+        self.off[self.n + 1 : self.n + 1 + len(key)] = used + np.cumsum(size)
         slot, left = self._slot(key), np.arange(len(key))
         while len(left):
             at = slot[left]
             _, one = np.unique(at, return_index=True)
             put = one[self.number[at[one]] < 0]
             i = left[put]
-            self.keys[slot[i]], self.marks[slot[i]], self.number[slot[i]] = key[i], mark[i], new[i]
+            self.keys[slot[i]], self.number[slot[i]] = key[i], new[i]
             left = np.delete(left, put)
             slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
         self.n += len(key)
         return new
 
 
-def prints(chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprint and mark of each chunk."""
-    data, off = T.raw(chunks)
-    start, end = off[:-1], off[1:]
-    mark = (end - start).astype(np.uint32) << np.uint32(16) ^ data[start].astype(np.uint32) << np.uint32(8) ^ data[end - 1]
-    return T.spans(data, start, end), mark
-
-
 def white_chunks(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Words without the white space around them, for vocabularies that drop white space. Chunks and their count by text."""
     w = T.words(texts)
@@ -102,7 +115,7 @@ def space_chunks(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 class Encoder:
-    """Ids by a vocabulary file; lives in a Python worker from task to task."""
+    """Ids by a vocabulary file; lives in a Python worker from task to task and remembers chunks by their text."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -120,43 +133,49 @@ class Encoder:
         self.off = np.zeros(self.known.most + 1, np.int64)
         self.flat = np.zeros(1 << 16, np.uint32)
 
-    def _ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def _ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct chunks one after the other, and how many each has."""
-        ids = [e.ids for e in self.library.encode_batch(chunks.to_pylist(), add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter((x for y in ids for x in y), np.uint32, int(lengths.sum())), lengths
+        flat, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(chunks), AT_ONCE):
+            ids = [e.ids for e in self.library.encode_batch(chunks[i : i + AT_ONCE], add_special_tokens=False)]
+            lengths.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flat.append(np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lengths[-1].sum())))
+        return np.concatenate(flat), np.concatenate(lengths)
+
+    def _distinct(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and for each of the distinct chunks where its ids begin in them and how many they are."""
+        if len(chunks) > self.known.most:
+            flat, size = self._ids(chunks.to_pylist())
+            return flat, np.cumsum(size) - size, size
+        data, off = T.raw(chunks)
+        key = T.spans(data, off[:-1], off[1:])
+        which = self.known.find(key, data, off)
+        new = np.flatnonzero(which < 0)
+        if self.known.n + len(new) > self.known.most:  # more than a worker remembers: start anew
+            self._clear()
+            new = np.arange(len(chunks))
+        if len(new):
+            fresh = chunks.take(pa.array(new))
+            ids, lengths = self._ids(fresh.to_pylist())
+            n, used = self.known.n, int(self.off[self.known.n])
+            while used + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            self.flat[used : used + len(ids)] = ids
+            self.off[n + 1 : n + 1 + len(new)] = used + np.cumsum(lengths)
+            own, ends = T.raw(fresh)
+            which[new] = self.known.add(key[new], own, np.diff(ends))
+        return self.flat, self.off[which], self.off[which + 1] - self.off[which]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each text has."""
         chunks, counts = self.chunks(texts)
         if not len(chunks):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        key, mark = prints(chunks)
-        which = self.known.find(key, mark)
-        new = np.flatnonzero(which < 0)
-        _, one = np.unique(key[new] ^ T.mixed(mark[new].astype(np.uint64)), return_index=True)
-        if self.known.n + len(one) > self.known.most:  # more than a worker remembers: start anew
-            self._clear()
-            which[:] = -1
-            new = np.arange(len(key))
-            _, one = np.unique(key ^ T.mixed(mark.astype(np.uint64)), return_index=True)
-        if len(new) and len(one) > self.known.most:
-            flat, size = self._ids(chunks)
-            start = np.cumsum(size) - size
-        else:
-            if len(new):
-                first = new[one]
-                fresh, lengths = self._ids(chunks.take(pa.array(first)))
-                used = int(self.off[self.known.n])
-                while used + len(fresh) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-                self.flat[used : used + len(fresh)] = fresh
-                self.off[self.known.n + 1 : self.known.n + 1 + len(one)] = used + np.cumsum(lengths)
-                self.known.add(key[first], mark[first])
-                which[new] = self.known.find(key[new], mark[new])
-            flat, start, size = self.flat, self.off[which], self.off[which + 1] - self.off[which]
+        which, distinct = T.numbers(chunks)
+        flat, start, size = self._distinct(distinct)
+        size = size[which]
         ends = np.cumsum(size)
-        ids = flat[np.arange(ends[-1]) + np.repeat(start - (ends - size), size)]
+        ids = flat[np.arange(ends[-1]) + np.repeat(start[which] - (ends - size), size)]
         upto = np.append(0, ends)[np.append(0, np.cumsum(counts))]
         return ids, np.diff(upto)
 
