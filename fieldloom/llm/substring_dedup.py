@@ -1,21 +1,29 @@
 """Removal of word passages that occur earlier in the corpus, by prefix-partitioned suffix trees.
 
-Every word position with `width` words to its right is a suffix. The trees are cut at depth `width`, because the
-result needs only to know which suffixes share an internal node that deep: a node at depth >= width with two or more
-suffixes below it is a repeat, and consecutive suffixes of one text below such nodes are one maximal repeat. A suffix
-is therefore held as the fingerprint of its path to that depth and its place.
-
-1. `suffix_groups`: each task sorts the suffixes of its texts by path, keeps the earliest one below each node (the
-   others are known repeats already, so a hot passage sends one suffix per task, never one per copy) and deals the
-   sorted suffixes to groups by a prefix of the path. The prefix is as many bits long as it takes for a group to fit
-   in memory (`prefix_bits`, from the size of all texts).
-2. `repeats`: each group's subtree is built by merging the sorted runs; below every node at full depth all suffixes
-   but the earliest are repeats.
-3. `keep_words`: repeats meet their texts again and the covered words are cut out.
-
-Results for odd input: null or empty text: no words, nothing removed. Texts shorter than `width` lose nothing. Rows
-repeated with the same id and text get equal results; rows of one id with different texts share removed places. Null
-ids count as the smallest id. An empty table gives an empty result. Other columns are not looked at.
+Every word position with `width` words to its right is a suffix, and the trees are cut at that depth: the leaves below
+an internal node of depth `width` or more are the suffixes of one repeated window, and consecutive ones of a text are
+one maximal repeat. All leaves of such a node but the earliest are repeats.
+
+1. `heavy_prefixes` counts prefixes of 1, 2, 4, ... words over all suffixes. A suffix goes to the group of its shortest
+   prefix that has at most `GROUP` suffixes, so prefixes have as many words as it takes for a group to fit in memory;
+   light prefixes share groups. Only the heavy prefixes (at most one for each `GROUP` / 2 suffixes of a length) are sent
+   to the tasks.
+2. `announce` and `shared`: leaves without a sibling at the full depth are pruned before any words are sent. Each block
+   of documents tells each group 32 bits of the fingerprint of every node it has (sorted, about 3 bytes each), and
+   learns which ones other blocks have too. This only prunes: a fingerprint that agrees by chance costs a suffix that
+   is sent for nothing.
+3. `send`: for the nodes left, each block sends its earliest leaf with the suffix's words to the node's group (the
+   others of the block are repeats already, confirmed by their words, so a hot passage sends one suffix for each block,
+   never one for each copy).
+4. `repeats`: a group sorts its suffixes by their words, takes the common-prefix lengths of neighbours, and all leaves
+   below a node at full depth but the earliest are repeats. Words decide, not fingerprints.
+5. `keep_words`: repeats meet their texts again and the covered words are cut out.
+
+Results for odd input: null or empty text: no words, nothing removed. Texts shorter than `width` lose nothing. A very
+long text is held with its words by one task at a time. A document is an id with its text: rows repeated with the same
+id and text are one and get equal results; rows of one id with different texts are different documents, the one with
+the smaller hash of id and text counting as the earlier. Null ids come before all others. An empty table gives an empty
+result. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -27,143 +35,249 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from fieldloom.llm import text as T
 
-#: Suffixes that a task sorts at once, and those that a group holds on average at most.
-RUN = 1_200_000
-GROUP = 1_000_000
-#: Bytes of text in a group of documents when results meet their texts.
+#: Suffixes of a prefix that makes a group of its own, and those that a group of light prefixes holds on average.
+GROUP = 2_000_000
+#: Bytes of text in a block of documents.
 BLOCK_BYTES = 6 << 20
-_NONE = np.int64(-(1 << 63))
-
-
-def prefix_bits(n_bytes: int, parts: int) -> int:
-    """Bits of a path that make a group; words have three bytes at least with the space, most far more."""
-    return max(math.ceil(math.log2(max(1, n_bytes / 4 / GROUP))), math.ceil(math.log2(max(1, 2 * parts))), 1)
-
-
-def _packed(*arrays: np.ndarray) -> bytes:
-    """Arrays of equal length, byte plane by byte plane: sorted and small numbers shrink to a few bytes each."""
-    planes = [np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() for a in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
-
-
-def _unpacked(blob: bytes, *kinds: type) -> list[np.ndarray]:
-    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    width = [np.dtype(k).itemsize for k in kinds]
-    n, at, out = len(data) // sum(width), 0, []
-    for k, w in zip(kinds, width, strict=True):
-        out.append(np.ascontiguousarray(data[at : at + n * w].reshape(w, n).T).view(k).ravel())
-        at += n * w
-    return out
-
-
-def _ids(column: pa.Array) -> np.ndarray:
-    return column.fill_null(int(_NONE)).to_numpy(zero_copy_only=False).astype(np.int64)
-
-
-def _earliest(path: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by path, where each node's suffixes begin in that order, and which are not their node's earliest."""
-    order = np.argsort(path)
-    p, d, a = path[order], doc[order], at[order]
-    new = np.empty(len(p), bool)
-    new[:1] = True
-    np.not_equal(p[1:], p[:-1], out=new[1:])
-    node = np.flatnonzero(new)
-    if len(node) == len(p):
-        return order, node, np.zeros(len(p), bool)
-    size = np.diff(np.append(node, len(p)))
-    first_doc = np.repeat(np.minimum.reduceat(d, node), size)
-    far = np.where(d == first_doc, a, np.int32((1 << 31) - 1))
-    first_at = np.repeat(np.minimum.reduceat(far, node), size)
-    return order, node, (d != first_doc) | (a != first_at)
-
-
-def suffix_groups(width: int, bits: int, blocks: int):
-    """Arrow mapper: (grp, kind, payload) rows. kind 0: suffixes (path, doc, at) of a group of paths; kind 1: repeats
-    (doc, at) that the task found itself, for a block of documents."""
-
-    def run(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        path, doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
-        if not len(path):
-            return
-        order, _, later = _earliest(path, doc, at)
-        known = order[later]
-        sent = order[~later]
-        path, d, a = path[sent], doc[sent], at[sent]
-        once = np.append(True, path[1:] != path[:-1])  # of equal rows, one
-        path, d, a = path[once], d[once], a[once]
-        group = (path >> np.uint64(64 - bits)).astype(np.int64)
-        cut = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        rows = [(int(group[i]), 0, _packed(path[i:j], d[i:j], a[i:j])) for i, j in zip(cut, np.append(cut[1:], len(group)), strict=True)]
-        rows += [(b, 1, x) for b, x in by_block(doc[known], at[known], blocks)]
-        for i in range(0, len(rows), 500):
-            yield _batch(rows[i : i + 500])
-
-    def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for b in batches:
-            ids, texts = _ids(b.column(0)), T.as_strings(b.column(1))
-            for i, j in T.slices(texts):
-                w = T.words(texts.slice(i, j - i))
-                at, path = T.windows(w, width)
-                doc = w.doc()[at]
-                held.append((path, ids[i:j][doc], (at - w.first[doc]).astype(np.int32)))
-                n += len(at)
-                if n >= RUN:
-                    yield from run(held)
-                    held, n = [], 0
-        if held:
-            yield from run(held)
-
-    return mapper
-
-
-def block_of(doc: np.ndarray, blocks: int) -> np.ndarray:
-    """As `_block_column`; `blocks` is a prime, so ids at even steps spread."""
-    return np.mod(doc ^ (doc >> np.int64(21)), np.int64(blocks))
-
-
-def _block_column(blocks: int) -> Column:
-    doc = F.coalesce(F.col("doc_id"), F.lit(int(_NONE)))
-    return F.pmod(doc.bitwiseXOR(F.shiftright(doc, 21)), F.lit(blocks))
-
-
-def _prime(n: int) -> int:
-    while any(n % k == 0 for k in range(2, math.isqrt(n) + 1)):
-        n += 1
-    return n
-
-
-def by_block(doc: np.ndarray, at: np.ndarray, blocks: int) -> Iterator[tuple[int, bytes]]:
-    if not len(doc):
-        return
-    block = block_of(doc, blocks)
-    order = np.lexsort((at, doc, block))
-    block, doc, at = block[order], doc[order], at[order]
-    cut = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-    for i, j in zip(cut, np.append(cut[1:], len(block)), strict=True):
-        yield int(block[i]), _packed(doc[i:j], at[i:j])
-
-
-def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    g, k, p = zip(*rows, strict=True)
-    return pa.record_batch([pa.array(g, pa.int64()), pa.array(k, pa.int32()), pa.array(p, pa.binary())], names=["grp", "kind", "payload"])
-
-
-def repeats(blocks: int):
-    """Arrow function of a group: its subtree's repeats, dealt to blocks of documents; what a task knew passes on."""
+_LOW = np.uint64(0xFFFFFFFF)
+
+
+def depths(width: int) -> list[int]:
+    """Lengths of prefixes that are counted, and the full depth."""
+    return [*(1 << k for k in range(width.bit_length()) if 1 << k < width), width]
+
+
+def _packed(*arrays: np.ndarray, text: bytes = b"") -> bytes:
+    """Arrays, byte plane by byte plane: sorted and small numbers shrink to a few bytes each."""
+    head = np.array([len(arrays), *[len(a) * a.itemsize for a in arrays]], "<i8").tobytes()
+    planes = [np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() if len(a) else b"" for a in arrays]
+    return zstandard.ZstdCompressor(level=3 if text else 1).compress(b"".join([head, *planes, text]))
+
+
+def _unpacked(blob: bytes, *kinds: type) -> tuple[list[np.ndarray], bytes]:
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    n = int(np.frombuffer(data, "<i8", 1)[0])
+    sizes, at, out = np.frombuffer(data, "<i8", n, 8), 8 * (n + 1), []
+    for kind, size in zip(kinds, sizes.tolist(), strict=True):
+        item = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, size, at).reshape(item, -1).T).view(kind).ravel())
+        at += size
+    return out, data[at:]
+
+
+def _ranges(values: np.ndarray) -> list[tuple[int, int]]:
+    """[i, j) of each run of equal values."""
+    cut = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+    return list(zip(cut, cut[1:], strict=False)) if len(values) else []
+
+
+class Block:
+    """Documents of a block in order of id and key (equal rows are one), their words and their suffixes."""
+
+    def __init__(self, docs: pa.Table, width: int):
+        order = docs.append_column("place", pa.array(np.arange(docs.num_rows))).sort_by([("null", "descending"), ("doc_id", "ascending"), ("row_key", "ascending"), ("text", "ascending")])
+        texts = T.as_strings(order.column("text"))
+        id_, null, key = (order.column(c).combine_chunks() for c in ("doc_id", "null", "row_key"))
+        self.id, self.key = id_.fill_null(0).to_numpy(zero_copy_only=False), key.to_numpy(zero_copy_only=False)
+        self.null = null.to_numpy(zero_copy_only=False)
+        new = np.ones(len(texts), bool)
+        same = (self.id[1:] == self.id[:-1]) & (self.null[1:] == self.null[:-1]) & (self.key[1:] == self.key[:-1])
+        for k in np.flatnonzero(same):
+            new[k + 1] = texts[int(k)] != texts[int(k) + 1]
+        #: The document of each row of the table.
+        self.row = np.empty(len(texts), np.int64)
+        self.row[order.column("place").to_numpy()] = np.cumsum(new) - 1
+        self.id, self.key, self.null = self.id[new], self.key[new], self.null[new]
+        self.texts = texts.filter(pa.array(new))
+        self.width = width
+        self.words = T.words(self.texts)
+
+    def suffixes(self, heavy: dict[int, np.ndarray], groups: int) -> None:
+        """Sorts suffixes by group and node: `place` (index of the first word), `group`, `node` (fingerprints)."""
+        at = T.places(self.words, self.width)
+        prints = T.runs(T.prints(self.words), tuple(depths(self.width)))
+        node = prints[self.width][at]
+        group = (_prefix(prints, at, heavy, self.width) % np.uint64(groups)).astype(np.int32)
+        order = np.argsort(node, kind="stable")  # equal nodes stay in order of document and place
+        order = order[np.argsort(group[order].astype(np.uint16) if groups <= 1 << 16 else group[order], kind="stable")]
+        self.place, self.group, self.node = at[order], group[order], node[order]
+        self.doc = self.words.doc()[self.place]
+        change = (self.group[1:] != self.group[:-1]) | (self.node[1:] != self.node[:-1])
+        self.first = np.flatnonzero(np.append(True, change)) if len(at) else np.zeros(0, np.int64)
+
+    def told(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(group, 32 bits of its nodes in order, index of the nodes): each value once."""
+        out = []
+        group = self.group[self.first]
+        for i, j in _ranges(group):
+            value, which = np.unique((self.node[self.first[i:j]] & _LOW).astype(np.uint32), return_inverse=True)
+            out.append((int(group[i]), value, which))
+        return out
+
+
+def _prefix(prints: dict[int, np.ndarray], at: np.ndarray, heavy: dict[int, np.ndarray], width: int) -> np.ndarray:
+    """The shortest prefix of each suffix that is not heavy."""
+    steps = depths(width)
+    key, left = prints[steps[0]][at], np.arange(len(at))
+    for d, then in zip(steps, steps[1:], strict=False):
+        known = heavy.get(d)
+        if known is None or not len(left):
+            break
+        left = left[known[np.minimum(np.searchsorted(known, key[left]), len(known) - 1)] == key[left]]
+        key[left] = prints[then][at[left]]
+    return key
+
+
+def heavy_prefixes(docs: DataFrame, width: int, n_bytes: int) -> dict[int, np.ndarray]:
+    """Fingerprints of the prefixes, by length, that more than `GROUP` suffixes may have.
+
+    A slice tells only the prefixes that have more than their share, GROUP / 2 of all, of its suffixes; what is left
+    untold sums to GROUP / 2 at most, so every prefix with over GROUP suffixes is told more than GROUP / 2 times.
+    """
+    most = max(1.0, n_bytes / 2)  # suffixes: a word and a space have two bytes at least
+    heavy: dict[int, np.ndarray] = {}
+    if most <= GROUP:
+        return heavy
+    for d, then in zip([0, *depths(width)], depths(width)[:-1], strict=False):
+        if d and not len(heavy.get(d, [])):
+            break
+
+        def count(batches: Iterator[pa.RecordBatch], then: int = then, d: int = d) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                texts = T.as_strings(b.column(0))
+                for i, j in T.slices(texts):
+                    w = T.words(texts.slice(i, j - i))
+                    at = T.places(w, width)
+                    prints = T.runs(T.prints(w), tuple(depths(width)[: depths(width).index(then) + 1]))
+                    if d:
+                        last = prints[d][at]
+                        at = at[heavy[d][np.minimum(np.searchsorted(heavy[d], last), len(heavy[d]) - 1)] == last]
+                    key, n = np.unique(prints[then][at], return_counts=True)
+                    told = n > len(w.start) * GROUP / (2 * most)
+                    yield pa.record_batch([pa.array(key[told].view(np.int64)), pa.array(n[told])], names=["key", "n"])
+
+        found = docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > GROUP // 2)
+        heavy[then] = np.sort(np.array([r.key for r in found.select("key").collect()], np.int64).view(np.uint64))
+    return {d: x for d, x in heavy.items() if len(x)}
+
+
+def announce(width: int, heavy, groups: int):
+    """Arrow function of a block: (grp, block, payload) with the nodes that each group has here."""
+
+    def tell(key: tuple, docs: pa.Table) -> pa.Table:
+        block = Block(docs, width)
+        block.suffixes(heavy.value, groups)
+        out = [(g, _packed(np.diff(v, prepend=np.uint32(0)))) for g, v, _ in block.told()]
+        return pa.table({"grp": pa.array([g for g, _ in out], pa.int64()), "block": pa.array([key[0].as_py()] * len(out), pa.int64()), "payload": pa.array([p for _, p in out], pa.binary())})
+
+    return tell
+
+
+def shared(key: tuple, rows: pa.Table) -> pa.Table:
+    """Arrow function of a group: for each block a bit for each of its nodes, set if another block has it too."""
+    told = [np.cumsum(_unpacked(p.as_py(), np.uint32)[0][0], dtype=np.uint32) for p in rows.column("payload")]
+    value = np.sort(np.concatenate(told)) if told else np.zeros(0, np.uint32)
+    twice = np.unique(value[1:][value[1:] == value[:-1]])
+    out = []
+    for block, own in zip(rows.column("block").to_pylist(), told, strict=True):
+        bits = twice[np.minimum(np.searchsorted(twice, own), len(twice) - 1)] == own if len(twice) else np.zeros(len(own), bool)
+        if bits.any():
+            out.append((block, _packed(np.packbits(bits))))
+    return pa.table({"block": pa.array([b for b, _ in out], pa.int64()), "grp": pa.array([key[0].as_py()] * len(out), pa.int64()), "payload": pa.array([p for _, p in out], pa.binary())})
+
+
+def send(width: int, heavy, groups: int):
+    """Arrow function of a block and what it learned: (kind, grp, block, payload). Kind 0: suffixes for a group, as
+    document, place in it, ids and keys of the documents, and words. Kind 1: repeats of the block itself."""
+
+    def tell(key: tuple, docs: pa.Table, bits: pa.Table) -> pa.Table:
+        out: list[tuple[int, int, int, bytes]] = []
+        if docs.num_rows:
+            own = key[0].as_py()
+            block = Block(docs, width)
+            block.suffixes(heavy.value, groups)
+            w, first = block.words, block.words.first
+            number = np.repeat(np.arange(len(block.first)), np.diff(np.append(block.first, len(block.place))))
+            again = np.ones(len(block.place), bool)
+            again[block.first] = False
+            # Nodes of several suffixes of the block: confirmed by words, or else left to the group one by one.
+            word, _ = T.word_numbers(w)
+            more = np.flatnonzero(again)
+            head = block.place[block.first[number[more]]]
+            equal = np.ones(len(more), bool)
+            for k in range(width):
+                equal &= word[block.place[more] + k] == word[head + k]
+            odd = np.unique(number[more[~equal]])
+            again[np.isin(number, odd)] = False
+            wanted = np.zeros(len(block.first), bool)
+            wanted[odd] = True
+            learned = dict(zip(bits.column("grp").to_pylist(), bits.column("payload"), strict=True))
+            at = 0
+            for g, value, which in block.told():
+                if g in learned:
+                    flags = np.unpackbits(_unpacked(learned[g].as_py(), np.uint8)[0][0], count=len(value)).astype(bool)
+                    wanted[at : at + len(which)] |= flags[which]
+                at += len(which)
+            go = np.flatnonzero(wanted[number] & ~again)
+            go = go[np.lexsort((block.place[go], block.group[go]))]
+            for i, j in _ranges(block.group[go]):
+                some = go[i:j]
+                place, doc = block.place[some], block.doc[some]
+                who, which = np.unique(doc, return_inverse=True)
+                spans = T.as_array(w.buf, w.start[place], np.minimum(w.end[place + width - 1] + 1, len(w.buf)))
+                text = np.frombuffer(spans.buffers()[2], np.uint8).copy()
+                ends = np.frombuffer(spans.buffers()[1], np.int64)[1:]
+                text[ends[w.end[place + width - 1] < len(w.buf)] - 1] = 0x20
+                out.append((0, int(block.group[some[0]]), own, _packed(which.astype(np.int32), (place - first[doc]).astype(np.int32), who.astype(np.int32), block.id[who], block.null[who].astype(np.uint8), block.key[who], text=text.tobytes() + b" ")))
+            local = np.flatnonzero(again)
+            if len(local):
+                order = local[np.argsort(block.place[local])]
+                out.append((1, own, own, _packed(block.doc[order].astype(np.int32), (block.place[order] - first[block.doc[order]]).astype(np.int32))))
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        return pa.table([pa.array(list(x), k) for x, k in zip(zip(*out, strict=True) if out else [[]] * 4, kinds, strict=True)], names=["kind", "grp", "block", "payload"])
+
+    return tell
+
+
+def leaves(suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of suffixes (a row of word numbers each), and the common-prefix length of each with the one before it."""
+    n, width = suffix.shape
+    wide = suffix if width % 2 == 0 else np.concatenate([suffix, np.zeros((n, 1), suffix.dtype)], axis=1)
+    pairs = wide[:, ::2].astype(np.int64) << 32 | wide[:, 1::2].astype(np.int64)
+    order = np.lexsort(pairs.T[::-1])
+    differ = suffix[order[1:]] != suffix[order[:-1]]
+    length = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+    return order, np.append(0, length)[:n]
+
+
+def repeats(width: int):
+    """Arrow function of a group: its subtree's repeats as (block, payload); what a block knew passes on."""
 
     def group(key: tuple, rows: pa.Table) -> pa.Table:
         if key[0].as_py() == 1:
-            return rows.select(["grp", "payload"])
-        path, doc, at = (np.concatenate(x) for x in zip(*[_unpacked(p.as_py(), np.uint64, np.int64, np.int32) for p in rows.column("payload")], strict=True))
-        order, _, later = _earliest(path, doc, at)
-        known = order[later]
-        out = list(by_block(doc[known], at[known], blocks))
-        return pa.table({"grp": pa.array([b for b, _ in out], pa.int64()), "payload": pa.array([x for _, x in out], pa.binary())})
+            return rows.select(["block", "payload"])
+        parts, texts = [], []
+        for block, p in zip(rows.column("block").to_pylist(), rows.column("payload"), strict=True):
+            (doc, at, who, id_, null, row_key), text = _unpacked(p.as_py(), np.int32, np.int32, np.int32, np.int64, np.uint8, np.int64)
+            parts.append((np.full(len(doc), block, np.int64), who[doc], at, id_[doc], null[doc], row_key[doc]))
+            texts.append(text)
+        block, doc, at, id_, null, row_key = (np.concatenate(x) for x in zip(*parts, strict=True))
+        word, _ = T.word_numbers(T.words(T.as_strings(pa.array([b"".join(texts)], pa.large_binary()).cast(pa.large_string()))))
+        order, common = leaves(word.reshape(-1, width).astype(np.int32))
+        node = np.cumsum(common < width) - 1  # suffixes below one node at full depth
+        size = np.bincount(node)
+        many = size[node] > 1
+        order, node = order[many], node[many]
+        order = order[np.lexsort((at[order], row_key[order], id_[order], 1 - null[order].astype(np.int8), node))]
+        node = np.sort(node)
+        later = order[np.append(False, node[1:] == node[:-1])]
+        later = later[np.lexsort((at[later], doc[later], block[later]))]
+        out = [(int(block[later[i]]), _packed(doc[later[i:j]], at[later[i:j]])) for i, j in _ranges(block[later])]
+        return pa.table({"block": pa.array([b for b, _ in out], pa.int64()), "payload": pa.array([x for _, x in out], pa.binary())})
 
     return group
 
@@ -172,26 +286,22 @@ def keep_words(width: int, with_text: bool):
     """Arrow function of a block: its documents without the words below repeats."""
 
     def cut(key: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
-        parts = [_unpacked(p.as_py(), np.int64, np.int32) for p in found.column("payload")]
-        doc, at = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int32))
-        order = np.argsort(doc, kind="stable")
-        doc, at = doc[order], at[order]
-        texts, ids = T.as_strings(docs.column("text")), _ids(docs.column("doc_id").combine_chunks())
         n_words, n_removed, sha, kept, spans = [], [], [], [], []
-        for i, j in T.slices(texts):
-            w = T.words(texts.slice(i, j - i))
+        row = np.zeros(0, np.int64)
+        if docs.num_rows:
+            block = Block(docs, width)
+            row, w = block.row, block.words
+            first = w.first
             marks = np.zeros(len(w.start) + 1, np.int32)
-            for k in range(j - i):
-                lo, hi = np.searchsorted(doc, ids[i + k]), np.searchsorted(doc, ids[i + k], "right")
-                if hi > lo:
-                    s = np.unique(at[lo:hi])
-                    s = s[s + width <= w.counts[k]] + w.first[k]
-                    np.add.at(marks, s, 1)
-                    np.add.at(marks, s + width, -1)
+            for p in found.column("payload"):
+                doc, at = _unpacked(p.as_py(), np.int32, np.int32)[0]
+                place = first[doc] + at
+                np.add.at(marks, place, 1)
+                np.add.at(marks, place + width, -1)
             gone = np.cumsum(marks[:-1]) > 0
             lost = np.append(0, np.cumsum(gone))
-            for k in range(j - i):
-                a, b = int(w.first[k]), int(w.first[k + 1])
+            for k in range(len(block.texts)):
+                a, b = int(first[k]), int(first[k + 1])
                 n_words.append(b - a)
                 n_removed.append(int(lost[b] - lost[a]))
                 edge = np.diff(np.concatenate([[0], gone[a:b].view(np.int8), [0]])) if n_removed[-1] else np.zeros(1, np.int8)
@@ -208,11 +318,19 @@ def keep_words(width: int, with_text: bool):
                     kept.append(b" ".join(w.buf[w.start[stay[x]] : w.end[stay[y]]].tobytes() for x, y in zip(runs, last, strict=True)))
                 sha.append(hashlib.sha256(kept[-1]).hexdigest())
                 kept[-1] = kept[-1] if with_text else None
-        return pa.table({"doc_id": docs.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(sha, pa.string()), "kept_text": pa.array(kept, pa.binary()).cast(pa.string()), "removed": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))})
+        made = pa.table({"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(sha, pa.string()), "kept_text": pa.array(kept, pa.binary()).cast(pa.string()), "removed": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))})
+        made = made.take(pa.array(row))
+        return made.add_column(0, "doc_id", docs.column("doc_id"))
 
     return cut
 
 
+def _prime(n: int) -> int:
+    while any(n % k == 0 for k in range(2, math.isqrt(n) + 1)):
+        n += 1
+    return n
+
+
 def remove_repeated_passages(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, kept_text, removed]): each text without the words of `width`-word
     windows that start earlier in the corpus (smaller id, or the same text further left); `removed` has the maximal
@@ -220,10 +338,14 @@ def remove_repeated_passages(docs: DataFrame, width: int = 20, id_col: str = "do
     docs = T.narrow(docs, (id_col, "doc_id", "bigint"), (text_col, "text", "string"))
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bits, blocks = prefix_bits(n_bytes, parts), _prime(max(parts * 2, math.ceil(n_bytes / BLOCK_BYTES)))
-    found = docs.mapInArrow(suffix_groups(width, bits, blocks), "grp long, kind int, payload binary")
-    known = found.groupBy("kind", "grp").applyInArrow(repeats(blocks), "grp long, payload binary")
-    placed = docs.withColumn("grp", _block_column(blocks))
-    cut = placed.groupBy("grp").cogroup(known.groupBy("grp"))
+    groups, blocks = max(2 * parts, math.ceil(n_bytes / 4 / GROUP)), _prime(max(parts * 2, math.ceil(n_bytes / BLOCK_BYTES)))
+    heavy = docs.sparkSession.sparkContext.broadcast(heavy_prefixes(docs, width, n_bytes))
+    key = F.xxhash64("doc_id", "text")
+    placed = docs.select("doc_id", F.col("doc_id").isNull().alias("null"), key.alias("row_key"), "text", F.pmod(key, F.lit(blocks)).alias("block"))
+    told = placed.groupBy("block").applyInArrow(announce(width, heavy, groups), "grp long, block long, payload binary")
+    learned = told.groupBy("grp").applyInArrow(shared, "block long, grp long, payload binary")
+    sent = placed.groupBy("block").cogroup(learned.groupBy("block")).applyInArrow(send(width, heavy, groups), "kind int, grp long, block long, payload binary")
+    known = sent.groupBy("kind", "grp").applyInArrow(repeats(width), "block long, payload binary")
+    cut = placed.groupBy("block").cogroup(known.groupBy("block"))
     out = cut.applyInArrow(keep_words(width, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, removed array<struct<start: long, end: long>>")
     return out if with_text else out.drop("kept_text", "removed")

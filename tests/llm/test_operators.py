@@ -121,10 +121,15 @@ def _removed(rows, width=20):
     return sorted(out)
 
 
-def test_repeats_against_brute_force(spark, sf, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "RUN", 5000)
+@pytest.mark.parametrize("group", [2_000_000, 300])
+def test_repeats_against_brute_force(spark, sf, monkeypatch, group):
+    monkeypatch.setattr(substring_dedup, "GROUP", group)  # few: prefixes of many words
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 20_000)
     docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(5)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
+    if group == 300:
+        heavy = substring_dedup.heavy_prefixes(docs, 20, sum(len(t.encode()) for _, t in rows))
+        assert 1 in heavy and 2 in heavy
     got = sorted((*tuple(r)[:5], [tuple(x) for x in r.removed]) for r in substring_dedup.remove_repeated_passages(docs).collect())
     assert got == _removed(rows)
 
@@ -137,6 +142,37 @@ def test_repeats_of_few_words(spark, texts):
     assert got == _removed(list(enumerate(texts)), 3)
 
 
+def test_repeats_are_decided_by_words(spark, sf, monkeypatch):
+    """With fingerprints of two bits nearly all suffixes agree by chance; the result stays."""
+    weak = T.prints
+    monkeypatch.setattr(T, "prints", lambda w: weak(w) & np.uint64(1))
+    monkeypatch.setattr(T, "joined", lambda a, b, salt=0: (a + b) & np.uint64(1))
+    docs = pa.table({"doc_id": [1, 2, 3], "null": [False] * 3, "row_key": [5, 6, 7], "text": ["a b c d a b c d", "x a b c y", "q r s t"], "block": [0, 0, 0]})
+    heavy = type("Shared", (), {"value": {}})
+    one, two = docs.slice(0, 1), docs.slice(1, 2)
+    key = lambda k: (pa.scalar(k),)
+    told = [substring_dedup.announce(3, heavy, 1)(key(k), t) for k, t in enumerate((one, two))]
+    learned = substring_dedup.shared(key(0), pa.concat_tables(told))
+    sent = [substring_dedup.send(3, heavy, 1)(key(k), t, learned.filter(pa.array([b == k for b in learned.column("block").to_pylist()]))) for k, t in enumerate((one, two))]
+    rows = pa.concat_tables(sent)
+    found = substring_dedup.repeats(3)(key(0), rows.filter(pa.array([k == 0 for k in rows.column("kind").to_pylist()])))
+    for k, (t, want) in enumerate(((one, [4]), (two, [3, 0]))):
+        own = [x for x in (found, *[substring_dedup.repeats(3)(key(1), s.filter(pa.array([x == 1 for x in s.column("kind").to_pylist()]))) for s in sent])]
+        mine = pa.concat_tables([x.select(["block", "payload"]) for x in own])
+        mine = mine.filter(pa.array([b == k for b in mine.column("block").to_pylist()]))
+        assert substring_dedup.keep_words(3, True)(key(k), t, mine).column("n_removed").to_pylist() == want
+
+
+def test_common_prefix_lengths():
+    rng = np.random.default_rng(4)
+    for width in (1, 4, 5):
+        m = rng.integers(0, 3, (60, width)).astype(np.int32)
+        order, common = substring_dedup.leaves(m)
+        s = [tuple(x) for x in m[order].tolist()]
+        assert s == sorted(s) and common[0] == 0
+        assert all(n == next((k for k in range(width) if a[k] != b[k]), width) for a, b, n in zip(s, s[1:], common[1:].tolist()))
+
+
 def test_repeats_odd_input(spark, odd):
     out = substring_dedup.remove_repeated_passages(odd)
     got = [(r.doc_id, r.n_words, r.n_removed) for r in out.collect()]
@@ -144,6 +180,11 @@ def test_repeats_odd_input(spark, odd):
     assert len(got) == odd.count()
     assert got.count((2, n, n)) == 2 and (1, n, n) in got and (None, n, 0) in got  # null ids come first
     assert substring_dedup.remove_repeated_passages(_empty(odd)).count() == 0
+    # Rows of one id, or of none, with different texts are documents of their own: unique text stays, a copied passage goes once.
+    lead = [" ".join(f"own{k}w{j}" for j in range(25)) for k in range(4)]
+    rows = [(i, f"{lead[k]} {PROSE}") for i in (None, 7) for k in range(2)] + [(None, lead[2]), (7, lead[3])]
+    kept = substring_dedup.remove_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), width=20).collect()
+    assert sorted(r.n_removed for r in kept) == [0, 0, 0, n, 25 + n, 25 + n] and all(r.n_removed == 0 for r in kept if r.n_words == 25)
 
 
 # 3: quality.
