@@ -2,17 +2,20 @@
 
 Runs of `least` tokens that a text and a test item share are seeds; seeds on one diagonal join to maximal matches, and
 tiling takes the longest unmarked match again and again, marks its tokens on both sides, cuts what is left of the
-matches it overlaps, and stops below `least` tokens. Matches are found with rolling (Karp-Rabin) fingerprints of all
-windows. Tiles may come in any order, so a passage whose sentences were shuffled is covered as well as one in order. A
-text is contaminated by an item if tiles cover at least `coverage` of the item's tokens.
-
-The items go to every task while they have at most `SHARED_BYTES` of text, which is measured first; beyond that, texts
-and items meet by a join on their seeds. Tokens are lower-case runs of letters and digits (any character beyond ASCII
-counts as a letter).
-
-Results for odd input: null or empty text: covered by nothing. Items with null text or fewer than `least` tokens match
-nothing; items that share an id count apart and are reported once. Repeated rows get equal results. An empty table of
-texts gives an empty result, one of items leaves all texts clean. Other columns are not looked at.
+matches it overlaps, and stops below `least` tokens. Seeds are found with rolling (Karp-Rabin) fingerprints of all
+windows and confirmed token by token. Tiles may come in any order, so a passage whose sentences were shuffled is covered
+as well as one in order. A text is contaminated by an item if tiles cover at least `coverage` of the item's tokens.
+
+The items go to every task in blocks of at most `SHARED_BYTES` of text (usually there is one block), `BLOCKS_AT_ONCE` of
+them in one pass over the texts, so no seed, however frequent, gathers texts anywhere. A text and an item are compared a
+part of their pairs of places at a time (`PAIRS`), of which only maximal matches are kept, so repeated words do not
+multiply. Tokens are lower-case runs of letters and digits (any character beyond ASCII counts as a letter).
+
+Results for odd input: null or empty text: covered by nothing. A very long text is compared as a whole, by one task. Items
+of fewer than `least` tokens are seeds of their own length; items without tokens or with null text match nothing; items
+that share an id count apart and are reported once. Of matches of equal length the one further left in the text, then in
+the item, is taken. Repeated rows get equal results. An empty table of texts gives an empty result, one of items leaves
+all texts clean. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -27,87 +30,143 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from fieldloom.llm import text as T
+from fieldloom.session import checkpoint_dir
 
-#: The most text of items that is sent to every task.
+#: The most text of items that is sent to every task at once, and the blocks of items in one pass over the texts.
 SHARED_BYTES = 32 << 20
+BLOCKS_AT_ONCE = 4
+#: Pairs of places that are looked at together.
+PAIRS = 1 << 20
 _FILTER_BITS = 22
 
 
 @dataclass
-class Items:
-    """Test items: ids, token counts, and all their windows sorted by fingerprint."""
+class Seeds:
+    """Windows of one length of the items that have it as their seed length, sorted by fingerprint."""
 
-    ids: np.ndarray
-    tokens: np.ndarray
+    size: int
     print_: np.ndarray
     item: np.ndarray
     at: np.ndarray
+    seen: np.ndarray  # by the first bits of a fingerprint
 
-    def filter(self) -> np.ndarray:
-        seen = np.zeros(1 << _FILTER_BITS, bool)
-        seen[(self.print_ >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-        return seen
 
+@dataclass
+class Items:
+    """Test items: ids, token counts, their tokens' fingerprints, and their seeds by length."""
 
-def items_of(ids: list[int], texts: pa.Array, least: int) -> Items:
+    ids: np.ndarray
+    tokens: np.ndarray
+    word: np.ndarray
+    first: np.ndarray
+    seeds: list[Seeds]
+
+
+def _tokens(texts: pa.Array) -> tuple[T.Words, np.ndarray]:
     w = T.words(pc.utf8_lower(texts), T.PLAIN)
-    at, prints = T.windows(w, least)
-    doc = w.doc()[at]
-    order = np.argsort(prints, kind="stable")
-    return Items(np.array(ids, np.int64), w.counts, prints[order], doc[order], (at - w.first[doc])[order])
-
-
-def tile(here: np.ndarray, there: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (place here, place there, tokens) from all pairs of places where windows of `least` tokens agree."""
-    order = np.lexsort((here, here - there))
-    here, there = here[order], there[order]
-    new = np.append(True, (np.diff(here) != 1) | (np.diff(there) != 1))
-    first = np.flatnonzero(new)
-    run = np.diff(np.append(first, len(here)))
-    heap = [(-(int(n) + least - 1), int(here[k]), int(there[k])) for k, n in zip(first, run, strict=True)]
+    return w, T.prints(w)
+
+
+def items_of(ids: list[int], texts: pa.Array, least: int) -> Items:
+    w, word = _tokens(texts)
+    size, seeds = np.minimum(w.counts, least), []
+    for k in np.unique(size[size > 0]).tolist():
+        at = T.places(w, k)
+        at = at[size[w.doc()[at]] == k]
+        prints, doc = T.runs(word, (k,))[k][at], w.doc()[at]
+        order = np.argsort(prints, kind="stable")
+        seen = np.zeros(1 << _FILTER_BITS, bool)
+        seen[(prints >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
+        seeds.append(Seeds(k, prints[order], doc[order], (at - w.first[doc])[order], seen))
+    return Items(np.array(ids, np.int64), w.counts, word, w.first, seeds)
+
+
+def tile(matches: list[tuple[int, int, int]], n_here: int, n_there: int, least: int) -> list[tuple[int, int, int]]:
+    """Greedy tiles (place here, place there, tokens) from maximal matches (tokens, place here, place there)."""
+    heap = [(-n, i, j) for n, i, j in matches]
     heapq.heapify(heap)
-    marked, other, tiles = set(), set(), []
-    while heap:
+    marked, other, tiles = np.zeros(n_here, bool), np.zeros(n_there, bool), []
+    left = n_there  # unmarked tokens of the item
+    while heap and left >= least:
         n, i, j = heapq.heappop(heap)
-        free = [i + k not in marked and j + k not in other for k in range(-n)]
-        if all(free):
+        taken = marked[i : i - n] | other[j : j - n]
+        if not taken.any():
             tiles.append((i, j, -n))
-            marked.update(range(i, i - n))
-            other.update(range(j, j - n))
+            marked[i : i - n] = True
+            other[j : j - n] = True
+            left += n
             continue
-        opens = None
-        for k, ok in enumerate([*free, False]):
-            if ok and opens is None:
-                opens = k
-            elif not ok and opens is not None:
-                if k - opens >= least:
-                    heapq.heappush(heap, (opens - k, i + opens, j + opens))
-                opens = None
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], taken, [True]]).view(np.int8)))
+        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+            if b - a >= least:
+                heapq.heappush(heap, (a - b, i + a, j + a))
     return tiles
 
 
-def coverages(texts: pa.Array, items: Items, seen: np.ndarray, least: int) -> Iterator[tuple[int, int, float]]:
+def _matches(here: np.ndarray, which: np.ndarray, start: np.ndarray, n: np.ndarray, size: int) -> list[tuple[int, int, int]]:
+    """Maximal matches of one text and one item: windows at `here` agree with the item's at which[start : start + n]."""
+    ends, open_, out, k = np.cumsum(n), {}, [], 0
+    while k < len(here):  # windows in order of place, so many at a time as have `PAIRS` pairs
+        to = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + PAIRS, "right")))
+        m = n[k:to]
+        a = np.repeat(here[k:to], m)
+        b = which[np.arange(m.sum()) + np.repeat(start[k:to] - (np.cumsum(m) - m), m)]
+        order = np.lexsort((a, a - b))
+        a, b = a[order], b[order]
+        cut = np.append(0, np.flatnonzero((np.diff(a) != 1) | (np.diff(b) != 1)) + 1)
+        last = here[to] - 1 if to < len(here) else -1  # runs up to here may go on
+        going = {}
+        for x, y in zip(cut.tolist(), np.append(cut[1:], len(a)).tolist(), strict=True):
+            i, j, run = int(a[x]), int(b[x]), y - x
+            before = open_.pop(i - j, None)
+            if before and before[1] + before[0] == i:
+                run, i, j = run + before[0], before[1], before[2]
+            elif before:
+                out.append((before[0] + size - 1, *before[1:]))
+            if i + run - 1 == last:
+                going[i - j] = (run, i, j)
+            else:
+                out.append((run + size - 1, i, j))
+        out += [(r + size - 1, i, j) for r, i, j in open_.values()]
+        open_, k = going, to
+    return out + [(r + size - 1, i, j) for r, i, j in open_.values()]
+
+
+def coverages(texts: pa.Array, items: Items) -> Iterator[tuple[int, int, float]]:
     """(text, item, share of the item's tokens under tiles) for all pairs that share a seed."""
     for i, j in T.slices(texts):
-        w = T.words(pc.utf8_lower(texts.slice(i, j - i)), T.PLAIN)
-        at, prints = T.windows(w, least)
-        maybe = np.flatnonzero(seen[(prints >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
-        lo, hi = np.searchsorted(items.print_, prints[maybe]), np.searchsorted(items.print_, prints[maybe], "right")
-        n = hi - lo
-        if not n.sum():
-            continue
-        which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        here = np.repeat(at[maybe], n)
-        doc, item, there = w.doc()[here], items.item[which], items.at[which]
-        order = np.lexsort((item, doc))
-        doc, item, here, there = doc[order], item[order], here[order], there[order]
-        cut = np.flatnonzero(np.append(True, (np.diff(doc) != 0) | (np.diff(item) != 0)))
-        for x, y in zip(cut, np.append(cut[1:], len(doc)), strict=True):
-            covered = sum(t[2] for t in tile(here[x:y], there[x:y], least))
-            yield i + int(doc[x]), int(item[x]), covered / int(items.tokens[item[x]])
-
-
-_SCHEMA = "doc_id long, max_coverage double, n_items int, item_ids array<long>, contaminated boolean"
+        w, word = _tokens(texts.slice(i, j - i))
+        for s in items.seeds:
+            at = T.places(w, s.size)
+            prints = T.runs(word, (s.size,))[s.size][at] if len(at) else np.zeros(0, np.uint64)
+            maybe = np.flatnonzero(s.seen[(prints >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
+            prints, at = prints[maybe], at[maybe]
+            lo, hi = np.searchsorted(s.print_, prints), np.searchsorted(s.print_, prints, "right")
+            # Confirmed by the tokens of one item's window: equal fingerprints there are of equal tokens.
+            some = np.flatnonzero(hi > lo)
+            place = items.first[s.item[lo[some]]] + s.at[lo[some]]
+            same = np.ones(len(some), bool)
+            for k in range(s.size):
+                same &= items.word[place + k] == word[at[some] + k]
+            some = some[same]
+            at, lo, hi = at[some], lo[some], hi[some]
+            doc = w.doc()[at]
+            for x, y in _texts_of(doc):
+                here, first = at[x:y] - w.first[doc[x]], lo[x:y]
+                for item in np.unique(np.concatenate([s.item[a:b] for a, b in zip(first.tolist(), hi[x:y].tolist(), strict=True)])).tolist():
+                    # A fingerprint's windows stand by item: those of this item are one range.
+                    begin = np.array([a + np.searchsorted(s.item[a:b], item) for a, b in zip(first.tolist(), hi[x:y].tolist(), strict=True)])
+                    n = np.array([np.searchsorted(s.item[a:b], item, "right") for a, b in zip(first.tolist(), hi[x:y].tolist(), strict=True)]) + first - begin
+                    own = np.flatnonzero(n)
+                    matches = _matches(here[own], s.at, begin[own], n[own], s.size)
+                    tokens = int(items.tokens[item])
+                    covered = sum(t[2] for t in tile(matches, int(w.counts[doc[x]]), tokens, s.size))
+                    yield i + int(doc[x]), item, covered / tokens
+
+
+def _texts_of(doc: np.ndarray) -> list[tuple[int, int]]:
+    cut = [0, *(np.flatnonzero(np.diff(doc)) + 1).tolist(), len(doc)]
+    return list(zip(cut, cut[1:], strict=False)) if len(doc) else []
 
 
 def _report(n: int, found: Iterator[tuple[int, int, float]], ids: np.ndarray, coverage: float) -> list[tuple[float, list[int]]]:
@@ -119,93 +178,55 @@ def _report(n: int, found: Iterator[tuple[int, int, float]], ids: np.ndarray, co
     return list(zip(best, map(sorted, hit), strict=True))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, max_coverage, n_items, item_ids, contaminated) of every text; item_ids are those at or over `coverage`."""
-    docs = T.narrow(docs, (id_col, "doc_id", "bigint"), (text_col, "text", "string"))
-    bench, shared = _shared_items(benchmark, least, item_col, item_text_col)
-    if shared is None:
-        return _by_join(docs, bench, least, coverage).drop("row")
+def _blocks(bench: DataFrame) -> list[list[tuple[int, str]]]:
+    """The items in blocks of at most `SHARED_BYTES` of text (an item that is longer is a block of its own)."""
+    out, held = [[]], 0
+    for r in sorted(map(tuple, bench.collect())):
+        size = len(r[1].encode())
+        if out[-1] and held + size > SHARED_BYTES:
+            out, held = [*out, []], 0
+        out[-1].append(r)
+        held += size
+    return out
 
-    def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = shared.value
-        seen = items.filter()
-        for b in batches:
-            texts = T.as_strings(b.column(1))
-            got = _report(len(texts), coverages(texts, items, seen, least), items.ids, coverage)
-            yield _rows(b.column(0), got)
 
-    return docs.mapInArrow(mapper, _SCHEMA)
+def _passes(rows: DataFrame, benchmark: DataFrame, least: int, coverage: float, item_col: str, text_col: str) -> DataFrame:
+    """Rows (row, text, best, hits) with the largest coverage, and the ids of items at or over `coverage`, of all items."""
+    bench = T.narrow(benchmark, (item_col, "item_id", "bigint"), (text_col, "text", "string")).where("text is not null and item_id is not null")
+    spark = rows.sparkSession
+
+    def passed(shared):
+        def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items = shared.value
+            for b in batches:
+                texts = T.as_strings(b.column(1))
+                got = _report(len(texts), coverages(texts, items), items.ids, coverage)
+                old, hits = b.column(2).to_numpy(zero_copy_only=False), b.column(3).to_pylist()
+                best = np.maximum(old, [c for c, _ in got]) if got else old
+                hits = [sorted({*x, *y}) for x, (_, y) in zip(hits, got, strict=True)]
+                yield pa.record_batch([b.column(0), b.column(1), pa.array(best, pa.float64()), pa.array(hits, pa.list_(pa.int64()))], names=["row", "text", "best", "hits"])
+
+        return mapper
+
+    out = rows.select("row", "text", F.lit(0.0).alias("best"), F.array().cast("array<long>").alias("hits"))
+    for k, block in enumerate(_blocks(bench)):
+        if k and k % BLOCKS_AT_ONCE == 0:
+            checkpoint_dir(spark)
+            out = out.checkpoint()
+        shared = spark.sparkContext.broadcast(items_of([i for i, _ in block], T.as_strings(pa.array([t for _, t in block], pa.string())), least))
+        out = out.mapInArrow(passed(shared), out.schema)
+    return out
 
 
-def _shared_items(benchmark: DataFrame, least: int, item_col: str, text_col: str):
-    """Items with a text, and a broadcast of them unless they are too large."""
-    bench = T.narrow(benchmark, (item_col, "item_id", "bigint"), (text_col, "text", "string")).where("text is not null and item_id is not null")
-    if (bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > SHARED_BYTES:
-        return bench, None
-    rows = sorted((r.item_id, r.text) for r in bench.collect())
-    return bench, benchmark.sparkSession.sparkContext.broadcast(items_of([r[0] for r in rows], T.as_strings(pa.array([r[1] for r in rows], pa.string())), least))
+def contamination(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(doc_id, max_coverage, n_items, item_ids, contaminated) of every text; item_ids are those at or over `coverage`."""
+    docs = T.narrow(docs, (id_col, "doc_id", "bigint"), (text_col, "text", "string"))
+    found = _passes(docs.select(F.col("doc_id").alias("row"), "text"), benchmark, least, coverage, item_col, item_text_col)
+    return found.select(F.col("row").alias("doc_id"), F.col("best").alias("max_coverage"), F.size("hits").alias("n_items"), F.col("hits").alias("item_ids"), (F.size("hits") > 0).alias("contaminated"))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: float = 0.5, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows, all columns, that no item contaminates."""
-    bench, shared = _shared_items(benchmark, least, item_col, item_text_col)
-    if shared is None:
-        text = F.col(f"`{text_col}`").cast("string")
-        keyed = docs.withColumn("_row", F.xxhash64(F.lit(None).cast("bigint"), text))
-        found = _by_join(docs.select(F.lit(None).cast("bigint").alias("doc_id"), text.alias("text")).distinct(), bench, least, coverage)
-        return keyed.join(found.where("contaminated").select(F.col("row").alias("_row")), "_row", "left_anti").select(*docs.columns)
-
-    def keeps():
-        items = shared.value
-        seen = items.filter()
-
-        def passes(texts: pa.Array) -> np.ndarray:
-            clean = np.ones(len(texts), bool)
-            for doc, _, share in coverages(texts, items, seen, least):
-                clean[doc] &= share < coverage
-            return clean
-
-        return passes
-
-    return T.rows_kept(docs, text_col, keeps)
-
-
-def _rows(ids: pa.Array, got: list[tuple[float, list[int]]]) -> pa.RecordBatch:
-    hits = [x for _, x in got]
-    columns = [ids, pa.array([c for c, _ in got], pa.float64()), pa.array(list(map(len, hits)), pa.int32()), pa.array(hits, pa.list_(pa.int64())), pa.array([bool(x) for x in hits], pa.bool_())]
-    return pa.record_batch(columns, names=["doc_id", "max_coverage", "n_items", "item_ids", "contaminated"])
-
-
-def _seeds(least: int):
-    def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = T.as_strings(b.column(1))
-            for i, j in T.slices(texts):
-                w = T.words(pc.utf8_lower(texts.slice(i, j - i)), T.PLAIN)
-                at, prints = T.windows(w, least)
-                pair = np.unique(np.stack([w.doc()[at].astype(np.uint64), prints], axis=1), axis=0) if len(at) else np.zeros((0, 2), np.uint64)
-                yield pa.record_batch([b.column(0).slice(i, j - i).take(pa.array(pair[:, 0].astype(np.int64))), pa.array(pair[:, 1].view(np.int64))], names=["id", "seed"])
-
-    return mapper
-
-
-def _by_join(docs: DataFrame, bench: DataFrame, least: int, coverage: float) -> DataFrame:
-    """The same for items of any size: seeds, then pairs, then the texts of pairs."""
-    key = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
-    own = key.select("row", "text").mapInArrow(_seeds(least), "id long, seed long").withColumnRenamed("id", "row")
-    theirs = bench.mapInArrow(_seeds(least), "id long, seed long").withColumnRenamed("id", "item_id")
-    pairs = own.join(theirs, "seed").select("row", "item_id").distinct()
-    texts = pairs.join(key.select("row", "text").distinct(), "row").join(bench.withColumnRenamed("text", "item_text"), "item_id")
-
-    def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            share = []
-            for text, item in zip(b.column("text"), b.column("item_text"), strict=True):
-                items = items_of([0], T.as_strings(pa.array([item.as_py()], pa.string())), least)
-                share.append(max((c for _, _, c in coverages(T.as_strings(pa.array([text.as_py()], pa.string())), items, items.filter(), least)), default=0.0))
-            yield pa.record_batch([b.column("row"), b.column("item_id"), pa.array(share, pa.float64())], names=["row", "item_id", "share"])
-
-    shares = texts.select("row", "text", "item_id", "item_text").mapInArrow(mapper, "row long, item_id long, share double")
-    best = shares.groupBy("row").agg(F.max("share").alias("share"), F.array_sort(F.collect_set(F.when(F.col("share") >= coverage, F.col("item_id")))).alias("hits"))
-    hits = F.coalesce("hits", F.array().cast("array<long>"))
-    return key.join(best, "row", "left").select("row", "doc_id", F.coalesce("share", F.lit(0.0)).alias("max_coverage"), F.size(hits).alias("n_items"), hits.alias("item_ids"), (F.size(hits) > 0).alias("contaminated"))
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    found = _passes(docs.select(rest.alias("row"), F.col(f"`{text_col}`").cast("string").alias("text")), benchmark, least, coverage, item_col, item_text_col)
+    return found.where(F.size("hits") == 0).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

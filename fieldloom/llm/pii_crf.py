@@ -9,8 +9,9 @@ on a bounded sample of texts labelled by the patterns, with copies of it in whic
 patterns do not know (no plus sign, dots in cards, an address with a port). Labels come from loopy belief propagation,
 all texts of a batch at once. Spans of the patterns always stay; the field only adds spans beside them.
 
-Results for odd input: null or empty text: no spans. Repeated rows and null ids get a row each; an empty table gives
-an empty result. Other columns are not looked at.
+Results for odd input: null or empty text: no spans. A very long text is searched as a whole, by one task. Repeated rows
+and null ids get a row each; of overlapping spans of several kinds all are told, by start and then kind. Digits beyond
+ASCII are no digits. An empty table gives an empty result. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from fieldloom.llm import text as T
 KINDS = ("email", "ip", "card", "phone")
 #: The most texts that weights are fitted on: the bound on what the driver holds (whole texts are not kept).
 TRAIN_TEXTS = 1500
+#: Longer texts are not among them.
+TRAIN_CHARS = 200_000
 #: The most rounds of messages, for texts whose messages do not settle; and the move of a message that counts as settled.
 ROUNDS = 200
 SETTLED = 1e-7
@@ -44,6 +47,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_DIGITS = re.compile(r"[0-9]+")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 Span = tuple[int, int, int]  # start, kind, end
@@ -73,7 +77,7 @@ def base_spans(text: str) -> list[Span]:
             last = at + 1
         at = text.find("@", last)
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split(".")):
+        if all(map(_is_byte, m.group().split("."))):
             out.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
         digits = m.group().replace(" ", "").replace("-", "")
@@ -97,6 +101,11 @@ def _shape(word: str) -> str:
     return re.sub(r"[0-9]+", lambda m: "9" * min(len(m.group()), 5), runs)
 
 
+def _is_byte(part: str) -> bool:
+    """Whether ASCII digits write a number up to 255."""
+    return bool(_DIGITS.fullmatch(part)) and len(part.lstrip("0")) <= 3 and int(part.lstrip("0") or 0) <= 255
+
+
 def _features(words: list[str], k: int) -> list[int]:
     word = words[k]
     core = word.strip(".,;:!?\"'")
@@ -105,9 +114,9 @@ def _features(words: list[str], k: int) -> list[int]:
     before, after = (words[k - 1] if k else "<"), (words[k + 1] if k + 1 < len(words) else ">")
     parts = core.split(".")
     own = [
-        "shape " + shape[:24], "classes " + re.sub(r"(.)\1+", r"\1", shape)[:16], f"digits {min(len(digits), 20)}", f"signs {min(core.count('@'), 2)}", f"dots {min(core.count('.'), 5)}",
-        f"plus {core[:1] == '+'}", f"open {core[:1] == '('}", f"luhn {12 <= len(digits) <= 19 and luhn(digits)} {core.isdigit()}", f"ip {len(parts) == 4 and all(p.isdigit() and int(p[:4]) < 256 for p in parts)}",
-        f"mail {bool(re.search(r'[^@]@[^@]+[.][^@]', core))}", "before " + _shape(before)[-8:], "after " + _shape(after)[:8], "both " + _shape(before)[-4:] + shape[:8] + _shape(after)[:4], "bias",
+        "shape " + shape, "classes " + re.sub(r"(.)\1+", r"\1", shape), f"digits {min(len(digits), 20)}", f"signs {min(core.count('@'), 2)}", f"dots {min(core.count('.'), 5)}",
+        f"plus {core[:1] == '+'}", f"open {core[:1] == '('}", f"luhn {12 <= len(digits) <= 19 and luhn(digits)} {core == digits}", f"ip {len(parts) == 4 and all(map(_is_byte, parts))}",
+        f"mail {bool(re.search(r'[^@]@[^@]+[.][^@]', core))}", "before " + _shape(before), "after " + _shape(after), f"both {_shape(before)} {shape} {_shape(after)}", "bias",
     ]
     return [zlib.crc32(f.encode()) & ((1 << _BITS) - 1) for f in own]
 
@@ -303,12 +312,14 @@ def candidates(texts: pa.Array) -> np.ndarray:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: int = TRAIN_TEXTS) -> Field:
-    """Weights from at most `texts` texts with a digit or an at sign, chosen by a hash of id and text."""
-    docs = T.narrow(docs, (id_col, "doc_id", "bigint"), (text_col, "text", "string")).where(F.col("text").rlike("[0-9@]"))
-    some = docs.select(F.xxhash64("doc_id", "text").alias("at"), "text")
+    """Weights from at most `texts` texts with a digit or an at sign, of at most `TRAIN_CHARS` characters, with different
+    ids, chosen by a hash of the id."""
+    docs = T.narrow(docs, (id_col, "doc_id", "bigint"), (text_col, "text", "string"))
+    fit_for = F.col("text").rlike("[0-9@]") & (F.length("text") <= TRAIN_CHARS)
+    some = T.sampled(docs.select(F.xxhash64("doc_id").alias("at"), "text"), "at", texts, fit_for)
     # Only surroundings of candidates leave the executors: 200 characters on either side.
-    cut = some.orderBy("at").limit(texts).select("at", F.expr(r"array_join(regexp_extract_all(text, '(?s)(.{0,200}[0-9@].{0,200})', 1), '\n')").alias("text"))
-    rows = [r.text for r in cut.orderBy("at", "text").collect()]
+    cut = some.select("at", F.expr(r"array_join(regexp_extract_all(text, '(?s)(.{0,200}[0-9@].{0,200})', 1), '\n')").alias("text"))
+    rows = [r.text for r in sorted(cut.collect())]
     graph, spans = Graph(), {}
     for n, t in enumerate(rows):
         found = base_spans(t)

@@ -186,17 +186,18 @@ def word_numbers(w: Words) -> tuple[np.ndarray, pa.Array]:
     return numbers(pa.Array.from_buffers(pa.large_binary(), len(w.start), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(data))]))
 
 
-def sampled(rows: DataFrame, key: str, n: int, among: int = 4) -> DataFrame:
-    """At most n of the rows with different `key` (a column of hashes), those with the smallest ones.
+def sampled(rows: DataFrame, key: str, n: int, where: Column | None = None, among: int = 8) -> DataFrame:
+    """At most n of the rows that `where` holds for, with different `key` (a column of hashes): those with the smallest.
 
     Rows are counted first, so that a filter on the key leaves about `among` times n of them in all tasks together,
-    whatever the table's size; then only keys are sorted, and rows of the chosen keys are read once more.
+    whatever the table's size; `where` is asked for these only, and finds n among them unless it holds for less than one
+    row in `among`. Then only keys are sorted, and the rows of the chosen keys are read once more.
     """
-    total = rows.count()
-    share = 2.0 ** 64 * min(1.0, among * n / max(1, total)) - 2.0 ** 63
-    some = rows if share >= 2.0 ** 63 else rows.where(F.col(key) < F.lit(int(share)))
+    share = 2.0**64 * min(1.0, among * n / max(1, rows.count())) - 2.0**63
+    some = rows if share >= 2.0**63 else rows.where(F.col(key) < F.lit(int(share)))
+    some = some if where is None else some.where(where)
     last = [r[0] for r in some.select(key).distinct().orderBy(key).limit(n).collect()][-1:]
-    return some.where(F.col(key) <= F.lit(last[0] if last else 0)).dropDuplicates([key])
+    return some.where(F.col(key) <= F.lit(last[0]) if last else F.lit(False)).dropDuplicates([key])
 
 
 def crc_of(doc_id: Column) -> Column:

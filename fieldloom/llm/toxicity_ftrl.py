@@ -5,9 +5,10 @@ pairs with one or two words skipped, hashed to `1 << BITS` places. FTRL-proximal
 coordinate and an L1 term that leaves most weights at exactly zero, so what is broadcast is the nonzero weights:
 a list of at most `1 << BITS` places, in practice some thousands.
 
-The model is fitted on at most `TRAIN_ROWS` labelled rows, chosen by a hash of their id; all rows are scored. Results
-for odd input: null or empty text: the score of a text without features. Rows repeated with one id get a row each; an
-id labelled both ways counts as toxic; null ids are never labelled nor held out. Without a labelled row no feature has
+The model is fitted on at most `TRAIN_ROWS` labelled ids, chosen by a hash; all rows are scored. Results for odd input:
+null or empty text: the score of a text without features. A very long text is scored as a whole, by one task. Rows
+repeated with one id get a row each, and one of them (with the smallest text hash) is learned from; an id labelled both
+ways counts as toxic; a score of exactly one half is toxic; null ids are never labelled nor held out. Without a labelled row no feature has
 a weight and all scores are that of the first bias, below 0.5. An empty table gives an empty result. Other columns are not looked at.
 """
 
@@ -113,10 +114,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A model of the labelled rows that are not held out, at most `rows` of them."""
     known = T.narrow(labels, (id_col, "doc_id", "bigint"), (label_col, "label", "int")).where("doc_id is not null and label is not null")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # at most `rows` of 16 bytes: broadcast below
+    known = T.sampled(known.withColumn("at", F.xxhash64("doc_id")), "at", rows).select("doc_id", "label")  # at most `rows` of 16 bytes: broadcast below
     docs = T.narrow(docs, (id_col, "doc_id", "bigint"), (text_col, "text", "string"))
-    found = docs.join(F.broadcast(known), "doc_id").select("label", "text")
-    made = found.mapInArrow(_hashed, "label int, places array<int>").limit(2 * rows).toArrow()
+    found = docs.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    made = found.select("label", "text").mapInArrow(_hashed, "label int, places array<int>").toArrow()
     own = [(int(y), x.values.to_numpy()) for y, x in zip(made.column("label").to_pylist(), made.column("places"), strict=True)]
     own.sort(key=lambda r: (zlib.crc32(r[1].tobytes()), r[0]))  # an order that no partitioning changes
     return fit(own)
