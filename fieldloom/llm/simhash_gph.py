@@ -8,14 +8,26 @@ fingerprints than `BUCKET` (one large cluster of near copies) makes no pairs eit
 within one bit of themselves; two fingerprints are at most two bits apart exactly if they share such a value, so
 linking every member to the smallest one at the same value loses no link and no value has more than 65 members.
 
-Results for odd input: null or empty text has no words and fingerprint zero, linked like any other; rows repeated
-with one id are nodes like others; null ids keep their row, with the component of their fingerprint; an empty table
-gives an empty result. Other columns are not looked at.
+That is one fingerprint of three-word shingles at a fixed radius. Texts of a given similarity are further apart: a share
+of 0.8 of all five-word shingles leaves 15 % of the bits different, which no radius over 64 bits tells from chance.
+`similar_texts` therefore takes several blocks of 64 bits as one wide fingerprint of the distinct shingles, in groups of
+correlated bits again. Each group's threshold (none, equal, one bit) comes from a dynamic program that reaches the
+wanted probability of meeting at least once, for a pair just similar enough, at the least estimated number of probes
+and candidates. Rows of a bucket are compared by another 64 bits, which travel with them; what passes is compared by the
+whole fingerprint, and pairs that it leaves in doubt are verified by their sets of shingles. A bucket links its members
+by its shortest links only, so large clusters make no pairs, and links between texts that are already in one component
+are not verified.
+
+Results for odd input: null or empty text has no words and fingerprint zero, linked like any other; a very long text is
+one row of one task; rows repeated with one id are nodes like others; null ids keep their row, with the component of
+their fingerprint; of equally small ids the row with the smaller hash stays; an empty table gives an empty result. Other
+columns are not looked at.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,27 +46,38 @@ SAMPLE = 4000
 _ALL = (1 << 64) - 1
 
 
+def _majority(values: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """For each of n documents the 64 bits that are set in over half of its values (in order of document)."""
+    size = np.bincount(doc, minlength=n)
+    opens = np.cumsum(size) - size
+    count = np.zeros((n, 64), np.int64)
+    if len(values):
+        bits = np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        # Byte sums of up to 255 rows at once, then sums of these for each text.
+        cut = np.unique(np.concatenate([x + opens[size > x] for x in range(0, int(size.max()), 255)]))
+        part = np.add.reduceat(bits.view(np.uint64), cut, axis=0).view(np.uint8).reshape(-1, 64)
+        owner = doc[cut]
+        new = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        count[owner[new]] = np.add.reduceat(part.astype(np.int64), new, axis=0)
+    return np.packbits((2 * count > size[:, None]).astype(np.uint8), axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def _shingles(w: T.Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, first word, last word) of every shingle; a text of fewer words is one."""
+    first, n = w.first, w.counts
+    shingles = np.where(n >= size, n - size + 1, (n > 0).astype(np.int64))
+    opens = np.append(0, np.cumsum(shingles))
+    doc = np.repeat(np.arange(len(n)), shingles)
+    at = first[doc] + np.arange(opens[-1]) - opens[doc]
+    return doc, at, np.minimum(at + size, first[doc + 1]) - 1
+
+
 def _fingerprints(texts: pa.Array, size: int) -> np.ndarray:
     out = []
     for i, j in T.slices(texts):
         w = T.words(texts.slice(i, j - i), T.LOWER)
-        first, n = w.first, w.counts
-        shingles = np.where(n >= size, n - size + 1, (n > 0).astype(np.int64))
-        opens = np.append(0, np.cumsum(shingles))
-        doc = np.repeat(np.arange(len(n)), shingles)
-        at = first[doc] + np.arange(opens[-1]) - opens[doc]
-        to = np.minimum(at + size, first[doc + 1]) - 1
-        bits = np.unpackbits(xxh64(w.buf, w.start[at], w.end[to]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        # Byte sums of up to 255 rows at once, then sums of these for each text.
-        count = np.zeros((len(n), 64), np.int64)
-        if len(at):
-            cut = np.unique(np.concatenate([x + opens[:-1][shingles > x] for x in range(0, int(shingles.max()), 255)]))
-            part = np.add.reduceat(bits.view(np.uint64), cut, axis=0).view(np.uint8).reshape(-1, 64)
-            owner = doc[cut]
-            new = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-            count[owner[new]] = np.add.reduceat(part.astype(np.int64), new, axis=0)
-        over = (2 * count > shingles[:, None]).astype(np.uint8)
-        out.append(np.packbits(over, axis=1, bitorder="little").view(np.uint64).ravel())
+        doc, at, to = _shingles(w, size)
+        out.append(_majority(xxh64(w.buf, w.start[at], w.end[to]), doc, j - i))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -70,20 +93,33 @@ def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_co
     return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInArrow(mapper, "doc_id long, row_key long, fp long")
 
 
+def _bits(fps: np.ndarray) -> np.ndarray:
+    """A row of zeros and ones for each fingerprint, of one or several 64-bit words."""
+    words = fps.reshape(len(fps), -1)
+    return np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, bitorder="little")
+
+
+def bit_sets(bits: np.ndarray, m: int) -> list[list[int]]:
+    """The bits in m groups of like size; each takes the bits that go with those it has."""
+    own = bits - bits.mean(axis=0)
+    sd = np.maximum(own.std(axis=0), 1e-9)
+    going = np.abs(own.T @ own / max(1, len(own))) / np.outer(sd, sd)
+    width, free, out = bits.shape[1], np.ones(bits.shape[1], bool), []
+    for size in [width // m + (k < width % m) for k in range(m)]:
+        group = [int(np.argmax(free))]
+        free[group[0]] = False
+        score = going[group[0]].copy()
+        while len(group) < size:
+            group.append(int(np.argmax(np.where(free, score, -1.0))))
+            free[group[-1]] = False
+            score += going[group[-1]]
+        out.append(sorted(group))
+    return out
+
+
 def bit_groups(fps: np.ndarray, m: int) -> list[int]:
-    """Masks of m groups of like size; each takes the bits that go with those it has."""
-    bits = ((fps[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(float)
-    bits -= bits.mean(axis=0)
-    sd = np.maximum(bits.std(axis=0), 1e-9)
-    going = np.abs(bits.T @ bits / max(1, len(fps))) / np.outer(sd, sd)
-    free, masks = set(range(64)), []
-    for size in [64 // m + (k < 64 % m) for k in range(m)]:
-        own = [min(free)]
-        while len(own) < size:
-            own.append(max(sorted(free - set(own)), key=lambda b: going[b, own].sum()))
-        free -= set(own)
-        masks.append(sum(1 << b for b in own))
-    return masks
+    """Masks of m groups of the 64 bits."""
+    return [sum(1 << b for b in g) for g in bit_sets(_bits(fps).astype(float), m)]
 
 
 def thresholds(fps: np.ndarray, masks: list[int], radius: int, n: int) -> tuple[float, list[int]]:
@@ -167,8 +203,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, id_col: str
     made = fingerprints(docs, size, id_col, text_col).checkpoint()
     nodes = made.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).checkpoint()
     n = nodes.count()
-    sample = nodes.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("fp").collect()
-    fps = np.array([r.fp for r in sample], np.int64).view(np.uint64)
+    sample = T.sampled(nodes.select("fp", F.xxhash64("fp").alias("at")), "at", SAMPLE).select("fp").collect()
+    fps = np.array(sorted(r.fp for r in sample), np.int64).view(np.uint64)
     labels = nodes.select("fp", "rep", F.col("fp").alias("root"))
     if n > 1:
         edges = links(nodes, plan(fps, n, radius), radius).checkpoint()
@@ -186,3 +222,303 @@ def one_of_each(docs: DataFrame, size: int = 3, radius: int = 2, id_col: str = "
     kept = first.select(F.col("best.row_key").alias("_row_key")).checkpoint()
     own = docs.withColumn("_row_key", F.xxhash64(F.col(f"`{id_col}`").cast("bigint"), F.col(f"`{text_col}`").cast("string")))
     return own.join(kept, "_row_key", "left_semi").dropDuplicates(["_row_key"]).drop("_row_key")
+
+
+# Texts of a given similarity.
+
+#: 64-bit blocks of a wide fingerprint, fingerprints that its groups of bits are chosen from, and sizes of a group.
+BLOCKS = 16
+WIDE_SAMPLE = 1000
+WIDTHS = (14, 16, 18, 20, 24, 28, 32)
+#: The probability that a pair which is just similar enough meets in a bucket.
+RECALL = 0.99
+#: Deviations that a distance may be off before a pair is taken for certain, or given up.
+DOUBT = 3.0
+#: Pairs of a bucket that are compared at once, and members of a bucket up to which all its links are told.
+AT_ONCE, FEW = 1 << 19, 8
+#: Members of a bucket that are compared pair by pair; more are compared so many at a time, and all with the first ones.
+RUN, LEADERS = 20_000, 64
+#: Rows of 16 bytes that are broadcast after a count.
+SMALL_ROWS = 300_000
+
+
+def differing(share: float) -> float:
+    """The share of bits that differ between the fingerprints of two sets with this Jaccard similarity."""
+    return math.acos(2 * share / (1 + share)) / math.pi
+
+
+def _limit(share: float, bits: int, deviations: float) -> int:
+    p = differing(share)
+    return int(p * bits + deviations * math.sqrt(bits * p * (1 - p)))
+
+
+def shingle_sets(texts: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(i, j, shingles, document): the distinct shingles of texts i to j, in order of document and shingle."""
+    for i, j in T.slices(texts):
+        w = T.words(texts.slice(i, j - i), T.LOWER)
+        doc, at, to = _shingles(w, size)
+        made = T.runs(T.prints(w), tuple(range(1, size + 1)))
+        prints = np.zeros(len(at), np.uint64)
+        for k in range(1, size + 1):
+            some = to - at == k - 1
+            prints[some] = made[k][at[some]]
+        order = np.lexsort((prints, doc))
+        prints, doc = prints[order], doc[order]
+        new = np.ones(len(prints), bool)
+        new[1:] = (prints[1:] != prints[:-1]) | (doc[1:] != doc[:-1])
+        yield i, j, prints[new], doc[new]
+
+
+def wide_fingerprints(docs: DataFrame, size: int, blocks: int) -> DataFrame:
+    """(doc_id, row_key, fp) of rows (doc_id, row_key, text): `blocks` words of 64 bits, each by a hash of its own."""
+
+    def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, prints, doc in shingle_sets(T.as_strings(b.column(2)), size):
+                words = np.stack([_majority(T.joined(prints, np.full(len(prints), k, np.uint64), k), doc, j - i) for k in range(blocks)], axis=1)
+                flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * blocks), j - i, [None, pa.py_buffer(np.ascontiguousarray(words))])
+                yield pa.record_batch([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), flat.cast(pa.binary())], names=["doc_id", "row_key", "fp"])
+
+    return docs.mapInArrow(mapper, "doc_id long, row_key long, fp binary")
+
+
+def wide_plan(bits: np.ndarray, n: int, share: float, recall: float = RECALL) -> list[tuple[list[int], int]]:
+    """(bits, threshold) of the groups that are probed: the cheapest that give the recall, over groups of several widths.
+
+    A group that a pair meets in with probability q adds -log(1 - q) to what the recall needs; its cost is its probes and
+    the candidates that the sample shows for it, carried on to n fingerprints.
+    """
+    p, unit = differing(share), 0.005
+    need = math.ceil(-math.log(1 - recall) / unit)
+    pairs = max(1, len(bits) * (len(bits) - 1) // 2)
+    found: list[tuple[float, list[tuple[list[int], int]]]] = []
+    for width in WIDTHS:
+        groups = [g for g in bit_sets(bits.astype(float), max(1, bits.shape[1] // width))]
+        best: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
+        for g in groups:
+            own = bits[:, g].astype(np.uint64) @ (np.uint64(1) << np.arange(len(g), dtype=np.uint64))
+            near = np.zeros(3)
+            for k in range(1, len(own)):
+                near += np.bincount(np.minimum(np.bitwise_count(own[k:] ^ own[:-k]), 2), minlength=3)
+            step = dict(best)
+            for t in (0, 1):
+                probes = 1 + t * len(g)
+                even = (1 + t * len(g)) / 2.0 ** len(g)
+                cost = 8.0 * n * probes + max(near[: t + 1].sum() / pairs, even) * n * (n - 1) / 2
+                q = (1 - p) ** len(g) + t * len(g) * p * (1 - p) ** (len(g) - 1)
+                gain = int(-math.log(1 - q) / unit)
+                for have, (c, chosen) in best.items():
+                    to = min(need, have + gain)
+                    if gain and c + cost < step.get(to, (math.inf, ()))[0]:
+                        step[to] = (c + cost, (chosen, (g, t)))
+            best = step
+        if need in best:
+            cost, chosen = best[need]
+            groups = []
+            while chosen:
+                chosen, last = chosen
+                groups.append(last)
+            found.append((cost, groups))
+    if not found:
+        raise ValueError("no groups of so few bits reach the recall")
+    return min(found, key=lambda x: x[0])[1]
+
+
+def _key_rows(groups: list[tuple[list[int], int]]):
+    """Arrow mapper: (node, fp) to (bucket, own, node, sketch), a row for each group and each value it probes."""
+
+    def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 2000):
+                node = b.column(0).slice(i, 2000).to_numpy()
+                words = np.frombuffer(b"".join(b.column(1).slice(i, 2000).to_pylist()), np.uint64).reshape(len(node), -1)
+                bits, sketch = _bits(words), words[:, -1].view(np.int64)
+                for k, (g, t) in enumerate(groups):
+                    value = bits[:, g].astype(np.int64) @ (np.int64(1) << np.arange(len(g)))
+                    for flip in [0, *(1 << x for x in range(t * len(g)))]:
+                        bucket = np.int64(k) << 40 | value ^ flip
+                        yield pa.record_batch([pa.array(bucket), pa.array(np.full(len(node), flip == 0)), pa.array(node), pa.array(sketch)], names=["bucket", "own", "node", "sketch"])
+
+    return mapper
+
+
+def _forest(a: np.ndarray, b: np.ndarray, d: np.ndarray, size: int) -> np.ndarray:
+    """Which links connect what they all connect, the shortest ones first (a and b are places below `size`)."""
+    up = list(range(size))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    keep = []
+    for k in np.lexsort((b, a, d)).tolist():
+        x, y = root(int(a[k])), root(int(b[k]))
+        if x != y:
+            up[y] = x
+            keep.append(k)
+            if len(keep) == size - 1:
+                break
+    return np.array(keep, np.int64)
+
+
+def _links_of(node: np.ndarray, own: np.ndarray, sketch: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links of one large bucket, a part of its pairs at a time; the links of each part only as far as they connect."""
+    step = max(1, AT_ONCE // max(1, min(len(node), RUN)))
+    for i in range(0, len(node), step):
+        rows = np.arange(i, min(i + step, len(node)))
+        lo = i // RUN * RUN
+        cols = np.unique(np.concatenate([np.arange(min(LEADERS, len(node))), np.arange(lo, rows[-1])])) if len(node) > RUN else np.arange(rows[-1])
+        apart = np.bitwise_count(sketch[rows][:, None] ^ sketch[cols][None, :])
+        x, y = np.nonzero((apart <= limit) & (cols[None, :] < rows[:, None]) & (own[rows][:, None] | own[cols][None, :]) & (node[rows][:, None] != node[cols][None, :]))
+        if len(x):
+            keep = _forest(rows[x], cols[y], apart[x, y], len(node))
+            yield node[rows[x[keep]]], node[cols[y[keep]]]
+
+
+def _bucket_links(limit: int):
+    """Arrow mapper over rows sorted by bucket: (a, b) of members whose sketches are near; two visitors are no pair."""
+
+    def small(cut: np.ndarray, size: np.ndarray, own: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ahead = np.repeat(np.cumsum(size), size) - np.arange(size.sum()) - 1
+        at = np.repeat(cut - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        a = np.repeat(np.arange(len(at)), ahead)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(ahead) - ahead, ahead)
+        a, b = at[a], at[b]
+        near = (np.bitwise_count(sketch[a] ^ sketch[b]) <= limit) & (own[a] | own[b]) & (node[a] != node[b])
+        return node[a[near]], node[b[near]]
+
+    def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def links(last: bool) -> Iterator[pa.RecordBatch]:
+            bucket, own, node, sketch = (np.concatenate(x) for x in zip(*held, strict=True))
+            cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            size = np.diff(np.append(cut, len(bucket)))
+            done = len(cut) if last else len(cut) - 1  # the last bucket may go on
+            held.clear()
+            if not last:
+                held.append((bucket[cut[-1] :], own[cut[-1] :], node[cut[-1] :], sketch[cut[-1] :]))
+            few = np.flatnonzero((size[:done] > 1) & (size[:done] <= FEW))
+            for i in range(0, len(few), AT_ONCE // FEW**2 * 2):
+                some = few[i : i + AT_ONCE // FEW**2 * 2]
+                yield _pairs(*small(cut[some], size[some], own, node, sketch))
+            for k in np.flatnonzero(size[:done] > FEW).tolist():
+                x, y = cut[k], cut[k] + size[k]
+                for a, b in _links_of(node[x:y], own[x:y], sketch[x:y], limit):
+                    yield _pairs(a, b)
+
+        for b in batches:
+            bucket, own, node, sketch = (b.column(c).to_numpy(zero_copy_only=False) for c in range(4))
+            held.append((bucket, own, node, sketch.view(np.uint64)))  # bits are counted of unsigned numbers
+            if sum(len(x[0]) for x in held) >= 200_000:
+                yield from links(False)
+        if held:
+            yield from links(True)
+
+    return mapper
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def candidates(nodes: DataFrame, groups: list[tuple[list[int], int]], share: float) -> DataFrame:
+    """(a, b, apart) of nodes (node, fp) that meet in a bucket and whose whole fingerprints are near enough."""
+    blocks = nodes.select(F.octet_length("fp")).first()
+    bits = 8 * (blocks[0] if blocks else 0)
+    rows = nodes.select("node", "fp").mapInArrow(_key_rows(groups), "bucket long, own boolean, node long, sketch long")
+    met = rows.repartition("bucket").sortWithinPartitions("bucket", "sketch", "node").mapInArrow(_bucket_links(_limit(share, 64, DOUBT)), "a long, b long").distinct()
+    far = met.join(nodes.select(F.col("node").alias("a"), F.col("fp").alias("x")), "a").join(nodes.select(F.col("node").alias("b"), F.col("fp").alias("y")), "b")
+    most = _limit(share, bits, DOUBT)
+
+    def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in (2, 3))
+            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(apart)], names=["a", "b", "apart"]).filter(pa.array(apart <= most))
+
+    return far.select("a", "b", "x", "y").mapInArrow(mapper, "a long, b long, apart long")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, size: int, share: float) -> DataFrame:
+    """The pairs (a, b) whose texts (node, text) have a Jaccard of `share` or more."""
+
+    def sets(column: pa.Array) -> list[np.ndarray]:
+        return [x for i, j, prints, doc in shingle_sets(T.as_strings(column), size) for x in np.split(prints, np.cumsum(np.bincount(doc, minlength=j - i))[:-1])]
+
+    def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                x, y = sets(part.column(2)), sets(part.column(3))
+                both = np.array([len(np.intersect1d(u, v, assume_unique=True)) for u, v in zip(x, y, strict=True)])
+                every = np.array([len(u) + len(v) for u, v in zip(x, y, strict=True)]) - both
+                yield part.select([0, 1]).filter(pa.array(both >= share * every - 1e-9))
+
+    own, other = texts.select(F.col("node").alias("a"), F.col("text").alias("x")), texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
+    return pairs.join(own, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(mapper, "a long, b long")
+
+
+def _small(keys: DataFrame) -> DataFrame:
+    """Broadcast if a count finds few rows."""
+    return F.broadcast(keys) if keys.count() <= SMALL_ROWS else keys
+
+
+def similar_texts(docs: DataFrame, size: int = 5, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text", blocks: int = BLOCKS) -> DataFrame:
+    """(doc_id, row_key, component_id, root): texts whose distinct shingles of `size` words have a Jaccard of `share` or
+    more are linked; `component_id` is the smallest id reachable, `root` names the component even where it has none."""
+    if not 0 < share <= 1:
+        raise ValueError("share is above 0 and at most 1")
+    checkpoint_dir(docs.sparkSession)
+    texts = T.narrow(docs, (id_col, "doc_id", "bigint"), (text_col, "text", "string")).select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")
+    made = wide_fingerprints(texts, size, blocks).checkpoint()
+    nodes = made.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("best"))
+    nodes = nodes.select("fp", "best", F.monotonically_increasing_id().alias("node")).checkpoint()
+    n = nodes.count()
+    labels = nodes.select("node", F.col("best.doc_id").alias("label"))
+    joined = labels.select("node", "label", F.col("node").alias("root"))
+    if n > 1:
+        some = T.sampled(nodes.select("fp", F.xxhash64("fp").alias("at")), "at", WIDE_SAMPLE).collect()
+        bits = _bits(np.frombuffer(b"".join(r.fp for r in sorted(some, key=lambda r: (r["at"], bytes(r.fp)))), np.uint64).reshape(len(some), -1))
+        near = candidates(nodes, wide_plan(bits, n, share), share).checkpoint()
+        sure = _limit(share, 64 * blocks, -DOUBT)
+        edges = near.where(F.col("apart") <= sure).select("a", "b")
+        left = near.where(F.col("apart") > sure)
+        asked = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
+        wanted = nodes.join(asked, "node", "left_semi").select("node", F.col("best.row_key").alias("row_key")).checkpoint()
+        read = texts.join(_small(wanted), "row_key").select("node", "text").dropDuplicates(["node"]).checkpoint()
+        # Links in doubt: each component asks for its likeliest ones first; links inside a component need no asking.
+        for several in (1, 8, 64, None):
+            comp = smallest_reachable(edges, labels).select("node", "root").checkpoint()
+            side = lambda x: comp.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+            left = left.join(side("a"), "a", "left").join(side("b"), "b", "left").withColumn("ra", F.coalesce("ra", "a")).withColumn("rb", F.coalesce("rb", "b")).where("ra <> rb").checkpoint()
+            if left.isEmpty():
+                break
+            if several is None:
+                ask = left.select("a", "b")
+            else:
+                best = left.select("a", "b", "apart", F.explode(F.array("ra", "rb")).alias("r")).groupBy("r", F.pmod(F.xxhash64("a", "b"), F.lit(several)).alias("part")).agg(F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("ab"))
+                ask = best.select("ab.*").distinct()
+            ask = ask.checkpoint()
+            edges = edges.unionByName(verified(ask, read, size, share)).checkpoint()
+            left = left.join(ask, ["a", "b"], "left_anti").select("a", "b", "apart")
+        comp = smallest_reachable(edges, labels)
+        joined = labels.select("node", F.col("label").alias("own")).join(comp, "node", "left").select("node", F.when(F.col("root").isNull(), F.col("own")).otherwise(F.col("label")).alias("label"), F.coalesce("root", "node").alias("root"))
+    of = nodes.join(joined, "node").select("fp", F.col("label").alias("component_id"), "root")
+    return made.join(of, "fp").select("doc_id", "row_key", "component_id", "root")
+
+
+def one_of_similar(docs: DataFrame, size: int = 5, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text", blocks: int = BLOCKS) -> DataFrame:
+    """The rows of docs, all columns, one of each group of similar texts: the row with the smallest id stays (rows without
+    an id only where none has one; of rows that share the id, the one with the smallest hash)."""
+    groups = similar_texts(docs, size, share, id_col, text_col, blocks)
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("best"))
+    # Only rows that share id and text are dealt by key to keep one of them; all others stay where they are.
+    times = groups.groupBy("row_key").agg(F.count("*").alias("times"))
+    kept = first.select(F.col("best.row_key").alias("_row_key")).join(times.withColumnRenamed("row_key", "_row_key"), "_row_key").checkpoint()
+    own = docs.withColumn("_row_key", F.xxhash64(F.col(f"`{id_col}`").cast("bigint"), F.col(f"`{text_col}`").cast("string")))
+    once = own.join(_small(kept.where("times = 1")), "_row_key", "left_semi")
+    repeated = own.join(_small(kept.where("times > 1")), "_row_key", "left_semi").dropDuplicates(["_row_key"])
+    return once.unionByName(repeated).drop("_row_key")

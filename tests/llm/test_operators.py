@@ -14,7 +14,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fieldloom.llm import decontaminate, html_crf, packing, pii_crf, quality_forest, shingle_join, simhash_gph, substring_dedup, text as T, token_counts, token_ids, token_store, toxicity_ftrl
+from fieldloom.llm import decontaminate, html_crf, packing, pii_crf, quality_forest, simhash_gph, substring_dedup, text as T, token_counts, token_ids, token_store, toxicity_ftrl
 from fieldloom.llm.xxh64 import xxh64
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -197,25 +197,31 @@ def test_repeats_of_few_words(spark, texts):
     assert got == _removed(list(enumerate(texts)), 3)
 
 
-def test_repeats_are_decided_by_words(spark, sf, monkeypatch):
-    """With fingerprints of two bits nearly all suffixes agree by chance; the result stays."""
-    weak = T.prints
-    monkeypatch.setattr(T, "prints", lambda w: weak(w) & np.uint64(1))
-    monkeypatch.setattr(T, "joined", lambda a, b, salt=0: (a + b) & np.uint64(1))
+def test_repeats_of_structured_words(spark):
+    """Words that a polynomial hash modulo a power of two takes for each other."""
+    x, y = thue_morse()
+    other = " ".join(f"w{k}" for k in range(19))
+    rows = [(1, f"{x} {other}"), (2, f"{y} {other}"), (3, f"{x} {other}"), (4, " ".join(x)), (5, " ".join(y))]
+    got = sorted((*tuple(r)[:5], [tuple(x) for x in r.removed]) for r in substring_dedup.remove_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == _removed(rows) and [r[2] for r in got[:3]] == [0, 0, 20]
+
+
+def test_chance_only_costs_suffixes():
+    """With fingerprints of one bit for pruning nearly all suffixes are sent; the result stays."""
     docs = pa.table({"doc_id": [1, 2, 3], "null": [False] * 3, "row_key": [5, 6, 7], "text": ["a b c d a b c d", "x a b c y", "q r s t"], "block": [0, 0, 0]})
     heavy = type("Shared", (), {"value": {}})
-    one, two = docs.slice(0, 1), docs.slice(1, 2)
+    blocks = [docs.slice(0, 1), docs.slice(1, 2)]
     key = lambda k: (pa.scalar(k),)
-    told = [substring_dedup.announce(3, heavy, 1)(key(k), t) for k, t in enumerate((one, two))]
-    learned = substring_dedup.shared(key(0), pa.concat_tables(told))
-    sent = [substring_dedup.send(3, heavy, 1, False)(key(k), t, learned.filter(pa.array([b == k for b in learned.column("block").to_pylist()]))) for k, t in enumerate((one, two))]
-    rows = pa.concat_tables(sent)
-    found = substring_dedup.repeats(3)(key(0), rows.filter(pa.array([k == 0 for k in rows.column("kind").to_pylist()])))
-    for k, (t, want) in enumerate(((one, [4]), (two, [3, 0]))):
-        own = [x for x in (found, *[substring_dedup.repeats(3)(key(1), s.filter(pa.array([x == 1 for x in s.column("kind").to_pylist()]))) for s in sent])]
-        mine = pa.concat_tables([x.select(["block", "payload"]) for x in own])
-        mine = mine.filter(pa.array([b == k for b in mine.column("block").to_pylist()]))
-        assert substring_dedup.keep_words(3, True)(key(k), t, mine).column("n_removed").to_pylist() == want
+    for low in (0xFFFFFFFF, 1):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(substring_dedup, "_LOW", np.uint64(low))
+            learned = substring_dedup.shared(key(0), pa.concat_tables([substring_dedup.announce(3, heavy, 1)(key(k), t) for k, t in enumerate(blocks)]))
+            own = lambda k: learned.filter(pa.array([b == k for b in learned.column("block").to_pylist()]))
+            rows = pa.concat_tables([substring_dedup.send(3, heavy, 1, False)(key(k), t, own(k)) for k, t in enumerate(blocks)])
+        by = lambda t, c, v: t.filter(pa.array([x == v for x in t.column(c).to_pylist()]))
+        found = pa.concat_tables([substring_dedup.repeats(3)(key(0), by(rows, "kind", 0)), by(rows, "kind", 1).select(["block", "payload"])])
+        for k, want in enumerate(([4], [3, 0])):
+            assert substring_dedup.keep_words(3, True)(key(k), blocks[k], by(found, "block", k)).column("n_removed").to_pylist() == want
 
 
 def test_common_prefix_lengths():
@@ -768,40 +774,95 @@ def test_thresholds_cover_the_radius():
         assert sum(t) == 2 - m + 1
 
 
-def _kept_by_brute_force(rows):
-    sets = []
-    for _, t in rows:
-        w = [x.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for x in WORD.findall(t or "")]
-        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
-    group = list(range(len(rows)))
-    for i in range(len(rows)):
-        for j in range(i):
-            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
-                old, new = group[i], group[j]
-                group = [new if g == old else g for g in group]
-    best = {}
-    for g, (k, _) in zip(group, rows, strict=True):
-        best[g] = min(best.get(g, (True, 0)), (k is None, k or 0))
-    return sorted(best.values())
-
-
-@pytest.mark.parametrize("cell", [128, 3])
-def test_stage_keeps_one_of_similar_texts(spark, sf, odd, monkeypatch, cell):
-    monkeypatch.setattr(shingle_join, "CELL", cell)
+def _sets(rows):
+    lower = str.maketrans({chr(k): chr(k + 32) for k in range(65, 91)})
+    words = [WORD.findall((t or "").translate(lower)) for _, t in rows]
+    return [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset() for w in words]
+
+
+def _similar_pairs(sets):
+    """All pairs with a Jaccard of 0.8 or more, by shingles that they share."""
+    at, out = {}, {(i, j) for i in range(len(sets)) for j in range(i) if not sets[i] and not sets[j]}
+    for k, s in enumerate(sets):
+        for x in s:
+            at.setdefault(x, []).append(k)
+    near = {(i, j) for own in at.values() for i in own for j in own if j < i}
+    return out | {(i, j) for i, j in near if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+
+
+def _varied():
     rng = np.random.default_rng(5)
-    base = [f"w{k}" for k in rng.integers(0, 500, 90)]
     rows = []
-    for k in range(80):  # one to twelve words changed: on either side of 0.8, and in chains
-        w = base[:] if k % 2 else [f"v{k // 6}x{x}" for x in range(70)]
-        for x in rng.integers(0, len(w), 1 + k % 12):
-            w[x] = f"new{rng.integers(0, 3)}"
-        rows.append((1000 + k, " ".join(w)))
-    made = spark.createDataFrame(rows, "doc_id long, text string")
-    df = made.unionByName(odd.select("doc_id", "text")).unionByName(spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id") + 10_000, "text").toDF("doc_id", "text").limit(300)).cache()
-    every = [(r.doc_id, r.text) for r in df.collect()]
-    got = corpus_pipeline.near_dedup(spark, df.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).alias("n_chars")), sf)
-    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got.collect()) == _kept_by_brute_force(every)
-    assert shingle_join.one_of_similar(_empty(odd)).count() == 0
+    for g in range(60):  # groups around a text, some words changed: on either side of 0.8, and in chains
+        n = int(rng.integers(40, 400))
+        base = [f"g{g}w{k}" for k in rng.integers(0, 500, n)]
+        for _ in range(4):
+            w = base[:]
+            for x in rng.integers(0, n, 1 + int(rng.integers(0, max(1, n // 18)))):
+                w[x] = f"new{rng.integers(0, 10_000)}"
+            rows.append((1000 + len(rows), " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("few, at_once, run", [(8, 1 << 19, 20_000), (2, 600, 60)])
+def test_similar_texts_against_brute_force(spark, sf, odd, monkeypatch, few, at_once, run):
+    monkeypatch.setattr(simhash_gph, "FEW", few)
+    monkeypatch.setattr(simhash_gph, "AT_ONCE", at_once)
+    monkeypatch.setattr(simhash_gph, "RUN", run)
+    made = spark.createDataFrame(_varied(), "doc_id long, text string")
+    df = made.unionByName(odd.select("doc_id", "text")).unionByName(spark.read.parquet(f"{sf}/documents.parquet").select((F.col("doc_id") + 10_000).alias("doc_id"), "text")).cache()
+    found = simhash_gph.similar_texts(df).join(df.withColumn("row_key", F.xxhash64("doc_id", "text")).select("row_key", "text").distinct(), "row_key").collect()
+    rows = [(r.doc_id, r.text) for r in found]
+    assert len(rows) == df.count()
+    pairs = _similar_pairs(_sets(rows))
+    together = np.mean([found[i].root == found[j].root for i, j in pairs])
+    assert together >= 0.98, together
+    up = list(range(len(rows)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, j in pairs:
+        up[root(i)] = root(j)
+    groups = {}
+    for k, r in enumerate(found):
+        groups.setdefault(r.root, set()).add(root(k))
+    assert sum(len(g) > 1 for g in groups.values()) <= 1  # no component joins what brute force keeps apart, but for a distance beyond all doubt
+    for k, r in enumerate(found):
+        ids = [x.doc_id for x in found if x.root == r.root and x.doc_id is not None]
+        assert r.component_id == min(ids, default=None)
+    kept = simhash_gph.one_of_similar(df.withColumn("fp", F.lit(1)))
+    assert kept.columns == ["doc_id", "text", "fp"]
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == sorted(min((r.doc_id is None, r.doc_id or 0) for r in found if r.root == g) for g in groups)
+    assert simhash_gph.one_of_similar(_empty(odd)).count() == 0
+
+
+def test_wide_plan_reaches_the_recall():
+    rng = np.random.default_rng(3)
+    bits = rng.integers(0, 2, (300, 1024)).astype(np.uint8)
+    p = simhash_gph.differing(0.8)
+    width = {}
+    for n in (1_000, 100_000, 100_000_000):
+        plan = simhash_gph.wide_plan(bits, n, 0.8)
+        used = [b for g, _ in plan for b in g]
+        assert len(used) == len(set(used))
+        miss = np.prod([1 - (1 - p) ** len(g) - t * len(g) * p * (1 - p) ** (len(g) - 1) for g, t in plan])
+        assert 1 - miss >= 0.99
+        width[n] = max(len(g) for g, _ in plan)
+    assert width[1_000] < width[100_000_000]  # more texts, narrower buckets
+
+
+def test_shingle_sets_against_brute_force(sf):
+    texts = ["", "One two", "one TWO three four five six one two three four five", "x " * 30, PROSE]
+    sets = _sets(list(enumerate(texts)))
+    got = [set() for _ in texts]
+    for i, j, prints, doc in simhash_gph.shingle_sets(T.as_strings(pa.array(texts)), 5):
+        for d, x in zip(doc.tolist(), prints.tolist()):
+            got[i + d].add(x)
+    assert [len(g) for g in got] == [len(s) for s in sets]
+    assert len(got[2] & got[4]) == len(sets[2] & sets[4]) == 0
 
 
 def test_one_of_each(spark, odd):
@@ -814,6 +875,16 @@ def test_one_of_each(spark, odd):
 # The pipeline.
 
 
+def test_near_duplicates_in_the_pipeline(spark, sf):
+    rows = _varied()
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf).collect()}
+    pairs = _similar_pairs(_sets(rows))
+    assert sum(rows[i][0] in kept and rows[j][0] in kept for i, j in pairs) <= 0.02 * len(pairs)
+    alone = {k for k in range(len(rows))} - {k for p in pairs for k in p}
+    assert alone and all(rows[k][0] in kept for k in alone)
+
+
 def test_stages(spark, sf, odd):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     strange = odd.select(*docs.columns)
