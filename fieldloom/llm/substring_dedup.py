@@ -12,11 +12,13 @@ one maximal repeat. All leaves of such a node but the earliest are repeats.
    of documents tells each group 32 bits of the fingerprint of every node it has (sorted, about 3 bytes each), and
    learns which ones other blocks have too. This only prunes: a fingerprint that agrees by chance costs a suffix that
    is sent for nothing.
-3. `send`: for the nodes left, each block sends its earliest leaf with the suffix's words to the node's group (the
-   others of the block are repeats already, confirmed by their words, so a hot passage sends one suffix for each block,
-   never one for each copy).
-4. `repeats`: a group sorts its suffixes by their words, takes the common-prefix lengths of neighbours, and all leaves
-   below a node at full depth but the earliest are repeats. Words decide, not fingerprints.
+3. `send`: for the nodes left, each block sends its earliest leaf to the node's group with the path to it: `SYMBOLS`
+   symbols of 32 bits, each the fingerprint of the next words. (The other leaves of the block are repeats already,
+   confirmed by their words, so a hot passage sends one suffix for each block, never one for each copy. The words
+   themselves are three times as long as their symbols; README has figures.)
+4. `repeats`: a group sorts its suffixes by their paths, takes the common-prefix lengths of neighbours, and all leaves
+   below a node at full depth but the earliest are repeats. A path has 128 bits, so two different ones agree about once
+   in 10^38 pairs.
 5. `keep_words`: repeats meet their texts again and the covered words are cut out.
 
 Results for odd input: null or empty text: no words, nothing removed. Texts shorter than `width` lose nothing. A very
@@ -42,7 +44,9 @@ from fieldloom.llm import text as T
 #: Suffixes of a prefix that makes a group of its own, and those that a group of light prefixes holds on average.
 GROUP = 2_000_000
 #: Bytes of text in a block of documents.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 3 << 20
+#: Symbols of a path to the full depth.
+SYMBOLS = 4
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -51,14 +55,20 @@ def depths(width: int) -> list[int]:
     return [*(1 << k for k in range(width.bit_length()) if 1 << k < width), width]
 
 
-def _packed(*arrays: np.ndarray, text: bytes = b"") -> bytes:
+def symbols(width: int) -> list[tuple[int, int]]:
+    """(first word, words) of each symbol of a path."""
+    cut = [width * k // SYMBOLS for k in range(SYMBOLS + 1)]
+    return [(a, b - a) for a, b in zip(cut, cut[1:], strict=False) if b > a]
+
+
+def _packed(*arrays: np.ndarray) -> bytes:
     """Arrays, byte plane by byte plane: sorted and small numbers shrink to a few bytes each."""
     head = np.array([len(arrays), *[len(a) * a.itemsize for a in arrays]], "<i8").tobytes()
     planes = [np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() if len(a) else b"" for a in arrays]
-    return zstandard.ZstdCompressor(level=3 if text else 1).compress(b"".join([head, *planes, text]))
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([head, *planes]))
 
 
-def _unpacked(blob: bytes, *kinds: type) -> tuple[list[np.ndarray], bytes]:
+def _unpacked(blob: bytes, *kinds: type) -> list[np.ndarray]:
     data = zstandard.ZstdDecompressor().decompress(blob)
     n = int(np.frombuffer(data, "<i8", 1)[0])
     sizes, at, out = np.frombuffer(data, "<i8", n, 8), 8 * (n + 1), []
@@ -66,7 +76,7 @@ def _unpacked(blob: bytes, *kinds: type) -> tuple[list[np.ndarray], bytes]:
         item = np.dtype(kind).itemsize
         out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, size, at).reshape(item, -1).T).view(kind).ravel())
         at += size
-    return out, data[at:]
+    return out
 
 
 def _ranges(values: np.ndarray) -> list[tuple[int, int]]:
@@ -99,8 +109,10 @@ class Block:
     def suffixes(self, heavy: dict[int, np.ndarray], groups: int) -> None:
         """Sorts suffixes by group and node: `place` (index of the first word), `group`, `node` (fingerprints)."""
         at = T.places(self.words, self.width)
-        prints = T.runs(T.prints(self.words), tuple(depths(self.width)))
+        word = T.prints(self.words)
+        prints = T.runs(word, tuple(depths(self.width)))
         node = prints[self.width][at]
+        self.parts = T.runs(word, tuple({size for _, size in symbols(self.width)}))
         group = (_prefix(prints, at, heavy, self.width) % np.uint64(groups)).astype(np.int32)
         order = np.argsort(node, kind="stable")  # equal nodes stay in order of document and place
         order = order[np.argsort(group[order].astype(np.uint16) if groups <= 1 << 16 else group[order], kind="stable")]
@@ -109,6 +121,10 @@ class Block:
         change = (self.group[1:] != self.group[:-1]) | (self.node[1:] != self.node[:-1])
         self.first = np.flatnonzero(np.append(True, change)) if len(at) else np.zeros(0, np.int64)
 
+    def paths(self, place: np.ndarray) -> np.ndarray:
+        """A row of symbols for each suffix."""
+        return np.stack([(self.parts[size][place + at] >> np.uint64(32)).astype(np.uint32) for at, size in symbols(self.width)], axis=1)
+
     def told(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
         """(group, 32 bits of its nodes in order, index of the nodes): each value once."""
         out = []
@@ -179,7 +195,7 @@ def announce(width: int, heavy, groups: int):
 
 def shared(key: tuple, rows: pa.Table) -> pa.Table:
     """Arrow function of a group: for each block a bit for each of its nodes, set if another block has it too."""
-    told = [np.cumsum(_unpacked(p.as_py(), np.uint32)[0][0], dtype=np.uint32) for p in rows.column("payload")]
+    told = [np.cumsum(_unpacked(p.as_py(), np.uint32)[0], dtype=np.uint32) for p in rows.column("payload")]
     value = np.sort(np.concatenate(told)) if told else np.zeros(0, np.uint32)
     twice = np.unique(value[1:][value[1:] == value[:-1]])
     out = []
@@ -190,9 +206,14 @@ def shared(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([b for b, _ in out], pa.int64()), "grp": pa.array([key[0].as_py()] * len(out), pa.int64()), "payload": pa.array([p for _, p in out], pa.binary())})
 
 
-def send(width: int, heavy, groups: int):
-    """Arrow function of a block and what it learned: (kind, grp, block, payload). Kind 0: suffixes for a group, as
-    document, place in it, ids and keys of the documents, and words. Kind 1: repeats of the block itself."""
+def _delta(values: np.ndarray) -> np.ndarray:
+    return np.diff(values, prepend=values.dtype.type(0))
+
+
+def send(width: int, heavy, groups: int, keys: bool):
+    """Arrow function of a block and what it learned: (kind, grp, block, payload). Kind 0: suffixes for a group, as their
+    places in the block in order, their documents' ids (and keys, if ids repeat at all), and their paths. Kind 1: places
+    of repeats of the block itself."""
 
     def tell(key: tuple, docs: pa.Table, bits: pa.Table) -> pa.Table:
         out: list[tuple[int, int, int, bytes]] = []
@@ -200,7 +221,7 @@ def send(width: int, heavy, groups: int):
             own = key[0].as_py()
             block = Block(docs, width)
             block.suffixes(heavy.value, groups)
-            w, first = block.words, block.words.first
+            w = block.words
             number = np.repeat(np.arange(len(block.first)), np.diff(np.append(block.first, len(block.place))))
             again = np.ones(len(block.place), bool)
             again[block.first] = False
@@ -219,7 +240,7 @@ def send(width: int, heavy, groups: int):
             at = 0
             for g, value, which in block.told():
                 if g in learned:
-                    flags = np.unpackbits(_unpacked(learned[g].as_py(), np.uint8)[0][0], count=len(value)).astype(bool)
+                    flags = np.unpackbits(_unpacked(learned[g].as_py(), np.uint8)[0], count=len(value)).astype(bool)
                     wanted[at : at + len(which)] |= flags[which]
                 at += len(which)
             go = np.flatnonzero(wanted[number] & ~again)
@@ -228,30 +249,23 @@ def send(width: int, heavy, groups: int):
                 some = go[i:j]
                 place, doc = block.place[some], block.doc[some]
                 who, which = np.unique(doc, return_inverse=True)
-                spans = T.as_array(w.buf, w.start[place], np.minimum(w.end[place + width - 1] + 1, len(w.buf)))
-                text = np.frombuffer(spans.buffers()[2], np.uint8).copy()
-                ends = np.frombuffer(spans.buffers()[1], np.int64)[1:]
-                text[ends[w.end[place + width - 1] < len(w.buf)] - 1] = 0x20
-                out.append((0, int(block.group[some[0]]), own, _packed(which.astype(np.int32), (place - first[doc]).astype(np.int32), who.astype(np.int32), block.id[who], block.null[who].astype(np.uint8), block.key[who], text=text.tobytes() + b" ")))
+                path = block.paths(place)
+                out.append((0, int(block.group[some[0]]), own, _packed(_delta(place.astype(np.int32)), _delta(which.astype(np.int32)), _delta(block.id[who]), block.null[who].astype(np.uint8), block.key[who] if keys else block.key[:0], path.ravel())))
             local = np.flatnonzero(again)
             if len(local):
-                order = local[np.argsort(block.place[local])]
-                out.append((1, own, own, _packed(block.doc[order].astype(np.int32), (block.place[order] - first[block.doc[order]]).astype(np.int32))))
+                out.append((1, own, own, _packed(_delta(np.sort(block.place[local]).astype(np.int32)))))
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
         return pa.table([pa.array(list(x), k) for x, k in zip(zip(*out, strict=True) if out else [[]] * 4, kinds, strict=True)], names=["kind", "grp", "block", "payload"])
 
     return tell
 
 
-def leaves(suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of suffixes (a row of word numbers each), and the common-prefix length of each with the one before it."""
-    n, width = suffix.shape
-    wide = suffix if width % 2 == 0 else np.concatenate([suffix, np.zeros((n, 1), suffix.dtype)], axis=1)
-    pairs = wide[:, ::2].astype(np.int64) << 32 | wide[:, 1::2].astype(np.int64)
-    order = np.lexsort(pairs.T[::-1])
-    differ = suffix[order[1:]] != suffix[order[:-1]]
-    length = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
-    return order, np.append(0, length)[:n]
+def leaves(path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of suffixes (a row of symbols each), and the common-prefix length of each with the one before it."""
+    n, depth = path.shape
+    order = np.lexsort(path.T[::-1])
+    differ = path[order[1:]] != path[order[:-1]]
+    return order, np.append(0, np.where(differ.any(axis=1), differ.argmax(axis=1), depth))[:n]
 
 
 def repeats(width: int):
@@ -260,23 +274,24 @@ def repeats(width: int):
     def group(key: tuple, rows: pa.Table) -> pa.Table:
         if key[0].as_py() == 1:
             return rows.select(["block", "payload"])
-        parts, texts = [], []
+        parts, paths, depth = [], [], len(symbols(width))
         for block, p in zip(rows.column("block").to_pylist(), rows.column("payload"), strict=True):
-            (doc, at, who, id_, null, row_key), text = _unpacked(p.as_py(), np.int32, np.int32, np.int32, np.int64, np.uint8, np.int64)
-            parts.append((np.full(len(doc), block, np.int64), who[doc], at, id_[doc], null[doc], row_key[doc]))
-            texts.append(text)
-        block, doc, at, id_, null, row_key = (np.concatenate(x) for x in zip(*parts, strict=True))
-        word, _ = T.word_numbers(T.words(T.as_strings(pa.array([b"".join(texts)], pa.large_binary()).cast(pa.large_string()))))
-        order, common = leaves(word.reshape(-1, width).astype(np.int32))
-        node = np.cumsum(common < width) - 1  # suffixes below one node at full depth
+            place, which, id_, null, row_key, path = _unpacked(p.as_py(), np.int32, np.int32, np.int64, np.uint8, np.int64, np.uint32)
+            which = np.cumsum(which)
+            row_key = row_key if len(row_key) else np.zeros(len(id_), np.int64)
+            parts.append((np.full(len(place), block, np.int64), np.cumsum(place, dtype=np.int32), np.cumsum(id_)[which], null[which], row_key[which]))
+            paths.append(path.reshape(-1, depth))
+        block, place, id_, null, row_key = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order, common = leaves(np.concatenate(paths))
+        node = np.cumsum(common < depth) - 1  # suffixes below one node at full depth
         size = np.bincount(node)
         many = size[node] > 1
         order, node = order[many], node[many]
-        order = order[np.lexsort((at[order], row_key[order], id_[order], 1 - null[order].astype(np.int8), node))]
+        order = order[np.lexsort((place[order], row_key[order], id_[order], 1 - null[order].astype(np.int8), node))]
         node = np.sort(node)
         later = order[np.append(False, node[1:] == node[:-1])]
-        later = later[np.lexsort((at[later], doc[later], block[later]))]
-        out = [(int(block[later[i]]), _packed(doc[later[i:j]], at[later[i:j]])) for i, j in _ranges(block[later])]
+        later = later[np.lexsort((place[later], block[later]))]
+        out = [(int(block[later[i]]), _packed(_delta(place[later[i:j]]))) for i, j in _ranges(block[later])]
         return pa.table({"block": pa.array([b for b, _ in out], pa.int64()), "payload": pa.array([x for _, x in out], pa.binary())})
 
     return group
@@ -294,8 +309,7 @@ def keep_words(width: int, with_text: bool):
             first = w.first
             marks = np.zeros(len(w.start) + 1, np.int32)
             for p in found.column("payload"):
-                doc, at = _unpacked(p.as_py(), np.int32, np.int32)[0]
-                place = first[doc] + at
+                place = np.cumsum(_unpacked(p.as_py(), np.int32)[0])
                 np.add.at(marks, place, 1)
                 np.add.at(marks, place + width, -1)
             gone = np.cumsum(marks[:-1]) > 0
@@ -340,11 +354,12 @@ def remove_repeated_passages(docs: DataFrame, width: int = 20, id_col: str = "do
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups, blocks = max(2 * parts, math.ceil(n_bytes / 4 / GROUP)), _prime(max(parts * 2, math.ceil(n_bytes / BLOCK_BYTES)))
     heavy = docs.sparkSession.sparkContext.broadcast(heavy_prefixes(docs, width, n_bytes))
+    keys = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
     key = F.xxhash64("doc_id", "text")
     placed = docs.select("doc_id", F.col("doc_id").isNull().alias("null"), key.alias("row_key"), "text", F.pmod(key, F.lit(blocks)).alias("block"))
     told = placed.groupBy("block").applyInArrow(announce(width, heavy, groups), "grp long, block long, payload binary")
     learned = told.groupBy("grp").applyInArrow(shared, "block long, grp long, payload binary")
-    sent = placed.groupBy("block").cogroup(learned.groupBy("block")).applyInArrow(send(width, heavy, groups), "kind int, grp long, block long, payload binary")
+    sent = placed.groupBy("block").cogroup(learned.groupBy("block")).applyInArrow(send(width, heavy, groups, keys), "kind int, grp long, block long, payload binary")
     known = sent.groupBy("kind", "grp").applyInArrow(repeats(width), "block long, payload binary")
     cut = placed.groupBy("block").cogroup(known.groupBy("block"))
     out = cut.applyInArrow(keep_words(width, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, removed array<struct<start: long, end: long>>")
