@@ -6,14 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldloom.functions.numeric import floor_window
 
-#: The largest side that is sent to all executors, as rows counted before.
-SMALL_ROWS = 200_000
-
-
 def attach(rows: DataFrame, attributes: DataFrame, keys: list[str]) -> DataFrame:
-    """N:1 join of attributes; they are broadcast only if a count finds few of them."""
-    few = attributes.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
-    return rows.join(F.broadcast(attributes) if few else attributes, keys, "left")
+    """N:1 join of attributes; Spark broadcasts them if their size in bytes allows it, at run time too."""
+    return rows.join(attributes, keys, "left")
 
 
 def not_unique(attributes: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,7 +1,8 @@
 """Evaluation of predictions at pixel and field level.
 
-Prediction tables have one row a pixel with `target` and `pred`; fields are groups of pixels. All sums of squares are
-centred by a window mean first, so they keep their digits; tables of sufficient sums (`field_sums`) allow any subset of
+Prediction tables have one row a pixel with `target` and `pred`; fields are groups of pixels. Sums of squares about the
+mean are variances times counts, which Spark sums centrally and in parts, so they keep their digits and no row meets
+its group's mean; tables of sufficient sums (`field_sums`) allow any subset of
 fields to be scored again without touching pixels.
 """
 
@@ -21,31 +22,23 @@ def field_level(preds: DataFrame, key: list[str], target: str = "target", pred:
 
 def scores(df: DataFrame, by: list[str], target: str = "target", pred: str = "pred", prefix: str = "") -> DataFrame:
     """R2 and RMSE per group; R2 is NULL where the target is constant."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    d = df.withColumn("_m", F.avg(target).over(w)) if by else df.crossJoin(F.broadcast(df.agg(F.avg(target).alias("_m"))))
-    sse = F.sum(F.pow(F.col(target) - F.col(pred), 2))
-    sst = F.sum(F.pow(F.col(target) - F.col("_m"), 2))
-    return d.groupBy(*by).agg((1 - ratio(sse, sst)).alias(f"{prefix}r2"), F.sqrt(F.avg(F.pow(F.col(target) - F.col(pred), 2))).alias(f"{prefix}rmse"), F.count("*").alias(f"{prefix}n"))
+    error = F.avg(F.pow(F.col(target) - F.col(pred), 2))
+    return df.groupBy(*by).agg(r2(target, pred).alias(f"{prefix}r2"), F.sqrt(error).alias(f"{prefix}rmse"), F.count("*").alias(f"{prefix}n"))
 
 
-def _grouped(df: DataFrame, sets: list[list[str]]) -> DataFrame:
-    """Rows once for each grouping set, columns outside the set NULL, `level` numbering the sets."""
-    names = list(dict.fromkeys(c for s in sets for c in s))
-    struct = lambda k, s: F.struct(F.lit(k).alias("level"), *[(F.col(c) if c in s else F.lit(None)).cast(dict(df.dtypes)[c]).alias(c) for c in names])
-    rest = [c for c in df.columns if c not in names]
-    out = df.select(*rest, F.explode(F.array(*[struct(k, s) for k, s in enumerate(sets)])).alias("_g"))
-    return out.select(*rest, "_g.*")
+def r2(target: str = "target", pred: str = "pred") -> Column:
+    """R2 as an aggregate: one less the squared error by the squares about the mean."""
+    return 1 - ratio(F.sum(F.pow(F.col(target) - F.col(pred), 2)), F.var_pop(target) * F.count(target))
 
 
 def group_metrics(preds: DataFrame, field: str, groups: list[str]) -> DataFrame:
     """Field and pixel scores over all rows and for each combination of `groups`."""
     out = []
     for prefix, df, n in (("field_", field_level(preds, [field, *groups]), "n_fields"), ("pixel_", preds, "n_pixels")):
-        wide = _grouped(df.select(*groups, "target", "pred"), [[], groups])
-        w = Window.partitionBy("level", *groups)
-        wide = wide.withColumn("_m", F.avg("target").over(w))
-        sse, sst = F.sum(F.pow(F.col("target") - F.col("pred"), 2)), F.sum(F.pow(F.col("target") - F.col("_m"), 2))
-        out.append(wide.groupBy("level", *groups).agg((1 - ratio(sse, sst)).alias(f"{prefix}r2"), F.sqrt(F.avg(F.pow(F.col("target") - F.col("pred"), 2))).alias(f"{prefix}rmse"), F.count("*").alias(n)))
+        kinds = dict(df.dtypes)
+        every = scores(df, [], prefix=prefix).select(F.lit(0).alias("level"), *[F.lit(None).cast(kinds[c]).alias(c) for c in groups], "*")
+        own = scores(df, groups, prefix=prefix).select(F.lit(1).alias("level"), "*")
+        out.append(every.unionByName(own).withColumnRenamed(f"{prefix}n", n))
     a, b = out
     same = reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in ["level", *groups]])
     return a.join(b, same).select(a["level"], *[a[c] for c in groups], "field_r2", "field_rmse", "pixel_r2", "pixel_rmse", "n_fields", "n_pixels")
@@ -102,13 +95,24 @@ def cv_scores(fields: DataFrame, group: list[str], cell: str, least: int = 10) -
     """Per group (cell NULL) and per group and cell: n, R2, relative RMSE and bias in percent, number of cells."""
     out = []
     for by, extra in ((group, F.count_distinct(cell)), ([*group, cell], F.lit(1).cast("bigint"))):
-        d = min_count(fields, by, least).withColumn("_m", F.avg("target").over(Window.partitionBy(*by)))
         e = F.col("pred") - F.col("target")
-        s = d.groupBy(*by).agg(F.count("*").alias("n"), (1 - ratio(F.sum(e * e), F.sum(F.pow(F.col("target") - F.col("_m"), 2)))).alias("r2"), (100 * ratio(F.sqrt(F.avg(e * e)), F.avg("target"))).alias("rrmse"), (100 * ratio(F.avg(e), F.avg("target"))).alias("bias"), (extra if by is group else F.count_distinct(cell)).alias("n_cells"))
+        s = fields.groupBy(*by).agg(F.count("*").alias("n"), r2().alias("r2"), (100 * ratio(F.sqrt(F.avg(e * e)), F.avg("target"))).alias("rrmse"), (100 * ratio(F.avg(e), F.avg("target"))).alias("bias"), (extra if by is group else F.count_distinct(cell)).alias("n_cells"))
+        s = s.where(F.col("n") >= least)
         out.append(s if cell in by else s.withColumn(cell, F.lit(None).cast(dict(fields.dtypes)[cell])))
     return out[0].unionByName(out[1])
 
 
+def cv_headline(fields: DataFrame, scored: DataFrame, group: list[str], cell: str, fold: str, least: int = 10) -> DataFrame:
+    """One row: folds, groups and cells with scores, medians over both, and the relative RMSE of all fields of cells of
+    `least` fields pooled."""
+    big = fields.groupBy(*group, cell).agg(F.count("*").alias("n"), F.sum(F.pow(F.col("pred") - F.col("target"), 2)).alias("e"), F.sum("target").alias("y")).where(F.col("n") >= least)
+    pooled = big.agg((100 * ratio(F.sqrt(ratio(F.sum("e"), F.sum("n"))), ratio(F.sum("y"), F.sum("n")))).alias("pooled_rrmse"))
+    folds = fields.agg(F.count_distinct(fold).alias("folds"))
+    own, cells = F.col(cell).isNull(), F.col(cell).isNotNull()
+    medians = scored.agg(F.count_if(own).alias("n_groups"), F.count_if(cells).alias("n_cells"), *[F.median(F.when(c, F.col(v))).alias(f"{n}_{v}") for n, c in (("group", own), ("cell", cells)) for v in ("r2", "rrmse")])
+    return folds.crossJoin(medians).crossJoin(pooled)  # one row each
+
+
 def cv_summary(scored: DataFrame, cell: str) -> DataFrame:
     """Medians over groups and over cells."""
     level = F.when(F.col(cell).isNull(), F.lit("group")).otherwise(F.lit("cell"))
@@ -118,7 +122,7 @@ def cv_summary(scored: DataFrame, cell: str) -> DataFrame:
 def paired(a: DataFrame, b: DataFrame, metric: str, keys: list[str], lower_is_better: bool = False) -> DataFrame:
     """Median difference a - b over common keys, how often a is better, and how many keys are common."""
     d = a.select(*keys, F.col(metric).alias("_a")).join(b.select(*keys, F.col(metric).alias("_b")), keys).where("_a is not null and _b is not null").select((F.col("_a") - F.col("_b")).alias("d"))
-    better = F.col("d") < 0 if lower_is_better else F.col("d") > 0
+    better = F.round("d", 9) < 0 if lower_is_better else F.round("d", 9) > 0  # sums differ in the last digits by order
     return d.agg(F.median("d").alias("median_diff"), F.count_if(better).alias("better"), F.count("*").alias("n"))
 
 
@@ -144,14 +148,15 @@ def screening_stats(preds: DataFrame, field: str, by: list[str]) -> DataFrame:
 def screening_summary(stats: DataFrame, variant: str, member: str, subset: list[str], reference: str) -> DataFrame:
     """Per variant: medians over subsets of the members' mean, their spread, and subsets above the reference variant."""
     per = stats.groupBy(variant, *subset).agg(F.avg("r2").alias("r2"), F.stddev_pop("r2").alias("spread"))
-    ref = per.where(F.col(variant) == reference).select(*subset, F.col("r2").alias("_ref"))
-    return per.join(ref, subset, "left").groupBy(variant).agg(F.median("r2").alias("r2"), F.median("spread").alias("spread"), F.count_if(F.col("r2") > F.col("_ref")).alias("above"), F.count("*").alias("n"))
+    # The reference comes from the same pass and is compared to nine digits: no variant is above itself by the order of summing.
+    ref = F.max(F.when(F.col(variant) == reference, F.round("r2", 9))).over(Window.partitionBy(*subset))
+    return per.withColumn("_ref", ref).groupBy(variant).agg(F.median("r2").alias("r2"), F.median("spread").alias("spread"), F.count_if(F.round("r2", 9) > F.col("_ref")).alias("above"), F.count("*").alias("n"))
 
 
 def keep_decision(summary: DataFrame, variant: str, reference: str) -> DataFrame:
     """A variant is kept if it beats the reference by more than the larger of both spreads."""
     ref = summary.where(F.col(variant) == reference).select(F.col("r2").alias("_r"), F.col("spread").alias("_s"))
-    return summary.crossJoin(F.broadcast(ref)).withColumn("keep", F.coalesce(F.col("r2") > F.col("_r") + F.greatest("_s", "spread"), F.lit(False))).drop("_r", "_s")
+    return summary.crossJoin(F.broadcast(ref)).withColumn("keep", F.coalesce(F.round("r2", 9) > F.round(F.col("_r") + F.greatest("_s", "spread"), 9), F.lit(False))).drop("_r", "_s")
 
 
 def balanced_mse(preds: DataFrame, field: str, by: list[str]) -> DataFrame:
@@ -231,4 +236,4 @@ def gain(a: DataFrame, name: str, base: str, other: str, value: str, keys: list[
     """Wins and median difference of a variant over another on common subsets."""
     wide = a.where(F.col(name).isin(base, other)).groupBy(*keys).pivot(name, [base, other]).agg(F.avg(value))
     d = wide.where(F.col(f"`{base}`").isNotNull() & F.col(f"`{other}`").isNotNull()).select((F.col(f"`{other}`") - F.col(f"`{base}`")).alias("d"))
-    return d.agg(F.count_if(F.col("d") > 0).alias("wins"), F.count("*").alias("n"), F.median("d").alias("median_diff"))
+    return d.agg(F.count_if(F.round("d", 9) > 0).alias("wins"), F.count("*").alias("n"), F.median("d").alias("median_diff"))

@@ -23,6 +23,37 @@ def field_steps(steps: DataFrame, field: str, step: str, values: list[str]) -> D
     return steps.groupBy(field, step).agg(*[f for v in values for f in (F.avg(v).alias(f"{v}_mean"), F.count(v).alias(f"{v}_n"))])
 
 
+def field_aggregates(pixels: DataFrame, field: str, carried: list[str], target: str, bands: list[str]) -> DataFrame:
+    """Per field in one pass: carried attributes, pixels, mean and population deviation of the target, mean of each static
+    band."""
+    return pixels.groupBy(field).agg(*[F.min(c).alias(c) for c in carried], F.count("*").alias("n_pixels"), F.avg(target).alias("yield_mean"), F.stddev_pop(target).alias("yield_sd"), *[F.avg(b).alias(f"{b}_mean") for b in bands])
+
+
+def field_years(pixels: DataFrame, seasons: DataFrame, field: str, target: str, at: list[float]) -> DataFrame:
+    """Per field-year: labelled pixels, bounding box, distribution of the target, sowing and harvest dates, and the days
+    between them (NULL if a date is missing)."""
+    box = [f(c).alias(f"{n}_{c}") for c in ("prow", "pcol") for n, f in (("min", F.min), ("max", F.max))]
+    q = pixels.groupBy(field).agg(F.count("*").alias("n_pixels"), F.count(target).alias("n_labelled"), *box, F.avg(target).alias("mean"), F.stddev_samp(target).alias("sd"), F.min(target).alias("lo"), F.max(target).alias("hi"), F.percentile(target, F.array(*[F.lit(a) for a in at])).alias("_q"))
+    q = q.select("*", *[F.col("_q")[k].alias(f"q{round(a * 100):02d}") for k, a in enumerate(at)]).drop("_q")
+    return q.join(seasons.select(field, "seeding_date", "harvesting_date", F.datediff("harvesting_date", "seeding_date").alias("season_days")), field, "left")
+
+
+def raster_info(cells: DataFrame, keys: list[str], value: str, size: float = 10.0, missing: float = -1.0) -> DataFrame:
+    """Per raster: height, width, labelled cells (values from 0 on) and all, area in ha, their least, mean and largest
+    value, and negative values that are not the `missing` mark."""
+    v = F.col(value)
+    ok = F.when(v >= 0, v)
+    span = lambda c: (F.max(c) - F.min(c) + 1)
+    return cells.groupBy(*keys).agg(span("prow").alias("height"), span("pcol").alias("width"), F.count(ok).alias("labelled"), F.count("*").alias("n"), (F.count(ok) * (size * size / 10_000)).alias("area_ha"), F.min(ok).alias("lo"), F.avg(ok).alias("mean"), F.max(ok).alias("hi"), F.count_if((v < 0) & (v != missing)).alias("odd_negative"))
+
+
+def same_grid(rasters: DataFrame, key: str, layer: str, base: str) -> DataFrame:
+    """(key, layer, same): whether a layer's grid (height, width and origin) is that of the base layer of its key."""
+    grid = F.struct("height", "width", "top", "left")
+    b = rasters.where(F.col(layer) == base).select(key, grid.alias("_g"))
+    return rasters.where(F.col(layer) != base).join(b, key, "left").select(key, layer, F.coalesce(grid == F.col("_g"), F.lit(False)).alias("same"))
+
+
 def dataset_table(fields: DataFrame, group: list[str]) -> DataFrame:
     """Distinct physical fields, farms and regions, pixels, years and yields: per group and per first column (others NULL)."""
     def part(by: list[str]) -> DataFrame:
@@ -70,7 +101,7 @@ def feature_shift(df: DataFrame, group: str, features: list[str]) -> DataFrame:
     q = lambda x: F.percentile("value", x)
     ref = d.groupBy("feature").agg(q(0.5).alias("_m"), (q(0.75) - q(0.25)).alias("_r"))
     own = d.groupBy("feature", group).agg(q(0.5).alias("median"), (q(0.75) - q(0.25)).alias("iqr"))
-    return own.join(F.broadcast(ref), "feature").select("feature", group, "median", "iqr", ratio(F.col("median") - F.col("_m"), "_r").alias("shift"))
+    return own.join(ref, "feature").select("feature", group, "median", "iqr", ratio(F.col("median") - F.col("_m"), "_r").alias("shift"))
 
 
 def valid_per_step(steps: DataFrame, by: list[str], step: str, value: str) -> DataFrame:
@@ -102,16 +133,31 @@ def ranking(df: DataFrame, features: list[str], target: str, k: int) -> DataFram
     return s.orderBy(F.round(F.abs(F.coalesce("r", F.lit(0.0))), 9).desc(), "feature").limit(k)
 
 
+def ranking_by_source(df: DataFrame, features: list[str], target: str, source: str, sources: list[str], k: int) -> DataFrame:
+    """The ranking over all rows, with the correlation inside each source beside it."""
+    d = long(df, [target, source], features)
+    inside = lambda v, s: F.when(F.col(source) == s, F.col(v))
+    s = d.groupBy("feature").agg(corr("value", target).alias("r"), *[corr(inside("value", x), inside(target, x)).alias(f"r_{x}".lower()) for x in sources], F.count_distinct("value").alias("n_unique"))
+    return s.orderBy(F.round(F.abs(F.coalesce("r", F.lit(0.0))), 9).desc(), "feature").limit(k)
+
+
 def label_sanity(df: DataFrame, by: list[str], value: str, top: float) -> DataFrame:
     v = F.col(value)
     return df.groupBy(*by).agg(F.count_if(v.isNull()).alias("missing"), F.count_if(v <= 0).alias("not_positive"), F.count_if(v > top).alias("too_large"))
 
 
 def json_profile(df: DataFrame, doc: str) -> DataFrame:
-    """Per key of flat JSON documents: presence, numbers among the values, their range, and distinct values."""
+    """Per key of JSON objects: presence, the values' JSON types with their counts, numbers among the values (decimals,
+    signs and exponents included) with their range and median, lengths of arrays and objects, and distinct values."""
     m = df.select(F.explode(F.from_json(doc, "map<string,string>")).alias("key", "value"))
-    n = F.try_to_number("value", F.lit("999999999")).cast("double")
-    return m.groupBy("key").agg(F.count("*").alias("present"), F.count(n).alias("numbers"), F.min(n).alias("lo"), F.max(n).alias("hi"), F.count_distinct("value").alias("n_values"))
+    m = m.withColumn("_n", F.col("value").try_cast("double"))
+    text = F.trim("value")
+    length = F.when(text.startswith("["), F.json_array_length("value")).when(text.startswith("{"), F.size(F.json_object_keys("value")))
+    kind = F.when(F.col("value").isNull(), "null").when(text.startswith("["), "array").when(text.startswith("{"), "object").when(F.col("value").isin("true", "false"), "boolean").when(F.col("_n").isNotNull(), "number").otherwise("string")
+    m = m.withColumn("_k", kind).withColumn("_l", length)
+    kinds = [F.count_if(F.col("_k") == k).alias(f"{k}s") for k in ("null", "array", "object", "boolean", "string")]
+    n = F.col("_n")
+    return m.groupBy("key").agg(F.count("*").alias("present"), F.count(n).alias("numbers"), *kinds, F.min(n).alias("lo"), F.median(n).alias("mid"), F.max(n).alias("hi"), F.min("_l").cast("bigint").alias("shortest"), F.max("_l").cast("bigint").alias("longest"), F.count_distinct("value").alias("n_values"))
 
 
 def class_shares(df: DataFrame, by: list[str], kind: str) -> DataFrame:
@@ -148,7 +194,7 @@ def largest_difference(a: DataFrame, b: DataFrame, keys: list[str], value: str,
 
 def quintile_errors(fields: DataFrame, group: str, measure: str, error: str, n: int = 5) -> DataFrame:
     """Median error by quantile of a measure inside each group (ties by field)."""
-    d = fields.withColumn("bin", quantile_bin(F.struct(measure, "field"), n, group))
+    d = fields.withColumn("bin", quantile_bin(F.struct(F.round(measure, 9), F.col("field")), n, group))
     return d.groupBy(group, "bin").agg(F.count("*").alias("n"), F.median(error).alias("error"))
 
 
@@ -158,8 +204,10 @@ def spearman(df: DataFrame, group: str, x: str, y: str, least: int = 10, distinc
         w = Window.partitionBy(group)
         return F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(group, c)) - 1) / 2.0
 
-    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_x", rank(x)).withColumn("_y", rank(y))
-    ok = (F.count("*") >= least) & (F.count_distinct(x) >= distinct)
+    # Values that tie may differ in the last digits by the order of summing, so they are ranked to nine digits.
+    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(group, F.round(x, 9).alias("_a"), F.round(y, 9).alias("_b"))
+    d = d.withColumn("_x", rank("_a")).withColumn("_y", rank("_b"))
+    ok = (F.count("*") >= least) & (F.count_distinct("_a") >= distinct)
     return d.groupBy(group).agg(F.count("*").alias("n"), F.when(ok, corr("_x", "_y")).alias("rho"))
 
 

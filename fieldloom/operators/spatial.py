@@ -1,8 +1,8 @@
 """Pixels and footprints in space: neighbours, edges, holes, terrain, overlap, proximity, connected groups.
 
 Relations are equi joins: neighbours by explicit offsets, overlaps by shared grid cells, proximity by tiles at least as
-wide as the search distance. Only per-field rasters that need a walk over the grid (holes, terrain fits) are grouped
-numpy functions; a field's raster is small by nature.
+wide as the search distance. Only per-field rasters that need the whole grid at once (edge distances, holes, terrain fits)
+are grouped numpy functions; a field's raster is one image.
 """
 
 from __future__ import annotations
@@ -52,11 +52,47 @@ def empty_ring(pixels: DataFrame, field: str) -> DataFrame:
     return ring.join(pixels.select(field, "prow", "pcol"), [field, "prow", "pcol"], "left_anti")
 
 
-def edge_distance(pixels: DataFrame, field: str, size: float = 10.0) -> DataFrame:
-    """Distance in metres from each pixel's centre to the nearest empty cell's centre."""
-    ring = empty_ring(pixels, field).select(field, F.col("prow").alias("er"), F.col("pcol").alias("ec"))
-    d2 = F.pow(F.col("prow") - F.col("er"), 2) + F.pow(F.col("pcol") - F.col("ec"), 2)
-    return pixels.select(field, "prow", "pcol").join(ring, field).groupBy(field, "prow", "pcol").agg((F.sqrt(F.min(d2)) * size).alias("edge"))
+def _raster(pdf: pd.DataFrame, border: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The mask of a field's pixels with an empty border, and where its pixels are in it."""
+    r, c = (pdf[x].to_numpy() - pdf[x].min() + border for x in ("prow", "pcol"))
+    mask = np.zeros((r.max() + border + 1, c.max() + border + 1), bool)
+    mask[r, c] = True
+    return mask, r, c
+
+
+def _squared_distance(mask: np.ndarray) -> np.ndarray:
+    """Squared distance of every cell to the nearest empty one: along columns, then over shifted rows.
+
+    A shift by k columns adds k * k, so shifts end when that is more than any distance that is left.
+    """
+    big = float(sum(mask.shape)) ** 2
+    d = np.where(mask, big, 0.0)
+    for cells in (range(1, mask.shape[0]), range(mask.shape[0] - 2, -1, -1)):  # steps from the last empty cell above, below
+        step = -1 if cells.step > 0 else 1
+        for i in cells:
+            d[i] = np.minimum(d[i], (np.sqrt(d[i + step]) + 1) ** 2)
+    out, k = d.copy(), 1
+    while k < mask.shape[1] and k * k < out.max():
+        out[:, k:] = np.minimum(out[:, k:], d[:, :-k] + k * k)
+        out[:, :-k] = np.minimum(out[:, :-k], d[:, k:] + k * k)
+        k += 1
+    return out
+
+
+def edge_distance(pixels: DataFrame, field: str, size: float = 10.0, min_hole: int = 0) -> DataFrame:
+    """Distance in metres from each pixel's centre to the nearest empty cell's centre. Holes inside the field's outline of
+    fewer than `min_hole` cells count as field. Two passes over a field's image, none over pairs of cells."""
+
+    def measure(pdf: pd.DataFrame) -> pd.DataFrame:
+        mask, r, c = _raster(pdf, 1)
+        if min_hole:
+            for cells in _holes(mask):
+                if len(cells) < min_hole:
+                    mask[tuple(np.array(cells).T)] = True
+        return pdf[[field, "prow", "pcol"]].assign(edge=np.sqrt(_squared_distance(mask)[r, c]) * size)
+
+    t = dict(pixels.dtypes)
+    return pixels.select(field, "prow", "pcol").groupBy(field).applyInPandas(measure, f"`{field}` {t[field]}, prow {t['prow']}, pcol {t['pcol']}, edge double")
 
 
 def within_edge(pixels: DataFrame, field: str, cells: int) -> DataFrame:
@@ -75,30 +111,27 @@ def outline(pixels: DataFrame, field: str) -> DataFrame:
     return pixels.join(reached, [field, "prow", "pcol"], "left").where(F.coalesce("_n", F.lit(0)) < 4).drop("_n")
 
 
-def _holes(mask: np.ndarray) -> list[int]:
-    """Sizes of empty areas (connected by sides) that the outside does not reach."""
-    grid = np.pad(mask, 1)
-    seen, out = grid.copy(), []
-    todo = [(0, 0)]
-    seen[0, 0] = True
+def _holes(mask: np.ndarray) -> list[list[tuple[int, int]]]:
+    """Cells of each empty area (connected by sides) that the outside does not reach; the mask has an empty border."""
+    seen, out = mask.copy(), []
 
-    def fill(todo: list) -> int:
-        n = 0
+    def fill(start: tuple[int, int]) -> list[tuple[int, int]]:
+        todo, cells = [start], []
+        seen[start] = True
         while todo:
             r, c = todo.pop()
-            n += 1
+            cells.append((r, c))
             for dr, dc in _SIDES:
                 x, y = r + dr, c + dc
-                if 0 <= x < grid.shape[0] and 0 <= y < grid.shape[1] and not seen[x, y]:
+                if 0 <= x < mask.shape[0] and 0 <= y < mask.shape[1] and not seen[x, y]:
                     seen[x, y] = True
                     todo.append((x, y))
-        return n
+        return cells
 
-    fill(todo)
+    fill((0, 0))
     for r, c in zip(*np.where(~seen), strict=True):
         if not seen[r, c]:
-            seen[r, c] = True
-            out.append(fill([(r, c)]))
+            out.append(fill((int(r), int(c))))
     return out
 
 
@@ -106,11 +139,9 @@ def patchiness(pixels: DataFrame, field: str, small: int = 3, size: float = 10.0
     """Per field: area in ha, holes, their share of the filled area, holes per ha, small holes, share of outline pixels."""
 
     def measure(pdf: pd.DataFrame) -> pd.DataFrame:
-        r, c = pdf["prow"].to_numpy() - pdf["prow"].min(), pdf["pcol"].to_numpy() - pdf["pcol"].min()
-        mask = np.zeros((r.max() + 1, c.max() + 1), bool)
-        mask[r, c] = True
-        holes, n = _holes(mask), int(mask.sum())
-        p = np.pad(mask, 1)
+        p, _, _ = _raster(pdf, 1)
+        mask = p[1:-1, 1:-1]
+        holes, n = [len(cells) for cells in _holes(p)], int(mask.sum())
         inner = p[:-2, 1:-1] & p[2:, 1:-1] & p[1:-1, :-2] & p[1:-1, 2:]
         area = n * size * size / 10_000
         return pd.DataFrame([[pdf[field].iloc[0], area, len(holes), sum(holes) / (n + sum(holes)), len(holes) / area, sum(h <= small for h in holes), float((mask & ~inner).sum()) / n]], columns=[field, "area_ha", "holes", "hole_share", "holes_per_ha", "small_holes", "edge_share"])
@@ -119,38 +150,57 @@ def patchiness(pixels: DataFrame, field: str, small: int = 3, size: float = 10.0
     return pixels.select(field, "prow", "pcol").groupBy(field).applyInPandas(measure, f"`{field}` {kind}, area_ha double, holes long, hole_share double, holes_per_ha double, small_holes long, edge_share double")
 
 
-def terrain(pixels: DataFrame, field: str, z: str, half: int = 2, sigma: float = 1.5, least: int = 9, size: float = 10.0) -> DataFrame:
-    """Slope, aspect and curvature from a Gaussian-weighted quadratic fitted around each pixel, NULL with too few neighbours."""
+def terrain(pixels: DataFrame, field: str, z: str, sigma: float = 1.5, size: float = 10.0, flat: float = 0.1) -> DataFrame:
+    """Slope (degrees), aspect (sine: east, cosine: north of the downslope direction, zero below `flat` degrees) and
+    curvature (minus the Laplacian in 1/km, convex positive) of a quadratic in metres east and north, fitted around each
+    pixel with Gaussian weights of `sigma` pixels. NULL with fewer than 18 pixels within three sigma; rows count southwards.
+
+    All windows of a field are one matrix product with the moments' weights, and all fits one batched solve; fields of
+    many pixels go a strip of windows at a time.
+    """
+    half = int(np.ceil(3 * sigma))
+    dr, dc = np.mgrid[-half : half + 1, -half : half + 1].astype(float)
+    # In pixels while fitting, so the moments are of like size; the results are scaled to metres.
+    weight, e, n = np.exp(-(dr**2 + dc**2) / (2 * sigma**2)).ravel(), dc.ravel(), -dr.ravel()
+    basis = np.stack([np.ones_like(e), e, n, e * e, e * n, n * n])
+    moments = np.stack([weight * basis[i] * basis[j] for i in range(6) for j in range(6)] + [np.ones_like(weight)], axis=1)
+    sides = (weight * basis).T
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        r, c = pdf["prow"].to_numpy(), pdf["pcol"].to_numpy()
-        r0, c0 = r.min() - half, c.min() - half
-        grid = np.full((r.max() - r0 + half + 1, c.max() - c0 + half + 1), np.nan)
-        grid[r - r0, c - c0] = pdf[z].to_numpy()
-        off = np.arange(-half, half + 1)
-        dy, dx = (a.ravel() * size for a in np.meshgrid(off, off, indexing="ij"))
-        basis = np.stack([np.ones_like(dx), dx, dy, dx * dx, dx * dy, dy * dy], axis=1).astype(float)
-        weight = np.exp(-(dx**2 + dy**2) / (2 * (sigma * size) ** 2))
+        mask, r, c = _raster(pdf, half)
+        grid = np.zeros(mask.shape)
+        grid[r, c] = pdf[z].to_numpy() - pdf[z].mean()
         out = np.full((len(pdf), 4), np.nan)
-        for k, (i, j) in enumerate(zip(r - r0, c - c0, strict=True)):
-            v = grid[i - half : i + half + 1, j - half : j + half + 1].ravel()
-            ok = ~np.isnan(v)
-            if ok.sum() < least:
-                continue
-            sw = np.sqrt(weight[ok])
-            if np.linalg.matrix_rank(basis[ok] * sw[:, None]) < 6:
+        window = lambda a, k: np.lib.stride_tricks.sliding_window_view(a, (2 * half + 1, 2 * half + 1))[r[k] - half, c[k] - half].reshape(len(k), -1)
+        for at in range(0, len(pdf), 20_000):
+            k = np.arange(at, min(at + 20_000, len(pdf)))
+            a = window(mask, k).astype(float) @ moments
+            b = window(grid, k) @ sides
+            ok = np.flatnonzero(a[:, 36] >= 18)
+            if not len(ok):
                 continue
-            b = np.linalg.lstsq(basis[ok] * sw[:, None], v[ok] * sw, rcond=None)[0]
-            steep = np.hypot(b[1], b[2])
-            out[k] = np.degrees(np.arctan(steep)), -b[1] / steep if steep > 0 else 0.0, -b[2] / steep if steep > 0 else 0.0, 2 * (b[3] + b[5])
+            # Windows whose pixels lie so that they carry no quadratic have no fit.
+            m = a[ok, :36].reshape(-1, 6, 6)
+            full = np.linalg.matrix_rank(m, hermitian=True) == 6
+            coef = np.empty((len(ok), 6))
+            coef[full] = np.linalg.solve(m[full], b[ok][full][..., None])[..., 0]
+            coef[~full] = np.nan
+            east, north = coef[:, 1] / size, coef[:, 2] / size
+            steep = np.hypot(east, north)
+            slope = np.degrees(np.arctan(steep))
+            level = slope < flat
+            down = np.where(level | np.isnan(steep), 1.0, np.where(steep > 0, steep, 1.0))
+            away = lambda x: np.where(np.isnan(steep), np.nan, np.where(level, 0.0, -x / down))
+            out[k[ok]] = np.stack([slope, away(east), away(north), -2000.0 * (coef[:, 3] + coef[:, 5]) / (size * size)], axis=1)
         res = pdf[[field, "prow", "pcol"]].copy()
-        for n, name in enumerate(("slope", "aspect_x", "aspect_y", "curvature")):
-            res[name] = out[:, n]
+        for x, name in enumerate(("slope", "aspect_sin", "aspect_cos", "curvature")):
+            res[name] = out[:, x]
         return res
 
     t = dict(pixels.dtypes)
-    made = pixels.select(field, "prow", "pcol", z).where(F.col(z).isNotNull()).groupBy(field).applyInPandas(fit, f"`{field}` {t[field]}, prow {t['prow']}, pcol {t['pcol']}, slope double, aspect_x double, aspect_y double, curvature double")
-    return made.select(field, "prow", "pcol", *[F.nanvl(n, F.lit(None).cast("double")).alias(n) for n in ("slope", "aspect_x", "aspect_y", "curvature")])
+    names = ("slope", "aspect_sin", "aspect_cos", "curvature")
+    made = pixels.select(field, "prow", "pcol", z).where(F.col(z).isNotNull()).groupBy(field).applyInPandas(fit, f"`{field}` {t[field]}, prow {t['prow']}, pcol {t['pcol']}, " + ", ".join(f"{x} double" for x in names))
+    return made.select(field, "prow", "pcol", *[F.nanvl(x, F.lit(None).cast("double")).alias(x) for x in names])
 
 
 def relative(pixels: DataFrame, field: str, z: str) -> DataFrame:
@@ -219,7 +269,7 @@ def centre_distances(points: DataFrame, key: str) -> DataFrame:
     """Equirectangular distance in km of all pairs of a few places (lat, lon in degrees): the one pairwise operator."""
     a, b = points.select(F.col(key).alias("a"), F.col("lat").alias("la"), F.col("lon").alias("oa")), points.select(F.col(key).alias("b"), F.col("lat").alias("lb"), F.col("lon").alias("ob"))
     x = F.radians(F.col("ob") - F.col("oa")) * F.cos(F.radians((F.col("la") + F.col("lb")) / 2))
-    return a.crossJoin(F.broadcast(b)).where("a < b").select("a", "b", (6371.0 * F.sqrt(x * x + F.pow(F.radians(F.col("lb") - F.col("la")), 2))).alias("km"))
+    return a.crossJoin(b).where("a < b").select("a", "b", (6371.0 * F.sqrt(x * x + F.pow(F.radians(F.col("lb") - F.col("la")), 2))).alias("km"))
 
 
 def centroid(pixels: DataFrame, field: str, size: float = 10.0) -> DataFrame:

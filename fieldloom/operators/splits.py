@@ -34,7 +34,7 @@ def split_scores(candidates: DataFrame, all_fields: DataFrame, mixes: list[list[
     for i, mix in enumerate(mixes):
         whole = all_fields.groupBy(*mix).agg((F.count("*") / F.lit(float(n))).alias("_q"))
         own = part.groupBy("candidate", *mix).agg(F.count("*").alias("_c"))
-        both = size.crossJoin(F.broadcast(whole)).join(own, ["candidate", *mix], "left")
+        both = size.crossJoin(whole).join(own, ["candidate", *mix], "left")
         tv = both.groupBy("candidate").agg((F.sum(F.abs(F.coalesce("_c", F.lit(0)) / F.col("k") - F.col("_q"))) / 2).alias(f"tv{i}"))
         out = out.join(tv, "candidate").withColumn("score", F.col("score") + F.col(f"tv{i}")).drop(f"tv{i}")
     # At a set's own rows and just before them the distance is largest: only these need to be looked at.
@@ -52,7 +52,7 @@ def year_pairs(fields: DataFrame, year: str, crop: str) -> DataFrame:
     years = fields.select(F.col(year).alias("test")).distinct()
     pairs = years.crossJoin(years.select(F.col("test").alias("val"))).where("test <> val")
     crops = fields.groupBy(crop).agg(F.collect_set(year).alias("ys"))
-    bad = pairs.crossJoin(F.broadcast(crops)).where(F.size(F.array_except("ys", F.array("test", "val"))) == 0).select("test", "val").distinct()
+    bad = pairs.crossJoin(crops).where(F.size(F.array_except("ys", F.array("test", "val"))) == 0).select("test", "val").distinct()
     return pairs.join(bad, ["test", "val"], "left_anti")
 
 
@@ -71,37 +71,50 @@ def best_pair(scored: DataFrame) -> DataFrame:
     return scored.orderBy(F.round("score", 9), "test", "val").limit(1)
 
 
+#: Regions that one list may have.
+MOST_REGIONS = 100_000
+
+
 def assignments(regions: DataFrame, region: str, size: str, trials: int, share: float = 0.15, seed: int = 42) -> DataFrame:
-    """(trial, region, role): in each trial regions in a random order fill test, then val up to the share, the rest trains.
+    """(trial, region, role): in each trial regions come in a random order, and each goes to the set (test before val) that
+    it brings closest to the share of all, or trains if it brings neither closer.
 
-    `regions` is one row a region: a bounded list, sent to all trials; trials run apart.
+    `regions` is one row a region, a list that is sent to all trials and must have at most `MOST_REGIONS` rows; trials
+    run apart, over as many tasks as there are shuffle partitions.
     """
     spark = regions.sparkSession
     rows = sorted((r[region], int(r[size])) for r in regions.select(region, size).collect())
-    total = sum(n for _, n in rows)
+    if len(rows) > MOST_REGIONS:
+        raise ValueError(f"more than {MOST_REGIONS} regions")
+    goal = share * sum(n for _, n in rows)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for trial in b["id"]:
                 order = sorted(rows, key=lambda r: hashlib.md5(f"{seed}|{trial}|{r[0]}".encode()).hexdigest())
-                held, role = 0, 2
+                held = {2: 0, 1: 0}
                 for name, n in order:
+                    nearer = {s: abs(held[s] - goal) - abs(held[s] + n - goal) for s in (2, 1)}
+                    role = max(nearer, key=nearer.get)
+                    role = role if nearer[role] > 0 else 0
                     out.append((trial, name, role))
-                    held += n
-                    if role and held >= share * total:
-                        held, role = 0, role - 1
+                    if role:
+                        held[role] += n
             yield pd.DataFrame(out, columns=["trial", region, "role"])
 
     kind = dict(regions.dtypes)[region]
-    return spark.range(trials).mapInPandas(run, f"trial long, `{region}` {kind}, role int")
+    return spark.range(0, trials, 1, int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(run, f"trial long, `{region}` {kind}, role int")
 
 
 def leave_regions_out(fields: DataFrame, region: str, crop: str, mix: list[str], trials: int, seed: int = 42) -> DataFrame:
-    """Score of each random assignment of regions (test and val together)."""
+    """Score of each random assignment of regions (test and val together) that leaves every crop to train on."""
     checkpoint_dir(fields.sparkSession)
     z = standardised(fields, "yield_mean", [crop])
     roles = assignments(fields.groupBy(region).agg(F.count("*").alias("n")), region, "n", trials, seed=seed).checkpoint()
+    crops = fields.select(crop).distinct().count()
+    fine = roles.where("role = 0").join(fields.select(region, crop).distinct(), region).groupBy("trial").agg(F.count_distinct(crop).alias("_n")).where(F.col("_n") == crops).select("trial")
+    roles = roles.join(fine, "trial", "left_semi")
     held = roles.where("role > 0").join(fields.select("field", region), region).select("field", F.concat_ws("/", "trial", "role").alias("candidate"))
     s = split_scores(held, z, [mix])
     return s.groupBy(F.split("candidate", "/")[0].cast("bigint").alias("trial")).agg(F.sum("score").alias("score"), F.count("*").alias("sets")).where("sets = 2").select("trial", "score")
@@ -113,26 +126,33 @@ def fold_roles(fields: DataFrame, year: str) -> DataFrame:
     cycle = years.withColumn("val", F.coalesce(F.lead(year).over(Window.orderBy(year)), F.min(year).over(Window.partitionBy(F.lit(1)))))
     folds = cycle.select(F.col(year).alias("fold"), "val")
     role = F.when(F.col(year) == F.col("fold"), 2).when(F.col(year) == F.col("val"), 1).otherwise(0)
-    return fields.crossJoin(F.broadcast(folds)).select("fold", "field", role.alias("role"))
+    return fields.crossJoin(folds).select("fold", "field", role.alias("role"))
+
 
+def split_violations(split: DataFrame, fields: DataFrame, groups: list[str], crop: str, by: list[str] = ()) -> DataFrame:
+    """(by, check, n) of each split, which are told apart by the columns `by`: groups on more than one side, crops that
+    train lacks, fields without a role, roles that are empty."""
+    splits = split.select(*by).distinct() if by else None
+    every = fields.crossJoin(splits) if by else fields  # a row for each field and split: what the splits themselves have
+    d = every.join(split.select(*by, "field", "role"), [*by, "field"], "left")
 
-def split_violations(split: DataFrame, fields: DataFrame, groups: list[str], crop: str) -> DataFrame:
-    """(check, n): groups on more than one side, crops that train lacks, fields without a role, roles that are empty."""
-    d = fields.join(split.select("field", "role"), "field", "left")
-    out = d.where("role is null").agg(F.lit("no role").alias("check"), F.count("*").alias("n"))
+    def found(name: str, rows: DataFrame) -> DataFrame:
+        n = rows.groupBy(*by).agg(F.count("*").alias("n"))
+        n = splits.join(n, list(by), "left") if by else n
+        return n.select(*by, F.lit(name).alias("check"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+
+    out = found("no role", d.where("role is null"))
     for g in groups:
-        out = out.unionByName(d.groupBy(g).agg(F.count_distinct("role").alias("k")).where("k > 1").agg(F.lit(f"{g} on two sides").alias("check"), F.count("*").alias("n")))
-    lacks = d.groupBy(crop).agg(F.count_if(F.col("role") == 0).alias("k")).where("k = 0")
-    out = out.unionByName(lacks.agg(F.lit("crop missing in train").alias("check"), F.count("*").alias("n")))
-    return out.unionByName(d.agg(F.lit("empty roles").alias("check"), (3 - F.count_distinct("role")).alias("n")))
-
-
-def composition(split: DataFrame, fields: DataFrame, mix: str) -> DataFrame:
-    """Per role: fields, share, pixels, mean yield, and the share of each value of `mix` as rows (role, mix, ...)."""
-    d = fields.join(split.select("field", "role"), "field")
-    w = Window.partitionBy("role")
-    t = d.groupBy("role", mix).agg(F.count("*").alias("n_fields"), F.sum("n_pixels").alias("n_pixels"), F.avg("yield_mean").alias("yield_mean"))
-    return t.withColumn("share", F.col("n_fields") / F.sum("n_fields").over(w))
+        out = out.unionByName(found(f"{g} on two sides", d.groupBy(*by, g).agg(F.count_distinct("role").alias("k")).where("k > 1")))
+    out = out.unionByName(found("crop missing in train", d.groupBy(*by, crop).agg(F.count_if(F.col("role") == 0).alias("k")).where("k = 0")))
+    return out.unionByName(d.groupBy(*by).agg((3 - F.count_distinct("role")).alias("n")).select(*by, F.lit("empty roles").alias("check"), "n"))
+
+
+def composition(split: DataFrame, fields: DataFrame, mix: str, by: list[str] = ()) -> DataFrame:
+    """Per split (columns `by`) and role: fields, share, pixels, mean yield of each value of `mix` (by, role, mix, ...)."""
+    d = fields.join(split.select(*by, "field", "role"), "field")
+    t = d.groupBy(*by, "role", mix).agg(F.count("*").alias("n_fields"), F.sum("n_pixels").alias("n_pixels"), F.avg("yield_mean").alias("yield_mean"))
+    return t.withColumn("share", F.col("n_fields") / F.sum("n_fields").over(Window.partitionBy(*by, "role")))
 
 
 def bootstrap_scores(fields: DataFrame, subset: list[str], models: list[str], draws: int, seed: int) -> DataFrame:

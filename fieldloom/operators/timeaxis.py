@@ -156,12 +156,14 @@ def left_padded(seq: DataFrame, field: str, order: str, value: str, length: int)
 
 
 def length_chunks(lengths: DataFrame, key: str, seed: int, size: int) -> DataFrame:
-    """Keys in random chunks of at most `size`, ordered by length inside a chunk; chunks are hash ranges, so none is global."""
-    from fieldloom.functions.numeric import hash_unit
-
-    total = lengths.count()
-    chunk = F.floor(hash_unit(seed, key) * max(1, -(-total // size))).cast("bigint")
-    return lengths.withColumn("chunk", chunk).withColumn("place", F.row_number().over(Window.partitionBy("chunk").orderBy("length", key)))
+    """Keys in random chunks of `size` (the last may be smaller), ordered by length inside a chunk; keys are numbered in a
+    random order over ranges of it, so no task sees them all."""
+    from fieldloom.functions.numeric import hash_rank
+    from fieldloom.operators.tables import numbered
+
+    order = numbered(lengths.withColumn("_h", hash_rank(seed, key)), ["_h", key], "_at")
+    chunk = F.floor(F.col("_at") / size).cast("bigint")
+    return order.withColumn("chunk", chunk).drop("_h", "_at").withColumn("place", F.row_number().over(Window.partitionBy("chunk").orderBy("length", key)))
 
 
 def gaps(scenes: DataFrame, field: str) -> DataFrame:

@@ -86,6 +86,14 @@ def cv_summary(fx: Fx) -> DataFrame:
     return rounded(M.cv_summary(_cv(fx), "year"))
 
 
+@query(f"""WITH {CV}, big AS (SELECT count(*) AS n, sum(power(pred - target, 2)) AS e, sum(target) AS y FROM fl GROUP BY country, crop, year HAVING count(*) >= 4)
+    SELECT (SELECT count(DISTINCT year) FROM fl) AS folds, CAST(count_if(year IS NULL) AS BIGINT) AS n_groups, CAST(count_if(year IS NOT NULL) AS BIGINT) AS n_cells, round(median(CASE WHEN year IS NULL THEN r2 END), 6) AS group_r2, round(median(CASE WHEN year IS NULL THEN rrmse END), 6) AS group_rrmse,
+    round(median(CASE WHEN year IS NOT NULL THEN r2 END), 6) AS cell_r2, round(median(CASE WHEN year IS NOT NULL THEN rrmse END), 6) AS cell_rrmse, round((SELECT 100 * sqrt(sum(e) / nullif(sum(n), 0)) / nullif(sum(y) / nullif(sum(n), 0), 0) FROM big), 6) AS pooled_rrmse FROM cv""")
+def cv_headline(fx: Fx) -> DataFrame:
+    f = M.field_level(fx.preds, ["field", "country", "crop", "year"])
+    return rounded(M.cv_headline(f, _cv(fx), ["country", "crop"], "year", "year", 4))
+
+
 def _member_scores(fx: Fx, member: str) -> DataFrame:
     f = M.field_level(fx.preds.withColumn("pred", F.col(member)), ["field", "country", "crop"])
     return M.scores(f, ["country", "crop"])
@@ -95,12 +103,12 @@ def _member_sql(m: str) -> str:
     return f"SELECT country, crop, {r2()} AS r2 FROM (SELECT *, avg(target) OVER (PARTITION BY country, crop) AS m FROM (SELECT field, country, crop, avg(target) AS target, avg({m}) AS pred FROM fx_preds GROUP BY field, country, crop)) GROUP BY country, crop"
 
 
-@query(f"SELECT round(median(d), 6) AS median_diff, count_if(d > 0) AS better, count(*) AS n FROM (SELECT a.r2 - b.r2 AS d FROM ({_member_sql('pred_m0')}) a JOIN ({_member_sql('pred_m1')}) b USING (country, crop)) WHERE d IS NOT NULL".replace("count_if(d > 0)", "CAST(count_if(d > 0) AS BIGINT)"))
+@query(f"SELECT round(median(d), 6) AS median_diff, count_if(round(d, 9) > 0) AS better, count(*) AS n FROM (SELECT a.r2 - b.r2 AS d FROM ({_member_sql('pred_m0')}) a JOIN ({_member_sql('pred_m1')}) b USING (country, crop)) WHERE d IS NOT NULL".replace("count_if(round(d, 9) > 0)", "CAST(count_if(round(d, 9) > 0) AS BIGINT)"))
 def cv_paired(fx: Fx) -> DataFrame:
     return rounded(M.paired(_member_scores(fx, "pred_m0"), _member_scores(fx, "pred_m1"), "r2", ["country", "crop"]))
 
 
-@query(f"WITH u AS (SELECT 'pred_m0' AS variant, * FROM ({_member_sql('pred_m0')}) UNION ALL SELECT 'pred_m1', * FROM ({_member_sql('pred_m1')})) SELECT CAST(count_if(d > 0) AS BIGINT) AS wins, count(*) AS n, round(median(d), 6) AS median_diff FROM (SELECT max(CASE WHEN variant = 'pred_m1' THEN r2 END) - max(CASE WHEN variant = 'pred_m0' THEN r2 END) AS d FROM u GROUP BY country, crop) WHERE d IS NOT NULL")
+@query(f"WITH u AS (SELECT 'pred_m0' AS variant, * FROM ({_member_sql('pred_m0')}) UNION ALL SELECT 'pred_m1', * FROM ({_member_sql('pred_m1')})) SELECT CAST(count_if(round(d, 9) > 0) AS BIGINT) AS wins, count(*) AS n, round(median(d), 6) AS median_diff FROM (SELECT max(CASE WHEN variant = 'pred_m1' THEN r2 END) - max(CASE WHEN variant = 'pred_m0' THEN r2 END) AS d FROM u GROUP BY country, crop) WHERE d IS NOT NULL")
 def ensemble_gain(fx: Fx) -> DataFrame:
     u = _member_scores(fx, "pred_m0").withColumn("variant", F.lit("pred_m0")).unionByName(_member_scores(fx, "pred_m1").withColumn("variant", F.lit("pred_m1")))
     return rounded(M.gain(u, "variant", "pred_m0", "pred_m1", "r2", ["country", "crop"]))
@@ -138,7 +146,7 @@ SCREEN = f"""v AS (SELECT field, country, target, 'base' AS variant, 0 AS member
     UNION ALL SELECT field, country, target, 'shift', 0, pred_m0 + 0.5 FROM fx_preds UNION ALL SELECT field, country, target, 'shift', 1, pred_m1 + 0.25 FROM fx_preds),
     f AS (SELECT field, country, variant, member, avg(target) AS target, avg(pred) AS pred FROM v GROUP BY ALL), s AS (SELECT country, variant, member, {r2()} AS r2 FROM (SELECT *, avg(target) OVER (PARTITION BY country, variant, member) AS m FROM f) GROUP BY country, variant, member),
     per AS (SELECT variant, country, avg(r2) AS r2, stddev_pop(r2) AS spread FROM s GROUP BY variant, country),
-    sm AS (SELECT p.variant, median(p.r2) AS r2, median(p.spread) AS spread, CAST(count_if(p.r2 > q.r2) AS BIGINT) AS above, count(*) AS n FROM per p LEFT JOIN (SELECT * FROM per WHERE variant = 'base') q ON p.country = q.country GROUP BY p.variant)"""
+    sm AS (SELECT p.variant, median(p.r2) AS r2, median(p.spread) AS spread, CAST(count_if(round(p.r2, 9) > round(q.r2, 9)) AS BIGINT) AS above, count(*) AS n FROM per p LEFT JOIN (SELECT * FROM per WHERE variant = 'base') q ON p.country = q.country GROUP BY p.variant)"""
 
 
 @query(f"WITH {SCREEN} SELECT variant, round(r2, 6) AS r2, round(spread, 6) AS spread, above, n FROM sm")
@@ -146,7 +154,7 @@ def screening_summary(fx: Fx) -> DataFrame:
     return rounded(_screen(fx))
 
 
-@query(f"WITH {SCREEN} SELECT a.variant, round(a.r2, 6) AS r2, round(a.spread, 6) AS spread, a.above, a.n, coalesce(a.r2 > b.r2 + greatest(b.spread, a.spread), false) AS keep FROM sm a, (SELECT * FROM sm WHERE variant = 'base') b")
+@query(f"WITH {SCREEN} SELECT a.variant, round(a.r2, 6) AS r2, round(a.spread, 6) AS spread, a.above, a.n, coalesce(round(a.r2, 9) > round(b.r2 + greatest(b.spread, a.spread), 9), false) AS keep FROM sm a, (SELECT * FROM sm WHERE variant = 'base') b")
 def screening_decision(fx: Fx) -> DataFrame:
     return rounded(M.keep_decision(_screen(fx), "variant", "base"))
 

@@ -18,6 +18,8 @@ ADAPTERS: dict[str, str | tuple[str, str]] = {
         CAST(year(l_shipdate) AS BIGINT) AS year, CAST(l_orderkey % 10 AS BIGINT) AS prow, CAST(l_partkey % 10 AS BIGINT) AS pcol,
         avg(l_quantity) AS target, avg(l_extendedprice) / 1000 AS z, count(*) AS n, avg(l_discount) AS disc, avg(l_tax) AS tax
         FROM {lineitem} GROUP BY l_suppkey, year(l_shipdate), l_orderkey % 10, l_partkey % 10""",
+    # The same with gaps: fields have holes and ragged edges.
+    "fx_masked": "SELECT * FROM fx_pixels WHERE (prow * 7 + pcol * 3 + farm) % 5 > 0",
     "fx_fields": """SELECT p.field, p.farm, p.year, r_name AS country, n_name AS region,
         CASE (p.farm + p.year) % 4 WHEN 0 THEN 'wheat' WHEN 1 THEN 'maize' WHEN 2 THEN 'soybean' ELSE 'barley' END AS crop,
         p.farm AS physical_field, count(*) AS n_pixels, avg(p.target) AS yield_mean

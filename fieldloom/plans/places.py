@@ -9,12 +9,11 @@ from fieldloom.plans.evaluation import rounded
 from fieldloom.plans.fixtures import Fx
 from fieldloom.plans.registry import query
 
-#: Pixels with gaps, so that fields have holes and ragged edges.
-PX = "px AS (SELECT field, prow, pcol, z, target FROM fx_pixels WHERE (prow * 7 + pcol * 3 + farm) % 5 > 0)"
+PX = "px AS (SELECT field, prow, pcol, z, target FROM fx_masked)"
 
 
 def _px(fx: Fx) -> DataFrame:
-    return fx.pixels.where("(prow * 7 + pcol * 3 + farm) % 5 > 0").select("field", "prow", "pcol", "z", "target")
+    return fx.masked.select("field", "prow", "pcol", "z", "target")
 
 
 @query(f"WITH {PX}, b AS (SELECT field, min(prow) AS r0, min(pcol) AS c0, max(prow) - min(prow) + 1 AS h, max(pcol) - min(pcol) + 1 AS w FROM px GROUP BY field) SELECT px.field, prow - r0 AS r, pcol - c0 AS c, h, w FROM px JOIN b ON px.field = b.field")
@@ -119,7 +118,7 @@ def proximity_pairs(fx: Fx) -> DataFrame:
 @query()
 def regions(fx: Fx) -> DataFrame:
     """Farms joined by proximity, named by their members; held against union-find in the tests."""
-    farms = fx.outline.where("farm % 4 = 0")
+    farms = fx.outline
     c = G.components(G.proximity(farms, "farm", 10_000), farms.select(F.col("farm").alias("node")))
     return G.joined_names(c)
 

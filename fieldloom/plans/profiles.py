@@ -103,9 +103,47 @@ def label_sanity(fx: Fx) -> DataFrame:
     return P.label_sanity(d, ["country"], "v", 20)
 
 
-@query("WITH v AS (SELECT 'k' AS key, json_extract_string(props, '$.k') AS v FROM events) SELECT key, count(v) AS present, count(TRY_CAST(v AS DOUBLE)) AS numbers, round(min(TRY_CAST(v AS DOUBLE)), 6) AS lo, round(max(TRY_CAST(v AS DOUBLE)), 6) AS hi, count(DISTINCT v) AS n_values FROM v GROUP BY key")
+JSON_KINDS = ", ".join(f"CAST(count_if(k = '{k}') AS BIGINT) AS {k}s" for k in ("null", "array", "object", "boolean", "string"))
+
+
+@query("WITH v AS (SELECT 'k' AS key, json_extract_string(props, '$.k') AS v FROM events UNION ALL SELECT 'price', CAST(l_discount - 0.05 AS STRING) FROM lineitem UNION ALL SELECT 'tags', '[1,2]' FROM region UNION ALL SELECT 'name', n_name FROM nation), t AS (SELECT *, TRY_CAST(v AS DOUBLE) AS n, CASE WHEN v IS NULL THEN 'null' WHEN v LIKE '[%' THEN 'array' WHEN TRY_CAST(v AS DOUBLE) IS NOT NULL THEN 'number' ELSE 'string' END AS k, CASE WHEN v LIKE '[%' THEN CAST(2 AS BIGINT) END AS l FROM v) SELECT key, count(*) AS present, count(n) AS numbers, " + JSON_KINDS + ", round(min(n), 6) AS lo, round(median(n), 6) AS mid, round(max(n), 6) AS hi, min(l) AS shortest, max(l) AS longest, count(DISTINCT v) AS n_values FROM t GROUP BY key")
 def schema_profile(fx: Fx) -> DataFrame:
-    return rounded(P.json_profile(fx.events, "props"))
+    price = fx.lineitem.select(F.concat(F.lit('{"price": '), (F.col("l_discount") - 0.05).cast("string"), F.lit("}")).alias("props"))
+    tags = fx.region.select(F.lit('{"tags": [1,2]}').alias("props"))
+    names = fx.nation.select(F.to_json(F.struct(F.col("n_name").alias("name"))).alias("props"))
+    return rounded(P.json_profile(fx.events.select("props").unionByName(price).unionByName(tags).unionByName(names), "props"))
+
+
+@query("SELECT field, min(farm) AS farm, min(year) AS year, count(*) AS n_pixels, round(avg(target), 6) AS yield_mean, round(stddev_pop(target), 6) AS yield_sd, round(avg(z), 6) AS z_mean, round(avg(disc), 6) AS disc_mean FROM fx_pixels GROUP BY field")
+def field_aggregates(fx: Fx) -> DataFrame:
+    return rounded(P.field_aggregates(fx.pixels, "field", ["farm", "year"], "target", ["z", "disc"]))
+
+
+@query("SELECT p.field, count(*) AS n_pixels, count(p.target) AS n_labelled, min(prow) AS min_prow, max(prow) AS max_prow, min(pcol) AS min_pcol, max(pcol) AS max_pcol, round(avg(p.target), 6) AS mean, round(stddev_samp(p.target), 6) AS sd, round(min(p.target), 6) AS lo, round(max(p.target), 6) AS hi, round(quantile_cont(p.target, 0.05), 6) AS q05, round(median(p.target), 6) AS q50, round(quantile_cont(p.target, 0.95), 6) AS q95, CAST(min(s.jan1) + CAST(min(s.sow_day) AS INTEGER) AS DATE) AS seeding_date, CAST(min(s.jan1) + CAST(min(s.harvest_day) AS INTEGER) AS DATE) AS harvesting_date, CAST(min(s.harvest_day) - min(s.sow_day) AS INTEGER) AS season_days FROM fx_pixels p LEFT JOIN fx_season s ON p.field = s.field GROUP BY p.field")
+def field_years(fx: Fx) -> DataFrame:
+    s = fx.season.select("field", F.date_add("jan1", F.col("sow_day").cast("int")).alias("seeding_date"), F.date_add("jan1", F.col("harvest_day").cast("int")).alias("harvesting_date"))
+    return rounded(P.field_years(fx.pixels, s, "field", "target", [0.05, 0.5, 0.95]))
+
+
+@query("WITH c AS (SELECT field, prow, pcol, CASE WHEN n > 1 THEN -1.0 WHEN disc > 0.09 THEN -2.0 ELSE target END AS v FROM fx_pixels) SELECT field, max(prow) - min(prow) + 1 AS height, max(pcol) - min(pcol) + 1 AS width, CAST(count_if(v >= 0) AS BIGINT) AS labelled, count(*) AS n, round(count_if(v >= 0) * 0.01, 6) AS area_ha, round(min(CASE WHEN v >= 0 THEN v END), 6) AS lo, round(avg(CASE WHEN v >= 0 THEN v END), 6) AS mean, round(max(v), 6) AS hi, CAST(count_if(v < 0 AND v <> -1) AS BIGINT) AS odd_negative FROM c GROUP BY field".replace("round(max(v), 6) AS hi", "round(max(CASE WHEN v >= 0 THEN v END), 6) AS hi"))
+def raster_info(fx: Fx) -> DataFrame:
+    c = fx.pixels.select("field", "prow", "pcol", F.when(F.col("n") > 1, -1.0).when(F.col("disc") > 0.09, -2.0).otherwise(F.col("target")).alias("v"))
+    return rounded(P.raster_info(c, ["field"], "v"))
+
+
+@query("WITH g AS (SELECT field, 'yield' AS layer, max(prow) - min(prow) AS h, max(pcol) - min(pcol) AS w, min(prow) AS t, min(pcol) AS l FROM fx_pixels GROUP BY field UNION ALL SELECT field, 'dem', max(prow) - min(prow), max(pcol) - min(pcol), min(prow), min(pcol) FROM fx_pixels WHERE disc < 0.09 GROUP BY field) SELECT d.field, d.layer, d.h = y.h AND d.w = y.w AND d.t = y.t AND d.l = y.l AS same FROM g d JOIN g y ON d.field = y.field AND y.layer = 'yield' WHERE d.layer = 'dem'")
+def same_grid(fx: Fx) -> DataFrame:
+    grid = lambda df, name: df.groupBy("field").agg((F.max("prow") - F.min("prow") + 1).alias("height"), (F.max("pcol") - F.min("pcol") + 1).alias("width"), F.min("prow").alias("top"), F.min("pcol").alias("left")).withColumn("layer", F.lit(name))
+    return P.same_grid(grid(fx.pixels, "yield").unionByName(grid(fx.pixels.where("disc < 0.09"), "dem")), "field", "layer", "yield")
+
+
+_IN = "CASE WHEN pixel % 2 = {k} THEN {v} END"
+
+
+@query("WITH l AS (" + " UNION ALL ".join(f"SELECT pixel, '{c}' AS feature, {c} AS v, pixel % 50 + clay_0_5 AS y FROM fx_soil" for c in SOIL) + f"), s AS (SELECT feature, {CORR.format(x='v', y='y')} AS r, {CORR.format(x=_IN.format(k=0, v='v'), y=_IN.format(k=0, v='y'))} AS r_even, {CORR.format(x=_IN.format(k=1, v='v'), y=_IN.format(k=1, v='y'))} AS r_odd, count(DISTINCT v) AS n_unique FROM l GROUP BY feature) SELECT feature, round(r, 6) AS r, round(r_even, 6) AS r_even, round(r_odd, 6) AS r_odd, n_unique FROM s ORDER BY round(abs(coalesce(r, 0)), 9) DESC, feature LIMIT 3")
+def static_ranking_by_source(fx: Fx) -> DataFrame:
+    d = fx.soil.withColumn("y", F.col("pixel") % 50 + F.col("clay_0_5")).withColumn("src", F.when(F.col("pixel") % 2 == 0, "even").otherwise("odd"))
+    return rounded(P.ranking_by_source(d, SOIL, "y", "src", ["even", "odd"], 3))
 
 
 @query("SELECT kind, clouds % 10 AS scl, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY kind), 6) AS share FROM fx_scenes GROUP BY kind, clouds % 10")
@@ -140,7 +178,7 @@ def summary_reconciliation(fx: Fx) -> DataFrame:
     return rounded(P.largest_difference(p, p.withColumn("target", F.col("target") + (F.col("prow") * 10 + F.col("pcol")) / 1000), ["field", "farm", "prow", "pcol"], "target", "farm"))
 
 
-FE = "fe AS (SELECT field, country, avg(z) AS z, abs(avg(pred) - avg(target)) AS error FROM fx_preds GROUP BY field, country)"
+FE = "fe AS (SELECT field, country, round(avg(z), 9) AS z, round(abs(avg(pred) - avg(target)), 9) AS error FROM fx_preds GROUP BY field, country)"
 
 
 def _errors(fx: Fx) -> DataFrame:

@@ -11,7 +11,7 @@ from fieldloom.plans.fixtures import Fx, with_fixtures
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("evaluation", "timeline", "projections", "splitting", "resampling", "places", "profiles", "stores")
+_MODULES = ("evaluation", "timeline", "projections", "splitting", "resampling", "places", "profiles", "stores", "sinks")
 
 
 def query(sql: str | None = None):

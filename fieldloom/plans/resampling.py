@@ -99,9 +99,12 @@ def wide_delta_table(fx: Fx) -> DataFrame:
     return rounded(T.wide_with_deltas(fx.fields, "country", "crop", ["wheat", "maize"], "yield_mean", "wheat"))
 
 
-@query("WITH a AS (SELECT country, count_if(year = 1995) AS y1995, count_if(year = 1996) AS y1996, count_if(year = 1997) AS y1997 FROM fx_fields GROUP BY country), b AS (SELECT * FROM a UNION ALL SELECT 'total', sum(y1995), sum(y1996), sum(y1997) FROM a) SELECT country, CAST(y1995 AS BIGINT) AS y1995, CAST(y1996 AS BIGINT) AS y1996, CAST(y1997 AS BIGINT) AS y1997, CAST(y1995 + y1996 + y1997 AS BIGINT) AS total FROM b")
+_YEARS = [f"y{y}" for y in range(1992, 1999)]
+
+
+@query("WITH a AS (SELECT country, " + ", ".join(f"count_if(year = {y[1:]}) AS {y}" for y in _YEARS) + " FROM fx_fields GROUP BY country), b AS (SELECT * FROM a UNION ALL SELECT 'total', " + ", ".join(f"sum({y})" for y in _YEARS) + " FROM a) SELECT country, " + ", ".join(f"CAST({y} AS BIGINT) AS {y}" for y in _YEARS) + ", CAST(" + " + ".join(_YEARS) + " AS BIGINT) AS total FROM b")
 def crosstab_margins(fx: Fx) -> DataFrame:
-    return T.crosstab(fx.fields.where("year <= 1997"), "country", "year", [1995, 1996, 1997])
+    return T.crosstab(fx.fields, "country", "year", list(range(1992, 1999)))
 
 
 @query("SELECT crop, n, CAST(row_number() OVER (ORDER BY CASE crop WHEN 'wheat' THEN 0 WHEN 'soybean' THEN 1 ELSE 2 END, crop) AS INTEGER) AS place FROM (SELECT crop, count(*) AS n FROM fx_fields GROUP BY crop)")
@@ -119,7 +122,7 @@ def build_difference(fx: Fx) -> DataFrame:
     return T.cell_differences(p, b, ["field", "prow", "pcol"], ["target", "z"]).groupBy("field", "column").agg(F.count("*").alias("n"))
 
 
-@query("WITH s AS (SELECT farm, year AS scene, prow, pcol, n FROM fx_pixels WHERE prow < 2 AND pcol < 2), r AS (SELECT s.farm, s.prow, s.pcol, s.n FROM s WHERE scene = 1997), j AS (SELECT r.farm, s.scene, bool_and(r.n IS NOT DISTINCT FROM s.n) AS ok, count(*) AS n FROM r JOIN s ON r.farm = s.farm AND r.prow = s.prow AND r.pcol = s.pcol GROUP BY ALL) SELECT j.farm, j.scene FROM j JOIN (SELECT farm, count(*) AS k FROM r GROUP BY farm) q ON j.farm = q.farm WHERE ok AND n = k")
+@query("WITH s AS (SELECT farm, year AS scene, prow, pcol, n FROM fx_pixels), r AS (SELECT s.farm, s.prow, s.pcol, s.n FROM s WHERE scene = 1997), j AS (SELECT r.farm, s.scene, bool_and(r.n IS NOT DISTINCT FROM s.n) AS ok, count(*) AS n FROM r JOIN s ON r.farm = s.farm AND r.prow = s.prow AND r.pcol = s.pcol GROUP BY ALL) SELECT j.farm, j.scene FROM j JOIN (SELECT farm, count(*) AS k FROM r GROUP BY farm) q ON j.farm = q.farm WHERE ok AND n = k")
 def source_attribution(fx: Fx) -> DataFrame:
-    s = fx.pixels.where("prow < 2 and pcol < 2").select("farm", F.col("year").alias("scene"), (F.col("prow") * 10 + F.col("pcol")).alias("pixel"), "n")
+    s = fx.pixels.select("farm", F.col("year").alias("scene"), (F.col("prow") * 10 + F.col("pcol")).alias("pixel"), "n")
     return T.first_fit(s, s.where("scene = 1997").drop("scene"), ["farm", "pixel"], "scene", ["n"])

@@ -47,7 +47,7 @@ def loyo_split(fx: Fx) -> DataFrame:
 @query()
 def loro_split(fx: Fx) -> DataFrame:
     """The best of random assignments of regions (draws are hashes in Python, so there is no SQL for them)."""
-    return rounded(S.leave_regions_out(fx.fields, "region", "crop", ["country", "crop"], 200).orderBy(F.round("score", 9), "trial").limit(1))
+    return rounded(S.leave_regions_out(fx.fields, "region", "crop", ["country", "crop"], 20_000).orderBy(F.round("score", 9), "trial").limit(1))
 
 
 FOLDS = "cy AS (SELECT year AS fold, coalesce(lead(year) OVER (ORDER BY year), min(year) OVER ()) AS val FROM (SELECT DISTINCT year FROM fx_fields)), fo AS (SELECT fold, field, CASE WHEN year = fold THEN 2 WHEN year = val THEN 1 ELSE 0 END AS role FROM fx_fields, cy)"
@@ -58,21 +58,24 @@ def cv_folds(fx: Fx) -> DataFrame:
     return S.fold_roles(fx.fields, "year").select("fold", "field", "role")
 
 
-def _one_fold(fx: Fx) -> DataFrame:
-    return S.fold_roles(fx.fields, "year").where("fold = 1998").select("field", "role")
+ALL = f"{FOLDS}, ff AS (SELECT DISTINCT fold FROM fo), d AS (SELECT g.fold, f.*, role FROM ff g CROSS JOIN fx_fields f LEFT JOIN fo ON f.field = fo.field AND fo.fold = g.fold)"
 
 
-ONE = f"{FOLDS}, d AS (SELECT f.*, role FROM fx_fields f LEFT JOIN fo ON f.field = fo.field AND fold = 1998)"
+def _check_sql(name: str, rows: str) -> str:
+    return f"SELECT f.fold, '{name}' AS \"check\", count(r.fold) AS n FROM ff f LEFT JOIN ({rows}) r ON f.fold = r.fold GROUP BY f.fold"
 
 
-@query(f"WITH {ONE} SELECT 'no role' AS \"check\", count(*) AS n FROM d WHERE role IS NULL UNION ALL SELECT 'year on two sides', count(*) FROM (SELECT year FROM d GROUP BY year HAVING count(DISTINCT role) > 1) UNION ALL SELECT 'physical_field on two sides', count(*) FROM (SELECT physical_field FROM d GROUP BY 1 HAVING count(DISTINCT role) > 1) UNION ALL SELECT 'crop missing in train', count(*) FROM (SELECT crop FROM d GROUP BY crop HAVING count_if(role = 0) = 0) UNION ALL SELECT 'empty roles', 3 - count(DISTINCT role) FROM d")
+@query(f"WITH {ALL} " + " UNION ALL ".join([
+    _check_sql("no role", "SELECT fold FROM d WHERE role IS NULL"), _check_sql("year on two sides", "SELECT fold, year FROM d GROUP BY fold, year HAVING count(DISTINCT role) > 1"),
+    _check_sql("physical_field on two sides", "SELECT fold, physical_field FROM d GROUP BY fold, physical_field HAVING count(DISTINCT role) > 1"), _check_sql("crop missing in train", "SELECT fold, crop FROM d GROUP BY fold, crop HAVING count_if(role = 0) = 0"),
+    "SELECT fold, 'empty roles', 3 - count(DISTINCT role) FROM d GROUP BY fold"]))
 def split_checks(fx: Fx) -> DataFrame:
-    return S.split_violations(_one_fold(fx), fx.fields, ["year", "physical_field"], "crop")
+    return S.split_violations(S.fold_roles(fx.fields, "year"), fx.fields, ["year", "physical_field"], "crop", ["fold"])
 
 
-@query(f"WITH {ONE} SELECT CAST(role AS INTEGER) AS role, crop, count(*) AS n_fields, CAST(sum(n_pixels) AS BIGINT) AS n_pixels, round(avg(yield_mean), 6) AS yield_mean, round(count(*) / sum(count(*)) OVER (PARTITION BY role), 6) AS share FROM d GROUP BY role, crop")
+@query(f"WITH {ALL} SELECT fold, CAST(role AS INTEGER) AS role, crop, count(*) AS n_fields, CAST(sum(n_pixels) AS BIGINT) AS n_pixels, round(avg(yield_mean), 6) AS yield_mean, round(count(*) / sum(count(*)) OVER (PARTITION BY fold, role), 6) AS share FROM d GROUP BY fold, role, crop")
 def split_composition(fx: Fx) -> DataFrame:
-    return rounded(S.composition(_one_fold(fx), fx.fields, "crop"))
+    return rounded(S.composition(S.fold_roles(fx.fields, "year"), fx.fields, "crop", ["fold"]))
 
 
 @query(f"WITH {FOLDS} SELECT fold, 'field' AS kind, country, count(*) AS n FROM fo JOIN fx_fields USING (field) WHERE role > 0 GROUP BY fold, country")
@@ -82,12 +85,12 @@ def split_membership(fx: Fx) -> DataFrame:
 
 def _boot(fx: Fx) -> DataFrame:
     p = fx.preds.groupBy("field", "country").agg(F.avg("target").alias("target"), F.avg("pred_m0").alias("m0"), F.avg("pred_m1").alias("m1"))
-    return S.bootstrap_scores(p, ["country"], ["m0", "m1"], 20, 7)
+    return S.bootstrap_scores(p, ["country"], ["m0", "m1"], 1000, 7)
 
 
 UNIT = "CAST(('0x' || substr(md5(concat_ws('|', {keys})), 1, 8))::BIGINT / 4294967296.0 AS DOUBLE)"
 BOOT = f"""pf AS (SELECT field, country, avg(target) AS target, avg(pred_m0) AS m0, avg(pred_m1) AS m1 FROM fx_preds GROUP BY field, country), ow AS (SELECT *, row_number() OVER (PARTITION BY country ORDER BY field) - 1 AS i, count(*) OVER (PARTITION BY country) AS n FROM pf),
-    pk AS (SELECT country, draw, CAST(floor({UNIT.format(keys="'7', country, CAST(draw AS STRING), CAST(k AS STRING)")} * n) AS BIGINT) AS i FROM (SELECT country, n, draw, unnest(range(0, n)) AS k FROM (SELECT country, count(*) AS n, unnest(range(0, 20)) AS draw FROM pf GROUP BY country))),
+    pk AS (SELECT country, draw, CAST(floor({UNIT.format(keys="'7', country, CAST(draw AS STRING), CAST(k AS STRING)")} * n) AS BIGINT) AS i FROM (SELECT country, n, draw, unnest(range(0, n)) AS k FROM (SELECT country, count(*) AS n, unnest(range(0, 1000)) AS draw FROM pf GROUP BY country))),
     bd AS (SELECT pk.country, draw, target, m0, m1, avg(target) OVER (PARTITION BY pk.country, draw) AS m FROM pk JOIN ow ON pk.country = ow.country AND pk.i = ow.i),
     bo AS (SELECT draw, country, 'm0' AS model, 1 - sum(power(target - m0, 2)) / nullif(sum(power(target - m, 2)), 0) AS r2, count(*) AS n FROM bd GROUP BY draw, country UNION ALL SELECT draw, country, 'm1', 1 - sum(power(target - m1, 2)) / nullif(sum(power(target - m, 2)), 0), count(*) FROM bd GROUP BY draw, country)"""
 

@@ -85,10 +85,10 @@ def setups(fx: Fx) -> DataFrame:
     return d.groupBy("config").agg(F.count_distinct("split").alias("n_splits"), F.min("split").alias("first"), F.max("split").alias("last"), (F.count_distinct("split") == 7).alias("complete"), F.sum("n_pixels").alias("seconds"))
 
 
-@query("WITH s AS (SELECT country, crop, CASE WHEN year % 2 = 0 THEN 'even' ELSE 'odd' END AS model, avg(yield_mean) AS v FROM fx_fields GROUP BY ALL), b AS (SELECT country, crop, arg_max(model, v) AS model FROM s GROUP BY country, crop) SELECT s.model, round(median(v), 6) AS median, count(*) AS n, (SELECT count(*) FROM b WHERE b.model = s.model) AS best FROM s GROUP BY s.model")
+@query("WITH s AS (SELECT country, crop, CASE WHEN year % 2 = 0 THEN 'even' ELSE 'odd' END AS model, avg(yield_mean) AS v FROM fx_fields GROUP BY ALL), b AS (SELECT country, crop, arg_max(model, (round(v, 9), model)) AS model FROM s GROUP BY country, crop) SELECT s.model, round(median(v), 6) AS median, count(*) AS n, (SELECT count(*) FROM b WHERE b.model = s.model) AS best FROM s GROUP BY s.model")
 def overview_best(fx: Fx) -> DataFrame:
     s = fx.fields.groupBy("country", "crop", F.when(F.col("year") % 2 == 0, "even").otherwise("odd").alias("model")).agg(F.avg("yield_mean").alias("v"))
-    best = s.groupBy("country", "crop").agg(F.max_by("model", "v").alias("model")).groupBy("model").agg(F.count("*").alias("best"))
+    best = s.groupBy("country", "crop").agg(F.max_by("model", F.struct(F.round("v", 9), F.col("model"))).alias("model")).groupBy("model").agg(F.count("*").alias("best"))
     return rounded(s.groupBy("model").agg(F.median("v").alias("median"), F.count("*").alias("n")).join(best, "model", "left"))
 
 
@@ -113,9 +113,9 @@ def series_onto_pixels(fx: Fx) -> DataFrame:
     return rounded(j.groupBy(F.col("own").alias("field")).agg(F.count("*").alias("n"), F.avg("temp_mean").alias("temp"), F.count("temp_mean").alias("present")))
 
 
-@query("WITH s AS (SELECT field, farm % 5 AS cell, jan1 FROM fx_season WHERE farm < 40 AND year < 1998 AND year > 1995), d AS (SELECT s.field, CAST(floor((date_diff('day', s.jan1, c.date) - 60) / 30.0) AS BIGINT) AS k, v FROM s JOIN fx_cell_daily c ON s.cell = c.cell) SELECT field, k, count(*) AS n_days, round(avg(v), 6) AS v FROM d WHERE k >= 0 AND k < 8 GROUP BY field, k")
+@query("WITH s AS (SELECT field, farm % 5 AS cell, jan1 FROM fx_season), d AS (SELECT s.field, CAST(floor((date_diff('day', s.jan1, c.date) - 60) / 30.0) AS BIGINT) AS k, v FROM s JOIN fx_cell_daily c ON s.cell = c.cell) SELECT field, k, count(*) AS n_days, round(avg(v), 6) AS v FROM d WHERE k >= 0 AND k < 8 GROUP BY field, k")
 def cell_windows(fx: Fx) -> DataFrame:
-    s = fx.season.where("farm < 40 and year < 1998 and year > 1995").select("field", (F.col("farm") % 5).alias("cell"), "jan1")
+    s = fx.season.select("field", (F.col("farm") % 5).alias("cell"), "jan1")
     return rounded(J.cell_windows(s, fx.cell_daily, "cell", "jan1", 60, 30, 8, [F.avg("v").alias("v")]))
 
 
@@ -131,7 +131,7 @@ def reference_results(fx: Fx) -> DataFrame:
     return J.reference_results(fx.fields.groupBy("country").agg(F.count("*").alias("n")), ref, ["country"])
 
 
-PX5 = "px AS (SELECT * FROM fx_pixels WHERE (prow * 7 + pcol * 3 + farm) % 5 > 0)"
+PX5 = "px AS (SELECT * FROM fx_masked)"
 
 
 @query(f"""WITH {PX5}, cells AS (SELECT field, r, c FROM (SELECT DISTINCT field FROM px), (SELECT unnest(range(-1, 11)) AS r), (SELECT unnest(range(-1, 11)) AS c)), em AS (SELECT * FROM cells WHERE NOT EXISTS (SELECT 1 FROM px WHERE px.field = cells.field AND px.prow = r AND px.pcol = c)),
@@ -141,7 +141,7 @@ def load_features(fx: Fx) -> DataFrame:
     """Feature assembly in its fixed order: edge buffer, split rows, attributes, scaling by training rows, one-hot."""
     from fieldloom.functions.scalars import one_hot
 
-    p = fx.pixels.where("(prow * 7 + pcol * 3 + farm) % 5 > 0")
+    p = fx.masked
     inner = p.join(G.within_edge(p, "field", 1).select("field", "prow", "pcol"), ["field", "prow", "pcol"], "left_anti").where("year < 2000")
     x = L.scaled(inner, L.scaler(inner.where("year < 1999"), ["z"]), ["z"])
     x = one_hot(J.attach(x, fx.fields.select("field", "crop", "country"), ["field"]).where("country <> 'ASIA'"), "crop", ["wheat"])

@@ -76,10 +76,10 @@ def daily_resample(fx: Fx) -> DataFrame:
     return rounded(W.daily(fx.events, ["event_type"], "ts", "value"))
 
 
-@query("WITH a AS (SELECT CAST(ts AS DATE) AS date, count(*) AS clicks FROM events WHERE event_type = 'click' GROUP BY 1), b AS (SELECT CAST(ts AS DATE) AS date, count(*) AS errors FROM events WHERE event_type = 'error' AND user_id < 9 GROUP BY 1) SELECT coalesce(a.date, b.date) AS date, clicks, errors FROM a FULL JOIN b ON a.date = b.date")
+@query("WITH a AS (SELECT CAST(ts AS DATE) AS date, count(*) AS clicks FROM events WHERE event_type = 'click' GROUP BY 1), b AS (SELECT CAST(ts AS DATE) AS date, count(*) AS errors FROM events WHERE event_type = 'error' GROUP BY 1) SELECT coalesce(a.date, b.date) AS date, clicks, errors FROM a FULL JOIN b ON a.date = b.date")
 def merge_variables(fx: Fx) -> DataFrame:
     per = lambda cond, name: fx.events.where(cond).groupBy(F.to_date("ts").alias("date")).agg(F.count("*").alias(name))
-    return W.merge_on(per("event_type = 'click'", "clicks"), per("event_type = 'error' and user_id < 9", "errors"), ["date"])
+    return W.merge_on(per("event_type = 'click'", "clicks"), per("event_type = 'error'", "errors"), ["date"])
 
 
 WW = "WITH d AS (SELECT *, CAST(floor(day / 5.0) AS BIGINT) AS k FROM fx_daily), p AS (SELECT field, k, count(*) AS n_days, CASE WHEN count(*) = 5 THEN avg(temp_mean) END AS temp_mean_mean, CASE WHEN count(*) = 5 THEN coalesce(sum(prec), 0) END AS prec_sum, CASE WHEN count(*) = 5 THEN arg_max(temp_max, day) END AS temp_max_last FROM d GROUP BY field, k), g AS (SELECT field, CAST(k AS BIGINT) AS k FROM (SELECT DISTINCT field FROM fx_daily), (SELECT unnest(range(0, 5 + 1)) AS k))"
@@ -122,12 +122,12 @@ def heat_rule(fx: Fx) -> DataFrame:
     return rounded(W.heat_rule(fx.season, fx.pixels.groupBy("field").agg(F.sum("z").alias("heat")), ["crop"], 17))
 
 
-EVENT = "SELECT DISTINCT vec_id, CAST(200 + vec_id % 97 AS BIGINT) AS event_day FROM fx_series WHERE vec_id % 5 = 0"
+EVENT = "SELECT DISTINCT vec_id, CAST(200 + vec_id % 97 AS BIGINT) AS event_day FROM fx_series"
 ALIGN = f"e AS (SELECT vec_id, CAST(floor((event_day - 210) / 10.0) AS BIGINT) AS k0 FROM ({EVENT})), g AS (SELECT vec_id, k0, CAST(m AS BIGINT) AS m, k0 + m AS k FROM e, (SELECT unnest(range(-4, 12)) AS m)), al AS (SELECT g.vec_id, g.m, g.k, s.value, CASE WHEN s.vec_id IS NULL THEN 0 ELSE 1 END AS observed FROM g LEFT JOIN fx_series s ON g.vec_id = s.vec_id AND g.k = s.step)"
 
 
 def _aligned(fx: Fx) -> DataFrame:
-    event = fx.series.where("vec_id % 5 = 0").select("vec_id").distinct().withColumn("event_day", F.lit(200) + F.col("vec_id") % 97)
+    event = fx.series.select("vec_id").distinct().withColumn("event_day", F.lit(200) + F.col("vec_id") % 97)
     return W.align(fx.series.withColumnRenamed("step", "k"), "vec_id", event, 10, 210, -4, 12, ["value"])
 
 
@@ -146,13 +146,13 @@ def scene_sequence(fx: Fx) -> DataFrame:
     return W.scene_sequence(fx.scenes.where("clear_share >= 0.5"), "field", -3).select("field", "scene", "day", F.col("k").cast("bigint").alias("k"), "gap")
 
 
-@query("WITH a AS (SELECT field, list(clear_share ORDER BY scene) AS v FROM fx_scenes WHERE scene % 7 = 0 GROUP BY field), b AS (SELECT field, CASE WHEN len(v) > 12 THEN v[len(v) - 11:] ELSE v END AS v FROM a) SELECT field, CAST(len(v) AS BIGINT) AS real, array_to_string(list_transform(list_concat(list_transform(range(0, 12 - len(v)), lambda x: CAST(NULL AS DOUBLE)), v), lambda x: coalesce(CAST(CAST(round(x * 100) AS BIGINT) AS STRING), '-')), ' ') AS padded FROM b")
+@query("WITH a AS (SELECT field, list(clear_share ORDER BY scene) AS v FROM fx_scenes GROUP BY field), b AS (SELECT field, CASE WHEN len(v) > 12 THEN v[len(v) - 11:] ELSE v END AS v FROM a) SELECT field, CAST(len(v) AS BIGINT) AS real, array_to_string(list_transform(list_concat(list_transform(range(0, 12 - len(v)), lambda x: CAST(NULL AS DOUBLE)), v), lambda x: coalesce(CAST(CAST(round(x * 100) AS BIGINT) AS STRING), '-')), ' ') AS padded FROM b")
 def pad_sequences(fx: Fx) -> DataFrame:
-    p = W.left_padded(fx.scenes.where("scene % 7 = 0"), "field", "scene", "clear_share", 12)
+    p = W.left_padded(fx.scenes, "field", "scene", "clear_share", 12)
     return p.select("field", "real", F.array_join(F.transform("padded", lambda x: F.coalesce(F.round(x * 100).cast("bigint").cast("string"), F.lit("-"))), " ").alias("padded"))
 
 
-@query("WITH l AS (SELECT field, count(*) AS length FROM fx_scenes GROUP BY field), c AS (SELECT *, CAST(floor(('0x' || substr(md5('5|' || CAST(field AS STRING)), 1, 8))::BIGINT / 4294967296.0 * greatest(1, ceil((SELECT count(*) FROM l) / 32.0))) AS BIGINT) AS chunk FROM l) SELECT field, length, chunk, row_number() OVER (PARTITION BY chunk ORDER BY length, field) AS place FROM c")
+@query("WITH l AS (SELECT field, count(*) AS length FROM fx_scenes GROUP BY field), c AS (SELECT *, (row_number() OVER (ORDER BY md5('5|' || CAST(field AS STRING)), field) - 1) // 32 AS chunk FROM l) SELECT field, length, chunk, row_number() OVER (PARTITION BY chunk ORDER BY length, field) AS place FROM c")
 def length_chunks(fx: Fx) -> DataFrame:
     out = W.length_chunks(fx.scenes.groupBy("field").agg(F.count("*").alias("length")), "field", 5, 32)
     return out.withColumn("place", F.col("place").cast("bigint"))
@@ -169,11 +169,11 @@ def best_so_far(fx: Fx) -> DataFrame:
     return rounded(W.best_so_far(e, ["run"], ["ts", "event_id"], "value").select("run", "event_id", "best"))
 
 
-@query("""WITH e AS (SELECT vec_id AS run, step AS epoch, round(value, 6) AS score FROM fx_series WHERE vec_id < 100), t AS (SELECT *, coalesce(score < min(score) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS nw FROM e),
+@query("""WITH e AS (SELECT vec_id AS run, step AS epoch, round(value, 6) AS score FROM fx_series), t AS (SELECT *, coalesce(score < min(score) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS nw FROM e),
     u AS (SELECT *, max(CASE WHEN nw THEN epoch END) OVER (PARTITION BY run ORDER BY epoch ROWS UNBOUNDED PRECEDING) AS att FROM t), s AS (SELECT run, coalesce(min(CASE WHEN epoch - att >= 6 THEN epoch END), max(epoch)) AS stop_epoch FROM u GROUP BY run)
     SELECT u.run, arg_min(epoch, score * 1000000 + epoch * 0.0001) AS best_epoch, min(score) AS best, max(stop_epoch) AS stop_epoch FROM u JOIN s ON u.run = s.run AND u.epoch <= s.stop_epoch GROUP BY u.run""")
 def early_stopping(fx: Fx) -> DataFrame:
-    e = rounded(fx.series.where("vec_id < 100").select(F.col("vec_id").alias("run"), F.col("step").alias("epoch"), F.col("value").alias("score")))
+    e = rounded(fx.series.select(F.col("vec_id").alias("run"), F.col("step").alias("epoch"), F.col("value").alias("score")))
     return W.stop_trace(e, ["run"], "epoch", "score", 6)
 
 

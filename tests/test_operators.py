@@ -146,15 +146,42 @@ def test_hole(spark):
     assert G.patchiness(pixels(spark, mask), "field").first().holes == 0
 
 
+def test_holes_that_count_as_field(spark):
+    mask = np.ones((9, 9), bool)
+    mask[4, 4] = mask[1, 7] = mask[2, 7] = False
+    whole = {(r.prow, r.pcol): r.edge for r in G.edge_distance(pixels(spark, np.ones((9, 9), bool)), "field").collect()}
+    got = {k: {(r.prow, r.pcol): r.edge for r in G.edge_distance(pixels(spark, mask), "field", min_hole=k).collect()} for k in (0, 2, 3)}
+    assert got[0][4, 3] == 10.0 and got[2][4, 3] == whole[4, 3] and got[2][1, 6] == 10.0
+    assert got[3] == {k: v for k, v in whole.items() if mask[k]}
+
+
 def test_terrain_of_a_plane(spark):
-    d = spark.createDataFrame([("f", r, c, 2.0 * c + 1.0 * r) for r in range(9) for c in range(9)], "field string, prow long, pcol long, z double")
-    mid = G.terrain(d, "field", "z").where("prow = 4 and pcol = 4").first()
+    d = spark.createDataFrame([("f", r, c, 2.0 * c + 1.0 * r) for r in range(13) for c in range(13)], "field string, prow long, pcol long, z double")
+    mid = G.terrain(d, "field", "z").where("prow = 6 and pcol = 6").first()
     assert math.isclose(mid.slope, math.degrees(math.atan(math.hypot(0.2, 0.1))), rel_tol=1e-6)
-    assert abs(mid.curvature) < 1e-9 and math.isclose(mid.aspect_x, -0.2 / math.hypot(0.2, 0.1), rel_tol=1e-6)
-    few = G.terrain(d.where("prow < 2 and pcol < 2"), "field", "z")
+    # It rises eastwards and southwards, so it falls to the west and north.
+    assert abs(mid.curvature) < 1e-6 and math.isclose(mid.aspect_sin, -0.2 / math.hypot(0.2, 0.1), rel_tol=1e-6) and math.isclose(mid.aspect_cos, 0.1 / math.hypot(0.2, 0.1), rel_tol=1e-6)
+    dome = spark.createDataFrame([("f", r, c, -0.01 * ((r - 6) ** 2 + (c - 6) ** 2)) for r in range(13) for c in range(13)], "field string, prow long, pcol long, z double")
+    top = G.terrain(dome, "field", "z").where("prow = 6 and pcol = 6").first()
+    assert math.isclose(top.curvature, 2 * 2 * 0.01 / 100 * 1000, rel_tol=1e-6) and top.aspect_sin == 0.0 and top.aspect_cos == 0.0  # convex is positive, a flat top has no aspect
+    few = G.terrain(d.where("prow < 4 and pcol < 4"), "field", "z")
     assert few.where("slope is not null").count() == 0
 
 
+def test_terrain_against_least_squares(spark):
+    rng = np.random.default_rng(3)
+    mask, z = rng.random((12, 12)) < 0.7, rng.normal(size=(12, 12)) * 5 + 400
+    d = spark.createDataFrame([("f", int(r), int(c), float(z[r, c])) for r, c in np.argwhere(mask)], "field string, prow long, pcol long, z double")
+    for got in G.terrain(d, "field", "z").collect():
+        near = [(r, c) for r, c in np.argwhere(mask) if abs(r - got.prow) <= 5 and abs(c - got.pcol) <= 5]
+        e, n = (np.array([10.0 * (c - got.pcol) for _, c in near]), np.array([-10.0 * (r - got.prow) for r, _ in near]))
+        w = np.sqrt(np.exp(-(e**2 + n**2) / (2 * 15.0**2)))
+        x = np.linalg.lstsq(np.stack([np.ones_like(e), e, n, e * e, e * n, n * n], axis=1) * w[:, None], np.array([z[r, c] for r, c in near]) * w, rcond=None)[0]
+        steep = math.hypot(x[1], x[2])
+        assert len(near) >= 18
+        assert np.allclose([got.slope, got.aspect_sin, got.aspect_cos, got.curvature], [math.degrees(math.atan(steep)), -x[1] / steep, -x[2] / steep, -2000 * (x[3] + x[5])], rtol=1e-6, atol=1e-8)
+
+
 def test_overlap(spark):
     cells = spark.createDataFrame([("a", k, 0) for k in range(4)] + [("b", k, 0) for k in range(1, 5)], "field string, x long, y long")
     assert rows(G.footprint_overlap(cells, "field", 0.5)) == [("a", "b", 3, 0.6)]
@@ -231,6 +258,35 @@ def test_region_assignments(spark):
     per = a.groupBy("trial").agg(F.count("*").alias("n"), F.count_distinct("role").alias("roles")).collect()
     assert len(per) == 20 and all(r.n == 12 and r.roles == 3 for r in per)
     assert rows(a) == rows(S.assignments(regions, "region", "n", 20))
+    sizes, goal = {f"r{k}": 10 + k for k in range(12)}, 0.15 * sum(10 + k for k in range(12))
+    for t in range(20):  # no region that trains would bring a set nearer to its share at the end than it was without it
+        role = {r.region: r.role for r in a.where(f"trial = {t}").collect()}
+        for s in (1, 2):
+            held = sum(sizes[r] for r, x in role.items() if x == s)
+            assert all(abs(held - sizes[r] - goal) > abs(held - goal) - 1e-9 or len([x for x in role.values() if x == s]) > 1 for r, x in role.items() if x == s)
+
+
+def test_trials_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    f = [(f"f{k}", f"r{k % 7}", "xy"[k % 2], "c", float(v)) for k, v in enumerate(rng.normal(size=42))]
+    df = spark.createDataFrame(f, "field string, region string, crop string, country string, yield_mean double")
+    got = {r.trial: r.score for r in S.leave_regions_out(df, "region", "crop", ["country", "crop"], 12).collect()}
+    role = {}
+    for r in S.assignments(df.groupBy("region").agg(F.count("*").alias("n")), "region", "n", 12).collect():
+        role.setdefault(r.trial, {})[r.region] = r.role
+    z = {r.field: r.z for r in S.standardised(df, "yield_mean", ["crop"]).collect()}
+    order = sorted(z, key=lambda k: (z[k], k))
+    for t, by in role.items():
+        total = 0.0
+        for s in (1, 2):
+            own = [x for x in f if by[x[1]] == s]
+            mix = sum(abs(sum(x[2] == c for x in own) / len(own) - 0.5) for c in "xy") / 2
+            held, ks, n = {x[0] for x in own}, 0.0, 0
+            for i, k in enumerate(order):
+                n += k in held
+                ks = max(ks, abs(n / len(own) - (i + 1) / 42))
+            total += 2 * abs(len(own) / 42 - 0.15) + mix + ks
+        assert math.isclose(got[t], total, rel_tol=1e-9)
 
 
 def test_bootstrap_of_equal_models(spark):
@@ -271,9 +327,23 @@ def test_builds_differ(spark):
 
 
 def test_json_profile(spark):
-    d = spark.createDataFrame([('{"a": 1, "b": "x"}',), ('{"a": 3}',), (None,), ("broken",)], "doc string")
+    d = spark.createDataFrame([('{"a": 1, "b": "x", "c": [1, 2, 3], "d": {"p": 1}, "e": true}',), ('{"a": -2.5, "b": null, "c": []}',), ('{"a": 1e3}',), ('{"a": 12345678901}',), (None,), ("broken",)], "doc string")
     got = {r.key: r for r in R.json_profile(d, "doc").collect()}
-    assert (got["a"].present, got["a"].lo, got["a"].hi) == (2, 1.0, 3.0) and got["b"].numbers == 0
+    assert (got["a"].present, got["a"].numbers, got["a"].lo, got["a"].mid, got["a"].hi) == (4, 4, -2.5, 500.5, 12345678901.0)
+    assert got["b"].numbers == 0 and (got["b"].strings, got["b"].nulls) == (1, 1) and (got["c"].arrays, got["c"].shortest, got["c"].longest) == (2, 0, 3)
+    assert got["d"].objects == 1 and got["d"].longest == 1 and got["e"].booleans == 1
+
+
+def test_no_variant_is_above_itself(spark):
+    rows_ = [(v, m, s, x + add + m / 10) for s, x in (("p", 0.1), ("q", 0.3)) for v, add in (("base", 0.0), ("same", 0.0), ("up", 0.2)) for m in (0, 1)]
+    out = {r.variant: r.above for r in M.screening_summary(spark.createDataFrame(rows_, "variant string, member int, sub string, r2 double"), "variant", "member", ["sub"], "base").collect()}
+    assert out == {"base": 0, "same": 0, "up": 2}
+
+
+def test_length_chunks_are_full(spark):
+    d = spark.createDataFrame([(k, k % 7) for k in range(100)], "key long, length long")
+    out = W.length_chunks(d, "key", 5, 32)
+    assert sorted(r["count"] for r in out.groupBy("chunk").count().collect()) == [4, 32, 32, 32]
 
 
 def test_sources(spark, tmp_path):
