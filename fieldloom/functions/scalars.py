@@ -127,6 +127,7 @@ def texture_class(sand: Column | str, silt: Column | str, clay: Column | str) ->
     """Index into TEXTURES by the USDA triangle, shares scaled to 100 %; -1 if they sum to nothing."""
     total = col(sand) + col(silt) + col(clay)
     s, i, c = (ratio(100.0 * col(x), total) for x in (sand, silt, clay))
+    # The bounds of the public USDA soil texture triangle, in the order of TEXTURES.
     rules = [
         i + 1.5 * c < 15,
         (i + 1.5 * c >= 15) & (i + 2 * c < 30),

@@ -219,13 +219,22 @@ def tile_average(pixels: DataFrame, field: str, value: Column, size: int, step:
 
 
 def footprint_overlap(cells: DataFrame, field: str, least: float) -> DataFrame:
-    """(a, b, shared, iou): pairs of fields whose shared cells are more than `least` of their union."""
-    n = cells.groupBy(field).agg(F.count("*").alias("n"))
-    a = cells.select(F.col(field).alias("a"), "x", "y")
-    b = cells.select(F.col(field).alias("b"), "x", "y")
-    shared = a.join(b, ["x", "y"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    out = shared.join(n.select(F.col(field).alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col(field).alias("b"), F.col("n").alias("nb")), "b")
-    return out.select("a", "b", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("iou")).where(F.col("iou") > least)
+    """(a, b, shared, iou): pairs of fields whose shared cells are more than `least` of their union.
+
+    With all cells in one order, two footprints that overlap so much share one of the first n - ceil(least * n) + 1 cells
+    of each. The order has cells of few fields first, so fields meet by their rarest cells, and only pairs of possible
+    sizes are counted; a cell that very many fields have makes pairs only where a field has no rarer ones.
+    """
+    own = cells.select(F.col(field).alias("f"), "x", "y")
+    n = own.groupBy("f").agg(F.count("*").alias("n"))
+    often = own.groupBy("x", "y").agg(F.count("*").alias("_often"))
+    ranked = own.join(often, ["x", "y"]).join(n, "f").withColumn("_at", F.row_number().over(Window.partitionBy("f").orderBy("_often", "x", "y")))
+    first = ranked.where(F.col("_at") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
+    side = lambda s: first.select(F.col("f").alias(s), F.col("n").alias(f"n{s}"), "x", "y")
+    met = side("a").join(side("b"), ["x", "y"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") > least * F.greatest("na", "nb"))).select("a", "b", "na", "nb").distinct()
+    of = lambda s: own.select(F.col("f").alias(s), "x", "y")
+    shared = met.join(of("a"), "a").join(of("b"), ["b", "x", "y"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+    return shared.select("a", "b", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("iou")).where(F.col("iou") > least)
 
 
 def proximity(points: DataFrame, key: str, reach: float, cell: float = 20.0) -> DataFrame:

@@ -115,9 +115,9 @@ def proximity_pairs(fx: Fx) -> DataFrame:
     return rounded(G.proximity(fx.outline, "farm", 10_000))
 
 
-@query()
+@query(f"WITH {NEAR}, e AS (SELECT a, b FROM nr WHERE gap <= 10000 UNION SELECT b, a FROM nr WHERE gap <= 10000), w AS (SELECT farm AS node, farm AS label FROM fx_outline UNION SELECT e.b, w.label FROM w JOIN e ON w.node = e.a), l AS (SELECT node, min(label) AS label FROM w GROUP BY node) SELECT label, string_agg(CAST(node AS STRING), '+' ORDER BY CAST(node AS STRING)) AS name, count(*) AS n FROM l GROUP BY label")
 def regions(fx: Fx) -> DataFrame:
-    """Farms joined by proximity, named by their members; held against union-find in the tests."""
+    """Farms joined by proximity, named by their members."""
     farms = fx.outline
     c = G.components(G.proximity(farms, "farm", 10_000), farms.select(F.col("farm").alias("node")))
     return G.joined_names(c)

@@ -26,11 +26,11 @@ def column_scan(fx: Fx) -> DataFrame:
     return rounded(scan.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity")))
 
 
-@query("SELECT field, count(*) AS n, round(avg(round(temp_mean, 3)), 6) AS temp, count(CASE WHEN prec > 100 THEN 1 END) AS wet, CAST(0 AS BIGINT) AS dew FROM fx_daily GROUP BY field")
+@query("SELECT field, count(*) AS n, round(avg(temp_mean), 6) AS temp, count(CASE WHEN prec > 100 THEN 1 END) AS wet, CAST(0 AS BIGINT) AS dew FROM fx_daily GROUP BY field")
 def weather_files(fx: Fx) -> DataFrame:
     """Daily weather through CSV files with empty cells; the dew point that they lack is NULL."""
     path = _folder(fx, "weather")
-    d = fx.daily.select("field", "day", F.round("temp_mean", 3).alias("temp_mean"), F.when(F.col("prec") > 100, F.round("prec", 3)).alias("prec"))
+    d = fx.daily.select("field", "day", "temp_mean", F.when(F.col("prec") > 100, F.col("prec")).alias("prec"))
     d.write.option("header", True).csv(path)
     back = S.read_weather(fx.spark, path, "field bigint, day bigint, temp_mean double, prec double", {"dew": "double"})
     return rounded(back.groupBy("field").agg(F.count("*").alias("n"), F.avg("temp_mean").alias("temp"), F.count("prec").alias("wet"), F.count("dew").alias("dew")))
