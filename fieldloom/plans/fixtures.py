@@ -95,7 +95,7 @@ def with_fixtures(sql: str) -> str:
         return sql
     parts = [f"{n} AS ({re.sub(r'[{}]', '', _text(n, False))})" for n in need]
     sql = sql.strip()
-    again = "RECURSIVE " if "label FROM w JOIN" in sql else ""
-    if sql[:5].upper() == "WITH ":
-        return f"WITH {again}" + ", ".join(parts) + ", " + sql[5:]
+    for opening in ("WITH RECURSIVE ", "WITH "):
+        if sql.startswith(opening):
+            return opening + ", ".join(parts) + ", " + sql[len(opening) :]
     return "WITH " + ", ".join(parts) + " " + sql

@@ -64,13 +64,24 @@ def outline_cells(fx: Fx) -> DataFrame:
     return G.outline(_px(fx), "field").groupBy("field").agg(F.count("*").alias("n"))
 
 
-@query()
+#: Empty cells that the outside does not reach are holes; those that touch by sides are one.
+HOLES = f"""{EDGE}, ou AS (SELECT DISTINCT field, CAST(-1 AS BIGINT) AS r, CAST(-1 AS BIGINT) AS c FROM px UNION SELECT em.field, em.r, em.c FROM ou JOIN em ON ou.field = em.field AND abs(ou.r - em.r) + abs(ou.c - em.c) = 1),
+    hc AS (SELECT em.field, em.r, em.c FROM em ANTI JOIN ou ON em.field = ou.field AND em.r = ou.r AND em.c = ou.c),
+    hl AS (SELECT field, r, c, r * 100 + c AS mark FROM hc UNION SELECT h.field, h.r, h.c, hl.mark FROM hl JOIN hc h ON h.field = hl.field AND abs(h.r - hl.r) + abs(h.c - hl.c) = 1),
+    ho AS (SELECT field, mark, count(*) AS size FROM (SELECT field, r, c, min(mark) AS mark FROM hl GROUP BY field, r, c) GROUP BY field, mark),
+    hs AS (SELECT field, count(*) AS holes, sum(size) AS empty, count_if(size <= 3) AS small FROM ho GROUP BY field),
+    ks AS (SELECT a.field, a.prow, a.pcol, count(b.field) AS k FROM px a LEFT JOIN px b ON a.field = b.field AND abs(a.prow - b.prow) + abs(a.pcol - b.pcol) = 1 GROUP BY ALL),
+    ns AS (SELECT field, count(*) AS n, count_if(k < 4) AS edge FROM ks GROUP BY field),
+    pt AS (SELECT ns.field, n * 0.01 AS area_ha, CAST(coalesce(holes, 0) AS BIGINT) AS holes, coalesce(empty, 0) / (n + coalesce(empty, 0)) AS hole_share, coalesce(holes, 0) / (n * 0.01) AS holes_per_ha, CAST(coalesce(small, 0) AS BIGINT) AS small_holes, edge / n AS edge_share FROM ns LEFT JOIN hs ON ns.field = hs.field)"""
+
+
+@query(f"WITH RECURSIVE {HOLES} SELECT field, round(area_ha, 6) AS area_ha, holes, round(hole_share, 6) AS hole_share, round(holes_per_ha, 6) AS holes_per_ha, small_holes, round(edge_share, 6) AS edge_share FROM pt")
 def patchiness(fx: Fx) -> DataFrame:
-    """Holes need a walk over the grid; held against hand fixtures in the tests."""
+    """Holes need a walk over the grid of a field."""
     return rounded(G.patchiness(_px(fx), "field"))
 
 
-@query()
+@query(f"WITH RECURSIVE {HOLES}, er AS (SELECT field, abs(avg(pred - target)) / avg(target) * 100 AS abs_rel, sqrt(avg(power(pred - target, 2))) / avg(target) * 100 AS rmse_rel FROM fx_preds GROUP BY field) SELECT holes > 3 AS many_holes, count(*) AS n, round(median(abs_rel), 6) AS abs_rel, round(median(rmse_rel), 6) AS rmse_rel FROM pt JOIN er ON pt.field = er.field GROUP BY 1")
 def patchiness_vs_error(fx: Fx) -> DataFrame:
     p = G.patchiness(_px(fx), "field")
     e = F.col("pred") - F.col("target")
@@ -102,7 +113,7 @@ def footprint_iou(fx: Fx) -> DataFrame:
     return rounded(G.footprint_overlap(fx.footprint, "field", 0.3))
 
 
-@query(f"WITH RECURSIVE {FOOT}, e AS (SELECT a, b FROM iou WHERE iou > 0.3 UNION SELECT b, a FROM iou WHERE iou > 0.3), w AS (SELECT DISTINCT field AS node, field AS label FROM fx_footprint UNION SELECT e.b, w.label FROM w JOIN e ON w.node = e.a) SELECT node, min(label) AS label FROM w GROUP BY node".replace("WITH RECURSIVE ", "WITH "))
+@query(f"WITH RECURSIVE {FOOT}, e AS (SELECT a, b FROM iou WHERE iou > 0.3 UNION SELECT b, a FROM iou WHERE iou > 0.3), w AS (SELECT DISTINCT field AS node, field AS label FROM fx_footprint UNION SELECT e.b, w.label FROM w JOIN e ON w.node = e.a) SELECT node, min(label) AS label FROM w GROUP BY node")
 def physical_fields(fx: Fx) -> DataFrame:
     return G.components(G.footprint_overlap(fx.footprint, "field", 0.3), fx.footprint.select(F.col("field").alias("node")).distinct())
 
@@ -115,7 +126,7 @@ def proximity_pairs(fx: Fx) -> DataFrame:
     return rounded(G.proximity(fx.outline, "farm", 10_000))
 
 
-@query(f"WITH {NEAR}, e AS (SELECT a, b FROM nr WHERE gap <= 10000 UNION SELECT b, a FROM nr WHERE gap <= 10000), w AS (SELECT farm AS node, farm AS label FROM fx_outline UNION SELECT e.b, w.label FROM w JOIN e ON w.node = e.a), l AS (SELECT node, min(label) AS label FROM w GROUP BY node) SELECT label, string_agg(CAST(node AS STRING), '+' ORDER BY CAST(node AS STRING)) AS name, count(*) AS n FROM l GROUP BY label")
+@query(f"WITH RECURSIVE {NEAR}, e AS (SELECT a, b FROM nr WHERE gap <= 10000 UNION SELECT b, a FROM nr WHERE gap <= 10000), w AS (SELECT farm AS node, farm AS label FROM fx_outline UNION SELECT e.b, w.label FROM w JOIN e ON w.node = e.a), l AS (SELECT node, min(label) AS label FROM w GROUP BY node) SELECT label, string_agg(CAST(node AS STRING), '+' ORDER BY CAST(node AS STRING)) AS name, count(*) AS n FROM l GROUP BY label")
 def regions(fx: Fx) -> DataFrame:
     """Farms joined by proximity, named by their members."""
     farms = fx.outline
