@@ -26,7 +26,7 @@ def smallest_reachable(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         ahead = best.select(F.col("node").alias("at"), F.col("best").alias("then"))
         new = hop.withColumn("at", F.col("best.at")).join(ahead, "at").select("node", F.least("best", "then").alias("best"), "was")
         new = new.checkpoint()
-        moved = new.where("best <> was").limit(1).count()
+        moved = not new.where("best <> was").isEmpty()
         best = new.select("node", "best")
         if not moved:
             return best.select("node", F.col("best.label").alias("label"), F.col("best.at").alias("root"))

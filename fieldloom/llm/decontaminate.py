@@ -197,6 +197,7 @@ def _passes(rows: DataFrame, benchmark: DataFrame, least: int, coverage: float,
 
     def passed(shared):
         def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            T.fresh()
             items = shared.value
             for b in batches:
                 texts = T.as_strings(b.column(1))

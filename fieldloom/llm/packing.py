@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from fieldloom.llm import text as T
-from fieldloom.llm.token_ids import SLICE_BYTES, encoder
+from fieldloom.llm.token_ids import SLICE_BYTES, begin, encoder
 from fieldloom.session import checkpoint_dir
 
 #: Tokens of a group that is packed in one task.
@@ -94,6 +94,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, most: int, id_col: str
     tells pieces of one run apart."""
 
     def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         before = TaskContext.get().partitionId() << 40
         for b in batches:
             texts = T.as_strings(b.column(1))

@@ -335,6 +335,7 @@ def _each(docs: DataFrame, model: Field, schema: str, row) -> DataFrame:
     names = [x.strip().split()[0] for x in schema.split(",")]
 
     def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.fresh()
         for b in batches:
             texts = T.as_strings(b.column("text"))
             for i, j in T.slices(texts):
@@ -374,6 +375,7 @@ def redact(docs: DataFrame, model: Field, text_col: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.fresh()
         for b in batches:
             texts = T.as_strings(b.column(1))
             for i, j in T.slices(texts):

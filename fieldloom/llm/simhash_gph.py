@@ -228,16 +228,18 @@ def one_of_each(docs: DataFrame, size: int = 3, radius: int = 2, id_col: str = "
 
 #: 64-bit blocks of a wide fingerprint, fingerprints that its groups of bits are chosen from, and sizes of a group.
 BLOCKS = 16
-WIDE_SAMPLE = 1000
+WIDE_SAMPLE = 500
 WIDTHS = (14, 16, 18, 20, 24, 28, 32)
 #: The probability that a pair which is just similar enough meets in a bucket.
 RECALL = 0.99
 #: Deviations that a distance may be off before a pair is taken for certain, or given up.
 DOUBT = 3.0
 #: Pairs of a bucket that are compared at once, and members of a bucket up to which all its links are told.
-AT_ONCE, FEW = 1 << 19, 8
+AT_ONCE, FEW = 1 << 18, 8
 #: Members of a bucket that are compared pair by pair; more are compared so many at a time, and all with the first ones.
 RUN, LEADERS = 20_000, 64
+#: Links in doubt that a component has verified before all that are left are.
+ASKED = 4
 #: Rows of 16 bytes that are broadcast after a count.
 SMALL_ROWS = 300_000
 
@@ -273,6 +275,7 @@ def wide_fingerprints(docs: DataFrame, size: int, blocks: int) -> DataFrame:
     """(doc_id, row_key, fp) of rows (doc_id, row_key, text): `blocks` words of 64 bits, each by a hash of its own."""
 
     def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.fresh()
         for b in batches:
             for i, j, prints, doc in shingle_sets(T.as_strings(b.column(2)), size):
                 words = np.stack([_majority(T.joined(prints, np.full(len(prints), k, np.uint64), k), doc, j - i) for k in range(blocks)], axis=1)
@@ -293,7 +296,7 @@ def wide_plan(bits: np.ndarray, n: int, share: float, recall: float = RECALL) ->
     pairs = max(1, len(bits) * (len(bits) - 1) // 2)
     found: list[tuple[float, list[tuple[list[int], int]]]] = []
     for width in WIDTHS:
-        groups = [g for g in bit_sets(bits.astype(float), max(1, bits.shape[1] // width))]
+        groups = bit_sets(bits.astype(np.float32), max(1, bits.shape[1] // width))
         best: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
         for g in groups:
             own = bits[:, g].astype(np.uint64) @ (np.uint64(1) << np.arange(len(g), dtype=np.uint64))
@@ -390,6 +393,7 @@ def _bucket_links(limit: int):
         return node[a[near]], node[b[near]]
 
     def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.fresh()
         held: list[tuple[np.ndarray, ...]] = []
 
         def links(last: bool) -> Iterator[pa.RecordBatch]:
@@ -490,7 +494,7 @@ def similar_texts(docs: DataFrame, size: int = 5, share: float = 0.8, id_col: st
         wanted = nodes.join(asked, "node", "left_semi").select("node", F.col("best.row_key").alias("row_key")).checkpoint()
         read = texts.join(_small(wanted), "row_key").select("node", "text").dropDuplicates(["node"]).checkpoint()
         # Links in doubt: each component asks for its likeliest ones first; links inside a component need no asking.
-        for several in (1, 8, 64, None):
+        for several in (ASKED, None):
             comp = smallest_reachable(edges, labels).select("node", "root").checkpoint()
             side = lambda x: comp.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
             left = left.join(side("a"), "a", "left").join(side("b"), "b", "left").withColumn("ra", F.coalesce("ra", "a")).withColumn("rb", F.coalesce("rb", "b")).where("ra <> rb").checkpoint()
@@ -515,10 +519,11 @@ def one_of_similar(docs: DataFrame, size: int = 5, share: float = 0.8, id_col: s
     an id only where none has one; of rows that share the id, the one with the smallest hash)."""
     groups = similar_texts(docs, size, share, id_col, text_col, blocks)
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("best"))
-    # Only rows that share id and text are dealt by key to keep one of them; all others stay where they are.
-    times = groups.groupBy("row_key").agg(F.count("*").alias("times"))
-    kept = first.select(F.col("best.row_key").alias("_row_key")).join(times.withColumnRenamed("row_key", "_row_key"), "_row_key").checkpoint()
+    # Most rows stay, so those that go are what is sent. Only rows that share id and text are dealt by key to keep one of
+    # them; all others stay where they are.
+    own_key = groups.groupBy("row_key", "root").agg(F.count("*").alias("times")).join(first.select("root", F.col("best.row_key").alias("kept")), "root")
+    moved = own_key.where("row_key <> kept or times > 1").select(F.col("row_key").alias("_row_key"), (F.col("row_key") == F.col("kept")).alias("again")).checkpoint()
     own = docs.withColumn("_row_key", F.xxhash64(F.col(f"`{id_col}`").cast("bigint"), F.col(f"`{text_col}`").cast("string")))
-    once = own.join(_small(kept.where("times = 1")), "_row_key", "left_semi")
-    repeated = own.join(_small(kept.where("times > 1")), "_row_key", "left_semi").dropDuplicates(["_row_key"])
+    once = own.join(_small(moved.select("_row_key")), "_row_key", "left_anti")
+    repeated = own.join(_small(moved.where("again").select("_row_key")), "_row_key", "left_semi").dropDuplicates(["_row_key"])
     return once.unionByName(repeated).drop("_row_key")

@@ -9,6 +9,8 @@ operators compare the words themselves.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +35,20 @@ PLAIN = LOWER.copy()
 PLAIN[[i for i in range(128) if not chr(i).isalnum()]] = 0x20
 
 
+#: What operators keep in a Python worker from task to task.
+KEPT: list[dict] = []
+
+
+def fresh(own: dict | None = None) -> None:
+    """As a task begins, its worker lets go of what other operators keep in it, and gives free memory back."""
+    for kept in KEPT:
+        if kept is not own:
+            kept.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 @dataclass
 class Words:
     """Words of a slice of texts: `buf` holds them with one space in between, `start` and `end` their places."""
@@ -219,6 +235,7 @@ def rows_kept(docs: DataFrame, text_col: str, keeps) -> DataFrame:
     at = docs.columns.index(text_col)
 
     def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         passes = keeps()
         for b in batches:
             rows = b.column(0)

@@ -6,8 +6,9 @@ pair that the vocabulary knows is done, and its surviving symbols are its tokens
 different merges of one pre-token, not of the text. Splitting into pre-tokens, Unicode normalisation and special
 strings follow the vocabulary file, so counts are those of its library.
 
-Results for odd input: null or empty text: 0 bytes, 0 tokens. Repeated rows and null ids give a row each; an empty
-table gives an empty result. Other columns are not looked at.
+Results for odd input: null or empty text: 0 bytes, 0 tokens. A very long text is counted as a whole, by one task. Of
+equally low pairs of a pre-token all merge at once, overlapping ones from the left. Repeated rows and null ids give a row
+each; an empty table gives an empty result. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -198,12 +199,14 @@ class Counter:
 
 
 _counters: dict[str, Counter] = {}
+T.KEPT.append(_counters)
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of whole texts; `vocabulary` is a file that every worker can open."""
 
     def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.fresh(_counters)
         if vocabulary not in _counters:
             _counters[vocabulary] = Counter(vocabulary)
         for b in batches:

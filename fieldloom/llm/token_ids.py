@@ -181,6 +181,12 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+T.KEPT.append(_encoders)
+
+
+def begin() -> None:
+    """As a task that encodes begins."""
+    T.fresh(_encoders)
 
 
 def encoder(path: str) -> Encoder:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from fieldloom.llm import text as T
-from fieldloom.llm.token_ids import SLICE_BYTES, encoder
+from fieldloom.llm.token_ids import SLICE_BYTES, begin, encoder
 from fieldloom.session import checkpoint_dir
 
 #: Text of a range of ids that one task writes, ids of a shard, and keys of an index bucket.
@@ -46,6 +46,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 def _shards(vocabulary: str, end_id: int):
     def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         part, shard, before = TaskContext.get().partitionId(), 0, 0
         keys: list[pa.Array] = []
         ids: list[np.ndarray] = []

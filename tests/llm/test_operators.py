@@ -804,7 +804,7 @@ def _varied():
     return rows
 
 
-@pytest.mark.parametrize("few, at_once, run", [(8, 1 << 19, 20_000), (2, 600, 60)])
+@pytest.mark.parametrize("few, at_once, run", [(8, 1 << 18, 20_000), (2, 600, 60)])
 def test_similar_texts_against_brute_force(spark, sf, odd, monkeypatch, few, at_once, run):
     monkeypatch.setattr(simhash_gph, "FEW", few)
     monkeypatch.setattr(simhash_gph, "AT_ONCE", at_once)
