@@ -326,7 +326,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts
         for x, (u, s) in enumerate([(t, found), _varied(t, found, n)] if found else [(t, found)]):
             graph.add(2 * n + x, u)
             spans[2 * n + x] = s
-    return fit(graph, _labels(graph, spans))
+    model = fit(graph, _labels(graph, spans))
+    del graph, rows
+    T.fresh()
+    return model
 
 
 def _each(docs: DataFrame, model: Field, schema: str, row) -> DataFrame:

@@ -486,7 +486,10 @@ def similar_texts(docs: DataFrame, size: int = 5, share: float = 0.8, id_col: st
     if n > 1:
         some = T.sampled(nodes.select("fp", F.xxhash64("fp").alias("at")), "at", WIDE_SAMPLE).collect()
         bits = _bits(np.frombuffer(b"".join(r.fp for r in sorted(some, key=lambda r: (r["at"], bytes(r.fp)))), np.uint64).reshape(len(some), -1))
-        near = candidates(nodes, wide_plan(bits, n, share), share).checkpoint()
+        groups = wide_plan(bits, n, share)
+        del some, bits
+        T.fresh()
+        near = candidates(nodes, groups, share).checkpoint()
         sure = _limit(share, 64 * blocks, -DOUBT)
         edges = near.where(F.col("apart") <= sure).select("a", "b")
         left = near.where(F.col("apart") > sure)

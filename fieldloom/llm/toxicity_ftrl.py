@@ -120,7 +120,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     made = found.select("label", "text").mapInArrow(_hashed, "label int, places array<int>").toArrow()
     own = [(int(y), x.values.to_numpy()) for y, x in zip(made.column("label").to_pylist(), made.column("places"), strict=True)]
     own.sort(key=lambda r: (zlib.crc32(r[1].tobytes()), r[0]))  # an order that no partitioning changes
-    return fit(own)
+    model = fit(own)
+    del made, own
+    T.fresh()
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: Weights, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
