@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fieldloom.llm import html_crf, pii_crf, quality_forest, toxicity_ftrl
 from fieldloom.llm.decontaminate import contamination
+from fieldloom.llm.mixing import mix
 from fieldloom.llm.packing import pack_documents
 from fieldloom.llm.simhash_gph import near_duplicates
 from fieldloom.llm.substring_dedup import remove_repeated_passages
@@ -74,6 +75,10 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_of(docs, path).unionByName(read_store(spark, path, nulls_only=True))
 
 
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,7 +86,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_text, op2_substring_dedup, op3_quality, op4_personal_data, op5_toxicity, op6_decontamination, op7_token_counts, op8_simhash, op9_packing, op10_token_store)} | {"pipeline": pipeline}
+    return {f.__name__: f for f in (op1_html_text, op2_substring_dedup, op3_quality, op4_personal_data, op5_toxicity, op6_decontamination, op7_token_counts, op8_simhash, op9_packing, op10_token_store, op12_mixing)} | {"pipeline": pipeline}
 
 
 #: Words, windows by their text, all but the first of equal windows, the words they cover, and what is left.
@@ -96,5 +101,22 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n
 """
 
 
+#: Sizes, sources in the order in which they fill, targets, and where each document lies in its source's random order.
+_OP12 = r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+n AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM s),
+r AS (SELECT *, CASE k % 3 WHEN 1 THEN 3 WHEN 2 THEN 1 ELSE 2 END::DOUBLE AS weight, source_size * 2::DOUBLE AS most FROM n),
+f AS (SELECT *, coalesce(sum(most) OVER b, 0) AS most_before, coalesce(sum(weight) OVER b, 0) AS weight_before FROM r WINDOW b AS (ORDER BY most / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+a AS (SELECT 1.5::DOUBLE * sum(source_size) AS total, sum(weight) AS weights FROM r),
+u AS (SELECT f.*, weight * (total - most_before) > most * (weights - weight_before) AS whole, total, weights FROM f, a),
+o AS (SELECT max(total) - coalesce(sum(most) FILTER (WHERE whole), 0) AS rest, max(weights) - coalesce(sum(weight) FILTER (WHERE whole), 0) AS free FROM u),
+g AS (SELECT source, source_size, CASE WHEN whole THEN most ELSE least(most, weight * rest / CASE WHEN free = 0 THEN 1 ELSE free END) END AS target FROM u, o),
+p AS (SELECT d.*, source_size, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY ('0x' || substr(md5('12|' || coalesce(CAST(doc_id AS VARCHAR), ' ')), 1, 15))::BIGINT, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS epochs FROM p)
+SELECT doc_id, size, source_size, target, epochs * size + greatest(0, least(size, floor(target)::BIGINT - epochs * source_size - before)) AS taken FROM e
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": _OP2}
+    return {"op2_substring_dedup": _OP2, "op12_mixing": _OP12}
