@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldloom.llm import html_crf, pii_crf, quality_forest, toxicity_ftrl
+from fieldloom.llm.conversations import repaired
 from fieldloom.llm.decontaminate import contamination
 from fieldloom.llm.mixing import mix
 from fieldloom.llm.packing import pack_documents
@@ -79,6 +80,10 @@ def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired(_table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,7 +91,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_text, op2_substring_dedup, op3_quality, op4_personal_data, op5_toxicity, op6_decontamination, op7_token_counts, op8_simhash, op9_packing, op10_token_store, op12_mixing)} | {"pipeline": pipeline}
+    return {f.__name__: f for f in (op1_html_text, op2_substring_dedup, op3_quality, op4_personal_data, op5_toxicity, op6_decontamination, op7_token_counts, op8_simhash, op9_packing, op10_token_store, op12_mixing, op13_conversations)} | {"pipeline": pipeline}
 
 
 #: Words, windows by their text, all but the first of equal windows, the words they cover, and what is left.
