@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from fieldloom.llm import html_crf, pii_crf, quality_forest, toxicity_ftrl
 from fieldloom.llm.conversations import repaired
 from fieldloom.llm.decontaminate import contamination
+from fieldloom.llm.lexical import search
 from fieldloom.llm.mixing import mix
 from fieldloom.llm.packing import pack_documents
 from fieldloom.llm.simhash_gph import near_duplicates
@@ -76,6 +77,10 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_of(docs, path).unionByName(read_store(spark, path, nulls_only=True))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
 def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -91,7 +96,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_text, op2_substring_dedup, op3_quality, op4_personal_data, op5_toxicity, op6_decontamination, op7_token_counts, op8_simhash, op9_packing, op10_token_store, op12_mixing, op13_conversations)} | {"pipeline": pipeline}
+    return {f.__name__: f for f in (op1_html_text, op2_substring_dedup, op3_quality, op4_personal_data, op5_toxicity, op6_decontamination, op7_token_counts, op8_simhash, op9_packing, op10_token_store, op11_lexical_search, op12_mixing, op13_conversations)} | {"pipeline": pipeline}
 
 
 #: Words, windows by their text, all but the first of equal windows, the words they cover, and what is left.
@@ -106,6 +111,18 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n
 """
 
 
+#: Terms, counts, weights and scores as the contract has them.
+_OP11 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+g AS (SELECT doc_id, len(ws) AS n FROM d WHERE len(ws) > 0),
+a AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM g),
+p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ws) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), a),
+s AS (SELECT item_id, p.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // total))))::BIGINT AS score FROM b JOIN p USING (term) JOIN w USING (term) JOIN g ON p.doc_id = g.doc_id, a GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
+
 #: Sizes, sources in the order in which they fill, targets, and where each document lies in its source's random order.
 _OP12 = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
@@ -124,4 +141,4 @@ SELECT doc_id, size, source_size, target, epochs * size + greatest(0, least(size
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": _OP2, "op12_mixing": _OP12}
+    return {"op2_substring_dedup": _OP2, "op11_lexical_search": _OP11, "op12_mixing": _OP12}
