@@ -4,8 +4,8 @@ A sequence has room for tokens, documents and attention cost: the tiles of `TILE
 off for its documents, each with itself only. Pieces go longest first; each looks at all open sequences of its group
 that have room of every kind and takes the one with the smallest weighted norm of the rooms left (or the largest
 weighted dot product of its needs and the rooms), and opens a new one only if none has room. By default a sequence
-takes as many tiles as one full piece needs and a quarter as many documents as tokens, which bind where documents are
-of a few tokens. Pieces are dealt at random to groups of a bounded number of tokens that are packed apart; a second
+takes as many documents and tiles as tokens, which weigh in the choice but never cost a sequence; smaller rooms are a
+parameter. Pieces are dealt at random to groups of a bounded number of tokens that are packed apart; a second
 round packs the sequences that the first left partly empty once more, in fewer groups.
 
 Results for odd input: null or empty text: one piece that is the end id alone. Texts of more than a sequence's tokens
@@ -16,9 +16,11 @@ one opened first. An empty table gives an empty result. Other columns are not lo
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +51,8 @@ class Room:
 
     def __post_init__(self) -> None:
         full = -(-self.tokens // TILE)
-        object.__setattr__(self, "documents", self.documents or max(1, self.tokens // 4))
-        object.__setattr__(self, "tiles", self.tiles or full * full)
+        object.__setattr__(self, "documents", self.documents or self.tokens)
+        object.__setattr__(self, "tiles", self.tiles or max(full * full, self.tokens))
         if self.rule not in ("norm", "dot"):
             raise ValueError(f"unknown rule {self.rule}")
         if self.tiles < full * full:
@@ -64,24 +66,32 @@ def needs(lengths: np.ndarray) -> np.ndarray:
 
 
 def pack(lengths: np.ndarray, room: Room) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence and offset of each piece; lengths in falling order. Every piece looks at all sequences."""
-    most = np.array([room.tokens, room.documents, room.tiles], float)
-    weights = np.array(room.weights)[:, None]
-    ask = needs(lengths) / most
-    left = np.ones((3, 64))  # free share of each room, by sequence
+    """Sequence and offset of each piece; lengths in falling order. Every piece looks at all sequences.
+
+    Needs, rooms and weights are whole numbers over a common denominator, so equal scores are equal and nothing rests on
+    the last digit of a quotient.
+    """
+    most = (room.tokens, room.documents, room.tiles)
+    whole = math.lcm(*most)
+    exact = [Fraction(str(w)) for w in room.weights]
+    parts = math.lcm(*[w.denominator for w in exact])
+    kind = np.int64 if whole * whole * parts * 4 < 1 << 62 else object
+    weights = np.array([int(w * parts) for w in exact], kind)[:, None]
+    ask = needs(lengths).astype(kind) * np.array([whole // m for m in most], kind)
+    left = np.full((3, 64), whole, kind)  # of each room, by sequence
     used = np.zeros(64, np.int64)
     n = 0
     where, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
     for k, (want, size) in enumerate(zip(ask, lengths.tolist(), strict=True)):
         rest = left[:, :n] - want[:, None]
-        fits = np.flatnonzero((rest > -1e-12).all(axis=0)) if size < room.tokens else np.zeros(0, np.int64)
+        fits = np.flatnonzero((rest >= 0).all(axis=0)) if size < room.tokens else np.zeros(0, np.int64)
         if len(fits):
             rest = rest[:, fits]
             score = (weights * rest * rest).sum(axis=0) if room.rule == "norm" else -(weights * want[:, None] * left[:, fits]).sum(axis=0)
             best = int(fits[np.argmin(score)])
         else:
             if n == left.shape[1]:
-                left, used = np.concatenate([left, np.ones_like(left)], axis=1), np.concatenate([used, np.zeros_like(used)])
+                left, used = np.concatenate([left, np.full_like(left, whole)], axis=1), np.concatenate([used, np.zeros_like(used)])
             best, n = n, n + 1
         where[k], offset[k] = best, used[best]
         left[:, best] -= want
