@@ -26,14 +26,15 @@ def column_scan(fx: Fx) -> DataFrame:
     return rounded(scan.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity")))
 
 
-@query("SELECT field, count(*) AS n, round(avg(temp_mean), 6) AS temp, count(CASE WHEN prec > 100 THEN 1 END) AS wet, CAST(0 AS BIGINT) AS dew FROM fx_daily GROUP BY field")
+@query("SELECT field, count(*) AS n, round(avg(temp_mean), 6) AS temp, round(sum(CASE WHEN field % 3 < 2 AND prec > 100 THEN prec END), 6) AS prec, round(avg(CASE WHEN field % 3 = 1 THEN temp_min END), 6) AS dew, CAST(count(CASE WHEN field % 3 = 1 THEN 1 END) AS BIGINT) AS n_dew, CAST(0 AS BIGINT) AS wind FROM fx_daily GROUP BY field")
 def weather_files(fx: Fx) -> DataFrame:
-    """Daily weather through CSV files with empty cells; the dew point that they lack is NULL."""
+    """Daily weather through CSV files whose headers differ in order and lack different columns; some cells are empty."""
     path = _folder(fx, "weather")
-    d = fx.daily.select("field", "day", "temp_mean", F.when(F.col("prec") > 100, F.col("prec")).alias("prec"))
-    d.write.option("header", True).csv(path)
-    back = S.read_weather(fx.spark, path, "field bigint, day bigint, temp_mean double, prec double", {"dew": "double"})
-    return rounded(back.groupBy("field").agg(F.count("*").alias("n"), F.avg("temp_mean").alias("temp"), F.count("prec").alias("wet"), F.count("dew").alias("dew")))
+    d = fx.daily.select("field", "day", "temp_mean", F.when(F.col("prec") > 100, F.col("prec")).alias("prec"), F.col("temp_min").alias("dew"), F.lit("x").alias("note"))
+    for k, columns in enumerate((["field", "day", "temp_mean", "prec"], ["dew", "prec", "note", "day", "field", "temp_mean"], ["temp_mean", "day", "field"])):
+        d.where(F.pmod("field", F.lit(3)) == k).select(*columns).write.option("header", True).csv(f"{path}/part{k}")
+    back = S.read_weather(fx.spark, path, "field bigint, day bigint, temp_mean double", {"prec": "double", "dew": "double", "wind": "double"})
+    return rounded(back.groupBy("field").agg(F.count("*").alias("n"), F.avg("temp_mean").alias("temp"), F.sum("prec").alias("prec"), F.avg("dew").alias("dew"), F.count("dew").alias("n_dew"), F.count("wind").alias("wind")))
 
 
 @query("SELECT field, CAST(make_date(year(jan1 + CAST(harvest_day AS INTEGER)) - 1, 1, 1) AS DATE) AS jan1, CAST(date_diff('day', make_date(year(jan1 + CAST(harvest_day AS INTEGER)) - 1, 1, 1), jan1 + CAST(sow_day AS INTEGER)) - 1 AS INTEGER) AS sow_day, CAST(date_diff('day', make_date(year(jan1 + CAST(harvest_day AS INTEGER)) - 1, 1, 1), jan1 + CAST(harvest_day AS INTEGER)) - 1 AS INTEGER) AS harvest_day FROM fx_season")

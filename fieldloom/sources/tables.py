@@ -6,7 +6,7 @@ overwrite only the partitions they hold.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fieldloom.functions.numeric import missing
 
@@ -74,14 +74,48 @@ def rebuilt(old: DataFrame, new: DataFrame, group: str) -> DataFrame:
     return old.join(new.select(group).distinct(), group, "left_anti").unionByName(new.select(*old.columns))
 
 
+def _headers(lines: DataFrame) -> DataFrame:
+    """(path, header) of each file: its first line, without a byte order mark. A file may be read in several parts."""
+    first = F.min_by("value", F.struct("start", "id"))
+    return lines.withColumn("id", F.monotonically_increasing_id()).groupBy("path").agg(F.regexp_replace(first, "^\ufeff", "").alias("header"))
+
+
+def read_by_header(spark: SparkSession, path: str, schema: str, optional: dict[str, str] = {}, pattern: str = "*.csv") -> DataFrame:  # noqa: B006
+    """CSV files of which each names its own columns: values go by the header of their file, whatever its order.
+
+    Headers are one line a file and meet the lines in an equi join; each line is cut into as many parts as the widest
+    header has, and a column is the part where its name stands in the file's header (the first, if it stands there twice).
+    Columns of `schema` must be in every file, `optional` ones that a file lacks are NULL; others are not kept. Values
+    that are no such number, empty ones and NaN are NULL. A line equal to its file's header is no row. Files may be in
+    folders below; empty ones have no rows, and a folder without files gives an empty table.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
+    lines = lines.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    cut = lambda c, n: F.from_csv(c, ", ".join(f"c{k} string" for k in range(n)))
+    heads = _headers(lines)
+    width = heads.agg(F.max(F.length("header") - F.length(F.replace(F.col("header"), F.lit(","))))).first()[0]
+    n = (width or 0) + 1
+    names = F.transform(F.array(*[F.col(f"h.c{k}") for k in range(n)]), lambda x: F.trim(x))
+    heads = heads.select("path", "header", cut("header", n).alias("h")).select("path", "header", names.alias("names"))
+    wanted = dict(x.strip().split() for x in schema.split(",")) | optional
+    must = [c for c in wanted if c not in optional]
+    lacking = heads.where(~F.forall(F.array(*[F.lit(c) for c in must]), lambda c: F.array_contains("names", c))).select("path", "header").first() if must else None
+    if lacking:
+        raise ValueError(f"{lacking['path']} lacks a column of {must}: {lacking['header']}")
+    rows = lines.join(heads, "path").where((F.regexp_replace("value", "^\ufeff", "") != F.col("header")) & (F.trim("value") != ""))
+    rows = rows.select("names", cut("value", n).alias("v")).select("names", F.array(*[F.col(f"v.c{k}") for k in range(n)]).alias("parts"))
+
+    def value(c: str, kind: str) -> Column:
+        at = F.array_position("names", F.lit(c))
+        x = F.when(at > 0, F.get("parts", (at - 1).cast("int"))).try_cast(kind)
+        return (F.nanvl(x, F.lit(None).cast(kind)) if kind in ("double", "float") else x).alias(c)
+
+    return rows.select(*[value(c, kind) for c, kind in wanted.items()])
+
+
 def read_weather(spark: SparkSession, path: str, schema: str, optional: dict[str, str]) -> DataFrame:
-    """Daily weather CSV with a header; optional columns that files lack are NULL."""
-    head = spark.read.option("header", True).csv(path)
-    df = head.select(*[F.col(c).try_cast(t).alias(c) if hasattr(F.col(c), "try_cast") else F.col(c).cast(t).alias(c) for c, t in (x.strip().split() for x in schema.split(",")) if c in head.columns])
-    for c, t in optional.items():
-        if c not in df.columns:
-            df = df.withColumn(c, F.lit(None).cast(t))
-    return df
+    """Daily weather files, whose columns differ in order and number; optional ones that a file lacks are NULL in its rows."""
+    return read_by_header(spark, path, schema, optional)
 
 
 def read_seasons(spark: SparkSession, path: str) -> DataFrame:
