@@ -198,6 +198,19 @@ def quintile_errors(fields: DataFrame, group: str, measure: str, error: str, n:
     return d.groupBy(group, "bin").agg(F.count("*").alias("n"), F.median(error).alias("error"))
 
 
+def bins_by_rank(df: DataFrame, key: str, measures: list[str], n: int = 5, least: int = 5) -> DataFrame:
+    """(measure, value, bin, key): bins 0..n-1 by each measure's rank (ties by key), for measures with at least `least`
+    different values. All measures are ranked at once, over ranges of (measure, value), so no task ranks a measure."""
+    from fieldloom.operators.tables import numbered
+
+    d = long(df, [key], measures).where("value is not null").select("feature", F.round("value", 9).alias("value"), key)
+    ranked = numbered(d, ["feature", "value", key], "_at")
+    per = ranked.groupBy("feature").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"), F.count_distinct("value").alias("_k")).where(F.col("_k") >= least)
+    r = F.col("_at") - F.col("_first")
+    bin = F.when(F.col("_n") == 1, 0).otherwise(F.greatest(F.lit(0), F.ceil(r * n / (F.col("_n") - 1)) - 1)).cast("int")
+    return ranked.join(F.broadcast(per), "feature").select(F.col("feature").alias("measure"), "value", bin.alias("bin"), key)  # a row a measure
+
+
 def spearman(df: DataFrame, group: str, x: str, y: str, least: int = 10, distinct: int = 3) -> DataFrame:
     """Rank correlation with average ranks; NULL for small groups or too few different values."""
     def rank(c: str) -> Column:

@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from fieldloom.functions.numeric import corr
 from fieldloom.session import checkpoint_dir
 
 
@@ -135,19 +136,56 @@ def _holes(mask: np.ndarray) -> list[list[tuple[int, int]]]:
     return out
 
 
-def patchiness(pixels: DataFrame, field: str, small: int = 3, size: float = 10.0) -> DataFrame:
-    """Per field: area in ha, holes, their share of the filled area, holes per ha, small holes, share of outline pixels."""
+def _patches(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[int], int]:
+    """Of a field's pixels the distances in cells to the outside of the filled outline and to the nearest hole (infinite
+    without one); the holes' sizes, and the cells of the filled outline."""
+    mask, r, c = _raster(pdf, 1)
+    found = _holes(mask)
+    filled = mask.copy()
+    for cells in found:
+        filled[tuple(np.array(cells).T)] = True
+    outside = np.sqrt(_squared_distance(filled)[r, c])
+    hole = np.sqrt(_squared_distance(~(filled & ~mask))[r, c]) if found else np.full(len(r), np.inf)
+    return outside, hole, [len(cells) for cells in found], int(filled.sum())
+
+
+def patch_distances(pixels: DataFrame, field: str, size: float = 10.0) -> DataFrame:
+    """(field, prow, pcol, to_outline, to_hole): metres from each pixel to the nearest cell outside the outline, which is the
+    field with its holes filled, and to the nearest hole; NULL if the field has none."""
+
+    def measure(pdf: pd.DataFrame) -> pd.DataFrame:
+        outside, hole, _, _ = _patches(pdf)
+        return pdf[[field, "prow", "pcol"]].assign(to_outline=outside * size, to_hole=np.where(np.isinf(hole), np.nan, hole * size))
+
+    t = dict(pixels.dtypes)
+    out = pixels.select(field, "prow", "pcol").groupBy(field).applyInPandas(measure, f"`{field}` {t[field]}, prow {t['prow']}, pcol {t['pcol']}, to_outline double, to_hole double")
+    return out.withColumn("to_hole", F.nanvl("to_hole", F.lit(None).cast("double")))
+
+
+def patchiness(pixels: DataFrame, field: str, size: float = 10.0, near: float = 20.0, small: int = 25) -> DataFrame:
+    """Per field: labelled area in ha, holes, their share of the filled outline, holes per ha of it, the share of holes of
+    fewer than `small` cells (NULL without holes), and the shares of pixels within `near` metres of the outline, and of a hole
+    but not of the outline."""
 
     def measure(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, _, _ = _raster(pdf, 1)
-        mask = p[1:-1, 1:-1]
-        holes, n = [len(cells) for cells in _holes(p)], int(mask.sum())
-        inner = p[:-2, 1:-1] & p[2:, 1:-1] & p[1:-1, :-2] & p[1:-1, 2:]
-        area = n * size * size / 10_000
-        return pd.DataFrame([[pdf[field].iloc[0], area, len(holes), sum(holes) / (n + sum(holes)), len(holes) / area, sum(h <= small for h in holes), float((mask & ~inner).sum()) / n]], columns=[field, "area_ha", "holes", "hole_share", "holes_per_ha", "small_holes", "edge_share"])
+        outside, hole, holes, filled = _patches(pdf)
+        edge = outside * size <= near
+        few = sum(n < small for n in holes) / len(holes) if holes else np.nan
+        row = [pdf[field].iloc[0], len(pdf) * size * size / 10_000, len(holes), sum(holes) / filled, len(holes) / (filled * size * size / 10_000), few, float(edge.mean()), float((~edge & (hole * size <= near)).mean())]
+        return pd.DataFrame([row], columns=[field, "area_ha", "holes", "hole_share", "holes_per_ha", "small_holes", "edge_share", "gap_share"])
 
     kind = dict(pixels.dtypes)[field]
-    return pixels.select(field, "prow", "pcol").groupBy(field).applyInPandas(measure, f"`{field}` {kind}, area_ha double, holes long, hole_share double, holes_per_ha double, small_holes long, edge_share double")
+    out = pixels.select(field, "prow", "pcol").groupBy(field).applyInPandas(measure, f"`{field}` {kind}, area_ha double, holes long, hole_share double, holes_per_ha double, small_holes double, edge_share double, gap_share double")
+    return out.withColumn("small_holes", F.nanvl("small_holes", F.lit(None).cast("double")))
+
+
+def field_errors(preds: DataFrame, field: str, carried: list[str] = (), target: str = "target", pred: str = "pred") -> DataFrame:
+    """Per field, in per cent of its mean target: error of the mean and root mean square error; and the correlation of
+    prediction and target inside it (NULL for fewer than three pixels or a constant side)."""
+    e = F.col(pred) - F.col(target)
+    mean = F.avg(target)
+    inside = F.when(F.count("*") > 2, corr(pred, target))
+    return preds.groupBy(field, *carried).agg((F.abs(F.avg(e)) / mean * 100).alias("abs_rel"), inside.alias("within_r"), (F.sqrt(F.avg(e * e)) / mean * 100).alias("rmse_rel"))
 
 
 def terrain(pixels: DataFrame, field: str, z: str, sigma: float = 1.5, size: float = 10.0, flat: float = 0.1) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from fieldloom.operators import profile as P
 from fieldloom.operators import spatial as G
 from fieldloom.plans.evaluation import rounded
 from fieldloom.plans.fixtures import Fx
@@ -69,24 +70,59 @@ HOLES = f"""{EDGE}, ou AS (SELECT DISTINCT field, CAST(-1 AS BIGINT) AS r, CAST(
     hc AS (SELECT em.field, em.r, em.c FROM em ANTI JOIN ou ON em.field = ou.field AND em.r = ou.r AND em.c = ou.c),
     hl AS (SELECT field, r, c, r * 100 + c AS mark FROM hc UNION SELECT h.field, h.r, h.c, hl.mark FROM hl JOIN hc h ON h.field = hl.field AND abs(h.r - hl.r) + abs(h.c - hl.c) = 1),
     ho AS (SELECT field, mark, count(*) AS size FROM (SELECT field, r, c, min(mark) AS mark FROM hl GROUP BY field, r, c) GROUP BY field, mark),
-    hs AS (SELECT field, count(*) AS holes, sum(size) AS empty, count_if(size <= 3) AS small FROM ho GROUP BY field),
-    ks AS (SELECT a.field, a.prow, a.pcol, count(b.field) AS k FROM px a LEFT JOIN px b ON a.field = b.field AND abs(a.prow - b.prow) + abs(a.pcol - b.pcol) = 1 GROUP BY ALL),
-    ns AS (SELECT field, count(*) AS n, count_if(k < 4) AS edge FROM ks GROUP BY field),
-    pt AS (SELECT ns.field, n * 0.01 AS area_ha, CAST(coalesce(holes, 0) AS BIGINT) AS holes, coalesce(empty, 0) / (n + coalesce(empty, 0)) AS hole_share, coalesce(holes, 0) / (n * 0.01) AS holes_per_ha, CAST(coalesce(small, 0) AS BIGINT) AS small_holes, edge / n AS edge_share FROM ns LEFT JOIN hs ON ns.field = hs.field)"""
+    hs AS (SELECT field, count(*) AS holes, sum(size) AS empty, count_if(size < 25) AS small FROM ho GROUP BY field),
+    dl AS (SELECT px.field, px.prow, px.pcol, sqrt(min(power(px.prow - r, 2) + power(px.pcol - c, 2))) * 10 AS to_outline FROM px JOIN ou ON px.field = ou.field GROUP BY ALL),
+    dh AS (SELECT px.field, px.prow, px.pcol, sqrt(min(power(px.prow - r, 2) + power(px.pcol - c, 2))) * 10 AS to_hole FROM px JOIN hc ON px.field = hc.field GROUP BY ALL),
+    ds AS (SELECT dl.*, to_hole FROM dl LEFT JOIN dh ON dl.field = dh.field AND dl.prow = dh.prow AND dl.pcol = dh.pcol),
+    ns AS (SELECT field, count(*) AS n, avg(CASE WHEN to_outline <= 20 THEN 1 ELSE 0 END) AS edge_share, avg(CASE WHEN to_outline > 20 AND to_hole <= 20 THEN 1 ELSE 0 END) AS gap_share FROM ds GROUP BY field),
+    pt AS (SELECT ns.field, n * 0.01 AS area_ha, CAST(coalesce(holes, 0) AS BIGINT) AS holes, coalesce(empty, 0) / (n + coalesce(empty, 0)) AS hole_share, coalesce(holes, 0) / ((n + coalesce(empty, 0)) * 0.01) AS holes_per_ha, small / holes AS small_holes, edge_share, gap_share FROM ns LEFT JOIN hs ON ns.field = hs.field)"""
 
+MEASURES = ["hole_share", "holes_per_ha", "small_holes", "edge_share", "gap_share", "area_ha"]
 
-@query(f"WITH RECURSIVE {HOLES} SELECT field, round(area_ha, 6) AS area_ha, holes, round(hole_share, 6) AS hole_share, round(holes_per_ha, 6) AS holes_per_ha, small_holes, round(edge_share, 6) AS edge_share FROM pt")
+#: Errors of each field-year, measures one below the other, and their bins by rank.
+PATCHED = f"""{HOLES}, er AS (SELECT field, country, crop, abs(avg(pred - target)) / avg(target) * 100 AS abs_rel, CASE WHEN count(*) > 2 AND stddev_pop(pred) > 1e-12 AND stddev_pop(target) > 1e-12 THEN covar_pop(pred, target) / (stddev_pop(pred) * stddev_pop(target)) END AS within_r, sqrt(avg(power(pred - target, 2))) / avg(target) * 100 AS rmse_rel FROM fx_preds GROUP BY field, country, crop),
+    ms AS ({" UNION ALL ".join(f"SELECT field, '{m}' AS measure, round({m}, 9) AS value FROM pt WHERE {m} IS NOT NULL" for m in MEASURES)}),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY measure ORDER BY value, field) - 1 AS r, count(*) OVER (PARTITION BY measure) AS n, count(DISTINCT value) OVER (PARTITION BY measure) AS k FROM ms),
+    bn AS (SELECT field, measure, value, CAST(CASE WHEN n = 1 THEN 0 ELSE greatest(0, ceil(r * 5 / (n - 1)) - 1) END AS INTEGER) AS bin FROM rk WHERE k >= 5)"""
+
+
+def _patchy(fx: Fx) -> DataFrame:
+    return G.patchiness(_px(fx), "field")
+
+
+@query(f"WITH RECURSIVE {HOLES} SELECT field, round(area_ha, 6) AS area_ha, holes, {', '.join(f'round({m}, 6) AS {m}' for m in MEASURES[:5])} FROM pt")
 def patchiness(fx: Fx) -> DataFrame:
     """Holes need a walk over the grid of a field."""
-    return rounded(G.patchiness(_px(fx), "field"))
+    return rounded(_patchy(fx))
 
 
-@query(f"WITH RECURSIVE {HOLES}, er AS (SELECT field, abs(avg(pred - target)) / avg(target) * 100 AS abs_rel, sqrt(avg(power(pred - target, 2))) / avg(target) * 100 AS rmse_rel FROM fx_preds GROUP BY field) SELECT holes > 3 AS many_holes, count(*) AS n, round(median(abs_rel), 6) AS abs_rel, round(median(rmse_rel), 6) AS rmse_rel FROM pt JOIN er ON pt.field = er.field GROUP BY 1")
+@query(f"WITH RECURSIVE {HOLES} SELECT field, prow, pcol, round(to_outline, 6) AS to_outline, round(to_hole, 6) AS to_hole FROM ds")
+def patch_distances(fx: Fx) -> DataFrame:
+    return rounded(G.patch_distances(_px(fx), "field"))
+
+
+@query(f"WITH RECURSIVE {PATCHED} SELECT measure, bin, round(min(value), 6) AS lo, round(max(value), 6) AS hi, count(*) AS n, round(median(abs_rel), 6) AS abs_rel, round(median(within_r), 6) AS within_r, round(median(rmse_rel), 6) AS rmse_rel FROM bn JOIN er ON bn.field = er.field GROUP BY measure, bin")
 def patchiness_vs_error(fx: Fx) -> DataFrame:
-    p = G.patchiness(_px(fx), "field")
-    e = F.col("pred") - F.col("target")
-    f = fx.preds.groupBy("field").agg((F.abs(F.avg(e)) / F.avg("target") * 100).alias("abs_rel"), (F.sqrt(F.avg(e * e)) / F.avg("target") * 100).alias("rmse_rel"))
-    return rounded(p.join(f, "field").groupBy((F.col("holes") > 3).alias("many_holes")).agg(F.count("*").alias("n"), F.median("abs_rel").alias("abs_rel"), F.median("rmse_rel").alias("rmse_rel")))
+    """Errors of field-years by quintile of each measure."""
+    f = G.field_errors(fx.preds, "field")
+    b = P.bins_by_rank(_patchy(fx), "field", MEASURES)
+    return rounded(b.join(f, "field").groupBy("measure", "bin").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("n"), *[F.median(c).alias(c) for c in ("abs_rel", "within_r", "rmse_rel")]))
+
+
+@query(f"""WITH RECURSIVE {PATCHED}, lg AS (SELECT ms.field, concat(measure, '|', country, '|', crop) AS subset, value AS a, abs_rel, within_r, rmse_rel FROM ms JOIN er ON ms.field = er.field),
+    ee AS (SELECT subset, 'abs_rel' AS error, a, round(abs_rel, 9) AS b FROM lg WHERE abs_rel IS NOT NULL UNION ALL SELECT subset, 'within_r', a, round(within_r, 9) FROM lg WHERE within_r IS NOT NULL UNION ALL SELECT subset, 'rmse_rel', a, round(rmse_rel, 9) FROM lg WHERE rmse_rel IS NOT NULL),
+    rr AS (SELECT subset, error, a, rank() OVER (PARTITION BY subset, error ORDER BY a) + (count(*) OVER (PARTITION BY subset, error, a) - 1) / 2 AS x, rank() OVER (PARTITION BY subset, error ORDER BY b) + (count(*) OVER (PARTITION BY subset, error, b) - 1) / 2 AS y FROM ee),
+    rs AS (SELECT subset, error, CASE WHEN count(*) >= 10 AND count(DISTINCT a) >= 3 AND stddev_pop(x) > 1e-12 AND stddev_pop(y) > 1e-12 THEN covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) END AS rho FROM rr GROUP BY subset, error)
+    SELECT split_part(subset, '|', 1) AS measure, error, count(rho) AS n_subsets, round(median(rho), 6) AS rho FROM rs GROUP BY 1, 2""")
+def patchiness_correlation(fx: Fx) -> DataFrame:
+    """Median over country and crop of the rank correlation of each measure with each error."""
+    errors = ["abs_rel", "within_r", "rmse_rel"]
+    f = G.field_errors(fx.preds, "field", ["country", "crop"])
+    d = P.long(_patchy(fx), ["field"], MEASURES).where("value is not null").join(f, "field")
+    d = P.long(d.select(F.concat_ws("|", "feature", "country", "crop").alias("subset"), F.col("value").alias("a"), *errors), ["subset", "a"], errors).where("value is not null")
+    s = P.spearman(d.select(F.concat_ws("|", "subset", "feature").alias("subset"), "a", "value"), "subset", "a", "value")
+    part = F.split("subset", r"\|")
+    return rounded(s.groupBy(part[0].alias("measure"), part[3].alias("error")).agg(F.count("rho").alias("n_subsets"), F.median("rho").alias("rho")))
 
 
 @query()

@@ -141,11 +141,35 @@ def test_hole(spark):
     mask = np.ones((5, 5), bool)
     mask[2, 2] = False
     r = G.patchiness(pixels(spark, mask), "field").first()
-    assert (r.holes, r.small_holes) == (1, 1) and math.isclose(r.hole_share, 1 / 25) and math.isclose(r.area_ha, 0.24) and math.isclose(r.holes_per_ha, 1 / 0.24)
+    assert (r.holes, r.small_holes) == (1, 1.0) and math.isclose(r.hole_share, 1 / 25) and math.isclose(r.area_ha, 0.24) and math.isclose(r.holes_per_ha, 4)
+    assert math.isclose(r.edge_share, 24 / 24) and r.gap_share == 0.0
     mask[0, 2] = mask[1, 2] = False  # now the gap reaches the outside
     assert G.patchiness(pixels(spark, mask), "field").first().holes == 0
 
 
+def test_patches_against_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    mask = np.ones((14, 17), bool)
+    mask[rng.integers(0, 14, 20), rng.integers(0, 17, 20)] = False
+    mask[5:11, 4:9] = False  # a hole of 30 cells
+    outside, todo = set(), [(-1, -1)]
+    empty = {(r, c) for r in range(-1, 15) for c in range(-1, 18) if not (0 <= r < 14 and 0 <= c < 17 and mask[r, c])}
+    while todo:
+        x = todo.pop()
+        if x in empty and x not in outside:
+            outside.add(x)
+            todo += [(x[0] + 1, x[1]), (x[0] - 1, x[1]), (x[0], x[1] + 1), (x[0], x[1] - 1)]
+    hole = empty - outside
+    own = [(int(r), int(c)) for r, c in zip(*np.where(mask), strict=True)]
+    near = lambda p, cells: 10 * min(math.dist(p, q) for q in cells)
+    got = {(r.prow, r.pcol): (r.to_outline, r.to_hole) for r in G.patch_distances(pixels(spark, mask), "field").collect()}
+    assert all(math.isclose(got[p][0], near(p, outside)) and math.isclose(got[p][1], near(p, hole)) for p in own)
+    r = G.patchiness(pixels(spark, mask), "field").first()
+    assert math.isclose(r.edge_share, np.mean([near(p, outside) <= 20 for p in own])) and math.isclose(r.gap_share, np.mean([near(p, outside) > 20 and near(p, hole) <= 20 for p in own]))
+    assert math.isclose(r.small_holes, (r.holes - 1) / r.holes) and math.isclose(r.hole_share, len(hole) / (len(hole) + len(own)))
+    assert G.patch_distances(pixels(spark, np.ones((3, 3), bool)), "field").where("to_hole is not null").count() == 0
+
+
 def test_holes_that_count_as_field(spark):
     mask = np.ones((9, 9), bool)
     mask[4, 4] = mask[1, 7] = mask[2, 7] = False
