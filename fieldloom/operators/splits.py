@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -56,11 +58,11 @@ def year_pairs(fields: DataFrame, year: str, crop: str) -> DataFrame:
     return pairs.join(bad, ["test", "val"], "left_anti")
 
 
-def leave_years_out(fields: DataFrame, year: str, crop: str, mix: list[str]) -> DataFrame:
+def leave_years_out(fields: DataFrame, year: str, crop: str, country: str) -> DataFrame:
     """Score of each pair of held-out years; the smallest (then smallest years) is the split. Few rows: years squared."""
-    z = standardised(fields, "yield_mean", [crop])
+    z = standardised(fields, "yield_mean", [crop, country])
     years = fields.select("field", F.col(year).cast("string").alias("candidate"))
-    per = split_scores(years, z, [mix]).select("candidate", "score")
+    per = split_scores(years, z, [[crop, country]]).select("candidate", "score")
     pairs = year_pairs(fields, year, crop)
     a = per.select(F.col("candidate").alias("_t"), F.col("score").alias("test_score"))
     b = per.select(F.col("candidate").alias("_v"), F.col("score").alias("val_score"))
@@ -71,53 +73,127 @@ def best_pair(scored: DataFrame) -> DataFrame:
     return scored.orderBy(F.round("score", 9), "test", "val").limit(1)
 
 
-#: Regions that one list may have.
-MOST_REGIONS = 100_000
-
-
-def assignments(regions: DataFrame, region: str, size: str, trials: int, share: float = 0.15, seed: int = 42) -> DataFrame:
-    """(trial, region, role): in each trial regions come in a random order, and each goes to the set (test before val) that
-    it brings closest to the share of all, or trains if it brings neither closer.
-
-    `regions` is one row a region, a list that is sent to all trials and must have at most `MOST_REGIONS` rows; trials
-    run apart, over as many tasks as there are shuffle partitions.
+#: Regions that one list may have, and ranges of the ordered yields that bound a trial's distance.
+MOST_REGIONS = 20_000
+RANGES = 64
+#: Trials that are scored in full first.
+FIRST_TRIALS = 32
+
+
+@dataclass
+class RegionCounts:
+    """Regions in the order of their names, how many fields each has, and how many of them by crop and by each mix and range
+    of the ordered yields: what share, mixes and a bound of the distance of any union of regions need."""
+
+    names: list[str]
+    size: np.ndarray
+    crops: np.ndarray
+    mixes: list[np.ndarray]
+    ranges: np.ndarray
+
+    @classmethod
+    def of(cls, fields: DataFrame, region: str, crop: str, mixes: list[list[str]]) -> RegionCounts:
+        """fields has `z`. One list is sent to all tasks, so more than `MOST_REGIONS` regions are an error."""
+        sizes = sorted((r[0], r[1]) for r in fields.groupBy(region).agg(F.count("*")).limit(MOST_REGIONS + 1).collect())
+        if len(sizes) > MOST_REGIONS:
+            raise ValueError(f"more than {MOST_REGIONS} regions")
+        place = {name: k for k, (name, _) in enumerate(sizes)}
+        n = sum(k for _, k in sizes)
+
+        def matrix(rows: DataFrame, by: list[str]) -> np.ndarray:
+            got = rows.groupBy(region, *by).agg(F.count("*").alias("_c")).collect()
+            kinds = {k: i for i, k in enumerate(sorted({tuple(r[c] for c in by) for r in got}, key=repr))}
+            out = np.zeros((len(sizes), len(kinds)))
+            for r in got:
+                out[place[r[region]], kinds[tuple(r[c] for c in by)]] = r["_c"]
+            return out
+
+        at = numbered(fields.select(region, "z", "field"), ["z", "field"], "_at").withColumn("_range", F.floor(F.col("_at") * RANGES / max(n, 1)))
+        ranges = np.zeros((len(sizes), RANGES))
+        for r in at.groupBy(region, "_range").agg(F.count("*").alias("_c")).collect():
+            ranges[place[r[region]], r["_range"]] = r["_c"]
+        return cls([x for x, _ in sizes], np.array([k for _, k in sizes], float), matrix(fields, [crop]), [matrix(fields, m) for m in mixes], ranges)
+
+
+def drawn_sets(counts: RegionCounts, trials: np.ndarray, share: float, seed: int) -> np.ndarray:
+    """trials x regions: 2 where a region is tested, 1 where it validates, 0 where it trains.
+
+    All trials take a region a step, each in an order of its own. It joins the set, test before validation, of which it
+    lessens the distance to the goal more, if it does so at all; what the sets hold is one array over all trials.
+    """
+    goal = share * counts.size.sum()
+    draws = np.array([[hashlib.md5(f"{seed}|{t}|{name}".encode()).hexdigest() for name in counts.names] for t in trials.tolist()], "S32").reshape(len(trials), len(counts.names))
+    order = np.argsort(draws, axis=1, kind="stable")
+    held = np.zeros((len(trials), 2))  # tested, validating
+    roles = np.zeros(order.shape, np.int8)
+    every = np.arange(len(trials))
+    for step in order.T:
+        nearer = np.abs(held - goal) - np.abs(held + counts.size[step, None] - goal)
+        into = np.argmax(nearer, axis=1)
+        joins = nearer[every, into] > 0
+        roles[every, step] = np.where(joins, 2 - into, 0)
+        held[every, into] += np.where(joins, counts.size[step], 0.0)
+    return roles
+
+
+def lower_bounds(counts: RegionCounts, roles: np.ndarray, share: float) -> np.ndarray:
+    """A score that none of the trials can go below: share and mixes in full, the distance of the ordered yields at the ends
+    of ranges only. Infinite where a set is empty or training lacks a crop. A matrix product for each table of counts."""
+    total = counts.size.sum()
+    out = np.zeros(len(roles))
+    for s in (2, 1):
+        member = (roles == s).astype(float)
+        k = member @ counts.size
+        k = np.where(k > 0, k, np.nan)
+        out += 2 * np.abs(k / total - share)
+        for m in counts.mixes:
+            out += np.abs((member @ m) / k[:, None] - m.sum(axis=0) / total).sum(axis=1) / 2
+        own, all_ = np.cumsum(member @ counts.ranges, axis=1), np.cumsum(counts.ranges.sum(axis=0))
+        out += np.abs(own / k[:, None] - all_ / total).max(axis=1)
+    trains = ((roles == 0).astype(float) @ counts.crops > 0).all(axis=1)
+    return np.where(trains & ~np.isnan(out), out, np.inf)
+
+
+def leave_regions_out(fields: DataFrame, region: str, crop: str, country: str, year: str, trials: int, share: float = 0.15, seed: int = 42) -> DataFrame:
+    """(trial, score, scored): the best random assignment of regions to test and validation that leaves every crop to train
+    on, the first of equal ones, and how many trials were scored in full; no row if there is none.
+
+    Trials are bounded from below by region counts alone, over all tasks. Those with the lowest bounds are scored in full,
+    then all others whose bound is no higher than the best of these; the rest can't be better.
     """
-    spark = regions.sparkSession
-    rows = sorted((r[region], int(r[size])) for r in regions.select(region, size).collect())
-    if len(rows) > MOST_REGIONS:
-        raise ValueError(f"more than {MOST_REGIONS} regions")
-    goal = share * sum(n for _, n in rows)
+    spark = fields.sparkSession
+    checkpoint_dir(spark)
+    mixes = [[crop, country], [year]]
+    z = standardised(fields, "yield_mean", [crop, country]).checkpoint()
+    counts = RegionCounts.of(z, region, crop, mixes)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for trial in b["id"]:
-                order = sorted(rows, key=lambda r: hashlib.md5(f"{seed}|{trial}|{r[0]}".encode()).hexdigest())
-                held = {2: 0, 1: 0}
-                for name, n in order:
-                    nearer = {s: abs(held[s] - goal) - abs(held[s] + n - goal) for s in (2, 1)}
-                    role = max(nearer, key=nearer.get)
-                    role = role if nearer[role] > 0 else 0
-                    out.append((trial, name, role))
-                    if role:
-                        held[role] += n
-            yield pd.DataFrame(out, columns=["trial", region, "role"])
-
-    kind = dict(regions.dtypes)[region]
-    return spark.range(0, trials, 1, int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(run, f"trial long, `{region}` {kind}, role int")
-
-
-def leave_regions_out(fields: DataFrame, region: str, crop: str, mix: list[str], trials: int, seed: int = 42) -> DataFrame:
-    """Score of each random assignment of regions (test and val together) that leaves every crop to train on."""
-    checkpoint_dir(fields.sparkSession)
-    z = standardised(fields, "yield_mean", [crop])
-    roles = assignments(fields.groupBy(region).agg(F.count("*").alias("n")), region, "n", trials, seed=seed).checkpoint()
-    crops = fields.select(crop).distinct().count()
-    fine = roles.where("role = 0").join(fields.select(region, crop).distinct(), region).groupBy("trial").agg(F.count_distinct(crop).alias("_n")).where(F.col("_n") == crops).select("trial")
-    roles = roles.join(fine, "trial", "left_semi")
-    held = roles.where("role > 0").join(fields.select("field", region), region).select("field", F.concat_ws("/", "trial", "role").alias("candidate"))
-    s = split_scores(held, z, [mix])
-    return s.groupBy(F.split("candidate", "/")[0].cast("bigint").alias("trial")).agg(F.sum("score").alias("score"), F.count("*").alias("sets")).where("sets = 2").select("trial", "score")
+            for i in range(0, len(b), 500):
+                own = b["id"].to_numpy()[i : i + 500]
+                yield pd.DataFrame({"trial": own, "bound": lower_bounds(counts, drawn_sets(counts, own, share, seed), share)})
+
+    bounds = spark.range(0, trials, 1, int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(bound, "trial long, bound double").where("bound < double('Infinity')").checkpoint()
+
+    def scored(chosen: DataFrame) -> DataFrame:
+        def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                t, r = np.nonzero(roles := drawn_sets(counts, b["trial"].to_numpy(), share, seed))
+                yield pd.DataFrame({"candidate": [f"{b['trial'].iloc[i]}/{roles[i, j]}" for i, j in zip(t, r, strict=True)], region: [counts.names[j] for j in r]})
+
+        sets = chosen.select("trial").repartition("trial").mapInPandas(held, f"candidate string, `{region}` {dict(fields.dtypes)[region]}")
+        s = split_scores(sets.join(z.select("field", region), region).select("candidate", "field"), z, mixes, share)
+        return s.groupBy(F.split("candidate", "/")[0].cast("bigint").alias("trial")).agg(F.sum("score").alias("score"))
+
+    by = bounds.orderBy("bound", "trial")
+    first = scored(by.limit(FIRST_TRIALS)).checkpoint()
+    best = first.agg(F.min("score")).first()[0]
+    if best is None:
+        return first.select("trial", "score", F.lit(0).cast("bigint").alias("scored"))
+    rest = bounds.where(F.col("bound") <= best + 1e-9).join(first, "trial", "left_anti").checkpoint()
+    every = first if rest.isEmpty() else first.unionByName(scored(rest)).checkpoint()
+    n = every.count()
+    return every.orderBy(F.round("score", 9), "trial").limit(1).select("trial", "score", F.lit(n).cast("bigint").alias("scored"))
 
 
 def fold_roles(fields: DataFrame, year: str) -> DataFrame:

@@ -10,7 +10,7 @@ from fieldloom.plans.evaluation import rounded
 from fieldloom.plans.fixtures import Fx
 from fieldloom.plans.registry import query
 
-Z = "zf AS (SELECT *, (yield_mean - avg(yield_mean) OVER (PARTITION BY crop)) / CASE WHEN stddev_samp(yield_mean) OVER (PARTITION BY crop) > 0 THEN stddev_samp(yield_mean) OVER (PARTITION BY crop) ELSE 1 END AS z FROM fx_fields)"
+Z = "zf AS (SELECT *, (yield_mean - avg(yield_mean) OVER (PARTITION BY crop, country)) / CASE WHEN stddev_samp(yield_mean) OVER (PARTITION BY crop, country) > 0 THEN stddev_samp(yield_mean) OVER (PARTITION BY crop, country) ELSE 1 END AS z FROM fx_fields)"
 
 
 def score_sql(candidates: str) -> str:
@@ -31,23 +31,44 @@ PAIRS = f"{BY_YEAR}, ys AS (SELECT DISTINCT year FROM fx_fields), pr AS (SELECT
 @query(f"WITH {BY_YEAR} SELECT candidate, k, round(ks, 6) AS ks, round(score, 6) AS score FROM sc")
 def split_score(fx: Fx) -> DataFrame:
     c = fx.fields.select("field", F.col("year").cast("string").alias("candidate"))
-    return rounded(S.split_scores(c, S.standardised(fx.fields, "yield_mean", ["crop"]), [["country", "crop"]]).select("candidate", "k", "ks", "score"))
+    return rounded(S.split_scores(c, S.standardised(fx.fields, "yield_mean", ["crop", "country"]), [["country", "crop"]]).select("candidate", "k", "ks", "score"))
 
 
 @query(f"WITH {PAIRS} SELECT test, val, round(score, 6) AS score FROM ps")
 def loyo_pairs(fx: Fx) -> DataFrame:
-    return rounded(S.leave_years_out(fx.fields, "year", "crop", ["country", "crop"]))
+    return rounded(S.leave_years_out(fx.fields, "year", "crop", "country"))
 
 
 @query(f"WITH {PAIRS} SELECT test, val, round(score, 6) AS score FROM ps ORDER BY round(score, 9), test, val LIMIT 1")
 def loyo_split(fx: Fx) -> DataFrame:
-    return rounded(S.best_pair(S.leave_years_out(fx.fields, "year", "crop", ["country", "crop"])))
+    return rounded(S.best_pair(S.leave_years_out(fx.fields, "year", "crop", "country")))
 
 
-@query()
+TRIALS = 20_000
+
+#: Every trial takes its regions in the order of their draws, one a round; then all sets of all trials are scored in full.
+DRAWN = f"""{Z}, nn AS (SELECT count(*) AS n FROM zf), rs AS (SELECT region, count(*) AS size FROM zf GROUP BY region), tn AS (SELECT unnest(range(0, {TRIALS})) AS trial),
+    od AS (SELECT trial, region, size, row_number() OVER (PARTITION BY trial ORDER BY md5(concat_ws('|', '42', CAST(trial AS VARCHAR), region))) AS k FROM tn, rs),
+    gr AS (SELECT trial, CAST(0 AS BIGINT) AS k, CAST('' AS VARCHAR) AS region, 0 AS role, CAST(0 AS DOUBLE) AS t, CAST(0 AS DOUBLE) AS v FROM tn
+        UNION ALL SELECT trial, k, region, role, t + CASE WHEN role = 2 THEN size ELSE 0 END, v + CASE WHEN role = 1 THEN size ELSE 0 END
+        FROM (SELECT g.trial, o.k, o.region, o.size, g.t, g.v, CASE WHEN greatest(abs(t - 0.15 * n) - abs(t + size - 0.15 * n), abs(v - 0.15 * n) - abs(v + size - 0.15 * n)) <= 0 THEN 0 WHEN abs(t - 0.15 * n) - abs(t + size - 0.15 * n) >= abs(v - 0.15 * n) - abs(v + size - 0.15 * n) THEN 2 ELSE 1 END AS role FROM gr g JOIN od o ON g.trial = o.trial AND o.k = g.k + 1 CROSS JOIN nn)),
+    ok AS (SELECT trial FROM gr WHERE role > 0 GROUP BY trial HAVING count(DISTINCT role) = 2 INTERSECT SELECT trial FROM gr JOIN zf USING (region) WHERE role = 0 GROUP BY trial HAVING count(DISTINCT crop) = (SELECT count(DISTINCT crop) FROM zf)),
+    cand AS (SELECT trial * 3 + role AS candidate, field, country, crop, year FROM gr JOIN zf USING (region) WHERE role > 0 AND trial IN (SELECT trial FROM ok)),
+    sz AS (SELECT candidate, count(*) AS k FROM cand GROUP BY candidate),
+    q AS (SELECT country, crop, count(*) / (SELECT n FROM nn) AS q FROM zf GROUP BY country, crop), o AS (SELECT candidate, country, crop, count(*) AS c FROM cand GROUP BY ALL),
+    tv AS (SELECT sz.candidate, sum(abs(coalesce(c, 0) / k - q)) / 2 AS tv FROM sz CROSS JOIN q LEFT JOIN o ON o.candidate = sz.candidate AND o.country = q.country AND o.crop = q.crop GROUP BY sz.candidate),
+    yq AS (SELECT year, count(*) / (SELECT n FROM nn) AS q FROM zf GROUP BY year), yo AS (SELECT candidate, year, count(*) AS c FROM cand GROUP BY ALL),
+    yv AS (SELECT sz.candidate, sum(abs(coalesce(c, 0) / k - q)) / 2 AS yv FROM sz CROSS JOIN yq LEFT JOIN yo ON yo.candidate = sz.candidate AND yo.year = yq.year GROUP BY sz.candidate),
+    rk AS (SELECT field, row_number() OVER (ORDER BY z, field) AS rn FROM zf),
+    cu AS (SELECT candidate, rn, row_number() OVER (PARTITION BY candidate ORDER BY rn) AS c FROM cand JOIN rk USING (field)),
+    ks AS (SELECT sz.candidate, max(greatest(abs(c / k - rn / n), abs((c - 1) / k - (rn - 1) / n))) AS ks FROM cu JOIN sz ON cu.candidate = sz.candidate CROSS JOIN nn GROUP BY sz.candidate),
+    sc AS (SELECT sz.candidate // 3 AS trial, 2 * abs(k / (SELECT n FROM nn) - 0.15) + tv + yv + ks AS score FROM sz JOIN tv USING (candidate) JOIN yv USING (candidate) JOIN ks USING (candidate))"""
+
+
+@query(f"WITH RECURSIVE {DRAWN} SELECT trial, round(sum(score), 6) AS score FROM sc GROUP BY trial ORDER BY round(sum(score), 9), trial LIMIT 1")
 def loro_split(fx: Fx) -> DataFrame:
-    """The best of random assignments of regions (draws are hashes in Python, so there is no SQL for them)."""
-    return rounded(S.leave_regions_out(fx.fields, "region", "crop", ["country", "crop"], 20_000).orderBy(F.round("score", 9), "trial").limit(1))
+    """The best of random assignments of regions."""
+    return rounded(S.leave_regions_out(fx.fields, "region", "crop", "country", "year", TRIALS).select("trial", "score"))
 
 
 FOLDS = "cy AS (SELECT year AS fold, coalesce(lead(year) OVER (ORDER BY year), min(year) OVER ()) AS val FROM (SELECT DISTINCT year FROM fx_fields)), fo AS (SELECT fold, field, CASE WHEN year = fold THEN 2 WHEN year = val THEN 1 ELSE 0 END AS role FROM fx_fields, cy)"

@@ -1,6 +1,7 @@
 """Hand fixtures with known answers, brute force, and metamorphic checks."""
 
 import itertools
+import hashlib
 import math
 
 import numpy as np
@@ -246,7 +247,7 @@ def test_components(spark):
 
 def test_identical_mix_scores_zero(spark):
     f = spark.createDataFrame([(str(k), "x", "w", float(k % 7)) for k in range(20)], "field string, country string, crop string, yield_mean double")
-    z = S.standardised(f, "yield_mean", ["crop"])
+    z = S.standardised(f, "yield_mean", ["crop", "country"])
     r = S.split_scores(f.select("field", F.lit("all").alias("candidate")), z, [["country", "crop"]]).first()
     assert math.isclose(r.score, 2 * 0.85) and r.ks == 0.0
 
@@ -276,41 +277,60 @@ def test_violations(spark):
     assert got == {"no role": 1, "region on two sides": 1, "crop missing in train": 1, "empty roles": 1}
 
 
-def test_region_assignments(spark):
-    regions = spark.createDataFrame([(f"r{k}", 10 + k) for k in range(12)], "region string, n long")
-    a = S.assignments(regions, "region", "n", 20)
-    per = a.groupBy("trial").agg(F.count("*").alias("n"), F.count_distinct("role").alias("roles")).collect()
-    assert len(per) == 20 and all(r.n == 12 and r.roles == 3 for r in per)
-    assert rows(a) == rows(S.assignments(regions, "region", "n", 20))
-    sizes, goal = {f"r{k}": 10 + k for k in range(12)}, 0.15 * sum(10 + k for k in range(12))
-    for t in range(20):  # no region that trains would bring a set nearer to its share at the end than it was without it
-        role = {r.region: r.role for r in a.where(f"trial = {t}").collect()}
-        for s in (1, 2):
-            held = sum(sizes[r] for r, x in role.items() if x == s)
-            assert all(abs(held - sizes[r] - goal) > abs(held - goal) - 1e-9 or len([x for x in role.values() if x == s]) > 1 for r, x in role.items() if x == s)
+def _counts(f):
+    """RegionCounts of (field, region, crop, country, yield, year) rows without ordered yields."""
+    names = sorted({x[1] for x in f})
+    size = np.array([float(sum(x[1] == r for x in f)) for r in names])
+    return S.RegionCounts(names, size, np.ones((len(names), 1)), [], np.zeros((len(names), S.RANGES)))
+
 
+def test_drawn_regions_follow_the_rule():
+    counts = _counts([(str(k), f"r{k % 12}", "x", "c", 1.0, 1) for k in range(12 * 12 - 30)])
+    roles = S.drawn_sets(counts, np.arange(40), 0.15, 42)
+    size, goal = dict(zip(counts.names, counts.size, strict=True)), 0.15 * counts.size.sum()
+    for t in range(40):
+        order = sorted(counts.names, key=lambda r: hashlib.md5(f"42|{t}|{r}".encode()).hexdigest())  # noqa: B023
+        tested = validating = 0.0
+        for r in order:
+            a, b = abs(tested - goal) - abs(tested + size[r] - goal), abs(validating - goal) - abs(validating + size[r] - goal)
+            want = 0 if max(a, b) <= 0 else 2 if a >= b else 1
+            assert roles[t, counts.names.index(r)] == want
+            tested, validating = tested + size[r] * (want == 2), validating + size[r] * (want == 1)
+    assert (roles == S.drawn_sets(counts, np.arange(40), 0.15, 42)).all() and (S.drawn_sets(counts, np.array([7]), 0.15, 42)[0] == roles[7]).all()
 
-def test_trials_against_brute_force(spark):
+
+def test_trials_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(S, "FIRST_TRIALS", 3)
+    monkeypatch.setattr(S, "RANGES", 6)
     rng = np.random.default_rng(9)
-    f = [(f"f{k}", f"r{k % 7}", "xy"[k % 2], "c", float(v)) for k, v in enumerate(rng.normal(size=42))]
-    df = spark.createDataFrame(f, "field string, region string, crop string, country string, yield_mean double")
-    got = {r.trial: r.score for r in S.leave_regions_out(df, "region", "crop", ["country", "crop"], 12).collect()}
-    role = {}
-    for r in S.assignments(df.groupBy("region").agg(F.count("*").alias("n")), "region", "n", 12).collect():
-        role.setdefault(r.trial, {})[r.region] = r.role
-    z = {r.field: r.z for r in S.standardised(df, "yield_mean", ["crop"]).collect()}
+    f = [(f"f{k:03d}", f"r{k % 11}", "xy"[k % 2], "cd"[k // 40], float(v), int(rng.integers(2000, 2004))) for k, v in enumerate(rng.normal(size=77))]
+    df = spark.createDataFrame(f, "field string, region string, crop string, country string, yield_mean double, year int")
+    z = {r.field: r.z for r in S.standardised(df, "yield_mean", ["crop", "country"]).collect()}
     order = sorted(z, key=lambda k: (z[k], k))
-    for t, by in role.items():
-        total = 0.0
+    counts, want = _counts(f), {}
+    roles = S.drawn_sets(counts, np.arange(60), 0.15, 42)
+    for t in range(60):
+        by, total = dict(zip(counts.names, roles[t].tolist(), strict=True)), 0.0
+        if {x[2] for x in f if by[x[1]] == 0} != {"x", "y"} or not {1, 2} <= set(by.values()):
+            continue
         for s in (1, 2):
             own = [x for x in f if by[x[1]] == s]
-            mix = sum(abs(sum(x[2] == c for x in own) / len(own) - 0.5) for c in "xy") / 2
+            total += 2 * abs(len(own) / 77 - 0.15)
+            for part in (lambda x: (x[2], x[3]), lambda x: x[5]):
+                total += sum(abs(sum(part(x) == c for x in own) / len(own) - sum(part(x) == c for x in f) / 77) for c in {part(x) for x in f}) / 2
             held, ks, n = {x[0] for x in own}, 0.0, 0
             for i, k in enumerate(order):
                 n += k in held
-                ks = max(ks, abs(n / len(own) - (i + 1) / 42))
-            total += 2 * abs(len(own) / 42 - 0.15) + mix + ks
-        assert math.isclose(got[t], total, rel_tol=1e-9)
+                ks = max(ks, abs(n / len(own) - (i + 1) / 77))
+            total += ks
+        want[t] = total
+    got = S.leave_regions_out(df, "region", "crop", "country", "year", 60).first()
+    assert (got.trial, round(got.score, 9)) == min(((t, round(v, 9)) for t, v in want.items()), key=lambda x: (x[1], x[0]))
+    assert got.scored < len(want)
+    bounds = S.lower_bounds(S.RegionCounts.of(S.standardised(df, "yield_mean", ["crop", "country"]), "region", "crop", [["crop", "country"], ["year"]]), roles, 0.15)
+    assert all(bounds[t] <= v + 1e-9 for t, v in want.items()) and {int(t) for t in np.flatnonzero(np.isfinite(bounds))} == set(want)
+    lone = df.withColumn("crop", F.col("region"))
+    assert S.leave_regions_out(lone, "region", "crop", "country", "year", 10).count() == 0
 
 
 def test_bootstrap_of_equal_models(spark):
@@ -413,3 +433,17 @@ def test_clamped_values_keep_missing(spark):
     got = d.select(P.growing_degrees("t", "crop", {"wheat": 10.0}), P.vapour_deficit("t", "t", True), P.cos_sun_zenith("t", F.lit(170)).isNull(), P.season_overlap(F.lit(10), 10, "t", F.lit(40)), P.frost("t")).collect()
     assert [r[0] for r in got] == [None, 0.0, 20.0] and [r[1] for r in got] == [None, 0.0, 0.0] and [r[2] for r in got] == [True, False, False]
     assert [r[3] for r in got] == [None, 1.0, 0.0] and [r[4] for r in got] == [0, 0, 0]
+
+
+# Sources.
+
+
+def test_weather_goes_by_each_header(spark, tmp_path):
+    files = {"a.csv": "\ufeffDate,Temp_mean,RH_mean\n2020-01-01,10.5,70\n2020-01-02,,71\n", "b.csv": "Date,RH_mean,Temp_mean\n2020-01-01,70,10.5\n", "sub/c.csv": "Total_prec, Temp_mean ,Date,Date\n0.001,280,2020-01-03,x\n\nnan,abc,2020-01-04,y\n", "empty.csv": "", "only.csv": "Date,Temp_mean\n"}
+    (tmp_path / "sub").mkdir()
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    got = sorted(rows(IO.read_weather(spark, f"file://{tmp_path}", "Date string, Temp_mean double", {"RH_mean": "double", "Total_prec": "double", "S_rad": "double"})), key=repr)
+    assert got == sorted([("2020-01-01", 10.5, 70.0, None, None), ("2020-01-02", None, 71.0, None, None), ("2020-01-01", 10.5, 70.0, None, None), ("2020-01-03", 280.0, None, 0.001, None), ("2020-01-04", None, None, None, None)], key=repr)
+    with pytest.raises(ValueError, match="lacks a column"):
+        IO.read_weather(spark, f"file://{tmp_path}", "Date string, Temp_max double", {})
