@@ -28,10 +28,12 @@ def clearest(scenes: DataFrame, field: str, start: int, width: int) -> DataFrame
     return best_scene(scenes, field, start, width, [col("clear_share"), col("day"), col("scene")], ["scene", "day", "clear_share"])
 
 
-def grid_start(scenes: DataFrame, width: int, least: float) -> DataFrame:
-    """Start of the grid: the earliest clear day floored to a window, and the scenes before a nominal start of day `width`."""
-    ok = scenes.where(F.col("clear_share") >= least)
-    return ok.agg((F.floor(F.min("day") / F.lit(float(width))) * width).alias("start"), F.count_if(F.col("day") < width).alias("outside"), F.count("*").alias("n"))
+def grid_start(scenes: DataFrame, width: int, end: int, share: str = "valid") -> DataFrame:
+    """Start of the grid: the earliest day of [0, end) with a clear pixel, floored to a window; and how many scenes of all lie
+    outside [0, end)."""
+    inside = (F.col("day") >= 0) & (F.col("day") < end)
+    first = F.min(F.when(inside & (F.col(share) > 0), F.col("day")))
+    return scenes.agg((F.floor(first / F.lit(float(width))) * width).cast("bigint").alias("start"), F.count_if(~inside).alias("outside"), F.count("*").alias("n"))
 
 
 def clear_scenes(scenes: DataFrame, lo: int, hi: int, least: float) -> DataFrame:
@@ -39,29 +41,61 @@ def clear_scenes(scenes: DataFrame, lo: int, hi: int, least: float) -> DataFrame
     return scenes.where((F.col("day") >= lo) & (F.col("day") < hi) & (F.col("clear_share") >= least))
 
 
-def window_classes(scenes: DataFrame, field: str, start: int, width: int, n_windows: int, low: float = 0.05, half: float = 0.5) -> DataFrame:
-    """Each window of each field: scenes, the chosen one's clear share, the best clear share, and a class."""
-    per = scenes.withColumn("k", floor_window("day", start, width)).groupBy(field, "k").agg(
-        F.count("*").alias("n_scenes"), F.max_by("clear_share", F.struct(-F.col("clouds"), F.col("day"), F.col("scene"))).alias("chosen"), F.max("clear_share").alias("best"), F.max_by("kind", F.struct(F.col("clouds"), F.col("scene"))).alias("cause"))
-    full = scaffold(scenes.select(field).distinct(), "k", 0, n_windows).join(per, [field, "k"], "left").withColumn("n_scenes", F.coalesce("n_scenes", F.lit(0)))
-    c, b = F.col("chosen"), F.col("best")
-    kind = F.when(F.col("n_scenes") == 0, "no scene").when(c >= half, "good").when(c >= low, F.when(b >= half, "weak, better exists").otherwise("weak")).when(b >= low, "lost by the rule").otherwise("unusable")
-    return full.select(field, "k", "n_scenes", "chosen", "best", kind.alias("class"), F.when(kind.isin("weak", "unusable", "lost by the rule"), F.col("cause")).alias("cause"))
-
-
-def availability(windows: DataFrame, by: list[str]) -> DataFrame:
-    """Shares of windows that are usable by the chosen and by the best scene, and that the rule lost."""
+#: Codes of the scene classification. The order of the causes breaks ties.
+CLEAR = (4, 5)
+CLOUD = (8, 9)
+CAUSES = {"cloud": CLOUD, "cirrus": (10,), "shadow": (3,), "snow": (11,), "dark": (2, 7), "nodata": (0, 1), "water": (6,)}
+CLASSES = ("out_of_season", "no_scene", "all_unusable", "rule_loss", "partly_valid", "valid")
+USABLE, VALID = 0.05, 0.5
+
+
+def scene_shares(cells: DataFrame, keys: list[str], code: str, inside: Column, causes: dict[str, tuple[int, ...]] = CAUSES) -> DataFrame:
+    """Per scene, from the class code of each of its cells: cloud cells of the whole scene, and of the cells inside the field
+    the share that is clear and the shares of the other groups of codes (NULL without a cell inside)."""
+    own = F.when(inside, F.col(code))
+    share = lambda codes: F.try_divide(F.count_if(own.isin(*codes)), F.count_if(inside))
+    return cells.groupBy(*keys).agg(F.count_if(F.col(code).isin(*CLOUD)).alias("clouds"), share(CLEAR).alias("valid"), *[share(v).alias(c) for c, v in causes.items()])
+
+
+def season_windows(scenes: DataFrame, seasons: DataFrame, field: str, start: int, width: int, n_windows: int, causes: list[str] = tuple(CAUSES), usable: float = USABLE, valid: float = VALID) -> DataFrame:
+    """Every window of every field of `seasons` (sow_day, harvest_day; a missing one opens the season to that side), whether it
+    overlaps [sowing, harvest), its scenes and those in the season, the chosen scene (fewest cloud cells, the later of equal
+    ones) with its shares, the best clear share, a class, and the chosen scene's dominant cause: the largest of its shares, the
+    first of equal ones, if it is above zero."""
+    end = start + n_windows * width
+    lo, hi = F.coalesce("sow_day", F.lit(start)), F.coalesce("harvest_day", F.lit(end))
+    grid = scenes.where((F.col("day") >= start) & (F.col("day") < end)).join(seasons.select(field, lo.alias("_lo"), hi.alias("_hi")), field)
+    chosen = F.max_by(F.struct("day", "valid", *causes), F.struct(-F.col("clouds"), F.col("day"), F.col("scene")))
+    per = grid.withColumn("k", floor_window("day", start, width)).groupBy(field, "k").agg(F.count("*").alias("n_scenes"), F.count_if((F.col("day") >= F.col("_lo")) & (F.col("day") < F.col("_hi"))).alias("n_in_season"), F.max("valid").alias("best_valid"), chosen.alias("_c"))
+    full = scaffold(seasons, "k", 0, n_windows).join(per, [field, "k"], "left")
+    a = F.lit(start) + F.col("k") * width
+    within = (a < hi) & (a + width > lo)
+    top = F.greatest(*[F.coalesce(F.col(f"_c.{c}"), F.lit(0.0)) for c in causes])
+    cause = F.lit("none")
+    for c in reversed(list(causes)):
+        cause = F.when((top > 0) & (F.coalesce(F.col(f"_c.{c}"), F.lit(0.0)) == top), c).otherwise(cause)
+    ch, best = F.col("_c.valid"), F.col("best_valid")
+    kind = F.when(~within, "out_of_season").when(F.col("_c").isNull(), "no_scene").when(best < usable, "all_unusable").when((ch < usable) & (best >= valid), "rule_loss").when(ch >= valid, "valid").otherwise("partly_valid")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return full.select(*seasons.columns, "k", a.cast("bigint").alias("start_day"), within.alias("in_season"), zero("n_scenes"), zero("n_in_season"), F.col("_c.day").alias("chosen_day"), ch.alias("chosen_valid"), best.alias("best_valid"), *[F.col(f"_c.{c}").alias(f"chosen_{c}") for c in causes], kind.alias("class"), cause.alias("cause"))
+
+
+def availability(windows: DataFrame, by: list[str], field: str, usable: float = USABLE, valid: float = VALID) -> DataFrame:
+    """Per group over the windows in season: fields, windows, scenes a window, the shares without a scene, usable and valid by
+    the chosen scene and by the best one, and lost by the rule."""
     share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("int"))
-    return windows.groupBy(*by).agg(F.count("*").alias("n"), share(F.col("chosen") >= 0.05).alias("usable"), share(F.col("chosen") >= 0.5).alias("valid"), share(F.col("best") >= 0.05).alias("best_usable"), share(F.col("class") == "lost by the rule").alias("rule_loss"), F.avg("n_scenes").alias("scenes_per_window"))
+    ch, best = F.col("chosen_valid"), F.col("best_valid")
+    return windows.where("in_season").groupBy(*by).agg(F.count_distinct(field).alias("n_fields"), F.count("*").alias("n"), F.avg("n_scenes").alias("scenes_per_window"), share(F.col("class") == "no_scene").alias("no_scene"), share(ch >= usable).alias("usable"), share(ch >= valid).alias("valid"), share(best >= usable).alias("best_usable"), share(best >= valid).alias("best_valid"), share(F.col("class") == "rule_loss").alias("rule_loss"))
 
 
-def class_shares(windows: DataFrame, by: str, classes: list[str]) -> DataFrame:
-    """Share of each class per group, and the most frequent cause (first by name of equal ones) with its share."""
-    wide = windows.groupBy(by).agg(F.count("*").alias("n"), *[(F.count_if(F.col("class") == c) / F.count("*")).alias(c.replace(",", "").replace(" ", "_")) for c in classes])
-    causes = windows.where("cause is not null").groupBy(by, "cause").agg(F.count("*").alias("c"))
-    w = Window.partitionBy(by)
-    top = causes.withColumn("_r", F.row_number().over(w.orderBy(F.col("c").desc(), "cause"))).withColumn("cause_share", F.col("c") / F.sum("c").over(w)).where("_r = 1").select(by, "cause", "cause_share")
-    return wide.join(top, by, "left")
+def class_shares(windows: DataFrame, by: list[str], usable: float = USABLE) -> DataFrame:
+    """Per group over the windows in season: their number and the share of each class, and of those whose chosen scene is not
+    usable the most frequent cause (first by name of equal ones) with its share of them."""
+    own = windows.where("in_season")
+    wide = own.groupBy(*by).agg(F.count("*").alias("n"), *[(F.count_if(F.col("class") == c) / F.count("*")).alias(c) for c in CLASSES[1:]])
+    causes = own.where(F.col("chosen_valid") < usable).groupBy(*by, F.col("cause").alias("_cause")).agg(F.count("*").alias("_c"))
+    top = causes.groupBy(*by).agg(F.min_by(F.struct(F.col("_cause").alias("cause"), F.col("_c").alias("n")), F.struct(-F.col("_c"), "_cause")).alias("_t"), F.sum("_c").alias("_s"))
+    return wide.join(top.select(*by, F.col("_t.cause").alias("cause"), (F.col("_t.n") / F.col("_s")).alias("cause_share")), by, "left")
 
 
 def scaffold(keys: DataFrame, step: str, lo: int, hi: int) -> DataFrame:
@@ -90,9 +124,9 @@ def weather_windows(days: DataFrame, field: str, start: int, width: int, n_windo
 
 
 def since_event(days: DataFrame, field: str, value: str, start: str, end: str) -> DataFrame:
-    """Adds the running sum of a value over [start, end); NULL before, held at its end after."""
+    """Adds the running sum of a value over the days from start to end, both included; NULL before, held at its end after."""
     w = Window.partitionBy(field).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    inside = (F.col("day") >= F.col(start)) & (F.col("day") < F.col(end))
+    inside = (F.col("day") >= F.col(start)) & (F.col("day") <= F.col(end))
     run = F.sum(F.when(inside, F.coalesce(F.col(value), F.lit(0.0))).otherwise(0.0)).over(w)
     return days.withColumn(f"{value}_cum", F.when(F.col("day") >= F.col(start), run))
 
@@ -113,18 +147,39 @@ def anomalies(days: DataFrame, normals: DataFrame, cell: str, date: str, value:
     return d.join(normals, [cell, "doy"], "left").withColumn("anomaly", F.col(value) - F.col("normal"))
 
 
-def thermal_windows(days: DataFrame, scenes: DataFrame, field: str, heat: str, width: float, n_windows: int) -> DataFrame:
-    """Scenes by windows of accumulated heat: k = floor(heat up to the day / width), windows beyond the last dropped."""
-    w = Window.partitionBy(field).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    cum = days.withColumn("heat_cum", F.sum(F.coalesce(F.col(heat), F.lit(0.0))).over(w)).select(field, "day", "heat_cum")
-    return scenes.join(cum, [field, "day"]).withColumn("k", F.floor(F.col("heat_cum") / width)).where((F.col("k") >= 0) & (F.col("k") < n_windows))
-
-
-def heat_rule(seasons: DataFrame, cum: DataFrame, by: list[str], steps: int) -> DataFrame:
-    """Per group: grid start (5th percentile of sowing less 30, floored to 10) and window width (95th percentile of the heat at harvest by steps)."""
-    s = seasons.groupBy(*by).agg((F.floor((F.percentile("sow_day", 0.05) - 30) / 10) * 10).alias("start"), F.count("*").alias("n"))
-    h = seasons.join(cum, ["field"]).groupBy(*by).agg((F.percentile("heat", 0.95) / (steps - 1)).alias("width"))
-    return s.join(h, by, "left")
+def heat_rules(fields: DataFrame, days: DataFrame, field: str, by: list[str], heat: str, reference: Column, steps: int, first_day: int, last_day: int, stand_ins: dict[tuple, tuple] = {}) -> DataFrame:  # noqa: B006
+    """(by, start, width, n, stands_for): per group of the fields that `reference` holds for, the day from which heat counts
+    (5 % point of sowing less 30 days, floored to 10, `first_day` at least) and the heat of a window (95 % point of the sums from
+    that day to harvest, by steps - 1, to a tenth). Days span [first_day, last_day]; harvest is held in them, and days
+    without a value add nothing. A group that has no rule takes that of its stand-in."""
+    ref = fields.where(reference)
+    start = F.greatest(F.lit(first_day), F.floor((F.percentile("sow_day", 0.05) - 30) / 10) * 10).cast("bigint")
+    starts = ref.groupBy(*by).agg(start.alias("start"), F.count("*").alias("n"))
+    harvest = F.greatest(F.lit(first_day), F.least(F.lit(last_day), F.col("harvest_day")))
+    ends = ref.where("harvest_day is not null").select(field, *by, harvest.alias("_end")).join(starts, by)
+    own = days.where(F.col("day").between(first_day, last_day)).select(F.col(field).alias("_f"), F.col("day").alias("_day"), F.col(heat).alias("_heat"))
+    sums = ends.join(own, (F.col(field) == F.col("_f")) & (F.col("_day") >= F.col("start")) & (F.col("_day") <= F.col("_end")), "left").groupBy(field, *by).agg(F.coalesce(F.sum("_heat"), F.lit(0.0)).alias("_sum"))
+    widths = sums.groupBy(*by).agg(F.round(F.percentile("_sum", 0.95) / (steps - 1), 1).alias("width"))
+    rules = starts.join(widths, by, "left").select(*by, "start", "width", "n", F.lit(None).cast("string").alias("stands_for"))
+    out = rules
+    for of, by_whom in stand_ins.items():
+        same = lambda key: F.expr(" and ".join(f"`{c}` = '{v}'" for c, v in zip(by, key, strict=True)))
+        lent = rules.where(same(by_whom)).select(*[F.lit(v).alias(c) for c, v in zip(by, of, strict=True)], "start", "width", "n", F.lit("|".join(map(str, by_whom))).alias("stands_for"))
+        out = out.unionByName(lent.join(rules.where(same(of)).select(*by), by, "left_anti"))
+    return out
+
+
+def thermal_windows(scenes: DataFrame, days: DataFrame, rules: DataFrame, field: str, heat: str, steps: int, first_day: int, last_day: int) -> DataFrame:
+    """Scenes with the window k of accumulated heat they fall into: the sum from the rule's start up to the scene's day by the
+    rule's width, floored. `rules` is (field, start, width). A scene on a day without a row has the sum of the days before;
+    scenes before the start and beyond the last window are not kept."""
+    ahead = [c for c in scenes.columns if c not in (field, "day")]
+    own = days.where(F.col("day").between(first_day, last_day)).select(field, "day", F.col(heat).alias("_heat"), F.lit(0).alias("_scene"), F.lit(None).alias("_row"))
+    seen = scenes.select(field, "day", F.lit(0.0).alias("_heat"), F.lit(1).alias("_scene"), F.struct(*ahead).alias("_row"))
+    both = seen.unionByName(own).join(rules.select(field, "start", "width"), field).where(F.col("day") >= F.col("start"))
+    w = Window.partitionBy(field).orderBy("day", "_scene").rowsBetween(Window.unboundedPreceding, 0)
+    k = F.floor(F.try_divide(F.sum(F.coalesce("_heat", F.lit(0.0))).over(w), "width")).cast("bigint")
+    return both.withColumn("k", k).where((F.col("_scene") == 1) & (F.col("k") < steps)).select(field, "day", "k", "_row.*")
 
 
 def align(steps: DataFrame, key: str, event: DataFrame, width: int, start: int, lo: int, hi: int, values: list[str]) -> DataFrame:

@@ -33,6 +33,15 @@ ADAPTERS: dict[str, str | tuple[str, str]] = {
         CAST(concat(CAST(year - 1 AS STRING), '-01-01') AS DATE) AS jan1 FROM fx_fields""",
     "fx_scenes": """SELECT user_id AS field, CAST(day(ts) - 1 AS BIGINT) AS day, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS clouds,
         (100 - CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT)) / 100.0E0 AS clear_share, event_id AS scene, event_type AS kind, value FROM {events}""",
+    # Class codes of twelve cells of each scene, nine of them inside the field.
+    "fx_scene_cells": tuple(
+        """SELECT field, day, scene, cell, cell < 9 AS inside, CAST(CASE WHEN scene % 7 = 0 THEN 0 WHEN field % 10 = 3 THEN 8 + cell % 2 WHEN (scene * 7 + cell * 13) % 100 >= clouds THEN 4 + (scene + cell) % 2 WHEN scene % 5 = 0 THEN 9
+        ELSE CASE (scene + cell * 5) % 11 WHEN 0 THEN 8 WHEN 1 THEN 8 WHEN 2 THEN 9 WHEN 3 THEN 10 WHEN 4 THEN 3 WHEN 5 THEN 11 WHEN 6 THEN 2 WHEN 7 THEN 7 WHEN 8 THEN 0 WHEN 9 THEN 6 ELSE 1 END END AS BIGINT) AS code
+        FROM (SELECT *, """ + each + " AS cell FROM fx_scenes WHERE (field * 3 + CAST(floor(day / 6.0) AS BIGINT)) % 4 > 0)" for each in ("explode(sequence(0L, 11L))", "unnest(range(0, 12))")
+    ),
+    "fx_grounds": """SELECT DISTINCT user_id AS field, CASE WHEN user_id % 13 <> 0 THEN CAST(user_id % 9 AS BIGINT) END AS sow_day, CASE WHEN user_id % 17 <> 0 THEN CAST(14 + user_id % 12 AS BIGINT) END AS harvest_day,
+        CASE user_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS country, CASE WHEN user_id % 3 = 1 THEN 'south' ELSE 'north' END AS half, CASE WHEN user_id % 3 = 2 AND user_id % 4 = 3 THEN 'barley' WHEN user_id % 2 = 0 THEN 'wheat' ELSE 'maize' END AS crop,
+        CAST('2020-01-11' AS DATE) AS jan1 FROM {events}""",
     "fx_daily": """SELECT user_id AS field, CAST(day(ts) - 1 AS BIGINT) AS day, avg(value) AS temp_mean, max(value) AS temp_max, min(value) AS temp_min,
         sum(value) AS prec, count(*) AS n_obs FROM {events} GROUP BY user_id, day(ts)""",
     "fx_cell_daily": """SELECT CAST(n_regionkey AS BIGINT) AS cell, CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) / 10000 AS v, sum(o_totalprice) / 10000 AS s, count(*) AS n_obs

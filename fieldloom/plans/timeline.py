@@ -27,9 +27,22 @@ def clearest_scene_per_window(fx: Fx) -> DataFrame:
     return W.clearest(fx.scenes, "field", -5, 10)
 
 
-@query("SELECT CAST(floor(min(day) / 7.0) * 7 AS BIGINT) AS start, CAST(count_if(day < 7) AS BIGINT) AS outside, count(*) AS n FROM fx_scenes WHERE clear_share >= 0.05")
+CAUSES = {"cloud": "8, 9", "cirrus": "10", "shadow": "3", "snow": "11", "dark": "2, 7", "nodata": "0, 1", "water": "6"}
+SHARES = f"""sh AS (SELECT field, day, scene, count_if(code IN (8, 9)) AS clouds, count_if(inside AND code IN (4, 5)) / count_if(inside) AS valid, {", ".join(f"count_if(inside AND code IN ({v})) / count_if(inside) AS {c}" for c, v in CAUSES.items())} FROM fx_scene_cells GROUP BY field, day, scene)"""
+
+
+def _shares(fx: Fx) -> DataFrame:
+    return W.scene_shares(fx.scene_cells, ["field", "day", "scene"], "code", F.col("inside"))
+
+
+@query(f"WITH {SHARES} SELECT field, day, scene, clouds, {', '.join(f'round({c}, 6) AS {c}' for c in ('valid', *CAUSES))} FROM sh")
+def scene_shares(fx: Fx) -> DataFrame:
+    return rounded(_shares(fx))
+
+
+@query(f"WITH {SHARES} SELECT CAST(floor(min(CASE WHEN day >= 0 AND day < 24 AND valid > 0 THEN day END) / 7.0) * 7 AS BIGINT) AS start, CAST(count_if(NOT (day >= 0 AND day < 24)) AS BIGINT) AS outside, count(*) AS n FROM sh")
 def scene_grid_start(fx: Fx) -> DataFrame:
-    return W.grid_start(fx.scenes, 7, 0.05)
+    return W.grid_start(_shares(fx), 7, 24)
 
 
 @query("SELECT field, count(*) AS n, round(avg(clear_share), 6) AS clear_share FROM fx_scenes WHERE day >= 3 AND day < 25 AND clear_share >= 0.05 GROUP BY field")
@@ -37,38 +50,43 @@ def clear_scenes(fx: Fx) -> DataFrame:
     return rounded(W.clear_scenes(fx.scenes, 3, 25, 0.05).groupBy("field").agg(F.count("*").alias("n"), F.avg("clear_share").alias("clear_share")))
 
 
-CLASSES = ["no scene", "good", "weak", "weak, better exists", "lost by the rule", "unusable"]
-WINDOWS = """r AS (SELECT *, CAST(floor((day - 0) / 2.0) AS BIGINT) AS k FROM fx_scenes), per AS (SELECT field, k, count(*) AS n_scenes, max(clear_share) AS best FROM r GROUP BY field, k),
-    ch AS (SELECT field, k, clear_share AS chosen FROM (SELECT *, row_number() OVER (PARTITION BY field, k ORDER BY clouds, day DESC, scene DESC) AS q FROM r) WHERE q = 1),
-    ca AS (SELECT field, k, kind FROM (SELECT *, row_number() OVER (PARTITION BY field, k ORDER BY clouds DESC, scene DESC) AS q FROM r) WHERE q = 1),
-    g AS (SELECT field, CAST(k AS BIGINT) AS k FROM (SELECT DISTINCT field FROM fx_scenes), (SELECT unnest(range(0, 17)) AS k)),
-    j AS (SELECT g.field, g.k, coalesce(n_scenes, 0) AS n_scenes, chosen, best, kind FROM g LEFT JOIN per ON g.field = per.field AND g.k = per.k LEFT JOIN ch ON g.field = ch.field AND g.k = ch.k LEFT JOIN ca ON g.field = ca.field AND g.k = ca.k),
-    c AS (SELECT *, CASE WHEN n_scenes = 0 THEN 'no scene' WHEN chosen >= 0.5 THEN 'good' WHEN chosen >= 0.05 AND best >= 0.5 THEN 'weak, better exists' WHEN chosen >= 0.05 THEN 'weak' WHEN best >= 0.05 THEN 'lost by the rule' ELSE 'unusable' END AS class FROM j),
-    win AS (SELECT field, k, n_scenes, chosen, best, class, CASE WHEN class IN ('weak', 'unusable', 'lost by the rule') THEN kind END AS cause FROM c)"""
+#: Windows of three days from day 1 on, as the rules state them.
+WINDOWS = f"""{SHARES}, se AS (SELECT *, coalesce(sow_day, 1) AS lo, coalesce(harvest_day, 28) AS hi FROM fx_grounds),
+    ws AS (SELECT sh.*, lo, hi, (day - 1) // 3 AS k FROM sh JOIN se ON sh.field = se.field WHERE day >= 1 AND day < 28),
+    wn AS (SELECT field, k, count(*) AS n_scenes, count_if(day >= lo AND day < hi) AS n_in_season, max(valid) AS best_valid FROM ws GROUP BY field, k),
+    wc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY field, k ORDER BY clouds, day DESC, scene DESC) AS r FROM ws) WHERE r = 1),
+    wg AS (SELECT se.*, CAST(k AS BIGINT) AS k, 1 + 3 * CAST(k AS BIGINT) AS a FROM se, (SELECT unnest(range(0, 9)) AS k)),
+    wl AS (SELECT field, k, arg_min(cause, p) AS cause FROM (SELECT *, max(s) OVER (PARTITION BY field, k) AS m FROM ({" UNION ALL ".join(f"SELECT field, k, '{c}' AS cause, {i} AS p, {c} AS s FROM wc" for i, c in enumerate(CAUSES))})) WHERE s = m AND s > 0 GROUP BY field, k),
+    win AS (SELECT wg.field, country, crop, jan1, wg.k, a AS start_day, a < wg.hi AND a + 3 > wg.lo AS in_season, coalesce(n_scenes, 0) AS n_scenes, coalesce(n_in_season, 0) AS n_in_season, wc.day AS chosen_day, wc.valid AS chosen_valid, best_valid, {", ".join(f"wc.{c} AS chosen_{c}" for c in CAUSES)},
+        CASE WHEN NOT (a < wg.hi AND a + 3 > wg.lo) THEN 'out_of_season' WHEN wc.day IS NULL THEN 'no_scene' WHEN best_valid < 0.05 THEN 'all_unusable' WHEN wc.valid < 0.05 AND best_valid >= 0.5 THEN 'rule_loss' WHEN wc.valid >= 0.5 THEN 'valid' ELSE 'partly_valid' END AS class, coalesce(cause, 'none') AS cause
+        FROM wg LEFT JOIN wn ON wg.field = wn.field AND wg.k = wn.k LEFT JOIN wc ON wg.field = wc.field AND wg.k = wc.k LEFT JOIN wl ON wg.field = wl.field AND wg.k = wl.k)"""
+OF_WINDOWS = ["field", "k", "start_day", "in_season", "n_scenes", "n_in_season", "chosen_day", "chosen_valid", "best_valid", *[f"chosen_{c}" for c in CAUSES], "class", "cause"]
 
 
 def _windows(fx: Fx) -> DataFrame:
-    return W.window_classes(fx.scenes, "field", 0, 2, 17)
+    return W.season_windows(_shares(fx), fx.grounds, "field", 1, 3, 9)
 
 
-@query(f"WITH {WINDOWS} SELECT field, k, n_scenes, round(chosen, 6) AS chosen, round(best, 6) AS best, class, cause FROM win")
+@query(f"WITH {WINDOWS} SELECT {', '.join(f'round({c}, 6) AS {c}' if c.startswith('chosen_') and c != 'chosen_day' or c == 'best_valid' else c for c in OF_WINDOWS)} FROM win")
 def window_classes(fx: Fx) -> DataFrame:
-    return rounded(_windows(fx).withColumn("n_scenes", F.col("n_scenes").cast("bigint")))
+    return rounded(_windows(fx).select(*OF_WINDOWS))
 
 
-SHARE = "round(avg(CASE WHEN {c} THEN 1.0 ELSE 0.0 END), 6)"
+def _share(c: str, name: str) -> str:
+    return f"round(avg(CASE WHEN {c} THEN 1.0 ELSE 0.0 END), 6) AS {name}"
 
 
-@query(f"WITH {WINDOWS} SELECT field % 5 AS grp, count(*) AS n, {SHARE.format(c='chosen >= 0.05')} AS usable, {SHARE.format(c='chosen >= 0.5')} AS valid, {SHARE.format(c='best >= 0.05')} AS best_usable, {SHARE.format(c='class = ' + chr(39) + 'lost by the rule' + chr(39))} AS rule_loss, round(avg(n_scenes), 6) AS scenes_per_window FROM win GROUP BY 1")
+@query(f"WITH {WINDOWS} SELECT country, crop, count(DISTINCT field) AS n_fields, count(*) AS n, round(avg(n_scenes), 6) AS scenes_per_window, {_share(chr(39).join(['class = ', 'no_scene', '']), 'no_scene')}, {_share('chosen_valid >= 0.05', 'usable')}, {_share('chosen_valid >= 0.5', 'valid')}, {_share('best_valid >= 0.05', 'best_usable')}, {_share('best_valid >= 0.5', 'best_valid')}, {_share(chr(39).join(['class = ', 'rule_loss', '']), 'rule_loss')} FROM win WHERE in_season GROUP BY country, crop")
 def availability_headline(fx: Fx) -> DataFrame:
-    return rounded(W.availability(_windows(fx).withColumn("grp", F.col("field") % 5), ["grp"]))
+    return rounded(W.availability(_windows(fx), ["country", "crop"], "field"))
 
 
-@query(f"""WITH {WINDOWS}, a AS (SELECT k % 4 AS month, count(*) AS n, {', '.join(f"round(avg(CASE WHEN class = '{c}' THEN 1.0 ELSE 0.0 END), 6) AS {c.replace(',', '').replace(' ', '_')}" for c in CLASSES)} FROM win GROUP BY 1),
-    t AS (SELECT k % 4 AS month, cause, count(*) AS c FROM win WHERE cause IS NOT NULL GROUP BY 1, 2), u AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY c DESC, cause) AS r, c / sum(c) OVER (PARTITION BY month) AS s FROM t)
-    SELECT a.*, u.cause, round(u.s, 6) AS cause_share FROM a LEFT JOIN u ON a.month = u.month AND u.r = 1""")
+@query(f"""WITH {WINDOWS}, wm AS (SELECT *, month(jan1 + CAST(start_day + 1 AS INTEGER)) AS month FROM win WHERE in_season), a AS (SELECT country, crop, month, count(*) AS n, {', '.join(_share(f"class = '{c}'", c) for c in W.CLASSES[1:])} FROM wm GROUP BY ALL),
+    t AS (SELECT country, crop, month, cause, count(*) AS c FROM wm WHERE chosen_valid < 0.05 GROUP BY ALL), u AS (SELECT *, row_number() OVER (PARTITION BY country, crop, month ORDER BY c DESC, cause) AS r, c / sum(c) OVER (PARTITION BY country, crop, month) AS s FROM t)
+    SELECT a.country, a.crop, CAST(a.month AS INTEGER) AS month, n, {', '.join(W.CLASSES[1:])}, u.cause, round(u.s, 6) AS cause_share FROM a LEFT JOIN u ON a.country = u.country AND a.crop = u.crop AND a.month = u.month AND u.r = 1""")
 def availability_monthly(fx: Fx) -> DataFrame:
-    return rounded(W.class_shares(_windows(fx).withColumn("month", F.col("k") % 4), "month", CLASSES))
+    w = _windows(fx).withColumn("month", F.month(F.date_add("jan1", (F.col("start_day") + 1).cast("int"))))
+    return rounded(W.class_shares(w, ["country", "crop", "month"]))
 
 
 @query("SELECT event_type, CAST(ts AS DATE) AS date, round(avg(value), 6) AS mean, round(max(value), 6) AS high, round(min(value), 6) AS low, round(sum(value), 6) AS total, count(*) AS n FROM events GROUP BY 1, 2")
@@ -90,7 +108,7 @@ def weather_windows(fx: Fx) -> DataFrame:
     return rounded(W.weather_windows(fx.daily, "field", 0, 5, 6, ["temp_mean"], ["prec"], ["temp_max"]))
 
 
-@query("SELECT field, day, round(CASE WHEN day >= field % 10 THEN sum(CASE WHEN day >= field % 10 AND day < field % 10 + 12 THEN prec ELSE 0 END) OVER (PARTITION BY field ORDER BY day ROWS UNBOUNDED PRECEDING) END, 6) AS prec_cum FROM fx_daily")
+@query("SELECT field, day, round(CASE WHEN day >= field % 10 THEN sum(CASE WHEN day >= field % 10 AND day <= field % 10 + 12 THEN prec ELSE 0 END) OVER (PARTITION BY field ORDER BY day ROWS UNBOUNDED PRECEDING) END, 6) AS prec_cum FROM fx_daily")
 def cumulative_since_sowing(fx: Fx) -> DataFrame:
     d = fx.daily.withColumn("sow", F.col("field") % 10).withColumn("end", F.col("field") % 10 + 12)
     return rounded(W.since_event(d, "field", "prec", "sow", "end").select("field", "day", "prec_cum"))
@@ -111,15 +129,34 @@ def climatology_anomaly(fx: Fx) -> DataFrame:
     return rounded(W.anomalies(c.where(F.year("date") > 1998), W.climatology(c, "cell", "date", "v", 1995, 1998), "cell", "date", "v").select("cell", "date", "anomaly"))
 
 
-@query("WITH c AS (SELECT field, day, sum(greatest(0, temp_mean - 10)) OVER (PARTITION BY field ORDER BY day ROWS UNBOUNDED PRECEDING) AS h FROM fx_daily) SELECT s.field, CAST(floor(h / 100) AS BIGINT) AS k, count(*) AS n, max(scene) AS last_scene FROM fx_scenes s JOIN c ON s.field = c.field AND s.day = c.day WHERE floor(h / 100) >= 0 AND floor(h / 100) < 9 GROUP BY 1, 2")
+#: Weather with gaps; heat above a base by crop; rules by half and crop without country C, barley of the north by its wheat.
+HEAT = """hd AS (SELECT d.field, day, greatest(temp_mean - CASE crop WHEN 'maize' THEN 10 ELSE 0 END, 0) AS heat FROM fx_daily d JOIN fx_grounds g ON d.field = g.field WHERE (d.field + day) % 3 > 0 AND day BETWEEN 2 AND 27),
+    hs AS (SELECT half, crop, CAST(greatest(2, floor((quantile_cont(sow_day, 0.05) + 35 - 30) / 10) * 10) AS BIGINT) AS start, count(*) AS n FROM fx_grounds WHERE country <> 'C' GROUP BY half, crop),
+    hh AS (SELECT g.field, g.half, g.crop, coalesce((SELECT sum(heat) FROM hd WHERE hd.field = g.field AND hd.day >= hs.start AND hd.day <= greatest(2, least(27, g.harvest_day))), 0) AS s FROM fx_grounds g JOIN hs ON g.half = hs.half AND g.crop = hs.crop WHERE country <> 'C' AND harvest_day IS NOT NULL),
+    hw AS (SELECT half, crop, round(quantile_cont(s, 0.95) / 7 + 1e-9, 1) AS width FROM hh GROUP BY half, crop),
+    hr AS (SELECT hs.half, hs.crop, start, width, n, CAST(NULL AS VARCHAR) AS stands_for FROM hs LEFT JOIN hw ON hs.half = hw.half AND hs.crop = hw.crop),
+    ru AS (SELECT * FROM hr UNION ALL SELECT 'north', 'barley', start, width, n, 'north|wheat' FROM hr WHERE half = 'north' AND crop = 'wheat' AND NOT EXISTS (SELECT 1 FROM hr WHERE half = 'north' AND crop = 'barley'))"""
+
+
+def _heat(fx: Fx) -> tuple[DataFrame, DataFrame]:
+    """Daily heat with gaps in the days, and the rules."""
+    g = fx.grounds.withColumn("sow_day", F.col("sow_day") + 35)
+    d = fx.daily.where("(field + day) % 3 > 0").join(g.select("field", "crop"), "field").withColumn("heat", growing_degrees("temp_mean", "crop", {"maize": 10.0}))
+    return d, W.heat_rules(g, d, "field", ["half", "crop"], "heat", F.col("country") != "C", 8, 2, 27, {("north", "barley"): ("north", "wheat")})
+
+
+@query(f"WITH {HEAT}, su AS (SELECT s.field, s.scene, s.day, s.clear_share, CAST(floor(coalesce((SELECT sum(heat) FROM hd WHERE hd.field = s.field AND hd.day >= ru.start AND hd.day <= s.day), 0) / width) AS BIGINT) AS k FROM fx_scenes s JOIN fx_grounds g ON s.field = g.field JOIN ru ON g.half = ru.half AND g.crop = ru.crop WHERE s.day >= ru.start) SELECT field, k, count(*) AS n, arg_max(scene, (clear_share, day, scene)) AS best_scene FROM su WHERE k < 8 GROUP BY field, k")
 def thermal_windows(fx: Fx) -> DataFrame:
-    d = fx.daily.withColumn("gdd", growing_degrees("temp_mean", F.lit("wheat"), {"wheat": 10.0}))
-    return W.thermal_windows(d, fx.scenes, "field", "gdd", 100, 9).groupBy("field", "k").agg(F.count("*").alias("n"), F.max("scene").alias("last_scene"))
+    """Scenes by windows of heat, and the clearest one of each; a third of the days have no weather."""
+    d, rules = _heat(fx)
+    own = fx.grounds.select("field", "half", "crop").join(rules, ["half", "crop"]).select("field", "start", "width")
+    w = W.thermal_windows(fx.scenes, d, own, "field", "heat", 8, 2, 27)
+    return w.groupBy("field", "k").agg(F.count("*").alias("n"), F.max_by("scene", F.struct("clear_share", "day", "scene")).alias("best_scene"))
 
 
-@query("WITH h AS (SELECT field, sum(z) AS heat FROM fx_pixels GROUP BY field), a AS (SELECT crop, CAST(floor((quantile_cont(sow_day, 0.05) - 30) / 10) * 10 AS BIGINT) AS start, count(*) AS n FROM fx_season GROUP BY crop), b AS (SELECT crop, quantile_cont(heat, 0.95) / 16 AS width FROM fx_season JOIN h USING (field) GROUP BY crop) SELECT crop, start, n, round(width, 6) AS width FROM a JOIN b USING (crop)")
+@query(f"WITH {HEAT} SELECT half, crop, start, width, n, stands_for FROM ru")
 def heat_rule(fx: Fx) -> DataFrame:
-    return rounded(W.heat_rule(fx.season, fx.pixels.groupBy("field").agg(F.sum("z").alias("heat")), ["crop"], 17))
+    return _heat(fx)[1]
 
 
 EVENT = "SELECT DISTINCT vec_id, CAST(200 + vec_id % 97 AS BIGINT) AS event_day FROM fx_series"

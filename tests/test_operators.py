@@ -447,3 +447,51 @@ def test_weather_goes_by_each_header(spark, tmp_path):
     assert got == sorted([("2020-01-01", 10.5, 70.0, None, None), ("2020-01-02", None, 71.0, None, None), ("2020-01-01", 10.5, 70.0, None, None), ("2020-01-03", 280.0, None, 0.001, None), ("2020-01-04", None, None, None, None)], key=repr)
     with pytest.raises(ValueError, match="lacks a column"):
         IO.read_weather(spark, f"file://{tmp_path}", "Date string, Temp_max double", {})
+
+
+def test_classes_of_windows(spark):
+    """One window for each class, by hand: cells of scenes as (field, day, scene, [codes inside], [codes outside])."""
+    scenes = [
+        ("f", 0, 1, [4, 5, 8, 8], [4]), ("f", 1, 2, [4, 4, 4, 10], [8, 8, 8]),  # the first has fewer cloud cells: half of it is clear
+        ("f", 2, 3, [0, 0, 11, 11], [4]), ("f", 3, 4, [4, 4, 4, 9], [8, 8]),  # chosen without clouds and without a clear cell
+        ("f", 4, 5, [2, 7, 3, 8], [4]), ("f", 5, 6, [6, 6, 8, 8], [4]),  # neither has a clear cell; the first has fewer clouds
+        ("f", 6, 7, [4, 8, 8, 8], [4]),
+        ("f", 12, 8, [4, 4, 4, 4], [4]), ("f", 40, 9, [4] * 4, [4]), ("f", -1, 10, [4] * 4, [4]),
+    ]
+    cells = spark.createDataFrame([(f, d, s, c, i < len(a)) for f, d, s, a, b in scenes for i, c in enumerate(a + b)], "field string, day long, scene long, code int, inside boolean")
+    shares = W.scene_shares(cells, ["field", "day", "scene"], "code", F.col("inside"))
+    seasons = spark.createDataFrame([("f", 0, 11), ("g", None, None)], "field string, sow_day long, harvest_day long")
+    got = {(r.field, r.k): r for r in W.season_windows(shares, seasons, "field", 0, 2, 8).collect()}
+    assert len(got) == 16 and [got["f", k]["class"] for k in range(8)] == ["valid", "rule_loss", "all_unusable", "partly_valid", "no_scene", "no_scene", "out_of_season", "out_of_season"]
+    assert [got["f", k].cause for k in range(4)] == ["cloud", "snow", "dark", "cloud"] and got["f", 4].cause == "none"
+    assert got["f", 0].chosen_day == 0 and got["f", 0].chosen_valid == 0.5 and got["f", 0].best_valid == 0.75 and got["f", 6].n_scenes == 1 and got["f", 6].n_in_season == 0
+    assert {got["g", k]["class"] for k in range(8)} == {"no_scene"}
+    a = {r.field: r for r in W.availability(spark.createDataFrame(list(got.values())), ["field"], "field").collect()}
+    assert a["f"].n == 6 and math.isclose(a["f"].rule_loss, 1 / 6) and math.isclose(a["f"].usable, 2 / 6) and math.isclose(a["f"].best_usable, 3 / 6)
+    c = W.class_shares(spark.createDataFrame(list(got.values())), ["field"]).where("field = 'f'").first()
+    assert (c.cause, c.cause_share) == ("dark", 0.5)
+    start = W.grid_start(shares, 5, 20).first()
+    assert (start.start, start.outside, start.n) == (0, 2, 10)
+
+
+def test_heat_on_days_without_weather(spark):
+    days = spark.createDataFrame([("f", d, 10.0) for d in (0, 1, 2, 5, 9)] + [("g", 3, 4.0)], "field string, day long, heat double")
+    scenes = spark.createDataFrame([("f", d, f"s{d}") for d in (0, 1, 3, 4, 5, 8, 20)] + [("g", 2, "x"), ("h", 4, "y")], "field string, day long, scene string")
+    rules = spark.createDataFrame([("f", 1, 15.0), ("g", 0, 100.0), ("h", 0, 5.0)], "field string, start long, width double")
+    got = {(r.field, r.day): (r.k, r.scene) for r in W.thermal_windows(scenes, days, rules, "field", "heat", 3, 0, 9).collect()}
+    # Heat up to the day from day 1 on: 10, 20, 20, 30, 30, 40.
+    assert got == {("f", 1): (0, "s1"), ("f", 3): (1, "s3"), ("f", 4): (1, "s4"), ("f", 5): (2, "s5"), ("f", 8): (2, "s8"), ("f", 20): (2, "s20"), ("g", 2): (0, "x"), ("h", 4): (0, "y")}
+
+
+def test_heat_rules_by_group(spark):
+    fields = [(f"n{k}", "n", "w", "A", 60 + k, 5 + k) for k in range(11)] + [("s0", "s", "w", "A", 40, None), ("x", "n", "b", "C", 50, 8)]
+    df = spark.createDataFrame(fields, "field string, half string, crop string, country string, sow_day long, harvest_day long")
+    days = df.select("field", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("day"), F.lit(2.0).alias("heat")).where("day <> 3")
+    got = {(r.half, r.crop): r for r in W.heat_rules(df, days, "field", ["half", "crop"], "heat", F.col("country") != "C", 5, 0, 9, {("n", "b"): ("n", "w"), ("s", "w"): ("n", "w")}).collect()}
+    assert set(got) == {("n", "w"), ("s", "w"), ("n", "b")}
+    n = got["n", "w"]
+    assert (n.start, n.n) == (30, 11) and n.width == 0.0  # heat counts from day 30, behind the days there are
+    assert got["s", "w"].n == 1 and got["s", "w"].width is None and got["n", "b"].stands_for == "n|w"
+    early = W.heat_rules(df.withColumn("sow_day", F.lit(30)), days, "field", ["half"], "heat", F.col("country") != "C", 5, 0, 9).where("half = 'n'").first()
+    sums = [2.0 * (len([d for d in range(10) if d <= min(5 + k, 9) and d != 3])) for k in range(11)]
+    assert early.start == 0 and early.width == round(float(np.percentile(sums, 95)) / 4, 1)
