@@ -2,8 +2,8 @@
 
 Prediction tables have one row a pixel with `target` and `pred`; fields are groups of pixels. Sums of squares about the
 mean are variances times counts, which Spark sums centrally and in parts, so they keep their digits and no row meets
-its group's mean; tables of sufficient sums (`field_sums`) allow any subset of
-fields to be scored again without touching pixels.
+its group's mean; tables of moments by field (`field_moments`) merge to any subset of fields, which is scored without touching
+pixels.
 """
 
 from __future__ import annotations
@@ -31,17 +31,48 @@ def r2(target: str = "target", pred: str = "pred") -> Column:
     return 1 - ratio(F.sum(F.pow(F.col(target) - F.col(pred), 2)), F.var_pop(target) * F.count(target))
 
 
+def field_moments(preds: DataFrame, field: str, carry: list[str], target: str = "target", pred: str = "pred") -> DataFrame:
+    """Of each field: n, means (my, mp), squares and products about them (m2y, m2p, cyp), and the squared error (sse). Pixels
+    without a target or a prediction do not count."""
+    y, p = F.col(target), F.col(pred)
+    n = F.count("*")
+    own = preds.where(y.isNotNull() & p.isNotNull()).groupBy(field, *carry)
+    return own.agg(n.alias("n"), F.avg(y).alias("my"), F.avg(p).alias("mp"), (F.var_pop(y) * n).alias("m2y"), (F.var_pop(p) * n).alias("m2p"), (F.covar_pop(y, p) * n).alias("cyp"), F.sum(F.pow(y - p, 2)).alias("sse"))
+
+
+def merged_moments(parts: DataFrame, by: list[str], extra: dict[str, Column] = {}) -> DataFrame:  # noqa: B006
+    """The moments of the union of the parts of each group, for parts of any kind: fields, files, folds or merged ones.
+
+    Squares about a part's mean move to the group's mean by n times the squared distance of the two, so nothing is
+    subtracted that is much larger than what is left, however far the values are from zero. Only parts meet their group's
+    mean, never rows. `extra` are further aggregates over the parts.
+    """
+    n = F.sum("n")
+    mean = lambda c: (F.sum(F.col("n") * F.col(c)) / n).alias(f"_{c}")
+    whole = parts.groupBy(*by).agg(mean("my"), mean("mp"))
+    keyed = whole.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], "_my", "_mp")
+    same = reduce(lambda x, z: x & z, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)], F.lit(True))
+    d = parts.join(keyed, same) if by else parts.crossJoin(keyed)  # one row
+    dy, dp = F.col("my") - F.col("_my"), F.col("mp") - F.col("_mp")
+    return d.groupBy(*by).agg(n.alias("n"), F.max("_my").alias("my"), F.max("_mp").alias("mp"), F.sum(F.col("m2y") + F.col("n") * dy * dy).alias("m2y"), F.sum(F.col("m2p") + F.col("n") * dp * dp).alias("m2p"), F.sum(F.col("cyp") + F.col("n") * dy * dp).alias("cyp"), F.sum("sse").alias("sse"), *[c.alias(name) for name, c in extra.items()])
+
+
+def scores_from_moments(moments: DataFrame, by: list[str]) -> DataFrame:
+    """Pixel and field scores of any set of fields from their moments, without the pixels."""
+    field = {"field_r2": r2("my", "mp"), "field_rmse": F.sqrt(F.avg(F.pow(F.col("my") - F.col("mp"), 2))), "n_fields": F.count("*")}
+    m = merged_moments(moments, by, field)
+    return m.select(*by, (1 - ratio("sse", "m2y")).alias("pixel_r2"), F.sqrt(ratio("sse", "n")).alias("pixel_rmse"), "field_r2", "field_rmse", "n_fields", F.col("n").alias("n_pixels"))
+
+
 def group_metrics(preds: DataFrame, field: str, groups: list[str]) -> DataFrame:
-    """Field and pixel scores over all rows and for each combination of `groups`."""
-    out = []
-    for prefix, df, n in (("field_", field_level(preds, [field, *groups]), "n_fields"), ("pixel_", preds, "n_pixels")):
-        kinds = dict(df.dtypes)
-        every = scores(df, [], prefix=prefix).select(F.lit(0).alias("level"), *[F.lit(None).cast(kinds[c]).alias(c) for c in groups], "*")
-        own = scores(df, groups, prefix=prefix).select(F.lit(1).alias("level"), "*")
-        out.append(every.unionByName(own).withColumnRenamed(f"{prefix}n", n))
-    a, b = out
-    same = reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in ["level", *groups]])
-    return a.join(b, same).select(a["level"], *[a[c] for c in groups], "field_r2", "field_rmse", "pixel_r2", "pixel_rmse", "n_fields", "n_pixels")
+    """Field and pixel scores over all rows (level 0) and for each combination of `groups` (level 1): one scan of the pixels
+    to moments by field, which then count for both levels."""
+    moments = field_moments(preds, field, groups)
+    kept = [c for c in moments.columns if c not in groups]
+    both = moments.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("level"), *groups, *kept)
+    both = both.select("level", *[F.when(F.col("level") == 1, F.col(c)).alias(c) for c in groups], *kept)
+    s = scores_from_moments(both, ["level", *groups])
+    return s.select("level", *groups, "field_r2", "field_rmse", "pixel_r2", "pixel_rmse", "n_fields", "n_pixels")
 
 
 def members_long(preds: DataFrame, members: list[str], keep: list[str], first: int | None = None) -> DataFrame:
@@ -68,24 +99,6 @@ def ensemble(members: list[str]) -> tuple[Column, Column]:
     return mean, F.sqrt(var)
 
 
-def field_sums(preds: DataFrame, field: str, carry: list[str]) -> DataFrame:
-    """Sufficient sums of each field: n, sums of target and prediction, of target squared, and the squared error."""
-    y, p = F.col("target"), F.col("pred")
-    return preds.groupBy(field, *carry).agg(F.count("*").alias("n"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy"), F.sum(p).alias("sp"), F.sum(F.pow(y - p, 2)).alias("sse"))
-
-
-def scores_from_sums(sums: DataFrame, by: list[str]) -> DataFrame:
-    """Pixel and field scores of any set of fields from their sums."""
-    w = Window.partitionBy(*by)
-    f = sums.withColumn("ty", F.col("sy") / F.col("n")).withColumn("tp", F.col("sp") / F.col("n")).withColumn("_m", F.avg(F.col("sy") / F.col("n")).over(w))
-    sst = F.sum("syy") - F.pow(F.sum("sy"), 2) / F.sum("n")
-    return f.groupBy(*by).agg(
-        (1 - ratio(F.sum("sse"), sst)).alias("pixel_r2"), F.sqrt(F.sum("sse") / F.sum("n")).alias("pixel_rmse"),
-        (1 - ratio(F.sum(F.pow(F.col("ty") - F.col("tp"), 2)), F.sum(F.pow(F.col("ty") - F.col("_m"), 2)))).alias("field_r2"),
-        F.sqrt(F.avg(F.pow(F.col("ty") - F.col("tp"), 2))).alias("field_rmse"), F.count("*").alias("n_fields"), F.sum("n").alias("n_pixels"),
-    )
-
-
 def min_count(df: DataFrame, by: list[str], least: int) -> DataFrame:
     """Rows of groups that have at least `least` rows."""
     return df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by))).where(F.col("_n") >= least).drop("_n")

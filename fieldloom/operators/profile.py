@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from fieldloom.functions.numeric import corr, quantile_bin, ratio
+from fieldloom.functions.numeric import corr, ratio
+from fieldloom.operators.quantiles import average_ranks, group_quantiles
+from fieldloom.operators.tables import numbered
 
 
 def long(df: DataFrame, keep: list[str], features: list[str]) -> DataFrame:
@@ -65,12 +67,25 @@ def dataset_table(fields: DataFrame, group: list[str]) -> DataFrame:
 
 def coverage(df: DataFrame, by: list[str], features: list[str]) -> DataFrame:
     """Share of present values and median of each feature by group."""
-    return long(df, by, features).groupBy("feature", *by).agg((F.count("value") / F.count("*")).alias("present"), F.median("value").alias("median"))
+    d = long(df, by, features)
+    present = d.groupBy("feature", *by).agg((F.count("value") / F.count("*")).alias("present"))
+    return _beside(present, group_quantiles(d, ["feature", *by], "value", [0.5], ["median"]), ["feature", *by]).select("feature", *by, "present", "median")
+
+
+def _beside(a: DataFrame, q: DataFrame, by: list[str], columns: list[str] | None = None) -> DataFrame:
+    """The quantiles beside a table of the same groups."""
+    names = columns or [c for c in q.columns if c not in (*by, "n")]
+    q = q.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], *names)
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return a.join(q, same).select(*a.columns, *names)
 
 
 def quantiles(df: DataFrame, by: list[str], value: str, at: list[float]) -> DataFrame:
-    q = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.percentile(value, F.array(*[F.lit(a) for a in at])).alias("_q"))
-    return q.select(*by, "n", "mean", "sd", *[F.col("_q")[k].alias(f"q{round(a * 100):02d}") for k, a in enumerate(at)])
+    """Count, mean, sample deviation and exact quantiles by group."""
+    s = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    return _beside(s, group_quantiles(df, by, value, at), by)
 
 
 def described(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -86,7 +101,7 @@ def variance_share(df: DataFrame, field: str, value: str, by: list[str]) -> Data
 
 def histogram(df: DataFrame, by: list[str], value: str, bins: int, clip: tuple[float, float]) -> DataFrame:
     """Counts and density of equal bins between two percentiles of all values (broadcast: one row)."""
-    edges = df.agg(F.percentile(value, clip[0]).alias("_lo"), F.percentile(value, clip[1]).alias("_hi"))
+    edges = group_quantiles(df, [], value, list(clip), ["_lo", "_hi"]).drop("n")
     d = df.crossJoin(F.broadcast(edges)).where((F.col(value) >= F.col("_lo")) & (F.col(value) <= F.col("_hi")))
     width = (F.col("_hi") - F.col("_lo")) / bins
     d = d.withColumn("bin", F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("_lo")) / width)).cast("int")).withColumn("_w", width)
@@ -95,13 +110,12 @@ def histogram(df: DataFrame, by: list[str], value: str, bins: int, clip: tuple[f
     return c.select(*by, "bin", "n", (F.col("n") / (F.sum("n").over(w) * F.col("_w"))).alias("density"))
 
 
-def feature_shift(df: DataFrame, group: str, features: list[str]) -> DataFrame:
-    """Median and interquartile range by group, and the median's distance to that of all in interquartile ranges."""
-    d = long(df, [group], features)
-    q = lambda x: F.percentile("value", x)
-    ref = d.groupBy("feature").agg(q(0.5).alias("_m"), (q(0.75) - q(0.25)).alias("_r"))
-    own = d.groupBy("feature", group).agg(q(0.5).alias("median"), (q(0.75) - q(0.25)).alias("iqr"))
-    return own.join(ref, "feature").select("feature", group, "median", "iqr", ratio(F.col("median") - F.col("_m"), "_r").alias("shift"))
+def feature_shift(df: DataFrame, group: str, features: list[str], reference: object) -> DataFrame:
+    """Median and interquartile range by group, and the median's distance to that of the reference group in its
+    interquartile ranges."""
+    q = group_quantiles(long(df, [group], features), ["feature", group], "value", [0.25, 0.5, 0.75]).select("feature", group, F.col("q50").alias("median"), (F.col("q75") - F.col("q25")).alias("iqr")).checkpoint()
+    ref = q.where(F.col(group) == F.lit(reference)).select("feature", F.col("median").alias("_m"), F.col("iqr").alias("_r"))
+    return q.join(ref, "feature", "left").select("feature", group, "median", "iqr", ratio(F.col("median") - F.col("_m"), "_r").alias("shift"))
 
 
 def valid_per_step(steps: DataFrame, by: list[str], step: str, value: str) -> DataFrame:
@@ -194,15 +208,17 @@ def largest_difference(a: DataFrame, b: DataFrame, keys: list[str], value: str,
 
 def quintile_errors(fields: DataFrame, group: str, measure: str, error: str, n: int = 5) -> DataFrame:
     """Median error by quantile of a measure inside each group (ties by field)."""
-    d = fields.withColumn("bin", quantile_bin(F.struct(F.round(measure, 9), F.col("field")), n, group))
-    return d.groupBy(group, "bin").agg(F.count("*").alias("n"), F.median(error).alias("error"))
+    d = fields.select(group, F.round(measure, 9).alias("_v"), "field", error)
+    ranked = numbered(d, [group, "_v", "field"], "_at")
+    per = ranked.groupBy(group).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    bin = F.when(F.col("_n") == 1, 0).otherwise(F.greatest(F.lit(0), F.ceil((F.col("_at") - F.col("_first")) * n / (F.col("_n") - 1)) - 1)).cast("int")
+    d = _beside(ranked, per, [group], ["_first", "_n"]).withColumn("bin", bin)
+    return group_quantiles(d, [group, "bin"], error, [0.5], ["error"])
 
 
 def bins_by_rank(df: DataFrame, key: str, measures: list[str], n: int = 5, least: int = 5) -> DataFrame:
     """(measure, value, bin, key): bins 0..n-1 by each measure's rank (ties by key), for measures with at least `least`
     different values. All measures are ranked at once, over ranges of (measure, value), so no task ranks a measure."""
-    from fieldloom.operators.tables import numbered
-
     d = long(df, [key], measures).where("value is not null").select("feature", F.round("value", 9).alias("value"), key)
     ranked = numbered(d, ["feature", "value", key], "_at")
     per = ranked.groupBy("feature").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"), F.count_distinct("value").alias("_k")).where(F.col("_k") >= least)
@@ -213,21 +229,18 @@ def bins_by_rank(df: DataFrame, key: str, measures: list[str], n: int = 5, least
 
 def spearman(df: DataFrame, group: str, x: str, y: str, least: int = 10, distinct: int = 3) -> DataFrame:
     """Rank correlation with average ranks; NULL for small groups or too few different values."""
-    def rank(c: str) -> Column:
-        w = Window.partitionBy(group)
-        return F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(group, c)) - 1) / 2.0
-
     # Values that tie may differ in the last digits by the order of summing, so they are ranked to nine digits.
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(group, F.round(x, 9).alias("_a"), F.round(y, 9).alias("_b"))
-    d = d.withColumn("_x", rank("_a")).withColumn("_y", rank("_b"))
+    d = average_ranks(average_ranks(d, [group], "_a", "_x"), [group], "_b", "_y")
     ok = (F.count("*") >= least) & (F.count_distinct("_a") >= distinct)
     return d.groupBy(group).agg(F.count("*").alias("n"), F.when(ok, corr("_x", "_y")).alias("rho"))
 
 
 def band_summary(df: DataFrame, by: list[str], features: list[str]) -> DataFrame:
     """Missing values and the 1 %, 50 % and 99 % points of each feature."""
-    d = long(df, by, features).groupBy(*by, "feature").agg(F.count_if(F.col("value").isNull()).alias("missing"), F.percentile("value", F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99))).alias("_q"))
-    return d.select(*by, "feature", "missing", *[F.col("_q")[k].alias(n) for k, n in enumerate(("p01", "p50", "p99"))])
+    d = long(df, by, features)
+    m = d.groupBy(*by, "feature").agg(F.count_if(F.col("value").isNull()).alias("missing"))
+    return _beside(m, group_quantiles(d, [*by, "feature"], "value", [0.01, 0.5, 0.99], ["p01", "p50", "p99"]), [*by, "feature"])
 
 
 def catalogue(names: DataFrame, group: str, name: str) -> DataFrame:
@@ -242,5 +255,4 @@ def best_step(steps: DataFrame, field: str, step: str, value: str, least: float)
 
 def step_band(steps: DataFrame, field: str, step: str, value: str) -> DataFrame:
     """10, 50 and 90 % points by step."""
-    q = steps.groupBy(field, step).agg(F.percentile(value, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("q"))
-    return q.select(field, step, *[F.col("q")[k].alias(n) for k, n in enumerate(("p10", "p50", "p90"))])
+    return group_quantiles(steps, [field, step], value, [0.1, 0.5, 0.9], ["p10", "p50", "p90"]).drop("n")

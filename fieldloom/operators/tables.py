@@ -22,6 +22,25 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return parts.withColumn("_r", own).join(F.broadcast(before), "_p").withColumn(name, F.col("_b") + F.col("_r") - 1).drop("_p", "_r", "_b")
 
 
+def running_sums(df: DataFrame, by: list[str], order: list[str], amount: str, name: str) -> DataFrame:
+    """Adds the sum of `amount` over the rows before, in a full order of each group's rows.
+
+    Rows are ranged by group and order into partitions; each sums its own part of a group and adds the parts before, so no
+    task sees a whole group. The sums of parts are a row a partition and group.
+    """
+    checkpoint_dir(df.sparkSession)
+    parts = df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = parts.groupBy(*by, "_part").agg(F.sum(amount).alias("_part_sum")).withColumn("_part_before", F.coalesce(F.sum("_part_sum").over(before), F.lit(0)))
+    keyed = sums.select(F.col("_part").alias("_part_of"), *[F.col(c).alias(f"_part_key{i}") for i, c in enumerate(by)], "_part_before")
+    own = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = parts.withColumn("_own_before", F.coalesce(F.sum(amount).over(own), F.lit(0)))
+    same = F.col("_part") == F.col("_part_of")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_part_key{i}"))
+    return summed.join(keyed, same).select(*df.columns, (F.col("_part_before") + F.col("_own_before")).alias(name))
+
+
 def integer_codes(df: DataFrame, key: str, code: str = "code") -> DataFrame:
     """(key, code): consecutive numbers of the distinct keys in key order."""
     return numbered(df.select(key).where(F.col(key).isNotNull()).distinct(), [key], code)

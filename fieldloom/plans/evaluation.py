@@ -56,7 +56,7 @@ def member_metrics(fx: Fx) -> DataFrame:
     b AS (SELECT crop, {r2()} AS field_r2, sqrt(avg(power(target - pred, 2))) AS field_rmse, count(*) AS n_fields FROM (SELECT *, avg(target) OVER (PARTITION BY crop) AS m FROM fl) GROUP BY crop)
     SELECT crop, round(pixel_r2, 6) AS pixel_r2, round(pixel_rmse, 6) AS pixel_rmse, round(field_r2, 6) AS field_r2, round(field_rmse, 6) AS field_rmse, n_fields, n_pixels FROM a JOIN b USING (crop)""")
 def metrics_from_sums(fx: Fx) -> DataFrame:
-    return rounded(M.scores_from_sums(M.field_sums(fx.preds, "field", ["country", "crop"]), ["crop"]))
+    return rounded(M.scores_from_moments(M.field_moments(fx.preds, "field", ["country", "crop"]), ["crop"]))
 
 
 @query("SELECT field, count(*) AS n, round(avg((pred_m0 + pred_m1) / 2), 6) AS mean, round(avg(pred_std), 6) AS sd FROM fx_preds GROUP BY field")

@@ -57,9 +57,9 @@ def histogram(fx: Fx) -> DataFrame:
     return rounded(P.histogram(fx.docs, ["lang"], "n_chars", 20, (0.005, 0.995)))
 
 
-@query("WITH l AS (SELECT label, 'value' AS feature, value AS v FROM fx_series UNION ALL SELECT label, 'square', value * value FROM fx_series), r AS (SELECT feature, quantile_cont(v, 0.5) AS m, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS r FROM l GROUP BY feature), o AS (SELECT feature, label, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr FROM l GROUP BY feature, label) SELECT feature, label, round(median, 6) AS median, round(iqr, 6) AS iqr, round((median - m) / nullif(r, 0), 6) AS shift FROM o JOIN r USING (feature)")
+@query("WITH l AS (SELECT label, 'value' AS feature, value AS v FROM fx_series UNION ALL SELECT label, 'square', value * value FROM fx_series), o AS (SELECT feature, label, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr FROM l GROUP BY feature, label) SELECT o.feature, o.label, round(o.median, 6) AS median, round(o.iqr, 6) AS iqr, round((o.median - r.median) / nullif(r.iqr, 0), 6) AS shift FROM o LEFT JOIN o r ON o.feature = r.feature AND r.label = (SELECT min(label) FROM fx_series)")
 def feature_shift(fx: Fx) -> DataFrame:
-    return rounded(P.feature_shift(fx.series.withColumn("square", F.col("value") * F.col("value")), "label", ["value", "square"]))
+    return rounded(P.feature_shift(fx.series.withColumn("square", F.col("value") * F.col("value")), "label", ["value", "square"], fx.series.agg(F.min("label")).first()[0]))
 
 
 HALF = "CASE WHEN value > 0 THEN value END"

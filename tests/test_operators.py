@@ -495,3 +495,58 @@ def test_heat_rules_by_group(spark):
     early = W.heat_rules(df.withColumn("sow_day", F.lit(30)), days, "field", ["half"], "heat", F.col("country") != "C", 5, 0, 9).where("half = 'n'").first()
     sums = [2.0 * (len([d for d in range(10) if d <= min(5 + k, 9) and d != 3])) for k in range(11)]
     assert early.start == 0 and early.width == round(float(np.percentile(sums, 95)) / 4, 1)
+
+
+def test_quantiles_of_ranges(spark, monkeypatch):
+    from fieldloom.operators import quantiles as Q
+
+    monkeypatch.setattr(Q, "FEW", 30)
+    monkeypatch.setattr(Q, "BINS", 16)
+    rng = np.random.default_rng(4)
+    values = {"wide": [*rng.normal(size=300) * 10.0 ** rng.integers(-2, 3, 300)], "ties": [1.0] * 200 + [2.0] * 90 + [1.5], "one": [3.0], "far": [1e8 + x for x in rng.normal(size=200)], None: [*rng.random(60)], "ends": [-1.7e308, 1.7e308, 0.0] * 20}
+    data = [(g, float(v)) for g, vs in values.items() for v in vs] + [("ties", None), ("ties", float("nan")), ("none", None)]
+    df = spark.createDataFrame(data, "g string, v double")
+    at = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+    got = {r.g: r for r in Q.group_quantiles(df, ["g"], "v", at).collect()}
+    for g, vs in values.items():
+        own = np.sort(vs)
+        w = [(len(own) - 1) * a for a in at]
+        want = [own[math.floor(x)] if own[math.floor(x)] == own[math.ceil(x)] else own[math.floor(x)] + (own[math.ceil(x)] - own[math.floor(x)]) * (x - math.floor(x)) for x in w]
+        assert got[g].n == len(vs) and all(math.isclose(a, b, rel_tol=1e-12) for a, b in zip(got[g][2:], want, strict=True))
+    assert got["none"].n == 0 and got["none"].q50 is None and len(got) == len(values) + 1
+    whole = Q.group_quantiles(df.where("g = 'far'"), [], "v", [0.5]).first()
+    assert math.isclose(whole.q50, float(np.median(values["far"])), rel_tol=1e-14)
+    assert Q.group_quantiles(df.where("false"), ["g"], "v", at).count() == 0
+
+
+def test_average_ranks(spark):
+    from fieldloom.operators import quantiles as Q
+
+    data = [("a", x) for x in (3.0, 1.0, 1.0, 2.0, 3.0, 3.0, None)] + [(None, 5.0), (None, 4.0)]
+    got = rows(Q.average_ranks(spark.createDataFrame(data, "g string, v double"), ["g"], "v", "r"))
+    assert got == sorted([("a", 3.0, 5.0)] * 3 + [("a", 1.0, 1.5)] * 2 + [("a", 2.0, 3.0), ("a", None, None), (None, 5.0, 2.0), (None, 4.0, 1.0)], key=repr)
+
+
+def test_no_window_or_list_holds_a_group(spark, sf):
+    """Quantiles and ranks by group: windows run inside parts of a group, lists are of few values."""
+    from fieldloom.plans import registry
+
+    for name in ("error_quintiles", "spearman_by_group", "feature_shift", "coverage_by_group"):
+        plan = registry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "percentile(" not in plan and "median(" not in plan
+
+
+def test_moments_far_from_zero(spark):
+    rng = np.random.default_rng(12)
+    y = 1e8 + rng.normal(size=900)
+    p = y + 0.5 * rng.normal(size=900)
+    df = spark.createDataFrame([(f"f{k % 30}", "ab"[k % 30 // 20], float(a), float(b)) for k, (a, b) in enumerate(zip(y, p, strict=True))], "field string, g string, target double, pred double")
+    m = M.field_moments(df.unionByName(df.limit(1).withColumn("pred", F.lit(None).cast("double"))), "field", ["g"])
+    for by, rows_ in (([], np.ones(900, bool)), (["g"], np.arange(900) % 30 < 20)):
+        s = M.scores_from_moments(m, by).where("g = 'a'" if by else "true").first()
+        t, q = y[rows_], p[rows_]
+        assert math.isclose(1 - s.pixel_r2, ((t - q) ** 2).sum() / ((t - t.mean()) ** 2).sum(), rel_tol=1e-9) and s.n_pixels == len(t)
+    whole, parts = M.merged_moments(m, []).first(), M.merged_moments(M.merged_moments(m, ["g"]), []).first()
+    assert all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(whole, parts, strict=True))
+    assert math.isclose(whole.cyp, ((y - y.mean()) * (p - p.mean())).sum(), rel_tol=1e-8)
+    assert M.scores_from_moments(m.where("false"), ["g"]).count() == 0
