@@ -217,11 +217,12 @@ def line_baseline(train: DataFrame, test: DataFrame, x: str, y: str, fine: list[
 
 
 def year_structure(fields: DataFrame, group: list[str], year: str, value: str) -> DataFrame:
-    """Share of variance between years (weighted by fields), range of year means, deviation within years."""
+    """Share of variance between years (weighted by fields; NULL for a lone year), range of year means, and deviation within
+    years: the mean of their sample variances by fields, a year of one field counting as 0."""
     w = Window.partitionBy(*group)
     d = fields.withColumn("_all", F.avg(value).over(w)).withColumn("_var", F.var_samp(value).over(w))
-    y = d.groupBy(*group, year).agg(F.count("*").alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v"), F.max("_all").alias("_all"), F.max("_var").alias("_var"))
-    between = F.sum(F.col("n") * F.pow(F.col("m") - F.col("_all"), 2)) / F.sum("n")
+    y = d.groupBy(*group, year).agg(F.count("*").alias("n"), F.avg(value).alias("m"), F.coalesce(F.var_samp(value), F.lit(0.0)).alias("v"), F.max("_all").alias("_all"), F.max("_var").alias("_var"))
+    between = F.when(F.count("*") > 1, F.sum(F.col("n") * F.pow(F.col("m") - F.col("_all"), 2)) / F.sum("n"))
     return y.groupBy(*group).agg(F.count("*").alias("n_years"), ratio(between, F.max("_var")).alias("between_share"), (F.max("m") - F.min("m")).alias("mean_range"), F.sqrt(F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("within_sd"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fieldloom.functions.numeric import hash_rank, hash_unit, normal
 
@@ -48,17 +48,25 @@ def jittered(scenes: DataFrame, key: str, day: str, most: int, seed: int) -> Dat
 
 
 def window_crop(pixels: DataFrame, field: str, size: int, draws: int, seed: int) -> DataFrame:
-    """For each field and draw the pixels of a window around a random pixel, turned or mirrored at random (eight ways)."""
+    """(field, draw, turn, prow, pcol, r, c): for each field and draw the pixels of a window of size by size cells at a random
+    place that holds a random pixel, so none is empty, and where they are in it after one of eight turns (quarter turns, then
+    a mirror). A field that is larger than the window on a side is cut, a smaller one lies at a random place inside it."""
     w = Window.partitionBy(field)
-    n = F.count(F.lit(1)).over(w)
-    own = pixels.withColumn("_i", F.row_number().over(w.orderBy("prow", "pcol")) - 1).withColumn("_n", n)
-    pick = own.select(field, "_n").distinct().select(field, "_n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    pick = pick.withColumn("_i", F.floor(hash_unit(seed, field, "draw") * F.col("_n")).cast("int"))
-    pick = pick.withColumn("turn", F.floor(hash_unit(seed + 1, field, "draw") * 8).cast("int"))
-    at = pick.join(own.select(field, "_i", F.col("prow").alias("r0"), F.col("pcol").alias("c0")), [field, "_i"]).select(field, "draw", "turn", "r0", "c0")
-    half = size // 2
-    got = pixels.join(at, field).withColumn("r", F.col("prow") - F.col("r0")).withColumn("c", F.col("pcol") - F.col("c0")).where((F.abs("r") <= half) & (F.abs("c") <= half))
-    r, c, t = F.col("r"), F.col("c"), F.col("turn")
-    rr = F.when(t.isin(0, 4), r).when(t.isin(1, 5), c).when(t.isin(2, 6), -r).otherwise(-c)
-    cc = F.when(t == 0, c).when(t == 1, -r).when(t == 2, -c).when(t == 3, r).when(t == 4, -c).when(t == 5, r).when(t == 6, c).otherwise(-r)
-    return got.select(field, "draw", "turn", "prow", "pcol", rr.alias("r"), cc.alias("c"))
+    own = pixels.select(field, "prow", "pcol", F.min("prow").over(w).alias("_top"), F.min("pcol").over(w).alias("_left"), (F.max("prow").over(w) - F.min("prow").over(w) + 1).alias("_h"), (F.max("pcol").over(w) - F.min("pcol").over(w) + 1).alias("_w"), F.count(F.lit(1)).over(w).alias("_n"), (F.row_number().over(w.orderBy("prow", "pcol")) - 1).alias("_i"))
+    pick = own.where("_i = 0").select(field, "_n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    u = lambda k: hash_unit(seed + k, field, "draw")
+    pick = pick.select(field, "draw", F.floor(u(0) * F.col("_n")).cast("int").alias("_i"), F.floor(u(1) * 8).cast("int").alias("turn"), u(2).alias("_u"), u(3).alias("_v"))
+
+    def first(at: Column, extent: Column, random: Column) -> Column:
+        """The window's first line: any that keeps the pixel inside, and the window inside the field or the field inside it."""
+        lo = F.when(extent > size, F.greatest(F.lit(0), at - (size - 1))).otherwise(extent - size)
+        hi = F.when(extent > size, F.least(at, extent - size)).otherwise(F.lit(0))
+        return (lo + F.floor(random * (hi - lo + 1))).cast("bigint")
+
+    placed = pick.join(own, [field, "_i"]).select(field, "draw", "turn", (F.col("_top") + first(F.col("prow") - F.col("_top"), F.col("_h"), F.col("_u"))).alias("_r0"), (F.col("_left") + first(F.col("pcol") - F.col("_left"), F.col("_w"), F.col("_v"))).alias("_c0"))
+    r, c, last = F.col("prow") - F.col("_r0"), F.col("pcol") - F.col("_c0"), size - 1
+    got = pixels.select(field, "prow", "pcol").join(placed, field).where((r >= 0) & (r <= last) & (c >= 0) & (c <= last))
+    quarter = F.col("turn") % 4
+    rr = F.when(quarter == 0, r).when(quarter == 1, c).when(quarter == 2, last - r).otherwise(last - c)
+    cc = F.when(quarter == 0, c).when(quarter == 1, last - r).when(quarter == 2, last - c).otherwise(r)
+    return got.select(field, "draw", "turn", "prow", "pcol", rr.alias("r"), F.when(F.col("turn") >= 4, last - cc).otherwise(cc).alias("c"))

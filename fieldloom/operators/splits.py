@@ -231,29 +231,33 @@ def composition(split: DataFrame, fields: DataFrame, mix: str, by: list[str] = (
     return t.withColumn("share", F.col("n_fields") / F.sum("n_fields").over(Window.partitionBy(*by, "role")))
 
 
+#: Rows of a table of fields that is sent to all tasks: some 100 bytes each.
+SENT_FIELDS = 200_000
+
+
 def bootstrap_scores(fields: DataFrame, subset: list[str], models: list[str], draws: int, seed: int) -> DataFrame:
     """(draw, subset, model, r2, n): fields drawn with replacement, the same draws for all models.
 
-    Fields of a subset are numbered, every draw picks as many numbers by hash, and picks meet fields in an equi join;
-    picks are counted first, so a field is one row with a weight.
+    Draws of a subset are dealt over all tasks before their picks are made, so a large subset is as many tasks as its draws
+    allow. Picks are counted to a weight a field, and one aggregate of weighted moments about the subset's mean scores all
+    models of a draw.
     """
-    w = Window.partitionBy(*subset)
-    own = fields.withColumn("_i", F.row_number().over(w.orderBy("field")) - 1)
-    sizes = own.groupBy(*subset).agg(F.count("*").alias("_n"))
-    picks = sizes.select(*subset, "_n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"), ).select("*", F.explode(F.sequence(F.lit(0), (F.col("_n") - 1).cast("int"))).alias("_k"))
-    picks = picks.withColumn("_i", F.floor(hash_unit(seed, *subset, "draw", "_k") * F.col("_n")).cast("int"))
-    weight = picks.groupBy(*subset, "draw", "_i").agg(F.count("*").alias("_w"))
-    d = weight.join(own, [*subset, "_i"])
-    y = F.col("target")
-    mean = F.sum(F.col("_w") * y) / F.sum("_w")
-    m = d.groupBy(*subset, "draw").agg(mean.alias("_m"))
-    d = d.join(m, [*subset, "draw"])
-    sst = F.sum(F.col("_w") * F.pow(y - F.col("_m"), 2))
-    out = None
-    for name in models:
-        s = d.groupBy("draw", *subset).agg((1 - ratio(F.sum(F.col("_w") * F.pow(y - F.col(name), 2)), sst)).alias("r2"), F.sum("_w").alias("n")).withColumn("model", F.lit(name))
-        out = s if out is None else out.unionByName(s)
-    return out
+    spark = fields.sparkSession
+    own = numbered(fields.select(*subset, "field", "target", *models), [*subset, "field"], "_at").checkpoint()
+    per = own.groupBy(*subset).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"), F.avg("target").alias("_mean"))
+    y = F.col("target") - F.col("_mean")
+    own = own.join(per, subset).select(*subset, (F.col("_at") - F.col("_first")).cast("int").alias("_i"), y.alias("_y"), *[F.pow(F.col("target") - F.col(m), 2).alias(f"_e{k}") for k, m in enumerate(models)])
+    own = F.broadcast(own) if fields.limit(SENT_FIELDS + 1).count() <= SENT_FIELDS else own
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    dealt = per.select(*subset, "_n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).repartition(tasks, *subset, "draw")
+    picks = dealt.select("*", F.explode(F.sequence(F.lit(0), (F.col("_n") - 1).cast("int"))).alias("_k"))
+    weight = picks.withColumn("_i", F.floor(hash_unit(seed, *subset, "draw", "_k") * F.col("_n")).cast("int")).groupBy(*subset, "draw", "_i").agg(F.count("*").alias("_w"))
+    w = F.col("_w")
+    sums = weight.join(own, [*subset, "_i"]).groupBy("draw", *subset).agg(F.sum("_w").alias("n"), F.sum(w * F.col("_y")).alias("_sy"), F.sum(w * F.col("_y") * F.col("_y")).alias("_syy"), *[F.sum(w * F.col(f"_e{k}")).alias(f"_s{k}") for k in range(len(models))])
+    sst = F.col("_syy") - F.col("_sy") * F.col("_sy") / F.col("n")
+    sst = F.when(sst > 1e-12 * F.col("_syy"), sst).otherwise(0.0)  # a draw of one field has none but for rounding
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), (1 - ratio(F.col(f"_s{k}"), sst)).alias("r2")) for k, m in enumerate(models)]))
+    return sums.select("draw", *subset, "n", each.alias("_m")).select("draw", *subset, "_m.model", "_m.r2", "n")
 
 
 def bootstrap_interval(boot: DataFrame, subset: list[str], base: str) -> DataFrame:

@@ -87,12 +87,10 @@ def ranked_order(df: DataFrame, column: str, order: list[str]) -> Column:
 
 
 def crosstab(df: DataFrame, row: str, column: str, values: list) -> DataFrame:
-    """Counts with a total column and a total row."""
-    wide = df.groupBy(F.col(row).cast("string").alias(row)).pivot(column, values).agg(F.count(F.lit(1))).na.fill(0)
-    names = [str(v) for v in values]
-    wide = wide.select(row, *[F.col(f"`{n}`").cast("bigint").alias(f"y{n}") for n in names])
-    both = wide.unionByName(wide.agg(F.lit("total").alias(row), *[F.sum(f"y{n}").alias(f"y{n}") for n in names]))
-    return both.withColumn("total", sum((F.col(f"y{n}") for n in names[1:]), F.col(f"y{names[0]}")))
+    """Counts of the listed values, with a total column and a total row that count all rows, listed or not."""
+    counts = [F.count_if(F.col(column) == v).alias(f"y{v}") for v in values]
+    own = df.groupBy(F.col(row).cast("string").alias(row)).agg(*counts, F.count("*").alias("total"))
+    return own.unionByName(own.agg(F.lit("total").alias(row), *[F.sum(c).alias(c) for c in own.columns[1:]]))
 
 
 def cell_differences(a: DataFrame, b: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -105,10 +103,35 @@ def cell_differences(a: DataFrame, b: DataFrame, keys: list[str], values: list[s
     return j.select(*keys, F.explode(cells).alias("c")).where("c.differs").select(*keys, "c.column")
 
 
-def first_fit(rows: DataFrame, reference: DataFrame, keys: list[str], source: str, values: list[str]) -> DataFrame:
-    """(keys minus pixel, source): sources whose values agree with the reference on all of its rows."""
-    same = reduce(lambda p, q: p & q, [F.col(f"r.{v}").eqNullSafe(F.col(f"s.{v}")) for v in values])
-    j = reference.alias("r").join(rows.alias("s"), [F.col(f"r.{k}") == F.col(f"s.{k}") for k in keys])
-    got = j.groupBy(*[F.col(f"r.{k}").alias(k) for k in keys[:-1]], F.col(f"s.{source}").alias(source)).agg(F.bool_and(same).alias("ok"), F.count("*").alias("n"))
-    size = reference.groupBy(*keys[:-1]).agg(F.count("*").alias("_n"))
-    return got.join(size, keys[:-1]).where("ok and n = _n").select(*keys[:-1], source)
+def attributed(rows: DataFrame, reference: DataFrame, window: list[str], pixel: list[str], source: str, values: list[str]) -> DataFrame:
+    """(window, source): sources that give a window of the reference: the same pixels, no more and no fewer, with the same
+    values. Several sources may; a window without one has no row. Both sides are counted, and the pixels that agree."""
+    same = F.lit(True)
+    for v in values:
+        same = same & F.col(f"_r_{v}").eqNullSafe(F.col(v))
+    own = reference.select(*window, *pixel, *[F.col(v).alias(f"_r_{v}") for v in values])
+    agree = rows.join(own, [*window, *pixel]).where(same).groupBy(*window, source).agg(F.count("*").alias("_agree"))
+    there = rows.groupBy(*window, source).agg(F.count("*").alias("_there"))
+    wanted = reference.groupBy(*window).agg(F.count("*").alias("_wanted"))
+    return agree.join(there, [*window, source]).join(wanted, window).where("_agree = _there and _agree = _wanted").select(*window, source)
+
+
+def empty_windows(rows: DataFrame, reference: DataFrame, window: list[str], source: str) -> DataFrame:
+    """(window, n_sources): windows that have no row in the reference although sources lie in them."""
+    seen = rows.groupBy(*window).agg(F.count_distinct(source).alias("n_sources"))
+    return seen.join(reference.select(*window).distinct(), window, "left_anti")
+
+
+def build_report(a: DataFrame, b: DataFrame, field: str, pixel: list[str], window: str, values: list[str], first_window: int, allowed: int = 0) -> DataFrame:
+    """Per field: pixels that differ between a build and its reference from the first window on, the windows in which they do,
+    pixels for which the reference has values in windows before, and whether the build passes as a whole: at most `allowed`
+    pixels differ and none has early values. Fields without a difference have no row; rows without any value are absent ones."""
+    some = F.coalesce(*[F.col(v) for v in values]).isNotNull()
+    early = b.where(some & (F.col(window) < first_window)).select(field, *pixel).distinct()
+    late = lambda d: d.where(some & (F.col(window) >= first_window))
+    cells = cell_differences(late(a), late(b), [field, *pixel, window], values).select(field, *pixel, window).distinct()
+    both = cells.withColumn("_e", F.lit(0)).unionByName(early.select(field, *pixel, F.lit(None).cast(dict(b.dtypes)[window]).alias(window), F.lit(1).alias("_e")))
+    key = F.struct(*pixel)
+    per = both.groupBy(field).agg(F.count_distinct(F.when(F.col("_e") == 0, key)).alias("n_pixels"), F.array_sort(F.collect_set(window)).alias("windows"), F.count_distinct(F.when(F.col("_e") == 1, key)).alias("n_early"))
+    total = per.agg(F.coalesce(F.sum("n_pixels"), F.lit(0)).alias("_n"), F.coalesce(F.sum("n_early"), F.lit(0)).alias("_x"))
+    return per.crossJoin(F.broadcast(total)).select(field, "n_pixels", "windows", "n_early", ((F.col("_n") <= allowed) & (F.col("_x") == 0)).alias("passes"))  # one row

@@ -191,8 +191,8 @@ def peak_ols_baseline(fx: Fx) -> DataFrame:
     return rounded(M.line_baseline(d.where("year < 1999"), d.where("year >= 1999"), "peak", "yield_mean", ["country", "crop"], ["country"]).select("field", "peak", "pred"))
 
 
-@query("""WITH d AS (SELECT *, avg(yield_mean) OVER (PARTITION BY country) AS al, var_samp(yield_mean) OVER (PARTITION BY country) AS va FROM fx_fields), y AS (SELECT country, year, count(*) AS n, avg(yield_mean) AS m, var_pop(yield_mean) AS v, max(al) AS al, max(va) AS va FROM d GROUP BY country, year)
-    SELECT country, count(*) AS n_years, round(sum(n * power(m - al, 2)) / sum(n) / nullif(max(va), 0), 6) AS between_share, round(max(m) - min(m), 6) AS mean_range, round(sqrt(sum(n * v) / sum(n)), 6) AS within_sd FROM y GROUP BY country""")
+@query("""WITH d AS (SELECT *, avg(yield_mean) OVER (PARTITION BY country) AS al, var_samp(yield_mean) OVER (PARTITION BY country) AS va FROM fx_fields), y AS (SELECT country, year, count(*) AS n, avg(yield_mean) AS m, coalesce(var_samp(yield_mean), 0) AS v, max(al) AS al, max(va) AS va FROM d GROUP BY country, year)
+    SELECT country, count(*) AS n_years, round(CASE WHEN count(*) > 1 THEN sum(n * power(m - al, 2)) / sum(n) / nullif(max(va), 0) END, 6) AS between_share, round(max(m) - min(m), 6) AS mean_range, round(sqrt(sum(n * v) / sum(n)), 6) AS within_sd FROM y GROUP BY country""")
 def year_structure(fx: Fx) -> DataFrame:
     return rounded(M.year_structure(fx.fields, ["country"], "year", "yield_mean"))
 

@@ -51,9 +51,16 @@ def augment_day_jitter(fx: Fx) -> DataFrame:
     return R.jittered(fx.scenes, "field", "day", 2, 2).groupBy("field").agg(F.min("day").alias("first"), F.count("*").alias("n"))
 
 
-CROP = f"""o AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY prow, pcol) - 1 AS i, count(*) OVER (PARTITION BY field) AS cnt FROM fx_pixels), pk AS (SELECT field, draw, CAST(floor({UNIT.format(keys=chr(39) + '5' + chr(39) + ', field, CAST(draw AS STRING)')} * cnt) AS BIGINT) AS i, CAST(floor({UNIT.format(keys=chr(39) + '6' + chr(39) + ', field, CAST(draw AS STRING)')} * 8) AS BIGINT) AS t FROM (SELECT DISTINCT field, cnt FROM o), (SELECT unnest(range(0, 2)) AS draw)),
-    x AS (SELECT p.field, draw, t, p.prow - o.prow AS r, p.pcol - o.pcol AS c FROM pk JOIN o ON pk.field = o.field AND pk.i = o.i JOIN fx_pixels p ON p.field = pk.field WHERE abs(p.prow - o.prow) <= 2 AND abs(p.pcol - o.pcol) <= 2),
-    y AS (SELECT field, draw, CASE WHEN t IN (0, 4) THEN r WHEN t IN (1, 5) THEN c WHEN t IN (6, 2) THEN -r ELSE -c END AS r, CASE t WHEN 0 THEN c WHEN 1 THEN -r WHEN 2 THEN -c WHEN 3 THEN r WHEN 4 THEN -c WHEN 5 THEN r WHEN 6 THEN c ELSE -r END AS c FROM x)"""
+def _unit(seed: int) -> str:
+    return UNIT.format(keys=f"'{seed}', field, CAST(draw AS STRING)")
+
+
+#: Windows of five cells; a pixel, a turn and a place of each, then the turns written out one by one.
+CROP = f"""o AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY prow, pcol) - 1 AS i FROM fx_pixels), b AS (SELECT field, min(prow) AS top, min(pcol) AS lft, max(prow) - min(prow) + 1 AS h, max(pcol) - min(pcol) + 1 AS w, count(*) AS cnt FROM fx_pixels GROUP BY field),
+    pk AS (SELECT *, CAST(floor({_unit(5)} * cnt) AS BIGINT) AS i, CAST(floor({_unit(6)} * 8) AS BIGINT) AS t, {_unit(7)} AS u, {_unit(8)} AS v FROM b, (SELECT unnest(range(0, 2)) AS draw)),
+    lm AS (SELECT pk.*, CASE WHEN h > 5 THEN greatest(0, prow - top - 4) ELSE h - 5 END AS rl, CASE WHEN h > 5 THEN least(prow - top, h - 5) ELSE 0 END AS rh, CASE WHEN w > 5 THEN greatest(0, pcol - lft - 4) ELSE w - 5 END AS cl, CASE WHEN w > 5 THEN least(pcol - lft, w - 5) ELSE 0 END AS ch FROM pk JOIN o ON pk.field = o.field AND pk.i = o.i),
+    x AS (SELECT p.field, draw, t, p.prow - top - rl - CAST(floor(u * (rh - rl + 1)) AS BIGINT) AS r, p.pcol - lft - cl - CAST(floor(v * (ch - cl + 1)) AS BIGINT) AS c FROM lm JOIN fx_pixels p ON p.field = lm.field),
+    y AS (SELECT field, draw, CASE t WHEN 0 THEN r WHEN 1 THEN c WHEN 2 THEN 4 - r WHEN 3 THEN 4 - c WHEN 4 THEN r WHEN 5 THEN c WHEN 6 THEN 4 - r ELSE 4 - c END AS r, CASE t WHEN 0 THEN c WHEN 1 THEN 4 - r WHEN 2 THEN 4 - c WHEN 3 THEN r WHEN 4 THEN 4 - c WHEN 5 THEN r WHEN 6 THEN c ELSE 4 - r END AS c FROM x WHERE r BETWEEN 0 AND 4 AND c BETWEEN 0 AND 4)"""
 
 
 @query(f"WITH {CROP} SELECT field, CAST(draw AS INTEGER) AS draw, count(*) AS n, CAST(sum(r * 7 + c) AS BIGINT) AS mark FROM y GROUP BY field, draw")
@@ -99,12 +106,12 @@ def wide_delta_table(fx: Fx) -> DataFrame:
     return rounded(T.wide_with_deltas(fx.fields, "country", "crop", ["wheat", "maize"], "yield_mean", "wheat"))
 
 
-_YEARS = [f"y{y}" for y in range(1992, 1999)]
+_YEARS = range(1995, 2002)
 
 
-@query("WITH a AS (SELECT country, " + ", ".join(f"count_if(year = {y[1:]}) AS {y}" for y in _YEARS) + " FROM fx_fields GROUP BY country), b AS (SELECT * FROM a UNION ALL SELECT 'total', " + ", ".join(f"sum({y})" for y in _YEARS) + " FROM a) SELECT country, " + ", ".join(f"CAST({y} AS BIGINT) AS {y}" for y in _YEARS) + ", CAST(" + " + ".join(_YEARS) + " AS BIGINT) AS total FROM b")
+@query("WITH a AS (SELECT country, " + ", ".join(f"count_if(year = {y}) AS y{y}" for y in _YEARS) + ", count(*) AS total FROM fx_fields GROUP BY country), b AS (SELECT * FROM a UNION ALL SELECT 'total', " + ", ".join(f"sum(y{y})" for y in _YEARS) + ", (SELECT count(*) FROM fx_fields) FROM a) SELECT country, " + ", ".join(f"CAST(y{y} AS BIGINT) AS y{y}" for y in _YEARS) + ", CAST(total AS BIGINT) AS total FROM b")
 def crosstab_margins(fx: Fx) -> DataFrame:
-    return T.crosstab(fx.fields, "country", "year", list(range(1992, 1999)))
+    return T.crosstab(fx.fields, "country", "year", list(_YEARS))
 
 
 @query("SELECT crop, n, CAST(row_number() OVER (ORDER BY CASE crop WHEN 'wheat' THEN 0 WHEN 'soybean' THEN 1 ELSE 2 END, crop) AS INTEGER) AS place FROM (SELECT crop, count(*) AS n FROM fx_fields GROUP BY crop)")
@@ -122,7 +129,38 @@ def build_difference(fx: Fx) -> DataFrame:
     return T.cell_differences(p, b, ["field", "prow", "pcol"], ["target", "z"]).groupBy("field", "column").agg(F.count("*").alias("n"))
 
 
-@query("WITH s AS (SELECT farm, year AS scene, prow, pcol, n FROM fx_pixels), r AS (SELECT s.farm, s.prow, s.pcol, s.n FROM s WHERE scene = 1997), j AS (SELECT r.farm, s.scene, bool_and(r.n IS NOT DISTINCT FROM s.n) AS ok, count(*) AS n FROM r JOIN s ON r.farm = s.farm AND r.prow = s.prow AND r.pcol = s.pcol GROUP BY ALL) SELECT j.farm, j.scene FROM j JOIN (SELECT farm, count(*) AS k FROM r GROUP BY farm) q ON j.farm = q.farm WHERE ok AND n = k")
+#: A reference of one scene a farm; in a third of the farms one pixel less, in a third without its fifth window.
+SOURCES = "s AS (SELECT farm, prow // 2 AS k, year AS scene, prow, pcol, n FROM fx_pixels), r AS (SELECT farm, k, prow, pcol, n FROM s WHERE scene = 1995 + farm % 7 AND NOT (farm % 3 = 1 AND prow = 0 AND pcol = (SELECT min(pcol) FROM fx_pixels)) AND NOT (farm % 3 = 2 AND k = 4))"
+
+
+def _sources(fx: Fx) -> tuple[DataFrame, DataFrame]:
+    s = fx.pixels.select("farm", F.expr("prow div 2").alias("k"), F.col("year").alias("scene"), "prow", "pcol", "n")
+    least = fx.pixels.agg(F.min("pcol")).first()[0]
+    gone = ((F.col("farm") % 3 == 1) & (F.col("prow") == 0) & (F.col("pcol") == least)) | ((F.col("farm") % 3 == 2) & (F.col("k") == 4))
+    return s, s.where((F.col("scene") == 1995 + F.col("farm") % 7) & ~gone).drop("scene")
+
+
+@query(f"WITH {SOURCES}, w AS (SELECT farm, k, list((prow, pcol, n) ORDER BY prow, pcol) AS x FROM r GROUP BY farm, k), t AS (SELECT farm, k, scene, list((prow, pcol, n) ORDER BY prow, pcol) AS x FROM s GROUP BY farm, k, scene) SELECT t.farm, t.k, t.scene FROM t JOIN w ON t.farm = w.farm AND t.k = w.k AND t.x = w.x")
 def source_attribution(fx: Fx) -> DataFrame:
-    s = fx.pixels.select("farm", F.col("year").alias("scene"), (F.col("prow") * 10 + F.col("pcol")).alias("pixel"), "n")
-    return T.first_fit(s, s.where("scene = 1997").drop("scene"), ["farm", "pixel"], "scene", ["n"])
+    """The scenes whose pixels are those of a window of the reference, no more and no fewer."""
+    s, r = _sources(fx)
+    return T.attributed(s, r, ["farm", "k"], ["prow", "pcol"], "scene", ["n"])
+
+
+@query(f"WITH {SOURCES} SELECT farm, k, count(DISTINCT scene) AS n_sources FROM s WHERE (farm, k) NOT IN (SELECT farm, k FROM r) GROUP BY farm, k")
+def empty_windows(fx: Fx) -> DataFrame:
+    """Windows of the reference that are empty although there are scenes."""
+    s, r = _sources(fx)
+    return T.empty_windows(s, r, ["farm", "k"], "scene")
+
+
+@query("""WITH b AS (SELECT farm, prow, pcol, year - 1995 AS k, n, round(z, 9) AS z FROM fx_pixels), a AS (SELECT farm, prow, pcol, k, n, CASE WHEN prow = 3 AND k = 4 THEN z + 1 ELSE z END AS z FROM b WHERE NOT (pcol = 1 AND k = 5) AND k >= 2),
+    d AS (SELECT coalesce(a.farm, b.farm) AS farm, coalesce(a.prow, b.prow) AS prow, coalesce(a.pcol, b.pcol) AS pcol, coalesce(a.k, b.k) AS k FROM (SELECT * FROM a WHERE k >= 2) a FULL JOIN (SELECT * FROM b WHERE k >= 2) b ON a.farm = b.farm AND a.prow = b.prow AND a.pcol = b.pcol AND a.k = b.k WHERE a.n IS DISTINCT FROM b.n OR a.z IS DISTINCT FROM b.z),
+    e AS (SELECT farm, count(DISTINCT (prow, pcol)) AS n_early FROM b WHERE k < 2 AND farm % 2 = 0 GROUP BY farm), p AS (SELECT farm, count(DISTINCT (prow, pcol)) AS n_pixels, array_to_string(list_sort(list(DISTINCT k)), ',') AS windows FROM d GROUP BY farm)
+    SELECT coalesce(p.farm, e.farm) AS farm, coalesce(n_pixels, 0) AS n_pixels, coalesce(windows, '') AS windows, coalesce(n_early, 0) AS n_early, false AS passes FROM p FULL JOIN e ON p.farm = e.farm""")
+def build_report(fx: Fx) -> DataFrame:
+    """What differs between a build and its reference, by field, with the windows, and early values of the reference."""
+    b = fx.pixels.select("farm", "prow", "pcol", (F.col("year") - 1995).alias("k"), "n", F.round("z", 9).alias("z"))
+    a = b.where("not (pcol = 1 and k = 5) and k >= 2").withColumn("z", F.when((F.col("prow") == 3) & (F.col("k") == 4), F.col("z") + 1).otherwise(F.col("z")))
+    r = T.build_report(a, b.where("k >= 2 or farm % 2 = 0"), "farm", ["prow", "pcol"], "k", ["n", "z"], 2)
+    return r.withColumn("windows", F.array_join("windows", ","))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from fieldloom.operators import filters as L
@@ -11,6 +13,7 @@ from fieldloom.operators import spatial as G
 from fieldloom.plans.evaluation import rounded
 from fieldloom.plans.fixtures import Fx
 from fieldloom.plans.registry import query
+from fieldloom.session import checkpoint_dir
 from fieldloom.sources import tables as S
 
 
@@ -48,18 +51,32 @@ _SPL = "concat('y', CAST(year AS STRING))"
 _FILE = "CASE WHEN (farm + year) % 5 = 0 THEN 'metrics.json' WHEN farm % 3 = 0 THEN concat('val_', CAST(farm AS STRING)) ELSE concat('test_', CAST(farm AS STRING)) END"
 
 
-def _paths(fx: Fx) -> DataFrame:
-    return fx.fields.select(F.expr(f"concat('/runs/', {_CFG}, '/', {_SPL}, '/', {_FILE})").alias("path"), (F.col("n_pixels") * 100).alias("size"))
+def _listing(fx: Fx) -> DataFrame:
+    """The files of a tree of run folders that is written from the table of fields: one file for each field with a line a
+    field, 99 characters for each of its pixels and a line break."""
+    path = f"{checkpoint_dir(fx.spark)}/runs-{uuid.uuid4().hex}"
+    lines = fx.fields.select(F.expr(_CFG).alias("config"), F.expr(_SPL).alias("split"), F.expr(_FILE).alias("file"), F.concat(F.repeat(F.lit("x"), (F.col("n_pixels") * 99).cast("int"))).alias("value"))
+    lines.repartition("config", "split", "file").write.partitionBy("config", "split", "file").text(path)
+    return S.listed_paths(S.list_files(fx.spark, path, "part-*"), path)
+
+
+_TREE = f"tr AS (SELECT {_CFG} AS config, {_SPL} AS split, {_FILE} AS file, CAST(sum(n_pixels * 99 + 1) AS BIGINT) AS size FROM fx_fields GROUP BY 1, 2, 3)"
+
+
+@query(f"WITH {_TREE} SELECT concat(config, '/', split, '/', file) AS path, size AS length FROM tr")
+def file_listing(fx: Fx) -> DataFrame:
+    """Paths and sizes of the files of a tree of folders."""
+    return _listing(fx).select("path", "length")
 
 
-@query(f"SELECT config, split, bool_or(file = 'metrics.json') AS done, bool_or(file LIKE 'val%') AS has_val, count(*) AS n_files FROM (SELECT {_CFG} AS config, {_SPL} AS split, {_FILE} AS file FROM fx_fields) GROUP BY config, split")
+@query(f"WITH {_TREE} SELECT config, split, bool_or(file = 'metrics.json') AS done, bool_or(file LIKE 'val%') AS has_val, count(*) AS n_files FROM tr GROUP BY config, split")
 def run_listing(fx: Fx) -> DataFrame:
-    return S.runs_of(_paths(fx), "path")
+    return S.runs_of(_listing(fx), "path")
 
 
-@query(f"SELECT split AS folder, CASE WHEN regexp_matches(file, '^val_') THEN 'validation' WHEN regexp_matches(file, 'json$') THEN 'metrics' ELSE 'other' END AS kind, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes, min(file) AS first, max(file) AS last FROM (SELECT {_SPL} AS split, {_FILE} AS file, n_pixels * 100 AS size FROM fx_fields) GROUP BY 1, 2")
+@query(f"WITH {_TREE} SELECT split AS folder, CASE WHEN regexp_matches(file, '^val_') THEN 'validation' WHEN regexp_matches(file, 'json$') THEN 'metrics' ELSE 'other' END AS kind, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes, min(file) AS first, max(file) AS last FROM tr GROUP BY 1, 2")
 def file_inventory(fx: Fx) -> DataFrame:
-    return S.inventory(_paths(fx), "path", "size", {"^val_": "validation", "json$": "metrics"})
+    return S.inventory(_listing(fx), "path", "length", {"^val_": "validation", "json$": "metrics"})
 
 
 _DOC = """concat('{"metrics": {"val": {"all": {"r2": ', CAST(s AS STRING), ', "rmse": 2, "n": ', CAST(n AS STRING), '}, "', country, '|wheat": {"r2": 0.25, "rmse": 1.5, "n": 3}}, "test": {"all": {"r2": 0.5, "rmse": 1, "n": 4}}}, "members": [{"all": {"r2": ', CAST(s AS STRING), ', "rmse": 2, "n": 1}}, {"all": {"r2": 0.5, "rmse": 2, "n": 1}}]}')"""

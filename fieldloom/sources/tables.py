@@ -148,6 +148,14 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "length", "modificationTime")
 
 
+def listed_paths(files: DataFrame, root: str) -> DataFrame:
+    """(path, length) of files below a root, without it, without the keys of partition folders (`a=x` is x), and with the part
+    files of a folder as one file that bears the folder's name."""
+    below = F.regexp_replace(F.substring_index("path", "/" + root.rstrip("/").rsplit("/", 1)[-1] + "/", -1), "(^|/)[^/=]+=", "$1")
+    folder = F.regexp_replace(below, "/part-[^/]*$", "")
+    return files.groupBy(folder.alias("path")).agg(F.sum("length").alias("length"))
+
+
 def inventory(files: DataFrame, path: str, size: str, kinds: dict[str, str]) -> DataFrame:
     """Per folder: files and bytes by kind (the first pattern that the name matches), first and last name."""
     from fieldloom.functions.scalars import name_group

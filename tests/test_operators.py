@@ -550,3 +550,77 @@ def test_moments_far_from_zero(spark):
     assert all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(whole, parts, strict=True))
     assert math.isclose(whole.cyp, ((y - y.mean()) * (p - p.mean())).sum(), rel_tol=1e-8)
     assert M.scores_from_moments(m.where("false"), ["g"]).count() == 0
+
+
+def test_windows_at_random_places(spark):
+    """Every window holds what its place and turn say, for fields larger and smaller than it, in all eight turns."""
+    rng = np.random.default_rng(6)
+    fields = {f"f{k}": sorted({(int(r), int(c)) for r, c in zip(rng.integers(3, 3 + h, 30), rng.integers(-2, w - 2, 30), strict=True)}) for k, (h, w) in enumerate([(12, 9), (2, 3), (1, 20), (6, 5)])}
+    df = spark.createDataFrame([(f, r, c) for f, cells in fields.items() for r, c in cells], "field string, prow long, pcol long")
+    got, turns, corners = {}, set(), set()
+    for x in A.window_crop(df, "field", 5, 25, 3).collect():
+        got.setdefault((x.field, x.draw), []).append(x)
+    assert len(got) == 100
+    for (f, _), own in got.items():
+        t = own[0].turn
+        turns.add(t)
+        at = {}
+        for x in own:
+            r, c = x.r, 4 - x.c if t >= 4 else x.c
+            for _ in range(t % 4):  # a quarter turn back
+                r, c = 4 - c, r
+            assert 0 <= r < 5 and 0 <= c < 5
+            at[x.prow, x.pcol] = (r, c)
+        corner = {(p - r, q - c) for (p, q), (r, c) in at.items()}
+        assert len(corner) == 1
+        r0, c0 = corner.pop()
+        assert set(at) == {(p, q) for p, q in fields[f] if r0 <= p < r0 + 5 and c0 <= q < c0 + 5} != set()
+        for first, lines in ((r0, [p for p, _ in fields[f]]), (c0, [q for _, q in fields[f]])):
+            small = max(lines) - min(lines) < 5
+            assert first <= min(lines) and first + 4 >= max(lines) if small else min(lines) <= first and first + 4 <= max(lines)
+        corners.add((f, r0, c0))
+    assert turns == set(range(8)) and len({x for x in corners if x[0] == "f1"}) > 3
+
+
+def test_a_source_with_one_more_pixel_is_no_match(spark):
+    ref = spark.createDataFrame([("f", 0, p, 1.0 * p) for p in range(4)] + [("f", 1, 0, None)], "field string, k int, pixel int, v double")
+    scenes = {"s1": [(p, 1.0 * p) for p in range(4)], "s2": [(p, 1.0 * p) for p in range(5)], "s3": [(p, 1.0 * p) for p in range(3)], "s4": [(p, 1.0) for p in range(4)]}
+    rows_ = spark.createDataFrame([("f", 0, p, v, s) for s, own in scenes.items() for p, v in own] + [("f", 1, 0, None, "s5"), ("f", 2, 0, 1.0, "s6"), ("f", 2, 1, 1.0, "s7")], "field string, k int, pixel int, v double, scene string")
+    assert rows(B.attributed(rows_, ref, ["field", "k"], ["pixel"], "scene", ["v"])) == [("f", 0, "s1"), ("f", 1, "s5")]
+    assert rows(B.empty_windows(rows_, ref, ["field", "k"], "scene")) == [("f", 2, 2)]
+
+
+def test_report_of_a_build(spark):
+    b = spark.createDataFrame([("f", p, k, 1.0) for p in range(3) for k in range(4)] + [("g", 0, 2, 1.0), ("h", 0, 3, None)], "field string, pixel int, k int, v double")
+    a = b.where("k >= 1").withColumn("v", F.when(F.col("field") == "g", F.lit(None)).when((F.col("pixel") == 1) & (F.col("k") > 1), F.lit(2.0)).otherwise(F.col("v")))
+    got = {r.field: r for r in B.build_report(a, b, "field", ["pixel"], "k", ["v"], 1).collect()}
+    assert set(got) == {"f", "g"} and (got["f"].n_pixels, got["f"].windows, got["f"].n_early) == (1, [2, 3], 3) and (got["g"].n_pixels, got["g"].windows) == (1, [2])
+    assert not got["f"].passes and not B.build_report(a, b.where("k >= 1"), "field", ["pixel"], "k", ["v"], 1, 1).first().passes
+    assert B.build_report(a, b.where("k >= 1"), "field", ["pixel"], "k", ["v"], 1, 2).first().passes
+
+
+def test_totals_count_values_that_are_not_listed(spark):
+    got = rows(B.crosstab(spark.createDataFrame([("a", 1), ("a", 9), ("b", 1)], "g string, v int"), "g", "v", [1, 2]))
+    assert got == [("a", 1, 0, 2), ("b", 1, 0, 1), ("total", 2, 0, 3)]
+
+
+def test_bootstrap_against_picks(spark):
+    rng = np.random.default_rng(1)
+    data = [(f"f{k:02d}", "ab"[k % 2], 1e6 + float(y), 1e6 + float(y + e)) for k, (y, e) in enumerate(rng.normal(size=(31, 2)))] + [("z", "one", 5.0, 4.0)]
+    df = spark.createDataFrame(data, "field string, s string, target double, m double")
+    got = {(r.s, r.draw): (r.r2, r.n) for r in S.bootstrap_scores(df, ["s"], ["m"], 6, 7).collect()}
+    for s in ("a", "b"):
+        own = sorted(x for x in data if x[1] == s)
+        for draw in range(6):
+            pick = [own[int(int(hashlib.md5(f"7|{s}|{draw}|{k}".encode()).hexdigest()[:8], 16) / 2**32 * len(own))] for k in range(len(own))]
+            y, p = np.array([x[2] for x in pick]), np.array([x[3] for x in pick])
+            assert math.isclose(got[s, draw][0], 1 - ((y - p) ** 2).sum() / ((y - y.mean()) ** 2).sum(), rel_tol=1e-6) and got[s, draw][1] == len(own)
+    assert got["one", 0] == (None, 1)
+    plan = S.bootstrap_scores(df, ["s"], ["m"], 40, 7)
+    assert plan.count() == 120
+
+
+def test_year_structure_of_lone_fields(spark):
+    df = spark.createDataFrame([("g", 1, 1.0), ("g", 1, 3.0), ("g", 2, 5.0), ("h", 1, 2.0), ("h", 1, 4.0)], "g string, year int, v double")
+    got = {r.g: r for r in M.year_structure(df, ["g"], "year", "v").collect()}
+    assert math.isclose(got["g"].within_sd, math.sqrt(2 * 2.0 / 3)) and got["h"].between_share is None and math.isclose(got["h"].within_sd, math.sqrt(2.0))
