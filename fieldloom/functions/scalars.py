@@ -42,19 +42,46 @@ def observed(band: Column | str) -> Column:
 
 
 def cos_sun_zenith(lat: Column | str, doy: Column | str, hour: float = 10.5) -> Column:
-    """Cosine of the sun's zenith angle at a solar hour, not below zero."""
+    """Cosine of the sun's zenith angle at a solar hour, in [0, 1]."""
     lat = F.radians(col(lat))
-    decl = F.radians(F.lit(-23.44) * F.cos(F.radians(F.lit(360.0 / 365.0) * (col(doy) + 10))))
+    decl = F.radians(F.lit(23.44) * F.sin(F.lit(2 * math.pi / 365.0) * (col(doy) + 284)))
     angle = F.lit(math.radians(15.0 * (hour - 12.0)))
-    return clamp(F.sin(lat) * F.sin(decl) + F.cos(lat) * F.cos(decl) * F.cos(angle), 0)
+    return clamp(F.sin(lat) * F.sin(decl) + F.cos(lat) * F.cos(decl) * F.cos(angle), 0, 1)
 
 
-def leaf_area(inputs: list[Column], low: list[float], high: list[float], hidden: list[list[float]], bias: list[float], out: list[float], out_bias: float, top: float) -> Column:
-    """A small network as one expression: inputs scaled to [-1, 1], a tanh layer, a linear output held in [0, top]."""
+def leaf_area(inputs: list[Column], low: list[float], high: list[float], hidden: list[list[float]], bias: list[float], out: list[float], out_bias: float, span: tuple[float, float], top: float) -> Column:
+    """A small network as one expression: inputs scaled to [-1, 1], a tanh layer, a linear output that is scaled back to its
+    span and held in [0, top]."""
     x = [2 * (c - lo) / (hi - lo) - 1 for c, lo, hi in zip(inputs, low, high, strict=True)]
     h = [F.tanh(sum((F.lit(w) * c for w, c in zip(row, x, strict=True)), F.lit(b))) for row, b in zip(hidden, bias, strict=True)]
     y = sum((F.lit(w) * c for w, c in zip(out, h, strict=True)), F.lit(out_bias))
-    return clamp((y + 1) / 2 * top, 0, top)
+    return clamp((y + 1) / 2 * (span[1] - span[0]) + span[0], 0, top)
+
+
+#: The published leaf area network for eight bands. Ranges of the bands, of the cosines of view and sun zenith,
+#: and of the output; five neurons, each a bias, eight bands, view zenith, sun zenith and relative azimuth; the output layer.
+LAI_BANDS = ("B03", "B04", "B05", "B06", "B07", "B8A", "B11", "B12")
+LAI_LOW = [0.0, 0.0, 0.0, 0.006637972542253, 0.013972727018939, 0.026690138082061, 0.016388074192258, 0.0, 0.918595400582046, 0.342022871159208]
+LAI_HIGH = [0.253061520471542, 0.290393577911328, 0.305398915248555, 0.608900395797889, 0.753827384322927, 0.782011770669178, 0.493761397883092, 0.493025984460231, 1.0, 0.936206429175402]
+LAI_SPAN = (0.000319182538301, 14.4675094548151)
+LAI_HIDDEN = [
+    [4.96238030555279, -0.023406878966470, 0.921655164636366, 0.135576544080099, -1.938331472397950, -3.342495816122680, 0.902277648009576, 0.205363538258614, -0.040607844721716, -0.083196409727092, 0.260029270773809, 0.284761567218845],
+    [1.416008443981500, -0.132555480856684, -0.139574837333540, -1.014606016898920, -1.330890038649270, 0.031730624503341, -1.433583541317050, -0.959637898574699, 1.133115706551000, 0.216603876541632, 0.410652303762839, 0.064760155543506],
+    [1.075897047213310, 0.086015977724868, 0.616648776881434, 0.678003876446556, 0.141102398644968, -0.096682206883546, -1.128832638862200, 0.302189102741375, 0.434494937299725, -0.021903699490589, -0.228492476802263, -0.039460537589826],
+    [1.533988264655420, -0.109366593670404, -0.071046262972729, 0.064582411478320, 2.906325236823160, -0.673873108979163, -3.838051868280840, 1.695979344531530, 0.046950296081713, -0.049709652688365, 0.021829545430994, 0.057483827104091],
+    [3.024115930757230, -0.089939416159969, 0.175395483106147, -0.081847329172620, 2.219895367487790, 1.713873975136850, 0.713069186099534, 0.138970813499201, -0.060771761518025, 0.124263341255473, 0.210086140404351, -0.183878138700341],
+]
+LAI_OUT = [1.096963107077220, -1.500135489728730, -0.096283269121503, -0.194935930577094, -0.352305895755591, 0.075107415847473]
+LAI_TOP = 8.0
+VIEW_ZENITH_DEG = 5.0
+
+
+def snap_lai(bands: dict[str, Column], cos_sun: Column, cos_view: float | None = None, cos_azimuth: float = 0.0) -> Column:
+    """Leaf area (m2 m-2) of reflectances by band, in [0, 8]; NULL if a band is missing."""
+    view = math.cos(math.radians(VIEW_ZENITH_DEG)) if cos_view is None else cos_view
+    inputs = [bands[b] for b in LAI_BANDS] + [F.lit(view), cos_sun]
+    bias = [row[0] + row[11] * cos_azimuth for row in LAI_HIDDEN]  # the azimuth is not scaled
+    return leaf_area(inputs, LAI_LOW, LAI_HIGH, [row[1:11] for row in LAI_HIDDEN], bias, LAI_OUT[1:], LAI_OUT[0], LAI_SPAN, LAI_TOP)
 
 
 def celsius(kelvin: Column | str) -> Column:
@@ -157,9 +184,11 @@ def cube_date(day: Column | str, jan1: Column | str) -> Column:
     return F.date_add(col(jan1), (col(day) + 1).cast("int"))
 
 
-def window_label(day: Column | str, jan1: Column | str) -> Column:
-    """`dd Mon` of a window's first day."""
-    return F.date_format(cube_date(day, jan1), "dd MMM")
+def window_label(day: Column | str) -> Column:
+    """`dd Mon Y-1` or `dd Mon Y` of a window's first day: day 0 is 1 January of the year before harvest, and both years
+    have 365 days."""
+    text = F.date_format(F.date_add(F.lit("2001-01-01").cast("date"), F.pmod(col(day), F.lit(365)).cast("int")), "dd MMM")
+    return F.concat(text, F.when(col(day) < 365, F.lit(" Y-1")).otherwise(F.lit(" Y")))
 
 
 def one_hot(df: DataFrame, column: str, categories: list[str]) -> DataFrame:
@@ -214,30 +243,3 @@ def season_overlap(start: Column | str, width: int, sow: Column | str, harvest:
 def in_season(start: Column | str, end: Column | str, sow: Column | str, harvest: Column | str, grid: tuple[int, int]) -> Column:
     """Whether [start, end) meets [sow, harvest); missing dates are the grid's bounds."""
     return (col(start) < F.coalesce(col(harvest), F.lit(grid[1]))) & (col(end) > F.coalesce(col(sow), F.lit(grid[0])))
-
-
-#: Feature groups of the library: columns, units, whether they change over time.
-FEATURES: dict[str, tuple[list[str], str, bool]] = {
-    "bands": (["b02", "b03", "b04", "b08"], "reflectance", True),
-    "indices": (["ndvi", "ndre", "ndmi"], "1", True),
-    "weather": (["temp_mean", "temp_max", "temp_min", "prec"], "degC / mm", True),
-    "soil": (["clay", "sand", "silt"], "%", False),
-    "terrain": (["elevation", "slope"], "m / degrees", False),
-}
-
-
-def resolve(specs: list[str]) -> list[str]:
-    """Feature specs `group` or `group:column,column` to columns in order; unknown or repeated ones are errors."""
-    out: list[str] = []
-    for spec in specs:
-        group, _, arg = spec.partition(":")
-        if group not in FEATURES:
-            raise ValueError(f"unknown feature group {group!r}")
-        wanted = arg.split(",") if arg else FEATURES[group][0]
-        for c in wanted:
-            if c not in FEATURES[group][0]:
-                raise ValueError(f"{group!r} has no feature {c!r}")
-            if c in out:
-                raise ValueError(f"feature {c!r} is named twice")
-            out.append(c)
-    return out

@@ -83,6 +83,19 @@ def members_long(preds: DataFrame, members: list[str], keep: list[str], first: i
     return preds.select(*keep, F.explode(F.array(*[F.struct(F.lit(m).alias("member"), F.col(m).alias("pred")) for m in have])).alias("_m")).select(*keep, "_m.member", "_m.pred")
 
 
+def member_fields(preds: DataFrame, expected: DataFrame, key: str, n: int, prefix: str = "pred_m") -> tuple[DataFrame, DataFrame]:
+    """Means by field of the target and of the first n members (columns prefix0, prefix1, ...), and one row that checks
+    them: how many members there are, a note if fewer than n, and how many expected fields are missing and others there. Without
+    a member, or if the fields are not the expected ones, the means are empty."""
+    members = [f"{prefix}{m}" for m in range(n) if f"{prefix}{m}" in preds.columns]
+    note = "" if len(members) == n else f"only {len(members)} members"
+    means = preds.groupBy(key).agg(F.avg("target").alias("target"), *[F.avg(m).alias(f"m{i}") for i, m in enumerate(members)])
+    own, want = means.select(key, F.lit(1).alias("_own")), expected.select(key).distinct().withColumn("_want", F.lit(1))
+    check = own.join(want, key, "full_outer").agg(F.count_if(F.col("_own").isNull()).alias("missing"), F.count_if(F.col("_want").isNull()).alias("extra"))
+    check = check.select(F.lit(len(members)).alias("n_members"), F.lit(note).alias("note"), "missing", "extra", ((F.col("missing") == 0) & (F.col("extra") == 0) & F.lit(bool(members))).alias("usable"))
+    return means.crossJoin(F.broadcast(check.select("usable"))).where("usable").drop("usable"), check  # one row
+
+
 def member_metrics(preds: DataFrame, members: list[str], field: str, groups: list[str]) -> DataFrame:
     """Scores of each member by group, averaged over members."""
     long = members_long(preds, members, [field, *groups, "target"])

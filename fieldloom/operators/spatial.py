@@ -307,6 +307,20 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
+def shared_pairs(rows: DataFrame, shared: str, key: str) -> DataFrame:
+    """(a, b): pairs of keys that share a value, a star for each value: its least key with every other one."""
+    own = rows.select(shared, key).where(F.col(shared).isNotNull()).distinct()
+    least = own.groupBy(shared).agg(F.min(key).alias("a"))
+    return own.join(least, shared).where(F.col("a") < F.col(key)).select("a", F.col(key).alias("b")).distinct()
+
+
+def region_labels(points: DataFrame, fields: DataFrame, farm: str, physical: str, reach: float) -> DataFrame:
+    """(node, label): farms that share a physical field or whose fields are within reach of each other are one region."""
+    nodes = points.select(F.col(farm).alias("node")).unionByName(fields.select(F.col(farm).alias("node"))).distinct()
+    pairs = proximity(points, farm, reach).select("a", "b").unionByName(shared_pairs(fields, physical, farm))
+    return components(pairs, nodes)
+
+
 def joined_names(labels: DataFrame) -> DataFrame:
     """(label, name, n): components named by their sorted members joined with +."""
     return labels.groupBy("label").agg(F.array_join(F.array_sort(F.collect_set(F.col("node").cast("string"))), "+").alias("name"), F.count("*").alias("n"))

@@ -59,6 +59,19 @@ def metrics_from_sums(fx: Fx) -> DataFrame:
     return rounded(M.scores_from_moments(M.field_moments(fx.preds, "field", ["country", "crop"]), ["crop"]))
 
 
+@query("""WITH f AS (SELECT field, farm, avg(target) AS target, avg(pred_m0) AS m0, avg(pred_m1) AS m1 FROM fx_preds GROUP BY field, farm)
+    SELECT 'same' AS kind, 2 AS n_members, '' AS note, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS extra, true AS usable, count(*) AS n, round(avg(m0 + m1 - 2 * target), 6) AS bias FROM f
+    UNION ALL SELECT 'short', 2, 'only 2 members', 0, 0, true, count(*), round(avg(m0 + m1 - 2 * target), 6) FROM f UNION ALL SELECT 'other', 2, '', CAST((SELECT count(*) FROM f WHERE farm % 9 = 0) AS BIGINT), CAST((SELECT count(*) FROM f WHERE farm % 9 = 1) AS BIGINT), false, 0, NULL""")
+def member_fields(fx: Fx) -> DataFrame:
+    """The first members of a run by field, with the shortage and the check of its set of fields."""
+    p, out = fx.preds, None
+    for kind, n, preds, expected in (("same", 2, p, p), ("short", 3, p, p), ("other", 2, p.where("farm % 9 <> 0"), p.where("farm % 9 <> 1"))):
+        means, check = M.member_fields(preds, expected, "field", n)
+        row = check.crossJoin(means.agg(F.count("*").alias("n"), F.avg(F.col("m0") + F.col("m1") - 2 * F.col("target")).alias("bias"))).withColumn("kind", F.lit(kind))  # one row each
+        out = row if out is None else out.unionByName(row)
+    return rounded(out)
+
+
 @query("SELECT field, count(*) AS n, round(avg((pred_m0 + pred_m1) / 2), 6) AS mean, round(avg(pred_std), 6) AS sd FROM fx_preds GROUP BY field")
 def ensemble_spread(fx: Fx) -> DataFrame:
     mean, sd = M.ensemble(["pred_m0", "pred_m1"])

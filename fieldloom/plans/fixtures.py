@@ -31,6 +31,11 @@ ADAPTERS: dict[str, str | tuple[str, str]] = {
         FROM fx_pixels p JOIN fx_fields f ON p.field = f.field""",
     "fx_season": """SELECT field, farm, year, crop, country, CAST(240 + farm % 50 AS BIGINT) AS sow_day, CAST(240 + farm % 50 + 200 + year % 10 AS BIGINT) AS harvest_day,
         CAST(concat(CAST(year - 1 AS STRING), '-01-01') AS DATE) AS jan1 FROM fx_fields""",
+    # Two bands of each pixel in six windows, a quarter of them not seen.
+    "fx_steps": tuple(
+        """SELECT field, prow, pcol, k, CASE WHEN (prow * 3 + pcol * 5 + k * 7 + farm) % 4 > 0 THEN 0.05E0 + ((prow * 31 + pcol * 17 + k * 13 + farm * 7) % 100) / 400.0E0 END AS B04,
+        CASE WHEN (prow * 3 + pcol * 5 + k * 7 + farm) % 4 > 0 THEN 0.10E0 + ((prow * 11 + pcol * 29 + k * 3 + farm) % 100) / 300.0E0 END AS B08 FROM (SELECT *, """ + each + " AS k FROM fx_pixels)" for each in ("explode(sequence(0L, 5L))", "unnest(range(0, 6))")
+    ),
     "fx_scenes": """SELECT user_id AS field, CAST(day(ts) - 1 AS BIGINT) AS day, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS clouds,
         (100 - CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT)) / 100.0E0 AS clear_share, event_id AS scene, event_type AS kind, value FROM {events}""",
     # Class codes of twelve cells of each scene, nine of them inside the field.

@@ -162,12 +162,16 @@ def proximity_pairs(fx: Fx) -> DataFrame:
     return rounded(G.proximity(fx.outline, "farm", 10_000))
 
 
-@query(f"WITH RECURSIVE {NEAR}, e AS (SELECT a, b FROM nr WHERE gap <= 10000 UNION SELECT b, a FROM nr WHERE gap <= 10000), w AS (SELECT farm AS node, farm AS label FROM fx_outline UNION SELECT e.b, w.label FROM w JOIN e ON w.node = e.a), l AS (SELECT node, min(label) AS label FROM w GROUP BY node) SELECT label, string_agg(CAST(node AS STRING), '+' ORDER BY CAST(node AS STRING)) AS name, count(*) AS n FROM l GROUP BY label")
+#: Farms and the physical fields they hold in some year: neighbours in number hold one together now and then.
+SHARED = "pf AS (SELECT farm, farm AS physical FROM fx_outline UNION ALL SELECT farm, farm - 60 FROM fx_outline WHERE farm % 25 = 3)"
+
+
+@query(f"WITH RECURSIVE {NEAR}, {SHARED}, e AS (SELECT a, b FROM nr WHERE gap <= 10000 UNION SELECT b, a FROM nr WHERE gap <= 10000 UNION SELECT p.farm, q.farm FROM pf p JOIN pf q ON p.physical = q.physical AND p.farm <> q.farm), w AS (SELECT farm AS node, farm AS label FROM fx_outline UNION SELECT e.b, w.label FROM w JOIN e ON w.node = e.a), l AS (SELECT node, min(label) AS label FROM w GROUP BY node) SELECT label, string_agg(CAST(node AS STRING), '+' ORDER BY CAST(node AS STRING)) AS name, count(*) AS n FROM l GROUP BY label")
 def regions(fx: Fx) -> DataFrame:
-    """Farms joined by proximity, named by their members."""
+    """Farms joined by proximity or a physical field that they share, named by their members."""
     farms = fx.outline
-    c = G.components(G.proximity(farms, "farm", 10_000), farms.select(F.col("farm").alias("node")))
-    return G.joined_names(c)
+    held = farms.select("farm", F.col("farm").alias("physical")).unionByName(farms.where("farm % 25 = 3").select("farm", (F.col("farm") - 60).alias("physical")))
+    return G.joined_names(G.region_labels(farms, held, "farm", "physical", 10_000))
 
 
 @query("WITH p AS (SELECT n_nationkey, n_nationkey * 3.0 AS lat, n_nationkey * 7.0 % 90 AS lon FROM nation) SELECT a.n_nationkey AS a, b.n_nationkey AS b, round(6371.0 * sqrt(power(radians(b.lon - a.lon) * cos(radians((a.lat + b.lat) / 2)), 2) + power(radians(b.lat - a.lat), 2)), 6) AS km FROM p a JOIN p b ON a.n_nationkey < b.n_nationkey")

@@ -33,14 +33,25 @@ def spectral_indices(fx: Fx) -> DataFrame:
     return rounded(d.groupBy("g").agg(F.count("*").alias("n"), F.sum(P.observed("a")).alias("observed"), F.avg("a").alias("refl"), F.avg(P.normalized_difference("a", "b")).alias("nd")))
 
 
-@query("""WITH x AS (SELECT field, 2 * (disc - 0.0) / 0.1 - 1 AS a, 2 * (tax - 0.0) / 0.08 - 1 AS b FROM fx_pixels), h AS (SELECT field, tanh(0.3 + 0.7 * a - 0.2 * b) AS h1, tanh(-0.1 - 0.4 * a + 0.9 * b) AS h2 FROM x)
-    SELECT field, round(avg(greatest(0.0, least(8.0, (0.05 + 0.6 * h1 - 0.3 * h2 + 1) / 2 * 8))), 6) AS lai FROM h GROUP BY field""")
+def _lai_sql() -> str:
+    """The network written out: reflectances of fx_pixels, scaled, five neurons, and the output."""
+    raw = ", ".join(f"0.02 + (prow * {3 + k} + pcol * {5 + 2 * k} + farm) % 40 / 200.0E0 AS b{k}" for k in range(8)) + ", 0.5 + tax * 4 AS b9"
+    scaled = ", ".join(f"2 * (b{k} - {P.LAI_LOW[k]}) / ({P.LAI_HIGH[k]} - {P.LAI_LOW[k]}) - 1 AS x{k}" for k in (*range(8), 9)) + f", 2 * (cos(radians(5)) - {P.LAI_LOW[8]}) / (1 - {P.LAI_LOW[8]}) - 1 AS x8"
+    neurons = ", ".join(f"tanh({w[0]} + " + " + ".join(f"({w[k + 1]}) * x{k}" for k in range(10)) + f") AS h{i}" for i, w in enumerate(P.LAI_HIDDEN))
+    out = f"({P.LAI_OUT[0]} + " + " + ".join(f"({w}) * h{i}" for i, w in enumerate(P.LAI_OUT[1:])) + ")"
+    return f"WITH r AS (SELECT field, {raw} FROM fx_pixels), x AS (SELECT field, {scaled} FROM r), h AS (SELECT field, {neurons} FROM x) SELECT field, round(avg(greatest(0, least(8, ({out} + 1) / 2 * ({P.LAI_SPAN[1]} - {P.LAI_SPAN[0]}) + {P.LAI_SPAN[0]}))), 6) AS lai, count(*) AS n FROM h GROUP BY field"
+
+
+@query(_lai_sql())
 def leaf_area(fx: Fx) -> DataFrame:
-    lai = P.leaf_area([F.col("disc"), F.col("tax")], [0.0, 0.0], [0.1, 0.08], [[0.7, -0.2], [-0.4, 0.9]], [0.3, -0.1], [0.6, -0.3], 0.05, 8.0)
-    return rounded(fx.pixels.select("field", lai.alias("lai")).groupBy("field").agg(F.avg("lai").alias("lai")))
+    bands = {b: 0.02 + (F.col("prow") * (3 + k) + F.col("pcol") * (5 + 2 * k) + F.col("farm")) % 40 / 200.0 for k, b in enumerate(P.LAI_BANDS)}
+    return rounded(fx.pixels.select("field", P.snap_lai(bands, 0.5 + F.col("tax") * 4).alias("lai")).groupBy("field").agg(F.avg("lai").alias("lai"), F.count("lai").alias("n")))
+
+
+_DECL = "radians(23.44 * sin(2 * pi() * (year % 365 + 284) / 365))"
 
 
-@query("SELECT farm, year, round(greatest(0.0, sin(radians(farm % 60)) * sin(radians(-23.44 * cos(radians(360.0 / 365.0 * (year % 365 + 10))))) + cos(radians(farm % 60)) * cos(radians(-23.44 * cos(radians(360.0 / 365.0 * (year % 365 + 10))))) * cos(radians(-22.5))), 6) AS cos_sz FROM fx_fields")
+@query(f"SELECT farm, year, round(greatest(0.0, least(1.0, sin(radians(farm % 60)) * sin({_DECL}) + cos(radians(farm % 60)) * cos({_DECL}) * cos(radians(-22.5)))), 6) AS cos_sz FROM fx_fields")
 def sun_zenith(fx: Fx) -> DataFrame:
     return rounded(fx.fields.select("farm", "year", P.cos_sun_zenith(F.col("farm") % 60, F.col("year") % 365).alias("cos_sz")))
 
@@ -73,10 +84,10 @@ def one_hot(fx: Fx) -> DataFrame:
     return P.one_hot(fx.fields, "crop", ["wheat", "maize", "rye"]).select("field", "crop_wheat", "crop_maize", "crop_rye")
 
 
-@query("SELECT field, jan1, CAST(date_diff('day', jan1, CAST(concat(CAST(year AS STRING), '-06-01') AS DATE)) - 1 AS INTEGER) AS day, jan1 + CAST(sow_day + 1 AS INTEGER) AS sow_date, strftime(jan1 + CAST(sow_day + 1 AS INTEGER), '%d %b') AS label FROM fx_season".replace("jan1 + CAST(sow_day + 1 AS INTEGER) AS sow_date", "CAST(jan1 + CAST(sow_day + 1 AS INTEGER) AS DATE) AS sow_date"))
+@query("SELECT field, jan1, CAST(date_diff('day', jan1, CAST(concat(CAST(year AS STRING), '-06-01') AS DATE)) - 1 AS INTEGER) AS day, jan1 + CAST(sow_day + 1 AS INTEGER) AS sow_date, concat(strftime(DATE '2001-01-01' + CAST(harvest_day % 365 AS INTEGER), '%d %b'), CASE WHEN harvest_day < 365 THEN ' Y-1' ELSE ' Y' END) AS label FROM fx_season".replace("jan1 + CAST(sow_day + 1 AS INTEGER) AS sow_date", "CAST(jan1 + CAST(sow_day + 1 AS INTEGER) AS DATE) AS sow_date"))
 def calendar(fx: Fx) -> DataFrame:
     june = F.make_date("year", F.lit(6), F.lit(1))
-    return fx.season.withColumn("year", F.col("year").cast("int")).select("field", "jan1", P.cube_day(june, "jan1").alias("day"), P.cube_date("sow_day", "jan1").alias("sow_date"), P.window_label("sow_day", "jan1").alias("label"))
+    return fx.season.withColumn("year", F.col("year").cast("int")).select("field", "jan1", P.cube_day(june, "jan1").alias("day"), P.cube_date("sow_day", "jan1").alias("sow_date"), P.window_label("harvest_day").alias("label"))
 
 
 @query("WITH a AS (SELECT c_custkey, c_custkey * 37 % 1800 - 900 AS la, c_custkey * 91 % 3600 - 1800 AS lo FROM customer) SELECT concat(CASE WHEN la < 0 THEN 's' ELSE 'n' END, printf('%05.1f', abs(la) / 10.0), '_', CASE WHEN lo < 0 THEN 'w' ELSE 'e' END, printf('%05.1f', abs(lo) / 10.0)) AS cell, count(*) AS n FROM a GROUP BY 1")

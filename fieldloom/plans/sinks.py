@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
-from fieldloom.functions.scalars import expand_columns, resolve
+from fieldloom.functions.features import column, resolve
+from fieldloom.functions.scalars import expand_columns
 from fieldloom.operators import splits as X
 from fieldloom.plans.evaluation import rounded
 from fieldloom.plans.fixtures import Fx
@@ -46,15 +47,19 @@ def season_files(fx: Fx) -> DataFrame:
     return S.read_seasons(fx.spark, path).select("field", "jan1", "sow_day", "harvest_day")
 
 
-@query("WITH y AS (SELECT year, coalesce(lead(year) OVER (ORDER BY year), min(year) OVER ()) AS val FROM (SELECT DISTINCT year FROM fx_fields)), r AS (SELECT y.year AS fold, CASE WHEN f.year = y.year THEN 2 WHEN f.year = y.val THEN 1 ELSE 0 END AS role, f.field FROM fx_fields f CROSS JOIN y) SELECT CAST(fold AS INTEGER) AS fold, role, count(*) AS n, min(field) AS first, max(field) AS last FROM r WHERE fold <> 1997 OR role > 0 GROUP BY fold, role")
+@query("WITH y AS (SELECT year, coalesce(lead(year) OVER (ORDER BY year), min(year) OVER ()) AS val FROM (SELECT DISTINCT year FROM fx_fields)), r AS (SELECT y.year AS fold, y.val, CASE WHEN f.year = y.year THEN 2 WHEN f.year = y.val THEN 1 ELSE 0 END AS role, f.field FROM fx_fields f CROSS JOIN y) SELECT CAST(fold AS INTEGER) AS fold, role, count(*) AS n, min(field) AS first, max(field) AS last, CASE WHEN fold = 1997 THEN 'anew' ELSE 'first' END AS method, CAST(max(val) AS BIGINT) AS val_year FROM r WHERE fold <> 1997 OR role > 0 GROUP BY fold, role")
 def split_store(fx: Fx) -> DataFrame:
-    """Folds through a partitioned store of which one partition is then built anew, read a fold at a time."""
+    """Folds with their attributes through a partitioned store of which one partition is then built anew, a fold at a time."""
     path = _folder(fx, "splits")
     roles = X.fold_roles(fx.fields, "year").select(F.col("fold").cast("int").alias("fold"), "field", "role")
-    S.write_partitioned(roles, path, ["fold"], ["field"])
-    S.write_partitioned(roles.where("fold = 1997 and role > 0"), path, ["fold"], ["field"])
-    folds = [r.fold for r in fx.spark.read.parquet(path).select("fold").distinct().orderBy("fold").collect()]  # a fold is a year
-    parts = [S.read_split(fx.spark, path, fold=k).select(F.lit(k).alias("fold"), "role", "n", F.array_min("fields").alias("first"), F.array_max("fields").alias("last")) for k in folds]
+    of = roles.where("role = 1").join(fx.fields.select("field", "year"), "field").groupBy("fold").agg(F.max("year").alias("val_year"))
+    S.write_split(roles, of.withColumn("method", F.lit("first")), path, ["fold"])
+    S.write_split(roles.where("fold = 1997 and role > 0"), of.withColumn("method", F.lit("anew")), path, ["fold"])
+    folds = [r.fold for r in fx.spark.read.parquet(f"{path}/fields").select("fold").distinct().orderBy("fold").collect()]  # a fold is a year
+    parts = []
+    for k in folds:
+        fields, attributes = S.read_split(fx.spark, path, fold=k)
+        parts.append(fields.join(attributes, "fold").groupBy("fold", "role", "method", "val_year").agg(F.count("*").alias("n"), F.min("field").alias("first"), F.max("field").alias("last")))
     return S.union_by_name(parts)
 
 
@@ -75,11 +80,13 @@ def report_files(fx: Fx) -> DataFrame:
     return back.select((F.monotonically_increasing_id() + 1).cast("int").alias("place"), "country", "n")
 
 
-@query("SELECT round(avg(clay_0_5), 6) AS clay, round(avg(sand_0_5), 6) AS sand, round(avg(silt_0_5), 6) AS silt, round(avg(clay_0_5 / 100), 6) AS ndvi, round(avg(silt_0_5 / 100), 6) AS ndmi FROM fx_soil")
+@query("SELECT round(avg((clay_0_5 * 5 + clay_5_15 * 10 + clay_15_30 * 15) / 30 * 0.1), 6) AS \"soil_clay_0-30cm\", round(avg((clay_5_15 * 5 + clay_15_30 * 15) / 20 * 0.1), 6) AS \"soil_clay_10-30cm\", round(avg(greatest(-1, least(1, (sand_0_5 - clay_0_5) / (sand_0_5 + clay_0_5)))), 6) AS ndvi, CAST(count_if(clay_0_5 > 20) AS DOUBLE) / count(*) AS observed, round(avg(silt_0_5), 6) AS e5_swvl1, round(avg(CASE WHEN pixel % 3 = 1 THEN 1.0 ELSE 0.0 END), 6) AS \"crop=b\" FROM fx_soil".replace("CAST(count_if(clay_0_5 > 20) AS DOUBLE) / count(*)", "round(CAST(count_if(clay_0_5 > 20) AS DOUBLE) / count(*), 6)"))
 def feature_names(fx: Fx) -> DataFrame:
-    """The columns that a list of feature specifications names."""
-    d = fx.soil.select(F.col("clay_0_5").alias("clay"), F.col("sand_0_5").alias("sand"), F.col("silt_0_5").alias("silt"), (F.col("clay_0_5") / 100).alias("ndvi"), (F.col("silt_0_5") / 100).alias("ndmi"), F.lit(0.0).alias("ndre"))
-    return rounded(d.agg(*[F.avg(c).alias(c) for c in resolve(["indices:ndvi,ndmi", "soil"])]))
+    """The features that a list of specifications names, computed from the columns they are made of."""
+    kinds = F.when(F.col("pixel") % 3 == 1, "b").when(F.col("pixel") % 3 == 2, "a")
+    d = fx.soil.select("*", F.col("sand_0_5").alias("B08"), F.when(F.col("clay_0_5") > 20, F.col("clay_0_5")).alias("B03"), F.col("clay_0_5").alias("B04"), F.col("silt_0_5").alias("e5_swvl1"), kinds.alias("crop"))
+    found = resolve(["soil:clay", "soil:clay@10-30", "indices:ndvi", "observed", "era5land:swvl1", "crop"], {"crop": ["b"]})
+    return rounded(d.agg(*[F.avg(column(f, "B03")).alias(f.name) for f in found]))
 
 
 @query("SELECT " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in ("sand_0_5", "clay_0_5", "clay_5_15", "clay_15_30", "clay_30_60", "clay_60_100", "clay_100_200")) + " FROM fx_soil")

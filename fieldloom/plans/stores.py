@@ -10,6 +10,7 @@ from fieldloom.operators import filters as L
 from fieldloom.operators import joins as J
 from fieldloom.operators import metrics as M
 from fieldloom.operators import spatial as G
+from fieldloom.operators.load import Tables, fit_scaler, load
 from fieldloom.plans.evaluation import rounded
 from fieldloom.plans.fixtures import Fx
 from fieldloom.plans.registry import query
@@ -148,21 +149,35 @@ def reference_results(fx: Fx) -> DataFrame:
     return J.reference_results(fx.fields.groupBy("country").agg(F.count("*").alias("n")), ref, ["country"])
 
 
-PX5 = "px AS (SELECT * FROM fx_masked)"
+def _chosen(name: str, years: str) -> str:
+    """Pixels of some years: away from the edge, seen three times, six a field; and their steps about sowing."""
+    return f"""{name}p AS (SELECT p.*, f.country, f.crop, s.sow_day FROM fx_masked p JOIN fx_fields f ON p.field = f.field JOIN fx_season s ON p.field = s.field WHERE p.year {years} AND f.country <> 'ASIA'),
+    {name}e AS (SELECT * FROM {name}p p WHERE 4 = (SELECT count(*) FROM {name}p q WHERE q.field = p.field AND abs(q.prow - p.prow) + abs(q.pcol - p.pcol) = 1)),
+    {name}o AS (SELECT e.* FROM {name}e e WHERE 3 <= (SELECT count(B04) FROM fx_steps t WHERE t.field = e.field AND t.prow = e.prow AND t.pcol = e.pcol)),
+    {name}k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY md5(concat_ws('|', '3', field, CAST(prow AS VARCHAR), CAST(pcol AS VARCHAR))), prow, pcol) AS r FROM {name}o) WHERE r <= 6),
+    {name}s AS (SELECT k.field, k.prow, k.pcol, m, CASE WHEN B08 + B04 <> 0 THEN greatest(-1, least(1, (B08 - B04) / (B08 + B04))) END AS ndvi, CASE WHEN B04 IS NULL THEN 0.0 ELSE 1.0 END AS observed FROM {name}k k CROSS JOIN (SELECT unnest(range(-2, 3)) AS m) LEFT JOIN fx_steps t ON t.field = k.field AND t.prow = k.prow AND t.pcol = k.pcol AND t.k = CAST(floor((sow_day - 200) / 20.0) AS BIGINT) + m)"""
 
 
-@query(f"""WITH {PX5}, cells AS (SELECT field, r, c FROM (SELECT DISTINCT field FROM px), (SELECT unnest(range(-1, 11)) AS r), (SELECT unnest(range(-1, 11)) AS c)), em AS (SELECT * FROM cells WHERE NOT EXISTS (SELECT 1 FROM px WHERE px.field = cells.field AND px.prow = r AND px.pcol = c)),
-    nr AS (SELECT DISTINCT px.field, px.prow, px.pcol FROM px JOIN em ON px.field = em.field AND abs(px.prow - r) + abs(px.pcol - c) <= 1), i AS (SELECT px.* FROM px ANTI JOIN nr ON px.field = nr.field AND px.prow = nr.prow AND px.pcol = nr.pcol WHERE px.year < 2000),
-    sc AS (SELECT avg(z) AS m, stddev_pop(z) AS d FROM i WHERE year < 1999) SELECT i.field, f.crop, count(*) AS n, round(avg((z - m) / d), 6) AS z, CAST(sum(CASE WHEN f.crop = 'wheat' THEN 1 ELSE 0 END) AS BIGINT) AS wheat FROM i JOIN fx_fields f ON i.field = f.field CROSS JOIN sc WHERE f.country <> 'ASIA' GROUP BY 1, 2""")
+def _tables(fx: Fx) -> Tables:
+    fields = fx.fields.select("field", "country", "crop", "year").join(fx.season.select("field", "sow_day", "harvest_day", "jan1"), "field")
+    split = fx.fields.select("field", F.when(F.col("year") < 1999, "train").otherwise("test").alias("role"))
+    return Tables(fx.masked.select("field", "prow", "pcol", "target", F.col("z").alias("elevation")), fx.steps, fields, 20, 200, split)
+
+
+@query(f"""WITH {_chosen('a', '< 1999')}, {_chosen('b', '>= 1999')}, sd AS (SELECT avg(ndvi) AS m, stddev_pop(ndvi) AS d FROM as_), se AS (SELECT avg(z) AS m, stddev_pop(z) AS d FROM ak),
+    st AS (SELECT field, count(*) AS n_steps, avg(coalesce((ndvi - m) / d, 0)) AS ndvi, avg(observed) AS observed FROM (SELECT b.*, sd.m AS m, sd.d AS d FROM (SELECT field, ndvi, observed FROM bs) b, sd) GROUP BY field),
+    pt AS (SELECT field, max(crop) AS crop, count(*) AS n, avg((z - m) / d) AS elevation, avg(CASE WHEN crop = 'wheat' THEN 1.0 ELSE 0.0 END) AS wheat FROM bk, se GROUP BY field)
+    SELECT pt.field, crop, n, n_steps, round(ndvi, 6) AS ndvi, round(observed, 6) AS observed, round(elevation, 6) AS elevation, round(wheat, 6) AS wheat FROM pt JOIN st ON pt.field = st.field""".replace("as AS (SELECT k.field", "as_ AS (SELECT k.field"))
 def load_features(fx: Fx) -> DataFrame:
-    """Feature assembly in its fixed order: edge buffer, split rows, attributes, scaling by training rows, one-hot."""
-    from fieldloom.functions.scalars import one_hot
-
-    p = fx.masked
-    inner = p.join(G.within_edge(p, "field", 1).select("field", "prow", "pcol"), ["field", "prow", "pcol"], "left_anti").where("year < 2000")
-    x = L.scaled(inner, L.scaler(inner.where("year < 1999"), ["z"]), ["z"])
-    x = one_hot(J.attach(x, fx.fields.select("field", "crop", "country"), ["field"]).where("country <> 'ASIA'"), "crop", ["wheat"])
-    return rounded(x.groupBy("field", "crop").agg(F.count("*").alias("n"), F.avg("z").alias("z"), F.sum("crop_wheat").alias("wheat")))
+    """The test role of a split with its features, scaled by the train role: split, country, edge, clear steps, sample, and
+    steps counted from sowing."""
+    options = {"align": "sowing", "season": (-40, 60), "countries": ["AFRICA", "AMERICA", "EUROPE", "MIDDLE EAST"], "edge_buffer_m": 10.0, "min_observed": 3, "pixels_per_field": 6, "seed": 3}
+    specs = ["indices:ndvi", "observed", "terrain:elevation", "crop"]
+    t = _tables(fx)
+    test = load(t, specs, ["test"], scaler=fit_scaler(load(t, specs, ["train"], **options)), **options)
+    steps = test.steps.groupBy("field").agg(F.count("*").alias("n_steps"), F.avg("ndvi").alias("ndvi"), F.avg("observed").alias("observed"))
+    pixels = test.pixels.groupBy("field").agg(F.max("crop").alias("crop"), F.count("*").alias("n"), F.avg("elevation").alias("elevation"), F.avg("crop=wheat").alias("wheat"))
+    return rounded(pixels.join(steps, "field").select("field", "crop", "n", "n_steps", "ndvi", "observed", "elevation", "wheat"))
 
 
 @query("WITH l AS (SELECT field, crop, 'val' AS role, avg(target) AS target, avg(pred) AS pred FROM fx_preds WHERE year = 1999 GROUP BY field, crop UNION ALL SELECT field, crop, 'test', avg(target), avg(pred) FROM fx_preds WHERE year = 2000 GROUP BY field, crop) SELECT role, crop, count(*) AS n, round(avg(target), 6) AS yield_mean, round(sqrt(avg(power(pred - target, 2))) / avg(target), 6) AS rel_rmse FROM l GROUP BY role, crop")

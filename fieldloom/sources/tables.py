@@ -61,12 +61,19 @@ def write_partitioned(df: DataFrame, path: str, by: list[str], sort: list[str] =
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
-def read_split(spark: SparkSession, path: str, **where: str) -> DataFrame:
-    """Fields of one split by role; filters on partition columns prune folders."""
-    df = spark.read.parquet(path)
+def write_split(roles: DataFrame, attributes: DataFrame, path: str, by: list[str]) -> None:
+    """Splits by their keys: (by, field, role) and one row of attributes (by, ...) each. Only splits that `roles` holds are
+    written anew, with their attributes."""
+    write_partitioned(roles, f"{path}/fields", by, ["role", "field"])
+    write_partitioned(attributes.join(roles.select(*by).distinct(), by, "left_semi"), f"{path}/attributes", by)
+
+
+def read_split(spark: SparkSession, path: str, **where: str) -> tuple[DataFrame, DataFrame]:
+    """(field, role) of the splits with these keys, a row a field, and their attributes; filters on the keys prune folders."""
+    out = [spark.read.parquet(f"{path}/{part}") for part in ("fields", "attributes")]
     for c, v in where.items():
-        df = df.where(F.col(c) == v)
-    return df.groupBy("role").agg(F.array_sort(F.collect_list("field")).alias("fields"), F.count("*").alias("n"))
+        out = [df.where(F.col(c) == v) for df in out]
+    return out[0], out[1]
 
 
 def rebuilt(old: DataFrame, new: DataFrame, group: str) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldloom.functions import numeric as N, scalars as P
+from fieldloom.functions import features as X, numeric as N, scalars as P
 from fieldloom.operators import filters as L, metrics as M, profile as R, resample as A, spatial as G, splits as S, tables as B, timeaxis as W
 from fieldloom.sources import tables as IO
 
@@ -102,10 +102,13 @@ def test_corr_of_constants(spark):
 
 
 def test_specs():
-    assert P.resolve(["indices:ndvi,ndmi", "soil"]) == ["ndvi", "ndmi", "clay", "sand", "silt"]
-    for bad in (["what"], ["indices:x"], ["indices", "indices:ndvi"]):
+    names = lambda *specs: [f.name for f in X.resolve(list(specs), {"crop": ["b", "a"], "country": ["c"]})]
+    assert names("indices:ndvi,ndmi", "observed", "lai", "s2:B04", "weather:gdd", "era5land:t2m_c,swvl1") == ["ndvi", "ndmi", "observed", "lai", "B04", "gdd", "e5_t2m_c", "e5_swvl1"]
+    assert names("soil:clay,sand@10-40", "soil:0-5", "crop", "country")[:3] == ["soil_clay_10-40cm", "soil_sand_10-40cm", "soil_clay_0-5cm"] and names("crop") == ["crop=b", "crop=a"]
+    assert len(names("s2")) == 12 and len(names("weather")) == 9 and len(names("weather:all")) == 13 and len(names("terrain", "coords")) == 9 and len(names("era5land")) == 6
+    for bad in (["what"], ["indices:x"], ["indices", "indices:ndvi"], ["soil:clay@30-10"], ["soil:gold"], ["ndvi"]):
         with pytest.raises(ValueError):
-            P.resolve(bad)
+            X.resolve(bad)
     assert P.expand_columns(["b02", "b03", "z"], "z", "b.*") == ["z", "b02", "b03"]
     with pytest.raises(ValueError):
         P.expand_columns(["a"], "q")
@@ -406,7 +409,12 @@ def test_sources(spark, tmp_path):
     assert str(s["f"].jan1) == "2019-01-01" and s["f"].sow_day == 272 and s["f"].harvest_day == 565 and s["g"].sow_day is None
     split = spark.createDataFrame([("eu", 0, "a"), ("eu", 2, "b"), ("us", 0, "c")], "scope string, role int, field string")
     IO.write_partitioned(split, f"{base}/sp", ["scope"])
-    assert rows(IO.read_split(spark, f"{base}/sp", scope="eu")) == [(0, ["a"], 1), (2, ["b"], 1)]
+    of = spark.createDataFrame([("eu", "loyo"), ("us", "loro")], "scope string, method string")
+    IO.write_split(spark.createDataFrame([("eu", "a", 0), ("eu", "b", 2), ("us", "c", 1)], "scope string, field string, role int"), of, f"{base}/sp2", ["scope"])
+    IO.write_split(spark.createDataFrame([("us", "d", 1)], "scope string, field string, role int"), of.withColumn("method", F.lit("cv")), f"{base}/sp2", ["scope"])
+    fields, attributes = IO.read_split(spark, f"{base}/sp2", scope="eu")
+    assert rows(fields.select("field", "role")) == [("a", 0), ("b", 2)] and rows(attributes.select("method")) == [("loyo",)]
+    assert rows(IO.read_split(spark, f"{base}/sp2", scope="us")[0].select("field")) == [("d",)] and rows(IO.read_split(spark, f"{base}/sp2", scope="us")[1].select("method")) == [("cv",)]
     IO.write_report(df, f"{base}/r", ["k"])
     assert IO.markdown(df.select("country", "k"), ["k"]).splitlines()[2] == "| a | 1 |"
     with pytest.raises(ValueError):
@@ -624,3 +632,66 @@ def test_year_structure_of_lone_fields(spark):
     df = spark.createDataFrame([("g", 1, 1.0), ("g", 1, 3.0), ("g", 2, 5.0), ("h", 1, 2.0), ("h", 1, 4.0)], "g string, year int, v double")
     got = {r.g: r for r in M.year_structure(df, ["g"], "year", "v").collect()}
     assert math.isclose(got["g"].within_sd, math.sqrt(2 * 2.0 / 3)) and got["h"].between_share is None and math.isclose(got["h"].within_sd, math.sqrt(2.0))
+
+
+def test_leaf_area_network(spark):
+    """The network by numpy, in single steps."""
+    b = [0.06, 0.05, 0.1, 0.25, 0.3, 0.35, 0.2, 0.12]
+    d = spark.createDataFrame([(*b, 0.7), (*[0.0] * 8, 0.5), (*[0.3] * 7, None, 0.7)], ", ".join(f"{x} double" for x in (*P.LAI_BANDS, "sun")))
+    got = [r.lai for r in d.select(P.snap_lai({x: F.col(x) for x in P.LAI_BANDS}, F.col("sun"), None, 0.25).alias("lai")).collect()]
+    w = np.array(P.LAI_HIDDEN)
+    x = 2 * (np.array([*b, math.cos(math.radians(5)), 0.7]) - P.LAI_LOW) / (np.array(P.LAI_HIGH) - P.LAI_LOW) - 1
+    y = P.LAI_OUT[0] + np.tanh(w[:, 0] + w[:, 1:11] @ x + w[:, 11] * 0.25) @ np.array(P.LAI_OUT[1:])
+    assert math.isclose(got[0], float(np.clip((y + 1) / 2 * (P.LAI_SPAN[1] - P.LAI_SPAN[0]) + P.LAI_SPAN[0], 0, 8)), rel_tol=1e-9) and 0 <= got[1] <= 8 and got[2] is None
+    label = spark.range(1).select(P.window_label(F.lit(0)), P.window_label(F.lit(364)), P.window_label(F.lit(365)), P.window_label(F.lit(500))).first()
+    assert tuple(label) == ("01 Jan Y-1", "31 Dec Y-1", "01 Jan Y", "16 May Y")
+
+
+def test_load_keeps_its_order(spark):
+    """Country, edge, clear steps, then the sample; steps from sowing; z-scores by the train role."""
+    from fieldloom.operators import load as D
+
+    cells = [(f, r, c) for f in ("a", "b", "x") for r in range(5) for c in range(5)]
+    pixels_ = spark.createDataFrame([(*p, float(p[1]), 10.0 * p[2], 300.0, 300.0, 600.0) for p in cells], "field string, prow long, pcol long, target double, elevation double, clay_0_5 double, clay_5_15 double, clay_15_30 double")
+    steps = spark.createDataFrame([(*p, k, None if (p[1] == 2 and k > 0) else 0.1 * (k + 1), 0.5) for p in cells for k in range(4)], "field string, prow long, pcol long, k long, B04 double, B08 double")
+    fields = spark.createDataFrame([("a", "A", "wheat", 2000, 45.0, 115), ("b", "A", "maize", 2001, 45.0, 139), ("x", "B", "rye", 2000, 45.0, None)], "field string, country string, crop string, year int, lat double, sow_day long").withColumn("jan1", F.lit("2000-01-01").cast("date"))
+    series = {"weather": spark.createDataFrame([(f, k, 5.0 + k) for f in "ab" for k in range(4)], "field string, k long, tmean_c double"), "era5land": spark.createDataFrame([("a", 1, 0.3)], "field string, k long, swvl1 double")}
+    t = D.Tables(pixels_, steps, fields, 20, 100, spark.createDataFrame([("a", "train"), ("b", "test"), ("x", "test")], "field string, role string"), series)
+    specs = ["indices:ndvi", "observed", "weather:tmean_c", "era5land:swvl1", "terrain:elevation", "soil:clay", "crop"]
+    got = D.load(t, specs, ["train", "test"], align="sowing", season=(-20, 40), countries=["A"], edge_buffer_m=10.0, min_observed=2)
+    inner = {(f, r, c) for f in "ab" for r in (1, 3) for c in (1, 2, 3)}  # row 2 is seen once, border pixels lie at the edge
+    assert {tuple(r[:3]) for r in got.pixels.collect()} == inner
+    s = {(r.field, r.prow, r.pcol, r.m): r for r in got.steps.collect()}
+    assert len(s) == len(inner) * 3 and {k[3] for k in s} == {-1, 0, 1}
+    one = s["a", 1, 1, 1]  # sown in window 0, so step 1 is window 1
+    assert math.isclose(one.ndvi, (0.5 - 0.2) / 0.7) and (one.observed, one.tmean_c, one.e5_swvl1, one.day) == (1.0, 6.0, 0.3, 20)
+    assert s["a", 1, 1, -1].ndvi is None and s["a", 1, 1, -1].observed == 0.0 and s["b", 1, 1, 1].tmean_c == 7.0
+    p = got.pixels.where("field = 'a' and prow = 1 and pcol = 2").first()
+    assert (p.elevation, p["soil_clay_0-30cm"], p["crop=maize"], p["crop=rye"], p["crop=wheat"]) == (20.0, pytest.approx(45.0), 0.0, 0.0, 1.0)
+    few = D.load(t, ["observed"], fields=["a"], min_observed=2, pixels_per_field=4, n_windows=4)
+    assert few.pixels.count() == 4 and few.pixels.where("prow = 2").count() == 0 and few.steps.count() == 16
+    train = D.load(t, specs, ["train"], season=(100, 180))
+    z = D.load(t, specs, ["train"], season=(100, 180), scaler=D.fit_scaler(train))
+    m = z.steps.agg(F.avg("tmean_c"), F.stddev_pop("tmean_c"), F.count_if(F.col("e5_swvl1").isNull()), F.max("observed")).first()
+    assert math.isclose(m[0], 0.0, abs_tol=1e-9) and math.isclose(m[1], 1.0) and m[2] == 0 and m[3] == 1.0
+    with pytest.raises(ValueError, match="no sowing date"):
+        D.load(t, ["observed"], ["test"], align="sowing")
+    with pytest.raises(ValueError, match="other features"):
+        D.load(t, ["observed"], ["train"], scaler=D.fit_scaler(train))
+    lai = D.load(D.Tables(pixels_, steps.select("*", *[F.lit(0.2).alias(b) for b in P.LAI_BANDS if b != "B04"]), fields, 20, 100), ["lai"], fields=["a"], n_windows=4)
+    assert lai.steps.where("lai is null and prow <> 2").count() == 0
+
+
+def test_farms_that_share_a_field_are_one_region(spark):
+    points = spark.createDataFrame([("a", 0.0, 0.0), ("b", 500.0, 0.0), ("c", 90_000.0, 0.0), ("d", 0.0, 90_000.0)], "farm string, x double, y double")
+    held = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 3), ("e", 9), ("c", None), ("a", None)], "farm string, physical int")
+    assert {r.node: r.label for r in G.region_labels(points, held, "farm", "physical", 10_000).collect()} == {"a": "a", "b": "a", "c": "c", "d": "c", "e": "e"}
+
+
+def test_members_of_other_fields_are_not_used(spark):
+    df = spark.createDataFrame([("a", 1.0, 2.0, 3.0), ("b", 1.0, 2.0, 3.0)], "field string, target double, pred_m0 double, pred_m2 double")
+    means, check = M.member_fields(df, df, "field", 3)
+    assert means.count() == 2 and means.columns == ["field", "target", "m0", "m1"] and tuple(check.first()) == (2, "only 2 members", 0, 0, True)
+    means, check = M.member_fields(df, df.where("field = 'a'"), "field", 1)
+    assert means.count() == 0 and tuple(check.first()) == (1, "", 0, 1, False)
+    assert not M.member_fields(df.select("field", "target"), df, "field", 2)[1].first().usable
