@@ -11,28 +11,34 @@ from fieldloom.plans.fixtures import Fx
 from fieldloom.plans.registry import query
 
 PX = "px AS (SELECT field, prow, pcol, z, target FROM fx_masked)"
+ALL_PX = "px AS (SELECT field, prow, pcol, z, target FROM fx_pixels)"
 
 
 def _px(fx: Fx) -> DataFrame:
+    """Pixels of fields with holes and ragged edges, for what depends on these."""
     return fx.masked.select("field", "prow", "pcol", "z", "target")
 
 
-@query(f"WITH {PX}, b AS (SELECT field, min(prow) AS r0, min(pcol) AS c0, max(prow) - min(prow) + 1 AS h, max(pcol) - min(pcol) + 1 AS w FROM px GROUP BY field) SELECT px.field, prow - r0 AS r, pcol - c0 AS c, h, w FROM px JOIN b ON px.field = b.field")
+def _all(fx: Fx) -> DataFrame:
+    return fx.pixels.select("field", "prow", "pcol", "z", "target")
+
+
+@query(f"WITH {ALL_PX}, b AS (SELECT field, min(prow) AS r0, min(pcol) AS c0, max(prow) - min(prow) + 1 AS h, max(pcol) - min(pcol) + 1 AS w FROM px GROUP BY field) SELECT px.field, prow - r0 AS r, pcol - c0 AS c, h, w FROM px JOIN b ON px.field = b.field")
 def local_image(fx: Fx) -> DataFrame:
-    return G.local_image(_px(fx), "field").select("field", "r", "c", "h", "w")
+    return G.local_image(_all(fx), "field").select("field", "r", "c", "h", "w")
 
 
 OFF = "o AS (SELECT CAST((r + 1) * 3 + c + 1 AS INTEGER) AS \"offset\", r, c FROM (SELECT unnest(range(-1, 2)) AS r), (SELECT unnest(range(-1, 2)) AS c))"
 
 
-@query(f"WITH {PX}, {OFF} SELECT a.field, o.\"offset\", count(*) AS n, count(b.field) AS there FROM px a CROSS JOIN o LEFT JOIN px b ON b.field = a.field AND b.prow = a.prow + o.r AND b.pcol = a.pcol + o.c GROUP BY 1, 2")
+@query(f"WITH {ALL_PX}, {OFF} SELECT a.field, o.\"offset\", count(*) AS n, count(b.field) AS there FROM px a CROSS JOIN o LEFT JOIN px b ON b.field = a.field AND b.prow = a.prow + o.r AND b.pcol = a.pcol + o.c GROUP BY 1, 2")
 def neighbours(fx: Fx) -> DataFrame:
-    return G.neighbours(_px(fx), "field", 3).groupBy("field", "offset").agg(F.count("*").alias("n"), F.count_if("there").alias("there"))
+    return G.neighbours(_all(fx), "field", 3).groupBy("field", "offset").agg(F.count("*").alias("n"), F.count_if("there").alias("there"))
 
 
-@query(f"WITH {PX}, {OFF} SELECT a.field, round(avg(s), 6) AS patch_sum, CAST(sum(k) AS BIGINT) AS present FROM (SELECT a.field, a.prow, a.pcol, sum(coalesce(b.z, 0)) AS s, count(b.field) AS k FROM px a CROSS JOIN o LEFT JOIN px b ON b.field = a.field AND b.prow = a.prow + o.r AND b.pcol = a.pcol + o.c GROUP BY 1, 2, 3) a GROUP BY a.field")
+@query(f"WITH {ALL_PX}, {OFF} SELECT a.field, round(avg(s), 6) AS patch_sum, CAST(sum(k) AS BIGINT) AS present FROM (SELECT a.field, a.prow, a.pcol, sum(coalesce(b.z, 0)) AS s, count(b.field) AS k FROM px a CROSS JOIN o LEFT JOIN px b ON b.field = a.field AND b.prow = a.prow + o.r AND b.pcol = a.pcol + o.c GROUP BY 1, 2, 3) a GROUP BY a.field")
 def patch_gather(fx: Fx) -> DataFrame:
-    p = G.patch_values(_px(fx), "field", "z", 3)
+    p = G.patch_values(_all(fx), "field", "z", 3)
     total = lambda c, zero: F.aggregate(c, zero, lambda x, y: x + y)
     return rounded(p.groupBy("field").agg(F.avg(total("patch", F.lit(0.0))).alias("patch_sum"), F.sum(total("present", F.lit(0))).alias("present")))
 
@@ -131,14 +137,14 @@ def terrain_fit(fx: Fx) -> DataFrame:
     return rounded(G.terrain(_px(fx), "field", "z"))
 
 
-@query(f"WITH {PX}, m AS (SELECT field, median(z) AS m FROM px GROUP BY field) SELECT px.field, prow, pcol, round(z - m, 6) AS rel_z FROM px JOIN m ON px.field = m.field")
+@query(f"WITH {ALL_PX}, m AS (SELECT field, median(z) AS m FROM px GROUP BY field) SELECT px.field, prow, pcol, round(z - m, 6) AS rel_z FROM px JOIN m ON px.field = m.field")
 def relative_elevation(fx: Fx) -> DataFrame:
-    return rounded(G.relative(_px(fx), "field", "z").select("field", "prow", "pcol", "rel_z"))
+    return rounded(G.relative(_all(fx), "field", "z").select("field", "prow", "pcol", "rel_z"))
 
 
-@query(f"WITH {PX}, im AS (SELECT px.*, prow - min(prow) OVER (PARTITION BY field) AS r, pcol - min(pcol) OVER (PARTITION BY field) AS c FROM px), s AS (SELECT unnest(range(0, 10, 2)) AS s), t AS (SELECT field, prow, pcol, z, a.s AS tr, b.s AS tc FROM im, s a, s b WHERE r >= a.s AND r < a.s + 4 AND c >= b.s AND c < b.s + 4), v AS (SELECT *, avg(z) OVER (PARTITION BY field, tr, tc) AS t FROM t) SELECT field, prow, pcol, round(avg(t), 6) AS value, count(*) AS n_tiles FROM v GROUP BY field, prow, pcol")
+@query(f"WITH {ALL_PX}, im AS (SELECT px.*, prow - min(prow) OVER (PARTITION BY field) AS r, pcol - min(pcol) OVER (PARTITION BY field) AS c FROM px), s AS (SELECT unnest(range(0, 10, 2)) AS s), t AS (SELECT field, prow, pcol, z, a.s AS tr, b.s AS tc FROM im, s a, s b WHERE r >= a.s AND r < a.s + 4 AND c >= b.s AND c < b.s + 4), v AS (SELECT *, avg(z) OVER (PARTITION BY field, tr, tc) AS t FROM t) SELECT field, prow, pcol, round(avg(t), 6) AS value, count(*) AS n_tiles FROM v GROUP BY field, prow, pcol")
 def tile_average(fx: Fx) -> DataFrame:
-    return rounded(G.tile_average(_px(fx), "field", F.col("z"), 4, 2))
+    return rounded(G.tile_average(_all(fx), "field", F.col("z"), 4, 2))
 
 
 FOOT = "s AS (SELECT a.field AS a, b.field AS b, count(*) AS shared FROM fx_footprint a JOIN fx_footprint b ON a.x = b.x AND a.y = b.y AND a.field < b.field GROUP BY 1, 2), k AS (SELECT field, count(*) AS n FROM fx_footprint GROUP BY field), iou AS (SELECT a, b, shared, shared / (p.n + q.n - shared) AS iou FROM s JOIN k p ON a = p.field JOIN k q ON b = q.field)"
@@ -180,6 +186,6 @@ def centre_distances(fx: Fx) -> DataFrame:
     return rounded(G.centre_distances(p, "n_nationkey"))
 
 
-@query(f"WITH {PX} SELECT field, round(avg((pcol + 0.5) * 10), 6) AS x, round(avg((prow + 0.5) * 10), 6) AS y FROM px GROUP BY field")
+@query(f"WITH {ALL_PX} SELECT field, round(avg((pcol + 0.5) * 10), 6) AS x, round(avg((prow + 0.5) * 10), 6) AS y FROM px GROUP BY field")
 def field_centroid(fx: Fx) -> DataFrame:
-    return rounded(G.centroid(_px(fx), "field"))
+    return rounded(G.centroid(_all(fx), "field"))

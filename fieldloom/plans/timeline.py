@@ -94,10 +94,17 @@ def daily_resample(fx: Fx) -> DataFrame:
     return rounded(W.daily(fx.events, ["event_type"], "ts", "value"))
 
 
-@query("WITH a AS (SELECT CAST(ts AS DATE) AS date, count(*) AS clicks FROM events WHERE event_type = 'click' GROUP BY 1), b AS (SELECT CAST(ts AS DATE) AS date, count(*) AS errors FROM events WHERE event_type = 'error' GROUP BY 1) SELECT coalesce(a.date, b.date) AS date, clicks, errors FROM a FULL JOIN b ON a.date = b.date")
+KINDS = ("click", "error", "view", "purchase", "signup")
+
+
+@query("SELECT CAST(ts AS DATE) AS date, " + ", ".join(f"nullif(count_if(event_type = '{k}'), 0) AS {k}" for k in KINDS) + " FROM events GROUP BY 1")
 def merge_variables(fx: Fx) -> DataFrame:
-    per = lambda cond, name: fx.events.where(cond).groupBy(F.to_date("ts").alias("date")).agg(F.count("*").alias(name))
-    return W.merge_on(per("event_type = 'click'", "clicks"), per("event_type = 'error'", "errors"), ["date"])
+    """Tables of one variable each, merged on their date."""
+    per = [fx.events.where(F.col("event_type") == k).groupBy(F.to_date("ts").alias("date")).agg(F.count("*").alias(k)) for k in KINDS]
+    out = per[0]
+    for p in per[1:]:
+        out = W.merge_on(out, p, ["date"])
+    return out
 
 
 WW = "WITH d AS (SELECT *, CAST(floor(day / 5.0) AS BIGINT) AS k FROM fx_daily), p AS (SELECT field, k, count(*) AS n_days, CASE WHEN count(*) = 5 THEN avg(temp_mean) END AS temp_mean_mean, CASE WHEN count(*) = 5 THEN coalesce(sum(prec), 0) END AS prec_sum, CASE WHEN count(*) = 5 THEN arg_max(temp_max, day) END AS temp_max_last FROM d GROUP BY field, k), g AS (SELECT field, CAST(k AS BIGINT) AS k FROM (SELECT DISTINCT field FROM fx_daily), (SELECT unnest(range(0, 5 + 1)) AS k))"
