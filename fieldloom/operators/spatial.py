@@ -81,19 +81,40 @@ def _squared_distance(mask: np.ndarray) -> np.ndarray:
 
 
 def edge_distance(pixels: DataFrame, field: str, size: float = 10.0, min_hole: int = 0) -> DataFrame:
-    """Distance in metres from each pixel's centre to the nearest empty cell's centre. Holes inside the field's outline of
-    fewer than `min_hole` cells count as field. Two passes over a field's image, none over pairs of cells."""
+    """Distance in metres from each pixel's centre to the nearest empty cell's centre; repeated pixels come out once.
 
-    def measure(pdf: pd.DataFrame) -> pd.DataFrame:
-        mask, r, c = _raster(pdf, 1)
-        if min_hole:
+    A pixel's nearest empty cell in its own column is the end of the column's run of pixels; the nearest of all is the least
+    k * k + g * g over the pixels k columns away in its row, with g their distance along their column. No further ones can
+    be nearer than the pixel's own g and the ends of its row's run, so a window is a column and a list is a run of one row:
+    no task holds a field's image. With `min_hole`, holes inside the field's outline of fewer cells count as field; holes need a
+    walk over the whole image, so a field is then one task.
+    """
+    t = dict(pixels.dtypes)
+    if min_hole:
+
+        def measure(pdf: pd.DataFrame) -> pd.DataFrame:
+            mask, r, c = _raster(pdf, 1)
             for cells in _holes(mask):
                 if len(cells) < min_hole:
                     mask[tuple(np.array(cells).T)] = True
-        return pdf[[field, "prow", "pcol"]].assign(edge=np.sqrt(_squared_distance(mask)[r, c]) * size)
-
-    t = dict(pixels.dtypes)
-    return pixels.select(field, "prow", "pcol").groupBy(field).applyInPandas(measure, f"`{field}` {t[field]}, prow {t['prow']}, pcol {t['pcol']}, edge double")
+            return pdf[[field, "prow", "pcol"]].assign(edge=np.sqrt(_squared_distance(mask)[r, c]) * size)
+
+        return pixels.select(field, "prow", "pcol").groupBy(field).applyInPandas(measure, f"`{field}` {t[field]}, prow {t['prow']}, pcol {t['pcol']}, edge double")
+    along = lambda by, at: (F.col(at) - F.dense_rank().over(Window.partitionBy(field, by).orderBy(at))).cast("bigint")
+    p = pixels.select(field, F.col("prow").cast("bigint").alias("prow"), F.col("pcol").cast("bigint").alias("pcol")).withColumn("_run", along("pcol", "prow"))
+    run = Window.partitionBy(field, "pcol", "_run")
+    g = F.least(F.col("prow") - F.min("prow").over(run), F.max("prow").over(run) - F.col("prow")) + 1
+    p = p.select(field, "prow", "pcol", g.alias("_g")).withColumn("_run", along("prow", "pcol"))
+    rows = p.groupBy(field, "prow", "_run").agg(F.min("pcol").alias("_first"), F.array_sort(F.collect_set(F.struct("pcol", "_g"))).alias("_a"))
+    rows = rows.select(field, "prow", "_first", F.transform("_a", lambda x: x["_g"]).alias("_a"))
+
+    def nearest(g: Column, i: Column) -> Column:
+        most = F.least(g, i + 1, F.size("_a") - i).cast("int")
+        near = F.transform(F.sequence(i - most + 1, i + most - 1), lambda j: (j - i) * (j - i) + F.get("_a", j) * F.get("_a", j))
+        return F.least((most * most).cast("bigint"), F.array_min(near))
+
+    d = rows.select(field, "prow", "_first", F.posexplode(F.transform("_a", nearest)).alias("_i", "_d"))
+    return d.select(field, F.col("prow").cast(t["prow"]).alias("prow"), (F.col("_first") + F.col("_i")).cast(t["pcol"]).alias("pcol"), (F.sqrt(F.col("_d").cast("double")) * size).alias("edge"))
 
 
 def within_edge(pixels: DataFrame, field: str, cells: int) -> DataFrame:

@@ -695,3 +695,17 @@ def test_members_of_other_fields_are_not_used(spark):
     means, check = M.member_fields(df, df.where("field = 'a'"), "field", 1)
     assert means.count() == 0 and tuple(check.first()) == (1, "", 0, 1, False)
     assert not M.member_fields(df.select("field", "target"), df, "field", 2)[1].first().usable
+
+
+def test_edge_distance_of_odd_fields(spark):
+    """Fields in two distant parts, with holes and with repeated pixels, against all pairs."""
+    rng = np.random.default_rng(14)
+    mask = np.ones((16, 19), bool)
+    mask[rng.integers(0, 16, 12), rng.integers(0, 19, 12)] = False
+    cells = [(int(r) - 3, int(c)) for r, c in zip(*np.where(mask), strict=True)] + [(5, 100_000_000 + c) for c in range(4)]
+    df = spark.createDataFrame([("f", r, c) for r, c in cells + cells[:20]] + [("g", 0, 0)], "field string, prow int, pcol long")
+    got = {(r.field, r.prow, r.pcol): r.edge for r in G.edge_distance(df, "field").collect()}
+    empty = [(r, c) for r in range(-4, 14) for c in range(-1, 20) if (r, c) not in set(cells)]
+    assert len(got) == len(cells) + 1 and got["g", 0, 0] == 10.0 and got["f", 5, 100_000_001] == 10.0
+    assert all(math.isclose(got["f", r, c], 10 * min(math.dist((r, c), e) for e in empty)) for r, c in cells if c < 100)
+    assert G.edge_distance(df, "field").schema["prow"].dataType.simpleString() == "int"
