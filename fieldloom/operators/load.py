@@ -13,6 +13,7 @@ from fieldloom.operators import filters as L
 from fieldloom.operators import spatial as G
 from fieldloom.operators.resample import per_group
 from fieldloom.operators.timeaxis import scaffold
+from fieldloom.session import checkpoint_dir
 
 PIXEL = ["field", "prow", "pcol"]
 
@@ -76,7 +77,8 @@ def load(t: Tables, features: list[str], roles: list[str] | None = None, fields:
     categories = {c: sorted(str(r[0]) for r in t.fields.select(c).where(F.col(c).isNotNull()).distinct().collect()) for c in X.CATEGORICAL if any(s.partition(":")[0] == c for s in features)}  # one-hot columns need their names
     found = X.resolve(features, categories)
     dynamic, static = [f for f in found if f.dynamic], [f for f in found if not f.dynamic]
-    keys = _rows(t, roles, fields, countries, crops, years, edge_buffer_m, min_observed, pixels_per_field, seed)
+    checkpoint_dir(t.pixels.sparkSession)
+    keys = _rows(t, roles, fields, countries, crops, years, edge_buffer_m, min_observed, pixels_per_field, seed).checkpoint()  # chosen once, met three times
     attributes = L.rows_of(t.fields, keys, "field")
     if event and (n := attributes.where(F.col(event).isNull()).count()):
         raise ValueError(f"{n} fields have no {align} date")

@@ -161,12 +161,12 @@ def heat_rules(fields: DataFrame, days: DataFrame, field: str, by: list[str], he
     sums = ends.join(own, (F.col(field) == F.col("_f")) & (F.col("_day") >= F.col("start")) & (F.col("_day") <= F.col("_end")), "left").groupBy(field, *by).agg(F.coalesce(F.sum("_heat"), F.lit(0.0)).alias("_sum"))
     widths = sums.groupBy(*by).agg(F.round(F.percentile("_sum", 0.95) / (steps - 1), 1).alias("width"))
     rules = starts.join(widths, by, "left").select(*by, "start", "width", "n", F.lit(None).cast("string").alias("stands_for"))
-    out = rules
+    own = rules
     for of, by_whom in stand_ins.items():
-        same = lambda key: F.expr(" and ".join(f"`{c}` = '{v}'" for c, v in zip(by, key, strict=True)))
-        lent = rules.where(same(by_whom)).select(*[F.lit(v).alias(c) for c, v in zip(by, of, strict=True)], "start", "width", "n", F.lit("|".join(map(str, by_whom))).alias("stands_for"))
-        out = out.unionByName(lent.join(rules.where(same(of)).select(*by), by, "left_anti"))
-    return out
+        same = F.expr(" and ".join(f"`{c}` = '{v}'" for c, v in zip(by, by_whom, strict=True)))
+        own = own.unionByName(rules.where(same).select(*[F.lit(v).alias(c) for c, v in zip(by, of, strict=True)], "start", "width", "n", F.lit("|".join(map(str, by_whom))).alias("stands_for")))
+    kept = F.min_by(F.struct("start", "width", "n", "stands_for"), F.coalesce("stands_for", F.lit("")))  # a group's own rule before one that stands in
+    return own.groupBy(*by).agg(kept.alias("_r")).select(*by, "_r.*")
 
 
 def thermal_windows(scenes: DataFrame, days: DataFrame, rules: DataFrame, field: str, heat: str, steps: int, first_day: int, last_day: int) -> DataFrame:

@@ -553,7 +553,7 @@ def test_moments_far_from_zero(spark):
     for by, rows_ in (([], np.ones(900, bool)), (["g"], np.arange(900) % 30 < 20)):
         s = M.scores_from_moments(m, by).where("g = 'a'" if by else "true").first()
         t, q = y[rows_], p[rows_]
-        assert math.isclose(1 - s.pixel_r2, ((t - q) ** 2).sum() / ((t - t.mean()) ** 2).sum(), rel_tol=1e-9) and s.n_pixels == len(t)
+        assert math.isclose(1 - s.pixel_r2, ((t - q) ** 2).sum() / ((t - t.mean()) ** 2).sum(), rel_tol=5e-9) and s.n_pixels == len(t)  # a mean near 1e8 is a double to 7e-9
     whole, parts = M.merged_moments(m, []).first(), M.merged_moments(M.merged_moments(m, ["g"]), []).first()
     assert all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(whole, parts, strict=True))
     assert math.isclose(whole.cyp, ((y - y.mean()) * (p - p.mean())).sum(), rel_tol=1e-8)
