@@ -13,10 +13,12 @@ of 0.8 of all five-word shingles leaves 15 % of the bits different, which no rad
 `similar_texts` therefore takes several blocks of 64 bits as one wide fingerprint of the distinct shingles, in groups of
 correlated bits again. Each group's threshold (none, equal, one bit) comes from a dynamic program that reaches the
 wanted probability of meeting at least once, for a pair just similar enough, at the least estimated number of probes
-and candidates. Rows of a bucket are compared by another 64 bits, which travel with them; what passes is compared by the
-whole fingerprint, and pairs that it leaves in doubt are verified by their sets of shingles. A bucket links its members
-by its shortest links only, so large clusters make no pairs, and links between texts that are already in one component
-are not verified.
+and candidates. Rows of a bucket are compared by 128 of the bits, which travel with them; what passes is compared by the
+whole fingerprint, and pairs that it leaves in doubt are verified by their sets of shingles, unless certain links join
+their texts already. A bucket with more than `LINKS` links a member tells only a tree of the shortest, so large clusters make
+no pairs. If verification takes such a tree apart, all links of that bucket between its parts are told and verified, so
+that no link is lost for a rejected one. Beyond `RUN` members, a bucket's runs meet through its first `LEADERS` members only;
+links between runs that neither these nor another bucket make are not found.
 
 Results for odd input: null or empty text has no words and fingerprint zero, linked like any other; a very long text is
 one row of one task; rows repeated with one id are nodes like others; null ids keep their row, with the component of
@@ -234,12 +236,12 @@ WIDTHS = (14, 16, 18, 20, 24, 28, 32)
 RECALL = 0.99
 #: Deviations that a distance may be off before a pair is taken for certain, or given up.
 DOUBT = 3.0
-#: Pairs of a bucket that are compared at once, and members of a bucket up to which all its links are told.
-AT_ONCE, FEW = 1 << 18, 8
-#: Members of a bucket that are compared pair by pair; more are compared so many at a time, and all with the first ones.
+#: Pairs of a bucket that are compared at once; members of a bucket, and links a member, up to which all links are told.
+AT_ONCE, FEW, LINKS = 1 << 18, 8, 4
+#: Members of a bucket that are compared with each other; more are compared so many at a time, and all with the first ones.
 RUN, LEADERS = 20_000, 64
-#: Links in doubt that a component has verified before all that are left are.
-ASKED = 4
+#: 64-bit words of the fingerprint that travel with the rows of a bucket.
+SKETCH = 2
 #: Rows of 16 bytes that are broadcast after a count.
 SMALL_ROWS = 300_000
 
@@ -327,61 +329,100 @@ def wide_plan(bits: np.ndarray, n: int, share: float, recall: float = RECALL) ->
     return min(found, key=lambda x: x[0])[1]
 
 
+_PROBE = ["bucket", "own", "node", *(f"s{k}" for k in range(SKETCH))]
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of sketches, over the last axis."""
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+
+
+def _sketches(b: pa.RecordBatch) -> np.ndarray:
+    return np.stack([b.column(c).to_numpy().view(np.uint64) for c in _PROBE[3:]], axis=1)
+
+
 def _key_rows(groups: list[tuple[list[int], int]]):
-    """Arrow mapper: (node, fp) to (bucket, own, node, sketch), a row for each group and each value it probes."""
+    """Arrow mapper: (node, fp) to (bucket, own, node, s0, s1), a row for each group and each value it probes."""
 
     def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 2000):
                 node = b.column(0).slice(i, 2000).to_numpy()
                 words = np.frombuffer(b"".join(b.column(1).slice(i, 2000).to_pylist()), np.uint64).reshape(len(node), -1)
-                bits, sketch = _bits(words), words[:, -1].view(np.int64)
+                bits, sketch = _bits(words), [pa.array(np.ascontiguousarray(words[:, k - SKETCH]).view(np.int64)) for k in range(SKETCH)]
                 for k, (g, t) in enumerate(groups):
                     value = bits[:, g].astype(np.int64) @ (np.int64(1) << np.arange(len(g)))
                     for flip in [0, *(1 << x for x in range(t * len(g)))]:
                         bucket = np.int64(k) << 40 | value ^ flip
-                        yield pa.record_batch([pa.array(bucket), pa.array(np.full(len(node), flip == 0)), pa.array(node), pa.array(sketch)], names=["bucket", "own", "node", "sketch"])
+                        yield pa.record_batch([pa.array(bucket), pa.array(np.full(len(node), flip == 0)), pa.array(node), *sketch], names=_PROBE)
 
     return mapper
 
 
-def _forest(a: np.ndarray, b: np.ndarray, d: np.ndarray, size: int) -> np.ndarray:
-    """Which links connect what they all connect, the shortest ones first (a and b are places below `size`)."""
-    up = list(range(size))
-
-    def root(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    keep = []
-    for k in np.lexsort((b, a, d)).tolist():
-        x, y = root(int(a[k])), root(int(b[k]))
-        if x != y:
-            up[y] = x
-            keep.append(k)
-            if len(keep) == size - 1:
+def _tree(node: np.ndarray, own: np.ndarray, sketch: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the shortest links that connect what all links within the limit connect. The tree grows by the nearest
+    member outside, so the memory is that of the members; ties go to the smaller node, so that buckets which hold the same
+    members tell the same links."""
+    m, far = len(node), 1 << 20
+    near, by, out = np.full(m, far, np.int64), np.zeros(m, np.int64), np.ones(m, bool)
+    a, b = [], []
+    rank = np.empty(m, np.int64)
+    rank[np.argsort(node, kind="stable")] = np.arange(m)
+    order = np.argsort(rank)
+    at = int(order[0])
+    seen = 0
+    for _ in range(m):
+        out[at] = False
+        apart = _apart(sketch, sketch[at])
+        ok = out & (apart <= limit) & (own | own[at]) & (node != node[at])
+        new = ok & ((apart < near) | (apart == near) & (rank[at] < rank[by]))
+        near[new], by[new] = apart[new], at
+        if not out.any():
+            break
+        nearest = np.where(out, near, far)
+        least = int(nearest.min())
+        if least < far:
+            tied = np.flatnonzero(nearest == least)
+            at = int(tied[np.argmin(rank[tied])])
+            a.append(at)
+            b.append(int(by[at]))
+        else:  # nothing outside is near: a new tree from the smallest member that is left
+            while not out[order[seen]]:
+                seen += 1
+            at = int(order[seen])
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _links_of(node: np.ndarray, own: np.ndarray, sketch: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Links of one large bucket, and whether some were left out: all of them while there are up to `LINKS` a member, else
+    a tree of the shortest; beyond `RUN` members a tree for each run of them together with the first ones."""
+    m, told = len(node), []
+    if m <= RUN:
+        step, count = max(1, AT_ONCE // m), 0
+        for i in range(0, m, step):
+            rows = np.arange(i, min(i + step, m))
+            cols = np.arange(rows[-1])
+            apart = _apart(sketch[rows][:, None], sketch[cols][None, :])
+            x, y = np.nonzero((apart <= limit) & (cols[None, :] < rows[:, None]) & (own[rows][:, None] | own[cols][None, :]) & (node[rows][:, None] != node[cols][None, :]))
+            told.append((rows[x], cols[y]))
+            count += len(x)
+            if count > LINKS * m:
                 break
-    return np.array(keep, np.int64)
-
-
-def _links_of(node: np.ndarray, own: np.ndarray, sketch: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links of one large bucket, a part of its pairs at a time; the links of each part only as far as they connect."""
-    step = max(1, AT_ONCE // max(1, min(len(node), RUN)))
-    for i in range(0, len(node), step):
-        rows = np.arange(i, min(i + step, len(node)))
-        lo = i // RUN * RUN
-        cols = np.unique(np.concatenate([np.arange(min(LEADERS, len(node))), np.arange(lo, rows[-1])])) if len(node) > RUN else np.arange(rows[-1])
-        apart = np.bitwise_count(sketch[rows][:, None] ^ sketch[cols][None, :])
-        x, y = np.nonzero((apart <= limit) & (cols[None, :] < rows[:, None]) & (own[rows][:, None] | own[cols][None, :]) & (node[rows][:, None] != node[cols][None, :]))
-        if len(x):
-            keep = _forest(rows[x], cols[y], apart[x, y], len(node))
-            yield node[rows[x[keep]]], node[cols[y[keep]]]
+        else:
+            x, y = (np.concatenate(z) for z in zip(*told, strict=True))
+            return node[x], node[y], False
+    told = []
+    for i in range(0, m, RUN):
+        part = np.unique(np.concatenate([np.arange(min(LEADERS, m)), np.arange(i, min(i + RUN, m))]))
+        x, y = _tree(node[part], own[part], sketch[part], limit)
+        told.append((part[x], part[y]))
+    x, y = (np.concatenate(z) for z in zip(*told, strict=True))
+    return node[x], node[y], True
 
 
 def _bucket_links(limit: int):
-    """Arrow mapper over rows sorted by bucket: (a, b) of members whose sketches are near; two visitors are no pair."""
+    """Arrow mapper over rows sorted by bucket: (a, b, thinned) of members whose sketches are near; two visitors are no
+    pair. `thinned` is the bucket if it left links out, else null."""
 
     def small(cut: np.ndarray, size: np.ndarray, own: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ahead = np.repeat(np.cumsum(size), size) - np.arange(size.sum()) - 1
@@ -389,7 +430,7 @@ def _bucket_links(limit: int):
         a = np.repeat(np.arange(len(at)), ahead)
         b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(ahead) - ahead, ahead)
         a, b = at[a], at[b]
-        near = (np.bitwise_count(sketch[a] ^ sketch[b]) <= limit) & (own[a] | own[b]) & (node[a] != node[b])
+        near = (_apart(sketch[a], sketch[b]) <= limit) & (own[a] | own[b]) & (node[a] != node[b])
         return node[a[near]], node[b[near]]
 
     def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,12 +451,11 @@ def _bucket_links(limit: int):
                 yield _pairs(*small(cut[some], size[some], own, node, sketch))
             for k in np.flatnonzero(size[:done] > FEW).tolist():
                 x, y = cut[k], cut[k] + size[k]
-                for a, b in _links_of(node[x:y], own[x:y], sketch[x:y], limit):
-                    yield _pairs(a, b)
+                a, b, thinned = _links_of(node[x:y], own[x:y], sketch[x:y], limit)
+                yield _pairs(a, b, int(bucket[x]) if thinned else None)
 
         for b in batches:
-            bucket, own, node, sketch = (b.column(c).to_numpy(zero_copy_only=False) for c in range(4))
-            held.append((bucket, own, node, sketch.view(np.uint64)))  # bits are counted of unsigned numbers
+            held.append((*(b.column(c).to_numpy(zero_copy_only=False) for c in range(3)), _sketches(b)))
             if sum(len(x[0]) for x in held) >= 200_000:
                 yield from links(False)
         if held:
@@ -424,28 +464,79 @@ def _bucket_links(limit: int):
     return mapper
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+def _pairs(a: np.ndarray, b: np.ndarray, thinned: int | None = None) -> pa.RecordBatch:
+    of = pa.nulls(len(a), pa.int64()) if thinned is None else pa.array(np.full(len(a), thinned))
+    return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), of], names=["a", "b", "thinned"])
+
+
+def _probes(nodes: DataFrame, groups: list[tuple[list[int], int]]) -> DataFrame:
+    """(bucket, own, node, s0, s1) of nodes (node, fp)."""
+    return nodes.select("node", "fp").mapInArrow(_key_rows(groups), ", ".join(f"{c} {'boolean' if c == 'own' else 'long'}" for c in _PROBE))
 
 
-def candidates(nodes: DataFrame, groups: list[tuple[list[int], int]], share: float) -> DataFrame:
-    """(a, b, apart) of nodes (node, fp) that meet in a bucket and whose whole fingerprints are near enough."""
-    blocks = nodes.select(F.octet_length("fp")).first()
-    bits = 8 * (blocks[0] if blocks else 0)
-    rows = nodes.select("node", "fp").mapInArrow(_key_rows(groups), "bucket long, own boolean, node long, sketch long")
-    met = rows.repartition("bucket").sortWithinPartitions("bucket", "sketch", "node").mapInArrow(_bucket_links(_limit(share, 64, DOUBT)), "a long, b long").distinct()
+def meetings(nodes: DataFrame, groups: list[tuple[list[int], int]], share: float) -> DataFrame:
+    """(a, b, thinned) of nodes (node, fp) that meet in a bucket with near sketches, once a pair; `thinned` lists the
+    buckets that told the pair and left others out (at most one a probe of a node)."""
+    rows = _probes(nodes, groups).repartition("bucket").sortWithinPartitions("bucket", "s0", "node")
+    met = rows.mapInArrow(_bucket_links(_limit(share, 64 * SKETCH, DOUBT)), "a long, b long, thinned long")
+    return met.groupBy("a", "b").agg(F.collect_set("thinned").alias("thinned"))
+
+
+def compared(met: DataFrame, nodes: DataFrame, share: float) -> DataFrame:
+    """(a, b, apart) of the pairs (a, b) of nodes (node, fp) whose whole fingerprints are near enough."""
     far = met.join(nodes.select(F.col("node").alias("a"), F.col("fp").alias("x")), "a").join(nodes.select(F.col("node").alias("b"), F.col("fp").alias("y")), "b")
-    most = _limit(share, bits, DOUBT)
 
     def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if not b.num_rows:
+                continue
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in (2, 3))
             apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(apart)], names=["a", "b", "apart"]).filter(pa.array(apart <= most))
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(apart)], names=["a", "b", "apart"]).filter(pa.array(apart <= _limit(share, 64 * x.shape[1], DOUBT)))
 
     return far.select("a", "b", "x", "y").mapInArrow(mapper, "a long, b long, apart long")
 
 
+def left_out(torn: DataFrame, roots: DataFrame, nodes: DataFrame, groups: list[tuple[list[int], int]], share: float) -> DataFrame:
+    """(a, b, apart) of the members of the buckets in `torn` whose whole fingerprints are near enough and whose roots
+    (node, root) differ. Few buckets are, so here the fingerprints go to the buckets."""
+    limit = _limit(share, 64 * SKETCH, DOUBT)
+    rows = _probes(nodes, groups).join(torn, "bucket", "left_semi").join(nodes.select("node", "fp"), "node").join(roots, "node", "left").select(*_PROBE, F.coalesce("root", "node").alias("root"), "fp")
+
+    def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def links() -> Iterator[pa.RecordBatch]:
+            _, own, node, root, sketch, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+            step = max(1, AT_ONCE // len(node))
+            for i in range(0, len(node), step):
+                rows = np.arange(i, min(i + step, len(node)))
+                cols = np.arange(rows[-1])
+                near = _apart(sketch[rows][:, None], sketch[cols][None, :]) <= limit
+                x, y = np.nonzero(near & (cols[None, :] < rows[:, None]) & (own[rows][:, None] | own[cols][None, :]) & (root[rows][:, None] != root[cols][None, :]))
+                x, y = rows[x], cols[y]
+                apart = _apart(fp[x], fp[y])
+                ok = apart <= _limit(share, 64 * fp.shape[1], DOUBT)
+                found = _pairs(node[x[ok]], node[y[ok]])
+                yield pa.record_batch([found.column(0), found.column(1), pa.array(apart[ok])], names=["a", "b", "apart"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            fps = np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint64).reshape(b.num_rows, -1)
+            columns = (*(b.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "own", "node", "root")), _sketches(b), fps)
+            cut = [0, *(np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1).tolist(), b.num_rows]
+            for x, y in zip(cut[:-1], cut[1:], strict=True):
+                if held and held[0][0][0] != columns[0][x]:
+                    yield from links()
+                    held.clear()
+                held.append(tuple(c[x:y] for c in columns))
+        if held:
+            yield from links()
+
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "s0", "node").mapInArrow(mapper, "a long, b long, apart long").distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame, size: int, share: float) -> DataFrame:
     """The pairs (a, b) whose texts (node, text) have a Jaccard of `share` or more."""
 
@@ -470,6 +561,21 @@ def _small(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= SMALL_ROWS else keys
 
 
+def between(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The rows of pairs (a, b, …) whose ends are in different components (node, root)."""
+    side = lambda x: comp.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+    of = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return of.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).drop("ra", "rb")
+
+
+def _confirmed(left: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, share: float) -> DataFrame:
+    """The pairs (a, b) of `left` that the texts of the nodes confirm."""
+    asked = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
+    wanted = nodes.join(asked, "node", "left_semi").select("node", F.col("best.row_key").alias("row_key")).checkpoint()
+    read = texts.join(_small(wanted), "row_key").select("node", "text").dropDuplicates(["node"]).checkpoint()
+    return verified(left, read, size, share)
+
+
 def similar_texts(docs: DataFrame, size: int = 5, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text", blocks: int = BLOCKS) -> DataFrame:
     """(doc_id, row_key, component_id, root): texts whose distinct shingles of `size` words have a Jaccard of `share` or
     more are linked; `component_id` is the smallest id reachable, `root` names the component even where it has none."""
@@ -489,29 +595,24 @@ def similar_texts(docs: DataFrame, size: int = 5, share: float = 0.8, id_col: st
         groups = wide_plan(bits, n, share)
         del some, bits
         T.fresh()
-        near = candidates(nodes, groups, share).checkpoint()
-        sure = _limit(share, 64 * blocks, -DOUBT)
-        edges = near.where(F.col("apart") <= sure).select("a", "b")
-        left = near.where(F.col("apart") > sure)
-        asked = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
-        wanted = nodes.join(asked, "node", "left_semi").select("node", F.col("best.row_key").alias("row_key")).checkpoint()
-        read = texts.join(_small(wanted), "row_key").select("node", "text").dropDuplicates(["node"]).checkpoint()
-        # Links in doubt: each component asks for its likeliest ones first; links inside a component need no asking.
-        for several in (ASKED, None):
-            comp = smallest_reachable(edges, labels).select("node", "root").checkpoint()
-            side = lambda x: comp.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
-            left = left.join(side("a"), "a", "left").join(side("b"), "b", "left").withColumn("ra", F.coalesce("ra", "a")).withColumn("rb", F.coalesce("rb", "b")).where("ra <> rb").checkpoint()
-            if left.isEmpty():
-                break
-            if several is None:
-                ask = left.select("a", "b")
-            else:
-                best = left.select("a", "b", "apart", F.explode(F.array("ra", "rb")).alias("r")).groupBy("r", F.pmod(F.xxhash64("a", "b"), F.lit(several)).alias("part")).agg(F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("ab"))
-                ask = best.select("ab.*").distinct()
-            ask = ask.checkpoint()
-            edges = edges.unionByName(verified(ask, read, size, share)).checkpoint()
-            left = left.join(ask, ["a", "b"], "left_anti").select("a", "b", "apart")
+        met = meetings(nodes, groups, share).checkpoint()
+        near = compared(met.select("a", "b"), nodes, share).checkpoint()
+        sure = F.col("apart") <= _limit(share, 64 * blocks, -DOUBT)
+        edges = near.where(sure).select("a", "b")
+        # Links in doubt are verified by the texts, unless certain ones already join their ends.
         comp = smallest_reachable(edges, labels)
+        left = between(near.where(~sure).select("a", "b"), comp).checkpoint()
+        if not left.isEmpty():
+            edges = edges.unionByName(_confirmed(left, nodes, texts, size, share)).checkpoint()
+            comp = smallest_reachable(edges, labels)
+        # A bucket that told a tree lost no link as long as the tree's ends are together; where they are not, it tells all
+        # links between the parts.
+        torn = between(met.where(F.size("thinned") > 0), comp).select(F.explode("thinned").alias("bucket")).distinct().checkpoint()
+        if not torn.isEmpty():
+            again = left_out(torn, comp.select("node", "root"), nodes, groups, share).checkpoint()
+            more = again.where(sure).select("a", "b").unionByName(_confirmed(again.where(~sure).select("a", "b"), nodes, texts, size, share)).checkpoint()
+            if not more.isEmpty():
+                comp = smallest_reachable(edges.unionByName(more), labels)
         joined = labels.select("node", F.col("label").alias("own")).join(comp, "node", "left").select("node", F.when(F.col("root").isNull(), F.col("own")).otherwise(F.col("label")).alias("label"), F.coalesce("root", "node").alias("root"))
     of = nodes.join(joined, "node").select("fp", F.col("label").alias("component_id"), "root")
     return made.join(of, "fp").select("doc_id", "row_key", "component_id", "root")

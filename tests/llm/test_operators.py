@@ -812,6 +812,7 @@ def _varied():
 @pytest.mark.parametrize("few, at_once, run", [(8, 1 << 18, 20_000), (2, 600, 60)])
 def test_similar_texts_against_brute_force(spark, sf, odd, monkeypatch, few, at_once, run):
     monkeypatch.setattr(simhash_gph, "FEW", few)
+    monkeypatch.setattr(simhash_gph, "LINKS", few // 2)
     monkeypatch.setattr(simhash_gph, "AT_ONCE", at_once)
     monkeypatch.setattr(simhash_gph, "RUN", run)
     made = spark.createDataFrame(_varied(), "doc_id long, text string")
@@ -844,6 +845,73 @@ def test_similar_texts_against_brute_force(spark, sf, odd, monkeypatch, few, at_
     assert simhash_gph.one_of_similar(_empty(odd)).count() == 0
 
 
+def test_trees_of_buckets_against_brute_force():
+    """A tree connects what all near pairs connect, by links of the least total length, whatever the members' order."""
+    rng = np.random.default_rng(5)
+    for m, groups in ((1, 1), (2, 1), (60, 1), (300, 7), (200, 60)):
+        base = rng.integers(0, 1 << 63, (groups, simhash_gph.SKETCH), dtype=np.uint64)
+        sketch = base[rng.integers(0, groups, m)] ^ (np.uint64(1) << rng.integers(0, 64, (m, simhash_gph.SKETCH), dtype=np.uint64))
+        own, node = rng.random(m) < 0.8, rng.permutation(m * 3)[:m]
+        x, y = np.triu_indices(m, 1)
+        apart = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1)
+        ok = (apart <= 4) & (own[x] | own[y])
+        x, y, apart = x[ok], y[ok], apart[ok]
+
+        def forest(a, b, d):
+            up, total = list(range(m)), 0
+            for k in np.argsort(d, kind="stable").tolist():
+                i, j = int(a[k]), int(b[k])
+                while up[i] != i:
+                    i = up[i]
+                while up[j] != j:
+                    j = up[j]
+                if i != j:
+                    up[max(i, j)] = min(i, j)
+                    total += int(d[k])
+
+            def top(i):
+                while up[i] != i:
+                    i = up[i]
+                return i
+
+            return [top(i) for i in range(m)], total
+
+        a, b = simhash_gph._tree(node, own, sketch, 4)
+        assert forest(x, y, apart) == forest(a, b, np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1))
+        assert len(a) == m - len(set(forest(x, y, apart)[0]))
+        turned = rng.permutation(m)
+        c, d = simhash_gph._tree(node[turned], own[turned], sketch[turned], 4)
+        assert {frozenset(z) for z in zip(node[a].tolist(), node[b].tolist())} == {frozenset(z) for z in zip(node[turned][c].tolist(), node[turned][d].tolist())}
+
+
+def test_rejected_links_of_a_bucket_lose_no_other(spark, monkeypatch):
+    """A large bucket tells a tree; here every link of it that is not certain is rejected at first, and the links that the
+    tree left out are still told, verified and joined."""
+    rng = np.random.default_rng(11)
+    words = [f"w{k}" for k in range(400)]
+    base = [words[k] for k in rng.integers(0, 400, 240)]
+    rows = []
+    for i in range(60):
+        text = list(base)
+        for at in rng.choice(240, 2, replace=False):
+            text[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found, calls, plain = [], [], simhash_gph._confirmed
+
+    def refuse(left, *args):
+        calls.append(left.count())
+        return plain(left, *args) if len(calls) > 1 else left.select("a", "b").limit(0)
+
+    monkeypatch.setattr(simhash_gph, "_confirmed", refuse)
+    found = simhash_gph.similar_texts(df).collect()
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    of = {r.doc_id: r.root for r in found}
+    pairs = _similar_pairs(_sets(rows))
+    together = [of[rows[i][0]] == of[rows[j][0]] for i, j in pairs]
+    assert len(calls) == 2 and pairs and np.mean(together) >= 0.98, (calls, len(pairs), np.mean(together))
+
+
 def test_wide_plan_reaches_the_recall():
     rng = np.random.default_rng(3)
     bits = rng.integers(0, 2, (300, 1024)).astype(np.uint8)
