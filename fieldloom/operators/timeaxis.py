@@ -159,7 +159,7 @@ def heat_rules(fields: DataFrame, days: DataFrame, field: str, by: list[str], he
     ends = ref.where("harvest_day is not null").select(field, *by, harvest.alias("_end")).join(starts, by)
     own = days.where(F.col("day").between(first_day, last_day)).select(F.col(field).alias("_f"), F.col("day").alias("_day"), F.col(heat).alias("_heat"))
     sums = ends.join(own, (F.col(field) == F.col("_f")) & (F.col("_day") >= F.col("start")) & (F.col("_day") <= F.col("_end")), "left").groupBy(field, *by).agg(F.coalesce(F.sum("_heat"), F.lit(0.0)).alias("_sum"))
-    widths = sums.groupBy(*by).agg(F.round(F.percentile("_sum", 0.95) / (steps - 1), 1).alias("width"))
+    widths = sums.groupBy(*by).agg(F.round(F.percentile("_sum", 0.95) / (steps - 1) + 1e-9, 1).alias("width"))
     rules = starts.join(widths, by, "left").select(*by, "start", "width", "n", F.lit(None).cast("string").alias("stands_for"))
     own = rules
     for of, by_whom in stand_ins.items():
@@ -178,7 +178,8 @@ def thermal_windows(scenes: DataFrame, days: DataFrame, rules: DataFrame, field:
     seen = scenes.select(field, "day", F.lit(0.0).alias("_heat"), F.lit(1).alias("_scene"), F.struct(*ahead).alias("_row"))
     both = seen.unionByName(own).join(rules.select(field, "start", "width"), field).where(F.col("day") >= F.col("start"))
     w = Window.partitionBy(field).orderBy("day", "_scene").rowsBetween(Window.unboundedPreceding, 0)
-    k = F.floor(F.try_divide(F.sum(F.coalesce("_heat", F.lit(0.0))).over(w), "width")).cast("bigint")
+    # Heat that is a whole number of widths is one whatever the order of its sum: it is rounded before it is floored.
+    k = F.floor(F.round(F.try_divide(F.sum(F.coalesce("_heat", F.lit(0.0))).over(w), "width"), 9)).cast("bigint")
     return both.withColumn("k", k).where((F.col("_scene") == 1) & (F.col("k") < steps)).select(field, "day", "k", "_row.*")
 
 

@@ -491,6 +491,24 @@ def test_heat_on_days_without_weather(spark):
     assert got == {("f", 1): (0, "s1"), ("f", 3): (1, "s3"), ("f", 4): (1, "s4"), ("f", 5): (2, "s5"), ("f", 8): (2, "s8"), ("f", 20): (2, "s20"), ("g", 2): (0, "x"), ("h", 4): (0, "y")}
 
 
+def test_whole_windows_of_heat_do_not_depend_on_the_sum(spark):
+    days = spark.createDataFrame([("a", 1, 0.7), ("a", 2, 0.1)], "field string, day long, heat double")  # 0.7999999999999999
+    scenes = spark.createDataFrame([("a", 2, 7)], "field string, day long, scene long")
+    rules = spark.createDataFrame([("a", 0, 0.8)], "field string, start long, width double")
+    assert [r.k for r in W.thermal_windows(scenes, days, rules, "field", "heat", 3, 0, 9).collect()] == [1]
+
+
+def test_whole_means_do_not_depend_on_the_sum(spark):
+    from types import SimpleNamespace
+
+    from fieldloom.plans import profiles
+
+    rows = [("A", farm, mean) for farm, own in ((597, 27.0), (1597, 27.0)) for mean in (np.nextafter(own, 0), own, np.nextafter(own, 99))]
+    fields = spark.createDataFrame([(c, f, float(m)) for c, f, m in rows], "country string, farm long, yield_mean double")
+    r = profiles.label_sanity(SimpleNamespace(fields=fields)).first()
+    assert (r.missing, r.not_positive, r.too_large) == (0, 3, 0)
+
+
 def test_heat_rules_by_group(spark):
     fields = [(f"n{k}", "n", "w", "A", 60 + k, 5 + k) for k in range(11)] + [("s0", "s", "w", "A", 40, None), ("x", "n", "b", "C", 50, 8)]
     df = spark.createDataFrame(fields, "field string, half string, crop string, country string, sow_day long, harvest_day long")
