@@ -17,8 +17,8 @@ and candidates. Rows of a bucket are compared by 128 of the bits, which travel w
 whole fingerprint, and pairs that it leaves in doubt are verified by their sets of shingles, unless certain links join
 their texts already. A bucket with more than `LINKS` links a member tells only a tree of the shortest, so large clusters make
 no pairs. If verification takes such a tree apart, all links of that bucket between its parts are told and verified, so
-that no link is lost for a rejected one. Beyond `RUN` members, a bucket's runs meet through its first `LEADERS` members only;
-links between runs that neither these nor another bucket make are not found.
+that no link is lost for a rejected one. A bucket of more than `RUN` rows is dealt by runs of them to several tasks, each
+pair of runs once, so that no link between runs is lost and no task holds more than two.
 
 Results for odd input: null or empty text has no words and fingerprint zero, linked like any other; a very long text is
 one row of one task; rows repeated with one id are nodes like others; null ids keep their row, with the component of
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from fieldloom.llm import text as T
-from fieldloom.llm.components import smallest_reachable
+from fieldloom.llm.components import contracted, joined, smallest_reachable
 from fieldloom.llm.xxh64 import xxh64
 from fieldloom.session import checkpoint_dir
 
@@ -238,8 +238,8 @@ RECALL = 0.99
 DOUBT = 3.0
 #: Pairs of a bucket that are compared at once; members of a bucket, and links a member, up to which all links are told.
 AT_ONCE, FEW, LINKS = 1 << 18, 8, 4
-#: Members of a bucket that are compared with each other; more are compared so many at a time, and all with the first ones.
-RUN, LEADERS = 20_000, 64
+#: Rows of a bucket that one task compares with each other; larger ones are dealt by pairs of runs.
+RUN = 20_000
 #: 64-bit words of the fingerprint that travel with the rows of a bucket.
 SKETCH = 2
 #: Rows of 16 bytes that are broadcast after a count.
@@ -395,34 +395,27 @@ def _tree(node: np.ndarray, own: np.ndarray, sketch: np.ndarray, limit: int) ->
 
 def _links_of(node: np.ndarray, own: np.ndarray, sketch: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, bool]:
     """Links of one large bucket, and whether some were left out: all of them while there are up to `LINKS` a member, else
-    a tree of the shortest; beyond `RUN` members a tree for each run of them together with the first ones."""
+    a tree of the shortest."""
     m, told = len(node), []
-    if m <= RUN:
-        step, count = max(1, AT_ONCE // m), 0
-        for i in range(0, m, step):
-            rows = np.arange(i, min(i + step, m))
-            cols = np.arange(rows[-1])
-            apart = _apart(sketch[rows][:, None], sketch[cols][None, :])
-            x, y = np.nonzero((apart <= limit) & (cols[None, :] < rows[:, None]) & (own[rows][:, None] | own[cols][None, :]) & (node[rows][:, None] != node[cols][None, :]))
-            told.append((rows[x], cols[y]))
-            count += len(x)
-            if count > LINKS * m:
-                break
-        else:
-            x, y = (np.concatenate(z) for z in zip(*told, strict=True))
-            return node[x], node[y], False
-    told = []
-    for i in range(0, m, RUN):
-        part = np.unique(np.concatenate([np.arange(min(LEADERS, m)), np.arange(i, min(i + RUN, m))]))
-        x, y = _tree(node[part], own[part], sketch[part], limit)
-        told.append((part[x], part[y]))
+    step, count = max(1, AT_ONCE // m), 0
+    for i in range(0, m, step):
+        rows = np.arange(i, min(i + step, m))
+        cols = np.arange(rows[-1])
+        apart = _apart(sketch[rows][:, None], sketch[cols][None, :])
+        x, y = np.nonzero((apart <= limit) & (cols[None, :] < rows[:, None]) & (own[rows][:, None] | own[cols][None, :]) & (node[rows][:, None] != node[cols][None, :]))
+        told.append((rows[x], cols[y]))
+        count += len(x)
+        if count > LINKS * m:
+            x, y = _tree(node, own, sketch, limit)
+            return node[x], node[y], True
     x, y = (np.concatenate(z) for z in zip(*told, strict=True))
-    return node[x], node[y], True
+    return node[x], node[y], False
 
 
-def _bucket_links(limit: int):
+def _bucket_links(limit: int, most: int | None):
     """Arrow mapper over rows sorted by bucket: (a, b, thinned) of members whose sketches are near; two visitors are no
-    pair. `thinned` is the bucket if it left links out, else null."""
+    pair. `thinned` is the bucket if it left links out, else null. A bucket of more than `most` rows is not held: it tells
+    only (null, rows, bucket)."""
 
     def small(cut: np.ndarray, size: np.ndarray, own: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ahead = np.repeat(np.cumsum(size), size) - np.arange(size.sum()) - 1
@@ -436,6 +429,7 @@ def _bucket_links(limit: int):
     def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         T.fresh()
         held: list[tuple[np.ndarray, ...]] = []
+        large: list[int] = []  # an open bucket of too many rows, and its rows so far
 
         def links(last: bool) -> Iterator[pa.RecordBatch]:
             bucket, own, node, sketch = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -451,13 +445,31 @@ def _bucket_links(limit: int):
                 yield _pairs(*small(cut[some], size[some], own, node, sketch))
             for k in np.flatnonzero(size[:done] > FEW).tolist():
                 x, y = cut[k], cut[k] + size[k]
+                if most and size[k] > most:
+                    yield _large(int(bucket[x]), int(size[k]))
+                    continue
                 a, b, thinned = _links_of(node[x:y], own[x:y], sketch[x:y], limit)
                 yield _pairs(a, b, int(bucket[x]) if thinned else None)
 
         for b in batches:
+            if not b.num_rows:
+                continue
+            if large:
+                same = int(np.searchsorted(b.column(0).to_numpy(), large[0], "right"))
+                large[1] += same
+                b = b.slice(same)
+                if not b.num_rows:
+                    continue
+                yield _large(*large)
+                large.clear()
             held.append((*(b.column(c).to_numpy(zero_copy_only=False) for c in range(3)), _sketches(b)))
             if sum(len(x[0]) for x in held) >= 200_000:
                 yield from links(False)
+                if held and most and len(held[0][0]) > most:
+                    large[:] = [int(held[0][0][0]), len(held[0][0])]
+                    held.clear()
+        if large:
+            yield _large(*large)
         if held:
             yield from links(True)
 
@@ -469,17 +481,37 @@ def _pairs(a: np.ndarray, b: np.ndarray, thinned: int | None = None) -> pa.Recor
     return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), of], names=["a", "b", "thinned"])
 
 
+def _large(bucket: int, rows: int) -> pa.RecordBatch:
+    return pa.record_batch([pa.nulls(1, pa.int64()), pa.array([rows]), pa.array([bucket])], names=["a", "b", "thinned"])
+
+
 def _probes(nodes: DataFrame, groups: list[tuple[list[int], int]]) -> DataFrame:
     """(bucket, own, node, s0, s1) of nodes (node, fp)."""
     return nodes.select("node", "fp").mapInArrow(_key_rows(groups), ", ".join(f"{c} {'boolean' if c == 'own' else 'long'}" for c in _PROBE))
 
 
-def meetings(nodes: DataFrame, groups: list[tuple[list[int], int]], share: float) -> DataFrame:
+def _dealt(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """The rows of the buckets in `large` (bucket, runs), in new buckets: one for each two runs of one, with negative numbers."""
+    run = F.pmod(F.xxhash64("node"), F.col("runs"))
+    own = rows.join(large, "bucket").withColumn("_run", run).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("runs") - 1))).where("_run <> _other")
+    block = F.xxhash64("bucket", F.least("_run", "_other"), F.greatest("_run", "_other")).bitwiseOR(F.lit(-(1 << 63)))
+    return own.withColumn("bucket", block).select(*_PROBE)
+
+
+def meetings(nodes: DataFrame, groups: list[tuple[list[int], int]], share: float) -> tuple[DataFrame, DataFrame | None]:
     """(a, b, thinned) of nodes (node, fp) that meet in a bucket with near sketches, once a pair; `thinned` lists the
-    buckets that told the pair and left others out (at most one a probe of a node)."""
-    rows = _probes(nodes, groups).repartition("bucket").sortWithinPartitions("bucket", "s0", "node")
-    met = rows.mapInArrow(_bucket_links(_limit(share, 64 * SKETCH, DOUBT)), "a long, b long, thinned long")
-    return met.groupBy("a", "b").agg(F.collect_set("thinned").alias("thinned"))
+    buckets that told the pair and left others out (at most one a probe of a node). With it (bucket, runs) of the buckets that
+    were dealt, none if no bucket was too large."""
+    limit, kinds = _limit(share, 64 * SKETCH, DOUBT), "a long, b long, thinned long"
+    order = lambda rows: rows.repartition("bucket").sortWithinPartitions("bucket", "s0", "node")
+    rows = _probes(nodes, groups)
+    told = order(rows).mapInArrow(_bucket_links(limit, RUN), kinds).checkpoint()
+    large = told.where("a is null").select(F.col("thinned").alias("bucket"), F.ceil(F.col("b") * 2 / RUN).alias("runs")).checkpoint()
+    if large.isEmpty():
+        large = None
+    else:
+        told = told.where("a is not null").unionByName(order(_dealt(rows, large)).mapInArrow(_bucket_links(limit, None), kinds))
+    return told.groupBy("a", "b").agg(F.collect_set("thinned").alias("thinned")), large
 
 
 def compared(met: DataFrame, nodes: DataFrame, share: float) -> DataFrame:
@@ -497,11 +529,13 @@ def compared(met: DataFrame, nodes: DataFrame, share: float) -> DataFrame:
     return far.select("a", "b", "x", "y").mapInArrow(mapper, "a long, b long, apart long")
 
 
-def left_out(torn: DataFrame, roots: DataFrame, nodes: DataFrame, groups: list[tuple[list[int], int]], share: float) -> DataFrame:
+def left_out(torn: DataFrame, roots: DataFrame, nodes: DataFrame, groups: list[tuple[list[int], int]], share: float, large: DataFrame | None = None) -> DataFrame:
     """(a, b, apart) of the members of the buckets in `torn` whose whole fingerprints are near enough and whose roots
     (node, root) differ. Few buckets are, so here the fingerprints go to the buckets."""
     limit = _limit(share, 64 * SKETCH, DOUBT)
-    rows = _probes(nodes, groups).join(torn, "bucket", "left_semi").join(nodes.select("node", "fp"), "node").join(roots, "node", "left").select(*_PROBE, F.coalesce("root", "node").alias("root"), "fp")
+    rows = _probes(nodes, groups)
+    rows = rows if large is None else rows.unionByName(_dealt(rows, large))
+    rows = rows.join(torn, "bucket", "left_semi").join(nodes.select("node", "fp"), "node").join(roots, "node", "left").select(*_PROBE, F.coalesce("root", "node").alias("root"), "fp")
 
     def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -588,33 +622,34 @@ def similar_texts(docs: DataFrame, size: int = 5, share: float = 0.8, id_col: st
     nodes = nodes.select("fp", "best", F.monotonically_increasing_id().alias("node")).checkpoint()
     n = nodes.count()
     labels = nodes.select("node", F.col("best.doc_id").alias("label"))
-    joined = labels.select("node", "label", F.col("node").alias("root"))
+    named = labels.select("node", "label", F.col("node").alias("root"))
     if n > 1:
         some = T.sampled(nodes.select("fp", F.xxhash64("fp").alias("at")), "at", WIDE_SAMPLE).collect()
         bits = _bits(np.frombuffer(b"".join(r.fp for r in sorted(some, key=lambda r: (r["at"], bytes(r.fp)))), np.uint64).reshape(len(some), -1))
         groups = wide_plan(bits, n, share)
         del some, bits
         T.fresh()
-        met = meetings(nodes, groups, share).checkpoint()
+        met, large = meetings(nodes, groups, share)
+        met = met.checkpoint()
         near = compared(met.select("a", "b"), nodes, share).checkpoint()
         sure = F.col("apart") <= _limit(share, 64 * blocks, -DOUBT)
-        edges = near.where(sure).select("a", "b")
+        comp = contracted(near.where(sure).select("a", "b"))
         # Links in doubt are verified by the texts, unless certain ones already join their ends.
-        comp = smallest_reachable(edges, labels)
         left = between(near.where(~sure).select("a", "b"), comp).checkpoint()
         if not left.isEmpty():
-            edges = edges.unionByName(_confirmed(left, nodes, texts, size, share)).checkpoint()
-            comp = smallest_reachable(edges, labels)
+            comp = joined(comp, _confirmed(left, nodes, texts, size, share).checkpoint())
         # A bucket that told a tree lost no link as long as the tree's ends are together; where they are not, it tells all
         # links between the parts.
         torn = between(met.where(F.size("thinned") > 0), comp).select(F.explode("thinned").alias("bucket")).distinct().checkpoint()
         if not torn.isEmpty():
-            again = left_out(torn, comp.select("node", "root"), nodes, groups, share).checkpoint()
+            again = left_out(torn, comp, nodes, groups, share, large).checkpoint()
             more = again.where(sure).select("a", "b").unionByName(_confirmed(again.where(~sure).select("a", "b"), nodes, texts, size, share)).checkpoint()
             if not more.isEmpty():
-                comp = smallest_reachable(edges.unionByName(more), labels)
-        joined = labels.select("node", F.col("label").alias("own")).join(comp, "node", "left").select("node", F.when(F.col("root").isNull(), F.col("own")).otherwise(F.col("label")).alias("label"), F.coalesce("root", "node").alias("root"))
-    of = nodes.join(joined, "node").select("fp", F.col("label").alias("component_id"), "root")
+                comp = joined(comp, more)
+        every = labels.join(comp, "node", "left").select("node", "label", F.coalesce("root", "node").alias("root")).checkpoint()
+        named = every.groupBy("root").agg(F.min(F.struct(F.col("label").isNull().alias("none"), "label")).alias("best"))
+        named = every.join(named, "root").select("node", F.col("best.label").alias("label"), "root")
+    of = nodes.join(named, "node").select("fp", F.col("label").alias("component_id"), "root")
     return made.join(of, "fp").select("doc_id", "row_key", "component_id", "root")
 
 

@@ -15,6 +15,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from fieldloom.llm.components import smallest_reachable
 from fieldloom.llm import decontaminate, html_crf, packing, pii_crf, quality_forest, simhash_gph, substring_dedup, text as T, token_counts, token_ids, token_store, toxicity_ftrl
 from fieldloom.llm.xxh64 import xxh64
 
@@ -884,6 +885,49 @@ def test_trees_of_buckets_against_brute_force():
         assert {frozenset(z) for z in zip(node[a].tolist(), node[b].tolist())} == {frozenset(z) for z in zip(node[turned][c].tolist(), node[turned][d].tolist())}
 
 
+@pytest.mark.parametrize("links", [0, 4])
+def test_large_buckets_lose_no_link_between_runs(spark, monkeypatch, links):
+    """One bucket of many runs; most clusters have no member among its first rows."""
+    monkeypatch.setattr(simhash_gph, "RUN", 40)
+    monkeypatch.setattr(simhash_gph, "LINKS", links)
+    rng = np.random.default_rng(8)
+    fps = rng.integers(0, 1 << 63, (150, 16), dtype=np.uint64)[rng.integers(0, 150, 600)] ^ (np.uint64(1) << rng.integers(20, 60, (600, 16), dtype=np.uint64))
+    fps[:, 0] &= ~np.uint64(0xFF)
+    nodes = spark.createDataFrame([(k, fp.tobytes()) for k, fp in enumerate(fps)], "node long, fp binary").repartition(3)
+    met, large = simhash_gph.meetings(nodes, [(list(range(8)), 0)], 0.8)
+    limit = simhash_gph._limit(0.8, 64 * simhash_gph.SKETCH, simhash_gph.DOUBT)
+    x, y = np.triu_indices(600, 1)
+    near = np.bitwise_count(fps[x, -2:] ^ fps[y, -2:]).sum(axis=1) <= limit
+    want = spark.createDataFrame(list(zip(x[near].tolist(), y[near].tolist())), "a long, b long")
+    roots = lambda e: {r.node: r.root for r in simhash_gph.contracted(e).collect()}
+    assert large.count() == 1 and roots(met.select("a", "b")) == roots(want)
+    again = simhash_gph.left_out(met.select(F.explode("thinned").alias("bucket")).distinct(), nodes.select("node", F.col("node").alias("root")), nodes, [(list(range(8)), 0)], 0.8, large)
+    every = met.where(F.size("thinned") == 0).select("a", "b").union(again.select("a", "b"))
+    assert roots(every) == roots(want)
+
+
+def test_components_of_chains(spark):
+    """The smallest label of long chains, stars and rings, in any order of the nodes."""
+    rng = np.random.default_rng(4)
+    name = rng.permutation(400).tolist()
+    edges = [(name[k], name[k + 1]) for k in range(0, 99)] + [(k, k + 1) for k in range(1000, 1200)] + [(name[200], name[k]) for k in range(201, 260)] + [(name[300 + k], name[300 + (k + 1) % 50]) for k in range(50)] + [(5000, 5000)]
+    nodes = {x for e in edges for x in e}
+    label = {x: None if x % 7 == 0 else -x for x in nodes}
+    got = smallest_reachable(spark.createDataFrame(edges, "a long, b long"), spark.createDataFrame(list(label.items()), "node long, label long")).collect()
+    up = {x: x for x in nodes}
+    for _ in range(len(nodes)):
+        new = dict(up)
+        for a, b in edges:
+            new[a] = new[b] = min(new[a], new[b])
+        if new == up:
+            break
+        up = new
+    best = {}
+    for x in nodes:
+        best[up[x]] = min(best.get(up[x], (True, 0, 0)), (label[x] is None, label[x] or 0, x))
+    assert {r.node: (r.label, r.root) for r in got} == {x: (None if best[up[x]][0] else best[up[x]][1], best[up[x]][2]) for x in nodes if x != 5000}
+
+
 def test_rejected_links_of_a_bucket_lose_no_other(spark, monkeypatch):
     """A large bucket tells a tree; here every link of it that is not certain is rejected at first, and the links that the
     tree left out are still told, verified and joined."""
