@@ -228,6 +228,27 @@ def test_proximity_against_brute_force(spark):
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-6) for k in want)
 
 
+def _parts(spark, edges, nodes):
+    return {r.node: r.label for r in G.components(edges.select("a", "b"), spark.createDataFrame([(n,) for n in nodes], "node long")).collect()}
+
+
+def test_links_join_what_pairs_join(spark, monkeypatch):
+    """Dense and sparse places, several points a key; copies of footprints. Fewer links than pairs, the same parts."""
+    monkeypatch.setattr(G, "FIRST_POINTS", 1)
+    rng = np.random.default_rng(3)
+    pts = [(k % 150, float(x), float(y)) for k, (x, y) in enumerate(np.concatenate([rng.uniform(0, 2_500, (100, 2)), rng.uniform(0, 60_000, (100, 2)), rng.uniform(5_000, 7_000, (60, 2))]))]
+    df = spark.createDataFrame(pts, "farm long, x double, y double")
+    pairs, links = G.proximity(df, "farm", 3000.0), G.proximity_links(df, "farm", 3000.0)
+    assert links.count() < pairs.count() and _parts(spark, links, range(150)) == _parts(spark, pairs, range(150))
+    sets = [sorted(rng.choice(12, 6, replace=False).tolist()) for _ in range(30)] * 3
+    cells = spark.createDataFrame([(k, 5, c) for k, own in enumerate(sets) for c in own], "field long, x long, y long")
+    want = {(i, j): (len(set(p) & set(q)), len(set(p) & set(q)) / len(set(p) | set(q))) for i, p in enumerate(sets) for j, q in enumerate(sets) if i < j}
+    want = {k: v for k, v in want.items() if v[1] > 0.4}
+    pairs, links = G.footprint_overlap(cells, "field", 0.4), G.footprint_links(cells, "field", 0.4)
+    assert {(r.a, r.b): (r.shared, r.iou) for r in pairs.collect()} == want and pairs.count() == len(want)
+    assert links.count() < len(want) and _parts(spark, links, range(90)) == _parts(spark, pairs, range(90))
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 80, (60, 2)) if a != b] + [(k, k + 1) for k in range(100, 130)]
