@@ -247,7 +247,8 @@ def bootstrap_scores(fields: DataFrame, subset: list[str], models: list[str], dr
     per = own.groupBy(*subset).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"), F.avg("target").alias("_mean"))
     y = F.col("target") - F.col("_mean")
     own = own.join(per, subset).select(*subset, (F.col("_at") - F.col("_first")).cast("int").alias("_i"), y.alias("_y"), *[F.pow(F.col("target") - F.col(m), 2).alias(f"_e{k}") for k, m in enumerate(models)])
-    own = F.broadcast(own) if fields.limit(SENT_FIELDS + 1).count() <= SENT_FIELDS else own
+    # Weights are very many more rows than their source lets the planner expect: they are never what is sent, nor sorted.
+    own = F.broadcast(own) if fields.limit(SENT_FIELDS + 1).count() <= SENT_FIELDS else own.hint("shuffle_hash")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     dealt = per.select(*subset, "_n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).repartition(tasks, *subset, "draw")
     picks = dealt.select("*", F.explode(F.sequence(F.lit(0), (F.col("_n") - 1).cast("int"))).alias("_k"))

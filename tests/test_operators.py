@@ -364,6 +364,16 @@ def test_bootstrap_of_equal_models(spark):
     assert ci["m1"].delta == 0 and ci["m1"].share_better == 0 and ci["m0"].lo == ci["m1"].lo
 
 
+def test_bootstrap_never_sends_the_weights(spark, monkeypatch):
+    """Many fields: the fields are hashed where the weights meet them; the scores are those of fields that are sent."""
+    f = spark.createDataFrame([(f"f{k}", "ab"[k % 2], float(k % 7), float(k % 5)) for k in range(40)], "field string, country string, target double, m0 double")
+    sent = rows(S.bootstrap_scores(f, ["country"], ["m0"], 3, 1))
+    monkeypatch.setattr(S, "SENT_FIELDS", 10)
+    d = S.bootstrap_scores(f, ["country"], ["m0"], 3, 1)
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=shuffle_hash" in plan and [(*x[:3], round(x[3], 9), x[4]) for x in rows(d)] == [(*x[:3], round(x[3], 9), x[4]) for x in sent]
+
+
 def test_augmentations(spark):
     s = spark.range(40).select(F.col("id").alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))).alias("step")).withColumn("x", (F.col("v") * 100 + F.col("step")).cast("double"))
     m = A.shifted(s, "v", "step", ["x"], 3, 20, 1)
