@@ -56,8 +56,8 @@ def _listing(fx: Fx) -> DataFrame:
     """The files of a tree of run folders that is written from the table of fields: one file for each field with a line a
     field, 99 characters for each of its pixels and a line break."""
     path = f"{checkpoint_dir(fx.spark)}/runs-{uuid.uuid4().hex}"
-    lines = fx.fields.select(F.expr(_CFG).alias("config"), F.expr(_SPL).alias("split"), F.expr(_FILE).alias("file"), F.concat(F.repeat(F.lit("x"), (F.col("n_pixels") * 99).cast("int"))).alias("value"))
-    lines.repartition("config", "split", "file").write.partitionBy("config", "split", "file").text(path)
+    lines = fx.fields.select(F.expr(_CFG).alias("config"), F.expr(_SPL).alias("split"), F.expr(_FILE).alias("file"), "n_pixels")
+    S.write_texts(lines, path, ["config", "split", "file"], F.repeat(F.lit("x"), (F.col("n_pixels") * 99).cast("int")))
     return S.listed_paths(S.list_files(fx.spark, path, "part-*"), path)
 
 

@@ -6,9 +6,18 @@ overwrite only the partitions they hold.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from fnmatch import fnmatchcase
+from urllib.parse import urlparse
+from uuid import uuid4
+
+import pyarrow as pa
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fieldloom.functions.numeric import missing
+from fieldloom.session import checkpoint_dir
 
 
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -150,9 +159,103 @@ def runs_of(paths: DataFrame, path: str) -> DataFrame:
     return d.groupBy("config", "split").agg(F.bool_or(F.col("file") == "metrics.json").alias("done"), F.bool_or(F.col("file").startswith("val")).alias("has_val"), F.count("*").alias("n_files"))
 
 
+def _opened_by_tasks(spark: SparkSession, path: str) -> str | None:
+    """The path with its scheme, if pyarrow knows the file system, so that tasks can open it by themselves."""
+    if not urlparse(path).scheme:
+        path = f"{urlparse(spark.sparkContext._jsc.hadoopConfiguration().get('fs.defaultFS')).scheme}://{path}"
+        if not path.startswith("file:///"):
+            return None
+    try:
+        FileSystem.from_uri(path)
+    except (pa.ArrowException, OSError):
+        return None
+    return path
+
+
+def write_texts(df: DataFrame, path: str, by: list[str], value: Column) -> None:
+    """Lines of text, a file for each key: `path/a=x/b=y/part-0`. All tasks write, and a file is written by one of them.
+
+    Spark's writer asks a local or remote file system several times a file and has the driver move them all, so it is used only where
+    tasks can't open the file system themselves. A file appears when it is whole; one that is written again is replaced.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = df.repartition(n, *by)  # a number keeps adaptive execution from giving all files to one task, as texts shrink when shuffled
+    root = _opened_by_tasks(spark, path)
+    if root is None:
+        keyed.select(*by, value.alias("value")).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(*by).text(path)
+        return
+    escaped = lambda v: "__HIVE_DEFAULT_PARTITION__" if v is None or v == "" else re.sub(r"[\x00-\x1f\"#%'*/:=?\\\x7f{\[\]^]", lambda m: f"%{ord(m[0]):02X}", v)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = FileSystem.from_uri(root)
+        at, out, made, n = None, None, "", 0
+
+        def close() -> None:
+            nonlocal n
+            if out is not None:
+                out.close()
+                fs.move(made, f"{base}/{at}/part-0")
+                n += 1
+
+        for b in batches:
+            keys, texts = list(zip(*[c.to_pylist() for c in b.columns[:-1]], strict=True)), b.column(b.num_columns - 1)
+            for key, text in zip(keys, texts, strict=True):
+                folder = "/".join(f"{c}={escaped(v)}" for c, v in zip(by, key, strict=True))
+                if folder != at:
+                    close()
+                    at = folder
+                    fs.create_dir(f"{base}/{at}", recursive=True)
+                    made = f"{base}/{at}/.{uuid4().hex}"
+                    out = fs.open_output_stream(made)
+                out.write((text.as_py() or "").encode() + b"\n")
+        close()
+        yield pa.record_batch([pa.array([n], pa.int64())], names=["n"])
+
+    FileSystem.from_uri(root)[0].create_dir(FileSystem.from_uri(root)[1], recursive=True)  # also if there is no row
+    keyed.sortWithinPartitions(*by).select(*[F.col(c).cast("string").alias(c) for c in by], value.alias("value")).mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
+
+
 def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(path, length, modificationTime) of the files below a folder; contents are not read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "length", "modificationTime")
+    """(path, length, modificationTime) of the files below a folder; contents are not read.
+
+    Folders are dealt over all tasks, a level of the tree at a time, and each task lists its own, so the driver neither asks for
+    nor holds the files (a task holds those of one folder). Names that begin with `_` or `.` are left out, as by Spark.
+    """
+    root = None if re.search(r"[{\\^]", pattern) else _opened_by_tasks(spark, path)
+    if root is None:
+        return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "length", "modificationTime")
+    checkpoint_dir(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names, kinds = ["rel", "folder", "length", "ns"], [pa.string(), pa.bool_(), pa.int64(), pa.int64()]
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = FileSystem.from_uri(root)
+        rows: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+        for b in batches:
+            for rel in b.column(0).to_pylist():
+                for f in fs.get_file_info(FileSelector(base + rel)):
+                    folder = f.type == FileType.Directory
+                    hidden = f.base_name.startswith(".") or f.base_name.startswith("_") and "=" not in f.base_name
+                    if not hidden and (folder or fnmatchcase(f.base_name, pattern)):
+                        rows.append((f"{rel}/{f.base_name}", folder, None if folder else f.size, f.mtime_ns))
+                if len(rows) >= 10_000:
+                    yield batch()
+                    rows.clear()
+        if rows:
+            yield batch()
+
+    todo, files = spark.createDataFrame([("",)], "rel string"), []
+    while not todo.isEmpty():
+        seen = todo.repartition(n).mapInArrow(look, "rel string, folder boolean, length bigint, ns bigint").checkpoint()
+        files.append(seen.where("not folder"))
+        todo = seen.where("folder").select("rel")
+    shown = re.sub("^file:/+", "file:/", root.rstrip("/"))
+    return union_by_name(files).select(F.concat(F.lit(shown), "rel").alias("path"), "length", F.timestamp_micros(F.floor(F.col("ns") / 1000).cast("bigint")).alias("modificationTime"))
 
 
 def listed_paths(files: DataFrame, root: str) -> DataFrame:

@@ -758,3 +758,19 @@ def test_edge_distance_of_odd_fields(spark):
     assert len(got) == len(cells) + 1 and got["g", 0, 0] == 10.0 and got["f", 5, 100_000_001] == 10.0
     assert all(math.isclose(got["f", r, c], 10 * min(math.dist((r, c), e) for e in empty)) for r, c in cells if c < 100)
     assert G.edge_distance(df, "field").schema["prow"].dataType.simpleString() == "int"
+
+
+def test_files_are_written_and_listed_by_tasks(spark, tmp_path):
+    base = f"file://{tmp_path}/t"
+    df = spark.range(300).select((F.col("id") % 2).cast("string").alias("a"), F.when(F.col("id") % 100 > 0, F.concat(F.lit("k:"), F.col("id") % 100)).alias("b"), F.lit(7).alias("n"))
+    IO.write_texts(df, base, ["a", "b"], F.repeat(F.lit("x"), F.col("n")))
+    files = IO.list_files(spark, base, "part-*")
+    assert "binaryFile" not in files._jdf.queryExecution().toString()  # such a scan has the driver list and hold all files
+    want = df.groupBy("a", "b").agg(F.count("*").alias("n")).collect()
+    name = lambda r: f"file:{tmp_path}/t/a={r.a}/b={'__HIVE_DEFAULT_PARTITION__' if r.b is None else r.b.replace(':', '%3A')}/part-0"
+    assert rows(files.select("path", "length")) == sorted(((name(r), 8 * r.n) for r in want), key=repr)
+    theirs = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(base)
+    assert rows(theirs.select("path", "length", F.date_trunc("second", "modificationTime"))) == rows(files.select("path", "length", F.date_trunc("second", "modificationTime")))
+    assert rows(spark.read.schema("value string, a string, b string").text(base).groupBy("a", "b").count()) == rows(df.groupBy("a", "b").count())
+    IO.write_texts(df.where("a = 'none'"), f"{base}-empty", ["a"], F.lit("x"))
+    assert IO.list_files(spark, f"{base}-empty").count() == 0
