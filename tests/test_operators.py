@@ -774,3 +774,22 @@ def test_files_are_written_and_listed_by_tasks(spark, tmp_path):
     assert rows(spark.read.schema("value string, a string, b string").text(base).groupBy("a", "b").count()) == rows(df.groupBy("a", "b").count())
     IO.write_texts(df.where("a = 'none'"), f"{base}-empty", ["a"], F.lit("x"))
     assert IO.list_files(spark, f"{base}-empty").count() == 0
+
+
+def test_fields_are_measured_together(spark):
+    rng = np.random.default_rng(11)
+    masks = {f"f{k}": rng.random((int(rng.integers(1, 40)), int(rng.integers(1, 40)))) < 0.8 for k in range(60)}
+    masks["f60"] = rng.random((300, 280)) < 0.9  # an image of its own
+    d = spark.createDataFrame([(f, int(r), int(c), float(r * c % 7)) for f, m in masks.items() for r, c in np.argwhere(m)], "field string, prow long, pcol long, z double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    seen = rows(G.by_fields(d, "field", ["prow"], lambda p: p.groupby(["field", "_f"], as_index=False).agg(n=("prow", "size"))[["field", "n"]], "field string, n long", least=120))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert seen == sorted(((f, int(m.sum())) for f, m in masks.items() if m.any()), key=repr)  # each field once and whole
+    for of, key in ((G.patchiness, 1), (G.patch_distances, 3), (lambda p, f: G.edge_distance(p, f, min_hole=3), 3), (lambda p, f: G.terrain(p, f, "z"), 3)):
+        out = of(d, "field")
+        plan = out._jdf.queryExecution().toString()
+        assert "MapInPandas" in plan and "FlatMapGroups" not in plan  # no call a field
+        got = {tuple(r)[:key]: tuple(r)[key:] for r in out.collect()}
+        for f in ("f3", "f17", "f60"):
+            alone = {tuple(r)[:key]: tuple(r)[key:] for r in of(d.where(F.col("field") == f), "field").collect()}
+            assert alone and all(all(x is y is None or math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9) for x, y in zip(v, got[k], strict=True)) for k, v in alone.items())
