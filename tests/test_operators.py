@@ -793,3 +793,11 @@ def test_fields_are_measured_together(spark):
         for f in ("f3", "f17", "f60"):
             alone = {tuple(r)[:key]: tuple(r)[key:] for r in of(d.where(F.col("field") == f), "field").collect()}
             assert alone and all(all(x is y is None or math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9) for x, y in zip(v, got[k], strict=True)) for k, v in alone.items())
+
+
+def test_no_task_holds_a_bin_of_patchiness(spark, sf):
+    from fieldloom.plans import registry
+
+    plan = registry.queries()["patchiness_vs_error"](spark, sf)._jdf.queryExecution().toString()
+    assert "median(" not in plan and "percentile(" not in plan
+    assert "MapInPandas" not in plan  # fields are walked once, before they are ranked
