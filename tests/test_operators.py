@@ -801,3 +801,19 @@ def test_no_task_holds_a_bin_of_patchiness(spark, sf):
     plan = registry.queries()["patchiness_vs_error"](spark, sf)._jdf.queryExecution().toString()
     assert "median(" not in plan and "percentile(" not in plan
     assert "MapInPandas" not in plan  # fields are walked once, before they are ranked
+
+
+def test_neighbours_shuffle_pixels_once(spark):
+    mask = np.random.default_rng(2).random((9, 8)) < 0.6
+    d = pixels(spark, mask).withColumn("z", F.when(F.col("prow") != 3, F.col("prow") * 10.0 + F.col("pcol")))
+    for df in (G.neighbours(d, "field", 3), G.patch_values(d, "field", "z", 3)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    there = lambda r, c: 0 <= r < 9 and 0 <= c < 8 and bool(mask[r, c])
+    around = [(r, c) for r in (-1, 0, 1) for c in (-1, 0, 1)]
+    got = {(x.prow, x.pcol, x.offset): (x.nrow, x.ncol, x.there) for x in G.neighbours(d, "field", 3).collect()}
+    assert got == {(r, c, i): (r + y, c + x, there(r + y, c + x)) for r, c in np.argwhere(mask).tolist() for i, (y, x) in enumerate(around)}
+    for p in G.patch_values(d, "field", "z", 3).collect():
+        near = [(p.prow + y, p.pcol + x) for y, x in around]
+        assert p.present == [int(there(*q)) for q in near]
+        assert p.patch == [q[0] * 10.0 + q[1] if there(*q) and q[0] != 3 else 0.0 for q in near]
