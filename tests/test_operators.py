@@ -817,3 +817,20 @@ def test_neighbours_shuffle_pixels_once(spark):
         near = [(p.prow + y, p.pcol + x) for y, x in around]
         assert p.present == [int(there(*q)) for q in near]
         assert p.patch == [q[0] * 10.0 + q[1] if there(*q) and q[0] != 3 else 0.0 for q in near]
+
+
+def test_edges_without_joins_and_with_repeated_pixels(spark):
+    """Bands of windows against the distances; pixels are dealt once, neither joined nor multiplied."""
+    rng = np.random.default_rng(21)
+    cells = [("f", int(r), int(c)) for r, c in np.argwhere(rng.random((13, 11)) < 0.85)] + [("g", 0, c) for c in range(3)]
+    df = spark.createDataFrame([(*k, i) for i, k in enumerate(cells + cells[:25])], "field string, prow int, pcol long, own int")
+    edge = {(r.field, r.prow, r.pcol): r.edge for r in G.edge_distance(df, "field").collect()}
+    for buffer in (0.0, 10.0, 14.2, 20.0, 25.0, 1000.0):
+        got = G.beyond_edge(df, "field", buffer).collect()
+        assert sorted(r.own for r in got) == [i for i, k in enumerate(cells + cells[:25]) if edge[k] > buffer]
+    have = set(cells)
+    lacking = [i for i, (f, r, c) in enumerate(cells + cells[:25]) if not {(f, r - 1, c), (f, r + 1, c), (f, r, c - 1), (f, r, c + 1)} <= have]
+    assert sorted(r.own for r in G.outline(df, "field").collect()) == lacking
+    for made in (G.outline(df, "field"), G.within_edge(df, "field", 2), G.beyond_edge(df, "field", 10.0)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Generate" not in plan and plan.count("Exchange hashpartitioning") == 1
