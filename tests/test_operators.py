@@ -834,3 +834,28 @@ def test_edges_without_joins_and_with_repeated_pixels(spark):
     for made in (G.outline(df, "field"), G.within_edge(df, "field", 2), G.beyond_edge(df, "field", 10.0)):
         plan = made._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in plan and "Generate" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_tile_averages_of_odd_fields(spark):
+    """Ragged fields, missing values, repeated pixels and tiles that leave gaps, against loops; pixels are not multiplied."""
+    rng = np.random.default_rng(22)
+    cells = [(f, int(r) - 4, int(c) + 10**9 * k) for k, f in enumerate(("f", "g", None)) for r, c in np.argwhere(rng.random((9, 8)) < 0.6)]
+    rows = [(*k, None if rng.random() < 0.2 else float(rng.random())) for k in cells + cells[:9]]
+    df = spark.createDataFrame(rows, "field string, prow int, pcol long, z double")
+    for size, step in ((4, 2), (3, 2), (2, 3), (5, 1)):
+        tiles, of = {}, {}
+        low = {f: (min(k[1] for k in cells if k[0] == f), min(k[2] for k in cells if k[0] == f)) for f in ("f", "g", None)}
+        for f, r, c, z in rows:
+            at = [[s for s in range(0, 9, step) if s <= x < s + size] for x in (r - low[f][0], c - low[f][1])]
+            for t in [(f, a, b) for a in at[0] for b in at[1]]:
+                tiles.setdefault(t, []).append(z)
+                of.setdefault((f, r, c), []).append(t)
+        mean = lambda v: sum(v) / len(v) if (v := [x for x in v if x is not None]) else None
+        want = {k: (mean([mean(tiles[t]) for t in ts]), len(ts)) for k, ts in of.items()}
+        made = G.tile_average(df, "field", F.col("z"), size, step)
+        got = made.collect()
+        assert len(got) == len(want)
+        for r in got:
+            value, n = want[r.field, r.prow, r.pcol]
+            assert r.n_tiles == n and (r.value is None if value is None else math.isclose(r.value, value))
+        assert "Generate" not in made._jdf.queryExecution().executedPlan().toString()
