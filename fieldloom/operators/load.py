@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -21,11 +22,12 @@ PIXEL = ["field", "prow", "pcol"]
 @dataclass
 class Tables:
     """What is loaded from. pixels: (field, prow, pcol, target, static columns); steps: (field, prow, pcol, k, bands) with the
-    windows a pixel has; fields: (field, country, crop, year, lat, jan1, sow_day, harvest_day); split: (field, role); series:
-    (field, k, columns) by group, `weather` or `era5land`. Windows are `width` days from day `start` on."""
+    windows a pixel has, or a function that makes them of the pixels (field, prow, pcol) it is given; fields: (field, country,
+    crop, year, lat, jan1, sow_day, harvest_day); split: (field, role); series: (field, k, columns) by group, `weather` or
+    `era5land`. Windows are `width` days from day `start` on."""
 
     pixels: DataFrame
-    steps: DataFrame
+    steps: DataFrame | Callable[[DataFrame], DataFrame]
     fields: DataFrame
     width: int
     start: int
@@ -58,13 +60,19 @@ def _rows(t: Tables, roles: list[str] | None, fields: list[str] | None, countrie
     own = L.member_filter(own, **{k: v for k, v in (("country", countries), ("crop", crops), ("year", years)) if v is not None})
     keys = L.rows_of(t.pixels.select(*PIXEL), own, "field")
     if edge_buffer_m:
-        keys = keys.join(L.inside_buffer(G.edge_distance(keys, "field"), "edge", edge_buffer_m).select(*PIXEL), PIXEL, "left_semi")
+        keys = G.beyond_edge(keys, "field", edge_buffer_m)
     if min_observed:
-        enough = t.steps.where(F.col(t.observed).isNotNull()).groupBy(*PIXEL).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_observed)
+        keys = keys.checkpoint()
+        enough = _steps_of(t, keys).where(F.col(t.observed).isNotNull()).groupBy(*PIXEL).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_observed)
         keys = keys.join(enough.select(*PIXEL), PIXEL, "left_semi")
     return per_group(keys, ["field"], PIXEL, pixels_per_field, seed) if pixels_per_field else keys
 
 
+def _steps_of(t: Tables, keys: DataFrame) -> DataFrame:
+    """The pixels' own steps."""
+    return t.steps(keys) if callable(t.steps) else t.steps.join(keys.select(*PIXEL), PIXEL, "left_semi")
+
+
 def load(t: Tables, features: list[str], roles: list[str] | None = None, fields: list[str] | None = None, align: str = "calendar", season: tuple[int, int] | None = None, n_windows: int = 24, countries: list[str] | None = None, crops: list[str] | None = None, years: list | None = None, edge_buffer_m: float = 0.0, min_observed: int = 0, pixels_per_field: int | None = None, seed: int = 0, scaler: DataFrame | None = None) -> Loaded:
     """The chosen pixels with their features.
 
@@ -74,10 +82,10 @@ def load(t: Tables, features: list[str], roles: list[str] | None = None, fields:
     crops and countries, whatever is loaded. With a scaler (`fit_scaler`) features are z-scores, and missing ones 0.
     """
     event = {"calendar": None, "sowing": "sow_day", "harvest": "harvest_day"}[align]
+    checkpoint_dir(t.pixels.sparkSession)
     categories = {c: sorted(str(r[0]) for r in t.fields.select(c).where(F.col(c).isNotNull()).distinct().collect()) for c in X.CATEGORICAL if any(s.partition(":")[0] == c for s in features)}  # one-hot columns need their names
     found = X.resolve(features, categories)
     dynamic, static = [f for f in found if f.dynamic], [f for f in found if not f.dynamic]
-    checkpoint_dir(t.pixels.sparkSession)
     keys = _rows(t, roles, fields, countries, crops, years, edge_buffer_m, min_observed, pixels_per_field, seed).checkpoint()  # chosen once, met three times
     attributes = L.rows_of(t.fields, keys, "field")
     if event and (n := attributes.where(F.col(event).isNull()).count()):
@@ -86,7 +94,7 @@ def load(t: Tables, features: list[str], roles: list[str] | None = None, fields:
     lo, hi = season or (t.start, t.start + n_windows * t.width)
     first, last = -(-lo // t.width), -(-hi // t.width)
     grid = scaffold(attributes.select("field", origin.alias("_k0"), *[c for c in ("lat", "jan1") if c in attributes.columns]), "m", first, last).withColumn("k", F.col("_k0") + F.col("m"))
-    d = keys.join(grid, "field").join(t.steps, [*PIXEL, "k"], "left")
+    d = keys.join(grid, "field").join(_steps_of(t, keys), [*PIXEL, "k"], "left")
     for group, table in (t.series or {}).items():
         if any(f.group == group for f in dynamic):
             named = table.select("field", "k", *[F.col(c).alias(f"e5_{c}" if group == "era5land" else c) for c in table.columns if c not in ("field", "k")])
@@ -115,4 +123,7 @@ def fit_scaler(loaded: Loaded) -> DataFrame:
         if names:
             s = L.scaler(df, names, keep)
             out = s if out is None else out.unionByName(s)
+    if out is not None:
+        checkpoint_dir(out.sparkSession)
+        out = out.checkpoint()  # a row a feature, met once for each table that is scaled
     return out

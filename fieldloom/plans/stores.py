@@ -10,7 +10,7 @@ from fieldloom.operators import filters as L
 from fieldloom.operators import joins as J
 from fieldloom.operators import metrics as M
 from fieldloom.operators import spatial as G
-from fieldloom.operators.load import Tables, fit_scaler, load
+from fieldloom.operators.load import PIXEL, Tables, fit_scaler, load
 from fieldloom.plans.evaluation import rounded
 from fieldloom.plans.fixtures import Fx
 from fieldloom.plans.registry import query
@@ -161,7 +161,8 @@ def _chosen(name: str, years: str) -> str:
 def _tables(fx: Fx) -> Tables:
     fields = fx.fields.select("field", "country", "crop", "year").join(fx.season.select("field", "sow_day", "harvest_day", "jan1"), "field")
     split = fx.fields.select("field", F.when(F.col("year") < 1999, "train").otherwise("test").alias("role"))
-    return Tables(fx.masked.select("field", "prow", "pcol", "target", F.col("z").alias("elevation")), fx.steps, fields, 20, 200, split)
+    steps = lambda keys: fx.over(pixels=fx.pixels.join(keys.select(*PIXEL), PIXEL, "left_semi")).steps  # noqa: E731 - a pixel has six
+    return Tables(fx.masked.select("field", "prow", "pcol", "target", F.col("z").alias("elevation")), steps, fields, 20, 200, split)
 
 
 @query(f"""WITH {_chosen('a', '< 1999')}, {_chosen('b', '>= 1999')}, sd AS (SELECT avg(ndvi) AS m, stddev_pop(ndvi) AS d FROM as_), se AS (SELECT avg(z) AS m, stddev_pop(z) AS d FROM ak),
@@ -173,7 +174,7 @@ def load_features(fx: Fx) -> DataFrame:
     steps counted from sowing."""
     options = {"align": "sowing", "season": (-40, 60), "countries": ["AFRICA", "AMERICA", "EUROPE", "MIDDLE EAST"], "edge_buffer_m": 10.0, "min_observed": 3, "pixels_per_field": 6, "seed": 3}
     specs = ["indices:ndvi", "observed", "terrain:elevation", "crop"]
-    t = _tables(fx)
+    t = _tables(fx.kept("pixels", "fields"))
     test = load(t, specs, ["test"], scaler=fit_scaler(load(t, specs, ["train"], **options)), **options)
     steps = test.steps.groupBy("field").agg(F.count("*").alias("n_steps"), F.avg("ndvi").alias("ndvi"), F.avg("observed").alias("observed"))
     pixels = test.pixels.groupBy("field").agg(F.max("crop").alias("crop"), F.count("*").alias("n"), F.avg("elevation").alias("elevation"), F.avg("crop=wheat").alias("wheat"))

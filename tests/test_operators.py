@@ -859,3 +859,36 @@ def test_tile_averages_of_odd_fields(spark):
             value, n = want[r.field, r.prow, r.pcol]
             assert r.n_tiles == n and (r.value is None if value is None else math.isclose(r.value, value))
         assert "Generate" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_load_makes_steps_of_chosen_pixels_only(spark):
+    from fieldloom.operators import load as D
+
+    cells = [(f, r, c) for f in ("a", "b") for r in range(4) for c in range(4)]
+    px = spark.createDataFrame([(*p, 1.0) for p in cells], "field string, prow long, pcol long, target double")
+    fields = spark.createDataFrame([("a", "A", "wheat", 2000), ("b", "B", "rye", 2000)], "field string, country string, crop string, year int")
+    asked = []
+
+    def steps(keys):
+        asked.append({tuple(r) for r in keys.select("field", "prow", "pcol").collect()})
+        return keys.withColumn("k", F.lit(1).cast("long")).withColumn("B04", F.lit(0.1)).withColumn("B08", F.lit(0.3))
+
+    got = D.load(D.Tables(px, steps, fields, 20, 0), ["indices:ndvi"], n_windows=2, countries=["A"], edge_buffer_m=10.0, min_observed=1)
+    inner = {("a", r, c) for r in (1, 2) for c in (1, 2)}
+    assert len(asked) == 2 and all(x == inner for x in asked)
+    assert {(r.m, None if r.ndvi is None else round(r.ndvi, 6)) for r in got.steps.collect()} == {(0, None), (1, 0.5)}
+
+
+@pytest.mark.parametrize("name", ["load_features"])
+def test_pixels_are_made_once(spark, sf, monkeypatch, name):
+    """Queries that meet the pixels many times read them from where they were stored once."""
+    from fieldloom.plans import registry
+    from fieldloom.plans.fixtures import Fx
+
+    read, kept = [], []
+    table, stored = Fx.table, Fx.stored
+    monkeypatch.setattr(Fx, "table", lambda self, t: (read.append(t), table(self, t))[1])
+    monkeypatch.setattr(Fx, "stored", lambda self, df, n: (kept.append(n), stored(self, df, n))[1])
+    out = registry.queries()[name](spark, sf)
+    assert read.count("lineitem") == 1 and kept
+    assert "l_orderkey" not in out._jdf.queryExecution().optimizedPlan().toString()
