@@ -30,18 +30,18 @@ PAIRS = f"{BY_YEAR}, ys AS (SELECT DISTINCT year FROM fx_fields), pr AS (SELECT
 
 @query(f"WITH {BY_YEAR} SELECT candidate, k, round(ks, 6) AS ks, round(score, 6) AS score FROM sc")
 def split_score(fx: Fx) -> DataFrame:
-    c = fx.fields.select("field", F.col("year").cast("string").alias("candidate"))
+    c = fx.kept("fields").fields.select("field", F.col("year").cast("string").alias("candidate"))
     return rounded(S.split_scores(c, S.standardised(fx.fields, "yield_mean", ["crop", "country"]), [["country", "crop"]]).select("candidate", "k", "ks", "score"))
 
 
 @query(f"WITH {PAIRS} SELECT test, val, round(score, 6) AS score FROM ps")
 def loyo_pairs(fx: Fx) -> DataFrame:
-    return rounded(S.leave_years_out(fx.fields, "year", "crop", "country"))
+    return rounded(S.leave_years_out(fx.kept("fields").fields, "year", "crop", "country"))
 
 
 @query(f"WITH {PAIRS} SELECT test, val, round(score, 6) AS score FROM ps ORDER BY round(score, 9), test, val LIMIT 1")
 def loyo_split(fx: Fx) -> DataFrame:
-    return rounded(S.best_pair(S.leave_years_out(fx.fields, "year", "crop", "country")))
+    return rounded(S.best_pair(S.leave_years_out(fx.kept("fields").fields, "year", "crop", "country")))
 
 
 TRIALS = 20_000
@@ -68,7 +68,7 @@ DRAWN = f"""{Z}, nn AS (SELECT count(*) AS n FROM zf), rs AS (SELECT region, cou
 @query(f"WITH RECURSIVE {DRAWN} SELECT trial, round(sum(score), 6) AS score FROM sc GROUP BY trial ORDER BY round(sum(score), 9), trial LIMIT 1")
 def loro_split(fx: Fx) -> DataFrame:
     """The best of random assignments of regions."""
-    return rounded(S.leave_regions_out(fx.fields, "region", "crop", "country", "year", TRIALS).select("trial", "score"))
+    return rounded(S.leave_regions_out(fx.kept("fields").fields, "region", "crop", "country", "year", TRIALS).select("trial", "score"))
 
 
 FOLDS = "cy AS (SELECT year AS fold, coalesce(lead(year) OVER (ORDER BY year), min(year) OVER ()) AS val FROM (SELECT DISTINCT year FROM fx_fields)), fo AS (SELECT fold, field, CASE WHEN year = fold THEN 2 WHEN year = val THEN 1 ELSE 0 END AS role FROM fx_fields, cy)"
@@ -91,16 +91,19 @@ def _check_sql(name: str, rows: str) -> str:
     _check_sql("physical_field on two sides", "SELECT fold, physical_field FROM d GROUP BY fold, physical_field HAVING count(DISTINCT role) > 1"), _check_sql("crop missing in train", "SELECT fold, crop FROM d GROUP BY fold, crop HAVING count_if(role = 0) = 0"),
     "SELECT fold, 'empty roles', 3 - count(DISTINCT role) FROM d GROUP BY fold"]))
 def split_checks(fx: Fx) -> DataFrame:
+    fx = fx.kept("fields")
     return S.split_violations(S.fold_roles(fx.fields, "year"), fx.fields, ["year", "physical_field"], "crop", ["fold"])
 
 
 @query(f"WITH {ALL} SELECT fold, CAST(role AS INTEGER) AS role, crop, count(*) AS n_fields, CAST(sum(n_pixels) AS BIGINT) AS n_pixels, round(avg(yield_mean), 6) AS yield_mean, round(count(*) / sum(count(*)) OVER (PARTITION BY fold, role), 6) AS share FROM d GROUP BY fold, role, crop")
 def split_composition(fx: Fx) -> DataFrame:
+    fx = fx.kept("fields")
     return rounded(S.composition(S.fold_roles(fx.fields, "year"), fx.fields, "crop", ["fold"]))
 
 
 @query(f"WITH {FOLDS} SELECT fold, 'field' AS kind, country, count(*) AS n FROM fo JOIN fx_fields USING (field) WHERE role > 0 GROUP BY fold, country")
 def split_membership(fx: Fx) -> DataFrame:
+    fx = fx.kept("fields")
     return S.fold_roles(fx.fields, "year").where("role > 0").join(fx.fields.select("field", "country"), "field").groupBy("fold", F.lit("field").alias("kind"), "country").agg(F.count("*").alias("n"))
 
 
@@ -128,7 +131,7 @@ def bootstrap_ci(fx: Fx) -> DataFrame:
 
 @query("WITH f AS (SELECT DISTINCT year FROM fx_fields), h AS (SELECT DISTINCT year, concat('own-', CAST(year % 3 AS STRING)) AS run, 0 AS rank FROM fx_fields WHERE year % 2 = 0 UNION ALL SELECT DISTINCT year, concat('other-', CAST(farm % 2 AS STRING)), 1 FROM fx_fields WHERE year < 2000) SELECT f.year, run, CAST(rank AS INTEGER) AS rank FROM f LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY year ORDER BY rank, run) AS q FROM h) h ON f.year = h.year AND q = 1")
 def fold_resolution(fx: Fx) -> DataFrame:
-    f = fx.fields
+    f = fx.kept("fields").fields
     own = f.where("year % 2 = 0").select("year", F.concat(F.lit("own-"), (F.col("year") % 3).cast("string")).alias("run")).distinct()
     other = f.where("year < 2000").select("year", F.concat(F.lit("other-"), (F.col("farm") % 2).cast("string")).alias("run")).distinct()
     return S.resolve_folds(f.select("year").distinct(), own, other, "year")
