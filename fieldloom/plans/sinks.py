@@ -50,7 +50,7 @@ def season_files(fx: Fx) -> DataFrame:
 @query("WITH y AS (SELECT year, coalesce(lead(year) OVER (ORDER BY year), min(year) OVER ()) AS val FROM (SELECT DISTINCT year FROM fx_fields)), r AS (SELECT y.year AS fold, y.val, CASE WHEN f.year = y.year THEN 2 WHEN f.year = y.val THEN 1 ELSE 0 END AS role, f.field FROM fx_fields f CROSS JOIN y) SELECT CAST(fold AS INTEGER) AS fold, role, count(*) AS n, min(field) AS first, max(field) AS last, CASE WHEN fold = 1997 THEN 'anew' ELSE 'first' END AS method, CAST(max(val) AS BIGINT) AS val_year FROM r WHERE fold <> 1997 OR role > 0 GROUP BY fold, role")
 def split_store(fx: Fx) -> DataFrame:
     """Folds with their attributes through a partitioned store of which one partition is then built anew, a fold at a time."""
-    path = _folder(fx, "splits")
+    path, fx = _folder(fx, "splits"), fx.kept("fields")
     roles = X.fold_roles(fx.fields, "year").select(F.col("fold").cast("int").alias("fold"), "field", "role")
     of = roles.where("role = 1").join(fx.fields.select("field", "year"), "field").groupBy("fold").agg(F.max("year").alias("val_year"))
     S.write_split(roles, of.withColumn("method", F.lit("first")), path, ["fold"])
