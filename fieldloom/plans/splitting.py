@@ -143,7 +143,8 @@ def normalised_export(fx: Fx) -> DataFrame:
     from fieldloom.operators import filters as L
     from fieldloom.operators.tables import integer_codes
 
-    p = fx.preds.withColumn("role", F.when(F.col("year") < 1999, "train").otherwise("test"))
+    role = F.when(F.col("year") < 1999, "train").otherwise("test").alias("role")
+    p = fx.stored(fx.kept("pixels").preds.select("field", "crop", "z", "target", role), "preds")  # met five times
     train = p.where("role = 'train'")
     x = L.scaled(p, L.scaler(train, ["z"]), ["z"])
     x = x.join(M.fallback_stats(train, "target", ["crop"], p.select("crop").distinct()), "crop").join(integer_codes(p, "field"), "field")

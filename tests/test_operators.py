@@ -879,7 +879,7 @@ def test_load_makes_steps_of_chosen_pixels_only(spark):
     assert {(r.m, None if r.ndvi is None else round(r.ndvi, 6)) for r in got.steps.collect()} == {(0, None), (1, 0.5)}
 
 
-@pytest.mark.parametrize("name", ["load_features", "loyo_pairs", "loyo_split", "split_score", "split_store", "split_checks"])
+@pytest.mark.parametrize("name", ["load_features", "loyo_pairs", "loyo_split", "split_score", "split_store", "normalised_export", "split_checks"])
 def test_pixels_are_made_once(spark, sf, monkeypatch, name):
     """Queries that meet the pixels many times read them from where they were stored once."""
     from fieldloom.plans import registry
