@@ -262,11 +262,15 @@ def test_overlaps_of_many_footprints(spark, monkeypatch):
         held[k, own] = 1
     shared = (held @ held.T).astype(int)
     want = {(int(a), int(b), int(shared[a, b])) for a, b in zip(*np.nonzero(np.triu(shared / (18 - shared) > 0.3, 1)), strict=True)}
+    nodes = spark.range(3000).withColumnRenamed("id", "node")
     for run in (G.RUN, 300):
         monkeypatch.setattr(G, "RUN", run)
         began = perf_counter()
         got = [(r.a, r.b, r.shared) for r in G.footprint_overlap(spark.table("many"), "field", 0.3).collect()]
         assert len(got) == len(want) and set(got) == want
+        links = G.footprint_links(spark.table("many"), "field", 0.3)
+        assert links.count() < len(want)
+        assert {r.label for r in G.components(links, nodes).collect()} == {0}
         assert perf_counter() - began < 60
 
 
