@@ -7,6 +7,15 @@ from pyspark.sql import DataFrame, functions as F
 from fieldloom.session import checkpoint_dir
 
 
+def roots_of(up: DataFrame, node: str, root: str) -> DataFrame:
+    """(node, root) of `up`, one row a node as before, under these names.
+
+    The plan says by grouping that a node has one row. Else Spark takes a join's size for the product of both sides, which a
+    checkpoint keeps: over rounds of such joins that number doubles its digits each time, until the driver has no room for it.
+    """
+    return up.groupBy(F.col("node").alias(node)).agg(F.min("root").alias(root))
+
+
 def contracted(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable over edges (a, b), for the nodes that have an edge to another one.
 
@@ -23,10 +32,10 @@ def contracted(edges: DataFrame) -> DataFrame:
         up = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).select("node", F.least("node", "root").alias("root")).checkpoint()
         moved = True
         while moved:
-            new = up.join(up.select(F.col("node").alias("root"), F.col("root").alias("then")), "root").select("node", F.col("then").alias("root"), (F.col("then") != F.col("root")).alias("moved")).checkpoint()
+            new = up.join(roots_of(up, "root", "then"), "root").select("node", F.col("then").alias("root"), (F.col("then") != F.col("root")).alias("moved")).checkpoint()
             moved = not new.where("moved").isEmpty()
             up = new.select("node", "root")
-        side = lambda x: up.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))  # noqa: B023, E731
+        side = lambda x: roots_of(up, x, f"r{x}")  # noqa: B023, E731
         left = left.join(side("a"), "a").join(side("b"), "b").where("ra <> rb").select(*ends("ra", "rb")).distinct().checkpoint()
         of = up if of is None else followed(of, up).checkpoint()
     return of
@@ -34,13 +43,13 @@ def contracted(edges: DataFrame) -> DataFrame:
 
 def followed(of: DataFrame, up: DataFrame) -> DataFrame:
     """(node, root) of `of` with the roots of its roots in `up`, and the nodes that only `up` has."""
-    known = of.join(up.select(F.col("node").alias("root"), F.col("root").alias("then")), "root", "left").select("node", F.coalesce("then", "root").alias("root"))
+    known = of.join(roots_of(up, "root", "then"), "root", "left").select("node", F.coalesce("then", "root").alias("root"))
     return known.unionByName(up.join(of.select("node"), "node", "left_anti").select("node", "root"))
 
 
 def joined(of: DataFrame, more: DataFrame) -> DataFrame:
     """The components (node, root) with further edges (a, b), of which only the roots are read again."""
-    side = lambda x: of.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+    side = lambda x: roots_of(of, x, f"r{x}")
     ends = more.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
     return followed(of, contracted(ends)).checkpoint()
 

@@ -928,6 +928,20 @@ def test_components_of_chains(spark):
     assert {r.node: (r.label, r.root) for r in got} == {x: (None if best[up[x]][0] else best[up[x]][1], best[up[x]][2]) for x in nodes if x != 5000}
 
 
+def test_planned_sizes_stay_small_over_rounds(spark):
+    """A path takes ten pointer jumps; planned as products of both sides, the size of its table had 2**10 times the digits."""
+    from fieldloom.llm.components import contracted
+    from fieldloom.operators import spatial
+
+    path = spark.createDataFrame([(k, k + 1) for k in range(600)], "a long, b long")
+    of = contracted(path).checkpoint()
+    assert of.count() == 601 and of.agg({"root": "max"}).first()[0] == 0
+    parts = spatial.components(path, spark.range(601).withColumnRenamed("id", "node")).checkpoint()
+    assert parts.agg({"label": "max"}).first()[0] == 0
+    for made in (of, parts):
+        assert int(made._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 1 << 500
+
+
 def test_rejected_links_of_a_bucket_lose_no_other(spark, monkeypatch):
     """A large bucket tells a tree; here every link of it that is not certain is rejected at first, and the links that the
     tree left out are still told, verified and joined."""
