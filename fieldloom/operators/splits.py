@@ -262,7 +262,12 @@ def bootstrap_scores(fields: DataFrame, subset: list[str], models: list[str], dr
 
 
 def bootstrap_interval(boot: DataFrame, subset: list[str], base: str) -> DataFrame:
-    """Per model: 5 % and 95 % of the median over subsets, and how often its difference to the base is positive."""
+    """Per model: 5 % and 95 % of the median over subsets, and how often its difference to the base is positive.
+
+    Scores are summed once: summed anew for the base, in another order, the base would differ from itself.
+    """
+    checkpoint_dir(boot.sparkSession)
+    boot = boot.checkpoint()
     ref = boot.where(F.col("model") == base).select("draw", *subset, F.col("r2").alias("_b"))
     d = boot.join(ref, ["draw", *subset]).groupBy("model", "draw").agg(F.median("r2").alias("r2"), F.median(F.col("r2") - F.col("_b")).alias("delta"))
     return d.groupBy("model").agg(F.percentile("r2", 0.05).alias("lo"), F.percentile("r2", 0.95).alias("hi"), F.median("delta").alias("delta"), F.avg((F.col("delta") > 0).cast("int")).alias("share_better"))

@@ -274,6 +274,16 @@ def test_overlaps_of_many_footprints(spark, monkeypatch):
         assert perf_counter() - began < 60
 
 
+def test_base_does_not_differ_from_itself(spark):
+    """Scores whose last digits change each time they are computed, as those of sums over a shuffle may."""
+    import random
+
+    noisy = F.udf(lambda v: v + random.random() * 1e-12, "double").asNondeterministic()
+    boot = spark.range(200).selectExpr("cast(id % 50 as int) draw", "concat('c', cast(id div 100 as string)) country", "concat('m', cast(id div 50 % 2 as string)) model", "id / 1000d r2").withColumn("r2", noisy("r2"))
+    got = {r.model: (r.delta, r.share_better) for r in S.bootstrap_interval(boot, ["country"], "m0").collect()}
+    assert got["m0"] == (0.0, 0.0) and math.isclose(got["m1"][0], 0.05, abs_tol=1e-9) and got["m1"][1] == 1.0
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 80, (60, 2)) if a != b] + [(k, k + 1) for k in range(100, 130)]
