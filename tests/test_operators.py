@@ -228,6 +228,26 @@ def test_proximity_against_brute_force(spark):
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-6) for k in want)
 
 
+def test_points_that_meet_are_not_sorted(spark):
+    """Keys of one and of several points against brute force; the points' joins by tile hash one side, so none of it spills."""
+    rng = np.random.default_rng(9)
+    pts = [(k if k < 60 else 60 + k % 20, float(x), float(y)) for k, (x, y) in enumerate(rng.uniform(-9_000, 9_000, (120, 2)))]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = G.proximity(spark.createDataFrame(pts, "farm long, x double, y double"), "farm", 3000.0)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        got = [(r.a, r.b, r.gap) for r in df.collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ShuffledHashJoin [tx" in plan and "SortMergeJoin [tx" not in plan
+    want = {}
+    for (a, x, y), (b, u, v) in itertools.permutations(pts, 2):
+        if a < b:
+            want[a, b] = min(max(0.0, math.hypot(x - u, y - v) - 20), want.get((a, b), math.inf))
+    want = {k: v for k, v in want.items() if v <= 3000}
+    assert len(got) == len(want) and all(math.isclose(want[a, b], gap, abs_tol=1e-6) for a, b, gap in got)
+
+
 def _parts(spark, edges, nodes):
     return {r.node: r.label for r in G.components(edges.select("a", "b"), spark.createDataFrame([(n,) for n in nodes], "node long")).collect()}
 
